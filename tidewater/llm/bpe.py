@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, id_and_text, read_table
+from .common import BoundedCache, flushed, id_and_text, read_table
 from .token_counts import byte_alphabet
 
 # Fixed value of the vocabulary's format: the pre-tokenizer's pattern.
@@ -103,18 +103,6 @@ def coder(path: str) -> WordBPE:
     return _CODERS[path]
 
 
-def _flushed(rows: Iterator[tuple], schema: pa.Schema, size, flush_bytes: int) -> Iterator[pa.RecordBatch]:
-    held, total = [], 0
-    for row in rows:
-        held.append(row)
-        total += size(row)
-        if total >= flush_bytes:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-            held, total = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-
-
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", flush_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_tokens, ids): ids are the text's tokens as little-endian unsigned 32-bit integers.
 
@@ -132,7 +120,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                     ids = c.encode(text.as_py())
                     yield doc_id.as_py(), len(ids), ids.tobytes()
 
-        return _flushed(rows(), schema, lambda r: len(r[2]), flush_bytes)
+        return flushed(rows(), schema, lambda r: len(r[2]), flush_bytes)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -150,7 +138,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, flush_bytes: int =
                     data = ids.as_py() or b""
                     yield doc_id.as_py(), n.as_py(), data, c.decode(np.frombuffer(data, dtype="<u4"))
 
-        return _flushed(rows(), schema, lambda r: len(r[2]) + len(r[3]), flush_bytes)
+        return flushed(rows(), schema, lambda r: len(r[2]) + len(r[3]), flush_bytes)
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +62,27 @@ class BoundedCache(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def flushed(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], int], flush_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of about flush_bytes, so that large cells don't pile up in memory."""
+
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row) + 64
+        if total >= flush_bytes:
+            yield batch(held)
+            held, total = [], 0
+    if held:
+        yield batch(held)
+
+
+def open_store(uri: str):
+    """(file system, path in it) of a folder in the shared store, for Python tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))

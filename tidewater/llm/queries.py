@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 from .bpe import op10_word_bpe
+from .media import op3_wav_fingerprints
 from .sharding import op9_jump_sharding
 from .token_counts import op2_prefix_token_counts
+from .warc import op1_warc_chunks
 
 QUERIES = {
+    "op1_warc_chunks": op1_warc_chunks,
     "op2_prefix_token_counts": op2_prefix_token_counts,
+    "op3_wav_fingerprints": op3_wav_fingerprints,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_word_bpe": op10_word_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_warc_chunks": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages),
+        f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS first FROM p)
+        SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM f""",
+}
