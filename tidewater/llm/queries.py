@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op10_word_bpe
 from .media import op3_wav_fingerprints
 from .sharding import op9_jump_sharding
+from .simhash import op6_simhash_trie
 from .token_counts import op2_prefix_token_counts
 from .warc import op1_warc_chunks
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_prefix_token_counts": op2_prefix_token_counts,
     "op3_wav_fingerprints": op3_wav_fingerprints,
+    "op6_simhash_trie": op6_simhash_trie,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_word_bpe": op10_word_bpe,
 }
