@@ -6,6 +6,7 @@ from .bpe import op10_word_bpe
 from .media import op3_wav_fingerprints
 from .sharding import op9_jump_sharding
 from .simhash import op6_simhash_trie
+from .suffixes import op7_sparse_suffixes
 from .token_counts import op2_prefix_token_counts
 from .warc import op1_warc_chunks
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_prefix_token_counts": op2_prefix_token_counts,
     "op3_wav_fingerprints": op3_wav_fingerprints,
     "op6_simhash_trie": op6_simhash_trie,
+    "op7_sparse_suffixes": op7_sparse_suffixes,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_word_bpe": op10_word_bpe,
 }
