@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op10_word_bpe
+from .decontam import op8_benchmark_windows
 from .media import op3_wav_fingerprints
 from .sharding import op9_jump_sharding
 from .simhash import op6_simhash_trie
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_wav_fingerprints": op3_wav_fingerprints,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_sparse_suffixes": op7_sparse_suffixes,
+    "op8_benchmark_windows": op8_benchmark_windows,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_word_bpe": op10_word_bpe,
 }
