@@ -9,6 +9,7 @@ from .sharding import op9_jump_sharding
 from .simhash import op6_simhash_trie
 from .suffixes import op7_sparse_suffixes
 from .token_counts import op2_prefix_token_counts
+from .toxicity import op5_ordinal_toxicity
 from .warc import op1_warc_chunks
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_simhash_trie": op6_simhash_trie,
     "op7_sparse_suffixes": op7_sparse_suffixes,
     "op8_benchmark_windows": op8_benchmark_windows,
+    "op5_ordinal_toxicity": op5_ordinal_toxicity,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_word_bpe": op10_word_bpe,
 }
