@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op10_word_bpe
 from .decontam import op8_benchmark_windows
+from .licenses import op4_license_scan
 from .media import op3_wav_fingerprints
 from .sharding import op9_jump_sharding
 from .simhash import op6_simhash_trie
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_sparse_suffixes": op7_sparse_suffixes,
     "op8_benchmark_windows": op8_benchmark_windows,
     "op5_ordinal_toxicity": op5_ordinal_toxicity,
+    "op4_license_scan": op4_license_scan,
     "op9_jump_sharding": op9_jump_sharding,
     "op10_word_bpe": op10_word_bpe,
 }
