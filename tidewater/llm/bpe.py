@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, flushed, id_and_text, read_table
+from .common import BoundedCache, flushed, id_and_text, read_table, released
 from .token_counts import byte_alphabet
 
 # Fixed value of the vocabulary's format: the pre-tokenizer's pattern.
@@ -28,7 +28,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+
 class WordBPE:
     """Encoder and decoder for a BPE with word ends in a tokenizer JSON file."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -122,7 +122,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
         return flushed(rows(), schema, lambda r: len(r[2]), flush_bytes)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return id_and_text(docs, id_col, text_col).mapInArrow(released(run), "doc_id long, n_tokens long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str, flush_bytes: int = 8 << 20) -> DataFrame:
@@ -140,7 +140,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, flush_bytes: int =
 
         return flushed(rows(), schema, lambda r: len(r[2]) + len(r[3]), flush_bytes)
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(released(run), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -88,6 +88,16 @@ def flushed(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], in
         yield batch(held)
 
 
+def released(run: Callable) -> Callable:
+    """run, after which the worker, which Spark keeps for later tasks, gives its free Arrow memory back."""
+
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return inner
+
+
 def open_store(uri: str):
     """(file system, path in it) of a folder in the shared store, for Python tasks."""
     from pyarrow import fs

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, read_table
+from .common import cut, id_and_text, read_table, released
 from .components import connected_components
 
 BITS = 64
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b["text"]), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(found.view(np.int64))], schema=schema)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(released(run), "doc_id long, fp long")
 
 
 def trie_pairs(a: np.ndarray, b: np.ndarray, depth: int, used: int, budget: int, same: bool, width: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:

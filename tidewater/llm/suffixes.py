@@ -25,13 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, id_and_text, read_table, written
+from .common import id_and_text, read_table, released, written
 
 RADIX = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(RADIX, -1, 1 << 64)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-_WORDS = BoundedCache(lambda word: xxhash.xxh64_intdigest(word), 500_000)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -47,7 +46,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def word_hashes(text: str) -> np.ndarray:
     words = text.split() if text.isascii() and not re.search(r"[\x1c-\x1f]", text) else WORD.findall(text)
-    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -95,7 +94,7 @@ def sampled_suffixes(docs: DataFrame, k: int, w: int) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))], schema=schema)
 
-    return docs.mapInArrow(run, "head long, doc_id long, pos int")
+    return docs.mapInArrow(released(run), "head long, doc_id long, pos int")
 
 
 def extended_windows(candidates: DataFrame, min_words: int, k: int) -> DataFrame:
@@ -103,22 +102,35 @@ def extended_windows(candidates: DataFrame, min_words: int, k: int) -> DataFrame
     schema = pa.schema([("win", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("inner", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], [], [], []]
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in held], schema=schema)
+            for c in held:
+                c.clear()
+            return made
+
         for b in batches:
             for doc_id, text, at in zip(b["doc_id"].to_pylist(), b["text"], b["at"], strict=True):
                 words = word_hashes(text.as_py())
                 if len(words) < min_words:
                     continue
-                held = np.zeros(len(words) - min_words + 2, dtype=np.int64)
+                around = np.zeros(len(words) - min_words + 2, dtype=np.int64)
                 runs = at.values.to_numpy()
-                np.add.at(held, np.clip(runs - (min_words - k), 0, len(held) - 1), 1)
-                np.add.at(held, np.clip(runs + 1, 0, len(held) - 1), -1)
-                starts = np.flatnonzero(np.cumsum(held)[:-1] > 0)
+                np.add.at(around, np.clip(runs - (min_words - k), 0, len(around) - 1), 1)
+                np.add.at(around, np.clip(runs + 1, 0, len(around) - 1), -1)
+                starts = np.flatnonzero(np.cumsum(around)[:-1] > 0)
                 hashes = window_hashes(words, min_words, starts)
                 inner = np.ones(len(starts), dtype=bool)
                 inner[np.unique(hashes, return_index=True)[1]] = False
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(starts), doc_id, dtype=np.int64)), pa.array(starts.astype(np.int32)), pa.array(inner)], schema=schema)
+                for c, x in zip(held, (hashes.view(np.int64), np.full(len(starts), doc_id, dtype=np.int64), starts.astype(np.int32), inner), strict=True):
+                    c.append(x)
+                if sum(map(len, held[0])) >= 1 << 18:
+                    yield batch()
+        if held[0]:
+            yield batch()
 
-    return candidates.mapInArrow(run, "win long, doc_id long, pos int, inner boolean")
+    return candidates.mapInArrow(released(run), "win long, doc_id long, pos int, inner boolean")
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
@@ -136,6 +148,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     runs = suffixes.join(repeated, "head").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     windows = written(extended_windows(texts.join(runs, "doc_id"), min_words, k), "windows")
     firsts = windows.groupBy("win").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = written(firsts, "firsts")  # so both sides of the join are plain exchanges, which Spark splits where a passage is everywhere
     return windows.join(firsts, "win").where("doc_id <> first_doc_id or inner").select("doc_id", "pos", "first_doc_id")
 
 

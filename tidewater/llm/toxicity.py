@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, cut, id_and_text, read_table
+from .common import BoundedCache, cut, id_and_text, read_table, released
 
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -32,13 +32,10 @@ def features_of_word(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(f.encode()) for f in (word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n)))
 
 
-_FEATURES = BoundedCache(features_of_word, 300_000)
-
-
 def features(text: str) -> np.ndarray:
     """The distinct hashed features of a text, in order."""
     found: set[int] = set()
-    found.update(*map(_FEATURES.__getitem__, set(TOKEN.findall(text.lower()))))
+    found.update(*map(features_of_word, set(TOKEN.findall(text.lower()))))
     return np.array(sorted(found), dtype=np.int64)
 
 
@@ -130,7 +127,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = 400
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["grade"], lists], schema=schema)
 
     texts = id_and_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text")  # 3 * sample_per_class rows
-    sparse = cut(texts.mapInArrow(run, "doc_id long, grade int, feature array<long>"))
+    sparse = cut(texts.mapInArrow(released(run), "doc_id long, grade int, feature array<long>"))
     counts = {r["grade"]: r["n"] for r in sparse.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     clean, toxic = counts.get(0, 0), sum(n for g, n in counts.items() if g)
     if not clean or not toxic:
@@ -164,7 +161,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = OrdinalModel(weights, thresholds)
-        active = BoundedCache(lambda word: tuple(f for f in features_of_word(word) if f in weights), 300_000)
+        active = BoundedCache(lambda word: tuple(f for f in features_of_word(word) if f in weights), 150_000)
         for b in batches:
             scores = np.zeros(b.num_rows)
             for i, text in enumerate(b["text"]):
@@ -175,7 +172,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
             grade = (above >= 0.5).sum(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(above.sum(axis=1).round(6)), pa.array(above[:, 0].round(6)), pa.array(grade), pa.array(grade > 0)], schema=schema)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, expected_severity double, p_toxic double, grade int, toxic boolean")
+    return id_and_text(docs, id_col, text_col).mapInArrow(released(run), "doc_id long, expected_severity double, p_toxic double, grade int, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -184,7 +181,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        active = BoundedCache(lambda word: tuple(f for f in features_of_word(word) if f in weights), 300_000)
+        active = BoundedCache(lambda word: tuple(f for f in features_of_word(word) if f in weights), 150_000)
         for b in batches:
             keep = []
             for text in b["text"]:
@@ -193,7 +190,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
                 keep.append(sum(weights[f] for f in sorted(found)) < thresholds[0])
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def op5_ordinal_toxicity(spark, sf_dir: str) -> DataFrame:
