@@ -1,6 +1,415 @@
-"""Every query of the time-series engine, with its SQL."""
+"""Every query of the time-series engine, with its SQL.
+
+Values are rounded on both sides, as sums are taken in another order.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalar as X
+from ..operators import clean, features, prepare, profile, spectral, stats
+from ..series import BARS, SeriesSpec
+from ..sources.files import read_table
+from .tables import BARS_D, BARS_H, BARS_HS, bars_daily, bars_hourly, bars_hourly_spined, ticks
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+TICKS = SeriesSpec(tiebreak=("event_id",))
+
+
+def query(sql: str | None = None):
+    """Register a function as the query of its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, to: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(c, to) for c in columns})
+
+
+def _d(body: str, bars: str = BARS_D) -> str:
+    return f"WITH bars AS ({bars}) {body}"
+
+
+def _h(body: str) -> str:
+    return _d(body, BARS_H)
+
+
+def _hs(body: str) -> str:
+    return _d(body, BARS_HS)
+
+
+W = "(PARTITION BY symbol ORDER BY time)"
+ROUNDED_BARS = "symbol, time, open, high, low, close, round(volume, 2) AS volume, n"
+
+
+@query(_d(f"SELECT {ROUNDED_BARS} FROM bars"))
+def bars_by_day(spark, sf_dir):
+    return rounded(bars_daily(spark, sf_dir), "volume", to=2)
+
+
+@query(_h(f"SELECT {ROUNDED_BARS} FROM bars"))
+def bars_by_hour(spark, sf_dir):
+    return rounded(bars_hourly(spark, sf_dir), "volume", to=2)
+
+
+@query(_hs(f"SELECT {ROUNDED_BARS} FROM bars"))
+def bars_by_hour_spined(spark, sf_dir):
+    return rounded(bars_hourly_spined(spark, sf_dir), "volume", to=2)
+
+
+@query(_d("SELECT symbol, time, day(time)::INT AS day, month(time)::INT AS month, year(time)::INT AS year FROM bars"))
+def date_parts(spark, sf_dir):
+    return prepare.with_date_parts(bars_daily(spark, sf_dir)).select("symbol", "time", "day", "month", "year")
+
+
+@query(_d("SELECT month(time)::INT AS month, monthname(time) AS month_name, round(avg(close), 4) AS mean FROM bars GROUP BY ALL"))
+def calendar_month_mean(spark, sf_dir):
+    return rounded(profile.month_means(bars_daily(spark, sf_dir)), "mean")
+
+
+@query(_d("SELECT year(time)::INT AS year, month(time)::INT AS month, year(time) || '-' || month(time) AS year_month, round(avg(close), 4) AS mean FROM bars GROUP BY ALL"))
+def year_month_mean(spark, sf_dir):
+    return rounded(profile.year_month_means(bars_daily(spark, sf_dir)), "mean")
+
+
+@query(_d("""SELECT symbol, month_end::DATE AS month_end, round(mean, 4) AS mean FROM (SELECT DISTINCT symbol FROM bars) CROSS JOIN
+    (SELECT last_day(unnest(generate_series(date_trunc('month', min(time)), date_trunc('month', max(time)), INTERVAL 1 MONTH))::DATE) AS month_end FROM bars)
+    LEFT JOIN (SELECT symbol, last_day(time) AS month_end, avg(close) AS mean FROM bars GROUP BY ALL) USING (symbol, month_end)"""))
+def resample_month(spark, sf_dir):
+    return rounded(profile.resample_months(bars_daily(spark, sf_dir)), "mean")
+
+
+PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS min,
+    round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75, max({c}) AS max FROM lineitem""" for c in PROFILED))
+def describe(spark, sf_dir):
+    return rounded(profile.describe(read_table(spark, sf_dir, "lineitem"), PROFILED), "mean", "std", "q25", "q50", "q75")
+
+
+SPINED_COLUMNS = ["symbol", "time", "open", "high", "low", "close", "volume", "n"]
+
+
+@query(_hs(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS count, count(*) - count({c}) AS nulls FROM bars""" for c in SPINED_COLUMNS)))
+def null_table(spark, sf_dir):
+    return profile.null_table(bars_hourly_spined(spark, sf_dir))
+
+
+@query(_hs("SELECT * FROM (" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) - count({c}) AS n_missing, round((count(*) - count({c})) * 100 / count(*), 6) AS percentage FROM bars""" for c in SPINED_COLUMNS) + ") WHERE n_missing > 0"))
+def missing_report(spark, sf_dir):
+    return rounded(profile.missing_report(bars_hourly_spined(spark, sf_dir)), "percentage", to=6)
+
+
+@query(_hs("SELECT * FROM (" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", coalesce(min({c}) < max({c}), false) AND (count(*) - count({c})) * 100 / count(*) <= 5 AS keep FROM (SELECT *, 1 AS one, CASE WHEN n > 3 THEN n END AS many FROM bars)""" for c in [*SPINED_COLUMNS, "one", "many"]) + ")"))
+def kept_columns(spark, sf_dir):
+    df = bars_hourly_spined(spark, sf_dir).withColumns({"one": F.lit(1), "many": F.when(F.col("n") > 3, F.col("n"))})
+    return profile.kept_columns(df, 5.0)
+
+
+CORRELATED = ["open", "high", "low", "close", "volume"]
+
+
+@query(_d(" UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, " + ("1.0::DOUBLE AS corr" if a == b else f"round(corr({a}, {b}), 6) AS corr FROM bars") for a in CORRELATED for b in CORRELATED)))
+def corr_long(spark, sf_dir):
+    return rounded(profile.correlations(bars_daily(spark, sf_dir), CORRELATED), "corr", to=6)
+
+
+@query(_d(" UNION ALL ".join(f"SELECT '{b}' AS feature, round(corr(close, {b}), 6) AS corr FROM bars" for b in CORRELATED if b != "close")))
+def target_corr(spark, sf_dir):
+    return rounded(profile.target_correlations(bars_daily(spark, sf_dir), "close", CORRELATED), "corr", to=6)
+
+
+@query(_d("SELECT symbol, time, round((close - min(close) OVER s) / nullif(max(close) OVER s - min(close) OVER s, 0), 6) AS norm_close FROM bars WINDOW s AS (PARTITION BY symbol)"))
+def minmax_close(spark, sf_dir):
+    return rounded(profile.min_max_scaled(bars_daily(spark, sf_dir)).select("symbol", "time", "norm_close"), "norm_close", to=6)
+
+
+@query(_hs("SELECT symbol, time, " + ", ".join(f"coalesce(lag(close, {k}) OVER {W}, (SELECT arg_min(close, time) FROM bars c WHERE c.symbol = bars.symbol AND close IS NOT NULL), 0) AS lag_{k}" for k in range(1, 6)) + " FROM bars"))
+def lag_features(spark, sf_dir):
+    return features.lag_features(bars_hourly_spined(spark, sf_dir), 5).select("symbol", "time", *(f"lag_{k}" for k in range(1, 6)))
+
+
+def _sma_sql(n: int, name: str) -> str:
+    frame = f"(PARTITION BY symbol ORDER BY time ROWS {n - 1} PRECEDING)"
+    return f"CASE WHEN count(close) OVER {frame} = {n} THEN round(avg(close) OVER {frame}, 4) END AS {name}"
+
+
+@query(_d(f"SELECT symbol, time, close, {_sma_sql(10, 'sma_10')} FROM bars"))
+def sma(spark, sf_dir):
+    return rounded(features.sma(bars_daily(spark, sf_dir), [10]), "sma_10").select("symbol", "time", "close", "sma_10")
+
+
+@query(_d("SELECT symbol, time, " + ", ".join(_sma_sql(n, f"sma_{n}") for n in (10, 30, 50, 100)) + " FROM bars"))
+def sma_multi(spark, sf_dir):
+    names = [f"sma_{n}" for n in (10, 30, 50, 100)]
+    return rounded(features.sma(bars_daily(spark, sf_dir), [10, 30, 50, 100]), *names).select("symbol", "time", *names)
+
+
+TICK_SMA = "(PARTITION BY event_type ORDER BY ts, event_id ROWS 19 PRECEDING)"
+
+
+@query(f"SELECT event_type AS symbol, ts AS time, event_id, CASE WHEN count(*) OVER {TICK_SMA} = 20 THEN round(avg(value) OVER {TICK_SMA}, 4) END AS sma_20 FROM events")
+def tick_sma(spark, sf_dir):
+    """Over single ticks: the one series here that grows with the data, so it is cut into chunks."""
+    out = features.sma_in_chunks(ticks(spark, sf_dir), 20, "value", F.date_trunc("hour", "time"), TICKS, chunk_rows=2_000_000)
+    return rounded(out, "sma_20").select("symbol", "time", "event_id", "sma_20")
+
+
+@query(_d("""SELECT symbol, time, half, CASE WHEN count(close) OVER f = 12 THEN round(avg(close) OVER f, 4) END AS rolling_mean, CASE WHEN count(close) OVER f = 12 THEN round(stddev_samp(close) OVER f, 4) END AS rolling_std
+    FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 < floor(count(*) OVER (PARTITION BY symbol) / 2) THEN 1 ELSE 2 END AS half FROM bars)
+    WINDOW f AS (PARTITION BY symbol, half ORDER BY time ROWS 11 PRECEDING)"""))
+def rolling_std_halves(spark, sf_dir):
+    return rounded(prepare.rolling_by_halves(bars_daily(spark, sf_dir)), "rolling_mean", "rolling_std").select("symbol", "time", "half", "rolling_mean", "rolling_std")
+
+
+@query(_d(f"SELECT symbol, time, round(close - lag(close) OVER {W}, 4) AS close_diff FROM bars"))
+def diff(spark, sf_dir):
+    return rounded(features.diff(bars_daily(spark, sf_dir)), "close_diff").select("symbol", "time", "close_diff")
+
+
+PADDED = "SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS p FROM bars"
+
+
+@query(_hs(f"SELECT symbol, time, round((p - lag(p, 3) OVER {W}) / lag(p, 3) OVER {W}, 6) AS pct_change FROM ({PADDED})"))
+def pct_change(spark, sf_dir):
+    return rounded(features.with_pct_change(bars_hourly_spined(spark, sf_dir), periods=3), "pct_change", to=6).select("symbol", "time", "pct_change")
+
+
+@query(_hs("SELECT symbol, time, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS {c}" for c in ("open", "close")) + " FROM bars"))
+def ffill(spark, sf_dir):
+    return clean.ffill(bars_hourly_spined(spark, sf_dir), ["open", "close"]).select("symbol", "time", "open", "close")
+
+
+@query(_hs("SELECT symbol, time, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS {c}" for c in ("open", "close")) + " FROM bars"))
+def bfill(spark, sf_dir):
+    return clean.bfill(bars_hourly_spined(spark, sf_dir), ["open", "close"]).select("symbol", "time", "open", "close")
+
+
+MEDIAN = "median(close) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
+
+
+@query(_hs(f"SELECT symbol, time, round({MEDIAN}, 4) AS rolling_median FROM bars"))
+def rolling_median(spark, sf_dir):
+    df = bars_hourly_spined(spark, sf_dir).withColumn("rolling_median", clean.rolling_median("close", 5))
+    return rounded(df, "rolling_median").select("symbol", "time", "rolling_median")
+
+
+IMPUTED = f"coalesce(close, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time DESC ROWS UNBOUNDED PRECEDING), {MEDIAN})"
+
+
+@query(_hs(f"SELECT symbol, time, round({IMPUTED}, 4) AS close FROM bars"))
+def impute(spark, sf_dir):
+    return rounded(clean.impute(bars_hourly_spined(spark, sf_dir), ["close"]), "close").select("symbol", "time", "close")
+
+
+def _ema_sql(n: int, source: str = "bars", column: str = "close") -> str:
+    """The recursion over each symbol's ordered list of values."""
+    a = f"(2.0::DOUBLE / {n + 1})"
+    return f"""SELECT symbol, unnest(t) AS time, unnest(e) AS ema_{n} FROM (
+        SELECT symbol, t, list_reduce(list_transform(x, lambda v: [v]), lambda s, v: list_append(s, (1 - {a}) * s[-1] + {a} * v[1])) AS e
+        FROM (SELECT symbol, list(time ORDER BY time) AS t, list({column} ORDER BY time) AS x FROM {source} GROUP BY symbol))"""
+
+
+@query(_d(f"SELECT symbol, time, round(ema_10, 4) AS ema_10 FROM ({_ema_sql(10)})"))
+def ema(spark, sf_dir):
+    return rounded(features.ema(bars_daily(spark, sf_dir).select("symbol", "time", "close"), [10]), "ema_10").select("symbol", "time", "ema_10")
+
+
+@query(_d("SELECT symbol, time, " + ", ".join(f"round(ema_{n}, 4) AS ema_{n}" for n in (10, 30, 50, 100)) + " FROM " + " JOIN ".join(f"(SELECT symbol, time, ema_{n} FROM ({_ema_sql(n)}))" + ("" if n == 10 else " USING (symbol, time)") for n in (10, 30, 50, 100))))
+def ema_multi(spark, sf_dir):
+    names = [f"ema_{n}" for n in (10, 30, 50, 100)]
+    return rounded(features.ema(bars_daily(spark, sf_dir).select("symbol", "time", "close"), [10, 30, 50, 100]), *names).select("symbol", "time", *names)
+
+
+@query()
+def tick_ema(spark, sf_dir):
+    """Over single ticks, by composing the steps of hourly buckets."""
+    out = features.ema_in_chunks(ticks(spark, sf_dir), 20, "value", F.date_trunc("hour", "time"), TICKS)
+    return rounded(out, "ema_20").select("symbol", "time", "event_id", "ema_20")
+
+
+ROC = f"""r AS (SELECT symbol, time, CASE WHEN count(close) OVER f = 10 THEN avg(close) OVER f END AS m FROM bars WINDOW f AS (PARTITION BY symbol ORDER BY time ROWS 9 PRECEDING)),
+    c AS (SELECT symbol, time, (m - lag(m, 20) OVER {W}) / lag(m, 20) OVER {W} * 100 AS roc FROM r),
+    b AS (SELECT symbol, time, roc, CASE WHEN roc IS NULL OR isnan(roc) THEN 'Unknown' WHEN roc > 10 THEN 'Very High Positive' WHEN roc > 5 THEN 'High Positive' WHEN roc > 1 THEN 'Low Positive'
+        WHEN roc > -1 THEN 'Neutral' WHEN roc > -5 THEN 'Low Negative' ELSE 'High Negative' END AS roc_bin FROM c)"""
+
+
+@query(f"WITH bars AS ({BARS_D}), {ROC} SELECT symbol, time, round(roc, 4) AS roc, roc_bin FROM b")
+def roc_bins(spark, sf_dir):
+    return rounded(features.rate_of_change(bars_daily(spark, sf_dir), "ma", 10, 20), "roc").select("symbol", "time", "roc", "roc_bin")
+
+
+@query(f"""WITH bars AS ({BARS_D}), {ROC},
+    k AS (SELECT *, list_position(['Unknown', 'Very High Positive', 'High Positive', 'Low Positive', 'Neutral', 'Low Negative', 'High Negative'], roc_bin)::INT AS code FROM b)
+    SELECT symbol, time, ((code >> 2) & 1)::INT AS "ROC_0", ((code >> 1) & 1)::INT AS "ROC_1", (code & 1)::INT AS "ROC_2" FROM k""")
+def roc_binary(spark, sf_dir):
+    return features.binary_encode(features.rate_of_change(bars_daily(spark, sf_dir), "ma", 10, 20)).select("symbol", "time", "ROC_0", "ROC_1", "ROC_2")
+
+
+@query(f"""WITH bars AS ({BARS_D}), {ROC}, p AS (SELECT *, min(time) OVER (PARTITION BY symbol, roc_bin) AS first FROM b),
+    k AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY first) AS code FROM p)
+    SELECT symbol, time, ((code >> 2) & 1)::INT AS "ROC_0", ((code >> 1) & 1)::INT AS "ROC_1", (code & 1)::INT AS "ROC_2" FROM k""")
+def roc_binary_by_appearance(spark, sf_dir):
+    return features.binary_encode(features.rate_of_change(bars_daily(spark, sf_dir), "ma", 10, 20), mode="appearance").select("symbol", "time", "ROC_0", "ROC_1", "ROC_2")
+
+
+@query(_d("""SELECT symbol, time, (month(time) IN (6, 7, 9, 10))::DOUBLE AS "Month_Category_Bearish", (month(time) IN (1, 2, 3, 4))::DOUBLE AS "Month_Category_Bullish", (month(time) IN (5, 8, 11, 12))::DOUBLE AS "Month_Category_Normal" FROM bars"""))
+def seasonality(spark, sf_dir):
+    df = features.seasonality(prepare.with_date_parts(bars_daily(spark, sf_dir)))
+    return df.select("symbol", "time", *(c for c in df.columns if c.startswith("Month_Category")))
+
+
+@query(_d("SELECT symbol, time, round(sin((isodow(time) - 1) * 2 * pi() / 7), 6) AS sin_date, round(cos((isodow(time) - 1) * 2 * pi() / 7), 6) AS cos_date FROM bars"))
+def cyclic_weekday(spark, sf_dir):
+    return rounded(prepare.with_cyclic_weekday(bars_daily(spark, sf_dir)), "sin_date", "cos_date", to=6).select("symbol", "time", "sin_date", "cos_date")
+
+
+PLACED = "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS total FROM bars"
+SPLIT3 = f"SELECT *, CASE WHEN pos < floor(total * 0.7::DOUBLE) THEN 'train' WHEN pos < floor(total * (0.7::DOUBLE + 0.2::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM ({PLACED})"
+
+
+@query(_d(f"SELECT symbol, time, split FROM ({SPLIT3})"))
+def split3(spark, sf_dir):
+    return prepare.split3(bars_daily(spark, sf_dir)).select("symbol", "time", "split")
+
+
+@query(_d(f"SELECT symbol, time, CASE WHEN pos < floor(total * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM ({PLACED})"))
+def split2(spark, sf_dir):
+    return prepare.split2(bars_daily(spark, sf_dir)).select("symbol", "time", "split")
+
+
+SCALED = ["open", "close", "volume"]
+
+
+@query(_d("SELECT symbol, time, split, " + ", ".join(f"round(({c} - avg({c}) FILTER (split = 'train') OVER s) / nullif(stddev_samp({c}) FILTER (split = 'train') OVER s, 0), 4) + 0.0 AS z_{c}" for c in SCALED) + f" FROM ({SPLIT3}) WINDOW s AS (PARTITION BY symbol)"))
+def standardise(spark, sf_dir):
+    names = [f"z_{c}" for c in SCALED]
+    return rounded(prepare.standardise(prepare.split3(bars_daily(spark, sf_dir)), SCALED), *names).select("symbol", "time", "split", *names)
+
+
+@query(_d(f"""SELECT b.symbol, b.pos AS pos, b.close AS label, s.step AS step, a.open AS open, a.close AS close FROM ({PLACED}) b, (SELECT unnest(range(0, 5)) AS step) s
+    JOIN ({PLACED}) a ON a.symbol = b.symbol AND a.pos = b.pos - 5 + s.step WHERE b.pos >= 5 AND b.pos <= b.total - 2"""))
+def sequences(spark, sf_dir):
+    made = prepare.sequences(bars_daily(spark, sf_dir), ["open", "close"])
+    return made.select("symbol", F.col("pos").cast("long").alias("pos"), "label", F.posexplode("window").alias("step", "w")).select("symbol", "pos", "label", F.col("step").cast("long").alias("step"), "w.open", "w.close")
+
+
+@query()
+def preprocess(spark, sf_dir):
+    out = prepare.preprocess(bars_daily(spark, sf_dir).drop("n"))
+    return rounded(out, "open", "high", "low", "close", "volume")
+
+
+@query(_d("SELECT symbol, time, close - (regr_intercept(close, pos) OVER s + regr_slope(close, pos) OVER s * pos) AS r FROM (" + PLACED + ") WINDOW s AS (PARTITION BY symbol)").replace("close - (", "round(close - (", 1).replace("* pos) AS r", "* pos), 4) AS close_detrend", 1))
+def detrend(spark, sf_dir):
+    return rounded(features.detrend(bars_daily(spark, sf_dir)), "close_detrend").select("symbol", "time", "close_detrend")
+
+
+@query(_d("SELECT symbol, time, CASE WHEN close > 0 THEN round(ln(close), 6) END AS close_log FROM bars"))
+def log_close(spark, sf_dir):
+    return rounded(features.log(bars_daily(spark, sf_dir)), "close_log", to=6).select("symbol", "time", "close_log")
+
+
+ACF = f"""x AS (SELECT symbol, pos, close - avg(close) OVER (PARTITION BY symbol) AS x FROM ({PLACED})),
+    r AS (SELECT a.symbol AS symbol, (a.pos - b.pos)::INT AS lag, sum(a.x * b.x) AS s, count(*) AS m FROM x a JOIN x b ON a.symbol = b.symbol AND a.pos - b.pos BETWEEN 0 AND 10 GROUP BY ALL),
+    z AS (SELECT r.symbol, r.lag, r.s / o.s AS acf, o.m AS n FROM r JOIN r o ON r.symbol = o.symbol AND o.lag = 0)"""
+
+
+@query(f"""WITH bars AS ({BARS_D}), {ACF}, e AS (SELECT *, CASE WHEN lag = 0 THEN 0 ELSE 1.959963984540054 * sqrt((1 + 2 * coalesce(sum(acf * acf) FILTER (lag > 0) OVER (PARTITION BY symbol ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) END AS d FROM z)
+    SELECT symbol, lag, round(acf, 6) AS acf, round(acf - d, 6) AS low, round(acf + d, 6) AS high FROM e""")
+def acf(spark, sf_dir):
+    return rounded(stats.acf(bars_daily(spark, sf_dir), 10), "acf", "low", "high", to=6)
+
+
+@query()
+def pacf(spark, sf_dir):
+    return rounded(stats.pacf(bars_daily(spark, sf_dir), 10), "pacf", "low", "high", to=6)
+
+
+def _monthly(spark, sf_dir) -> DataFrame:
+    months = profile.resample_months(bars_daily(spark, sf_dir))
+    return months.select("symbol", F.col("month_end").cast("timestamp_ntz").alias("time"), F.col("mean").alias("close"))
+
+
+MONTHS = f"bars AS ({BARS_D}), m AS (SELECT symbol, last_day(time) AS t, avg(close) AS x FROM bars GROUP BY ALL), p AS (SELECT symbol, x, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM m)"
+DFT = "f AS (SELECT symbol, k, any_value(n) AS n, sum(x * cos(2 * pi() * k * i / n)) AS re, -sum(x * sin(2 * pi() * k * i / n)) AS im FROM p, (SELECT unnest(range(0, 2000)) AS k) WHERE k <= n // 2 GROUP BY symbol, k)"
+
+
+@query(f"WITH {MONTHS}, {DFT} SELECT symbol, k::BIGINT AS k, round(k / n, 6) AS freq, round(sqrt(re * re + im * im) / n, 3) AS amplitude FROM f")
+def rfft(spark, sf_dir):
+    """Amplitudes over the number of months, so that rounding is alike for all."""
+    df = _monthly(spark, sf_dir)
+    n = df.where("close is not null").groupBy("symbol").agg(F.count("*").alias("n"))
+    out = spectral.rfft(df).join(n, "symbol").withColumn("amplitude", F.col("amplitude") / F.col("n"))
+    return rounded(rounded(out, "freq", to=6), "amplitude", to=3).select("symbol", "k", "freq", "amplitude")
+
+
+def _peaks_sql(where: str) -> str:
+    return f"""WITH {MONTHS}, {DFT}, a AS (SELECT symbol, k, k / n AS freq, sqrt(re * re + im * im) AS v FROM f WHERE {where}),
+    q AS (SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS after FROM a WINDOW w AS (PARTITION BY symbol ORDER BY k))
+    SELECT symbol, k::BIGINT AS k, round(freq, 6) AS freq, round(1 / freq, 6) AS period FROM q WHERE v > before AND v > after"""
+
+
+@query(_peaks_sql("true"))
+def spectrum_peaks(spark, sf_dir):
+    out = spectral.with_period(spectral.peaks(spectral.rfft(_monthly(spark, sf_dir))))
+    return rounded(out, "freq", "period", to=6).select("symbol", "k", "freq", "period")
+
+
+@query(_peaks_sql("k / n BETWEEN 1 / 24 AND 1 / 3"))
+def band_peaks(spark, sf_dir):
+    out = spectral.band_peaks(spectral.rfft(_monthly(spark, sf_dir)), 1 / 24, 1 / 3)
+    return rounded(out, "freq", "period", to=6).select("symbol", "k", "freq", "period")
+
+
+@query()
+def monthly_cycles(spark, sf_dir):
+    out = spectral.monthly_cycles(spectral.with_period(spectral.peaks(spectral.rfft(bars_daily(spark, sf_dir)))))
+    return rounded(out, "freq", "period", to=6).select("symbol", "k", "freq", "period")
+
+
+@query()
+def fft_table(spark, sf_dir):
+    return rounded(spectral.fft_table(_monthly(spark, sf_dir)), "re", "im", "absolute", "angle", to=3)
+
+
+@query(f"""WITH {MONTHS}, g AS (SELECT symbol, k, any_value(n) AS n, sum(x * cos(2 * pi() * k * i / n)) AS re, -sum(x * sin(2 * pi() * k * i / n)) AS im FROM p, (SELECT unnest(range(0, 2000)) AS k) WHERE k < n AND (k < 5 OR k >= n - 5) GROUP BY symbol, k),
+    r AS (SELECT p.symbol, p.i, any_value(p.x) AS x, sum(re * cos(2 * pi() * k * p.i / p.n) - im * sin(2 * pi() * k * p.i / p.n)) / any_value(p.n) AS v FROM p JOIN g ON p.symbol = g.symbol GROUP BY p.symbol, p.i)
+    SELECT symbol, i::BIGINT AS pos, round(v, 3) AS rec_5 FROM r""")
+def fft_reconstruct(spark, sf_dir):
+    out = spectral.reconstruct(_monthly(spark, sf_dir), [5])
+    pos = (F.row_number().over(Window.partitionBy("symbol").orderBy("time")) - 1).cast("long")
+    return rounded(out, "rec_5", to=3).select("symbol", pos.alias("pos"), "rec_5")
+
+
+@query()
+def adf(spark, sf_dir):
+    df = features.diff(bars_daily(spark, sf_dir))
+    return stats.stationarity(df, "adf").unionByName(stats.stationarity(df, "adf", "close_diff"))
+
+
+@query()
+def kpss(spark, sf_dir):
+    df = features.diff(bars_daily(spark, sf_dir))
+    return stats.stationarity(df, "kpss").unionByName(stats.stationarity(df, "kpss", "close_diff"))
+
+
+FRACTION = stats.fractional_weights(0.4, 20)
+
+
+@query(_d("SELECT symbol, time, round(" + " + ".join(f"({w!r})::DOUBLE * " + (f"lag(close, {k}) OVER w" if k else "close") for k, w in enumerate(FRACTION)) + ", 4) AS fracdiff FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time)"))
+def fractional_difference(spark, sf_dir):
+    return rounded(stats.fractional_difference(bars_daily(spark, sf_dir), 0.4), "fracdiff").select("symbol", "time", "fracdiff")
+
+
+__all__ = ["BARS", "ORACLE_SQL", "QUERIES", "X", "query"]
