@@ -8,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalar as X
-from ..operators import clean, features, prepare, profile, spectral, stats
-from ..series import BARS, SeriesSpec
+from ..operators import clean, features, forecast, prepare, profile, spectral, stats
+from ..series import SeriesSpec
 from ..sources.files import read_table
 from .tables import BARS_D, BARS_H, BARS_HS, bars_daily, bars_hourly, bars_hourly_spined, ticks
 
@@ -61,9 +60,9 @@ def bars_by_hour(spark, sf_dir):
     return rounded(bars_hourly(spark, sf_dir), "volume", to=2)
 
 
-@query(_hs(f"SELECT {ROUNDED_BARS} FROM bars"))
+@query(_hs(f"SELECT {ROUNDED_BARS.replace(', n', ', coalesce(n, 0) AS n')} FROM bars"))
 def bars_by_hour_spined(spark, sf_dir):
-    return rounded(bars_hourly_spined(spark, sf_dir), "volume", to=2)
+    return rounded(bars_hourly_spined(spark, sf_dir), "volume", to=2).fillna(0, ["n"])
 
 
 @query(_d("SELECT symbol, time, day(time)::INT AS day, month(time)::INT AS month, year(time)::INT AS year FROM bars"))
@@ -81,11 +80,11 @@ def year_month_mean(spark, sf_dir):
     return rounded(profile.year_month_means(bars_daily(spark, sf_dir)), "mean")
 
 
-@query(_d("""SELECT symbol, month_end::DATE AS month_end, round(mean, 4) AS mean FROM (SELECT DISTINCT symbol FROM bars) CROSS JOIN
+@query(_d("""SELECT symbol, month_end::TIMESTAMP AS month_end, round(mean, 6) AS mean FROM (SELECT DISTINCT symbol FROM bars) CROSS JOIN
     (SELECT last_day(unnest(generate_series(date_trunc('month', min(time)), date_trunc('month', max(time)), INTERVAL 1 MONTH))::DATE) AS month_end FROM bars)
     LEFT JOIN (SELECT symbol, last_day(time) AS month_end, avg(close) AS mean FROM bars GROUP BY ALL) USING (symbol, month_end)"""))
 def resample_month(spark, sf_dir):
-    return rounded(profile.resample_months(bars_daily(spark, sf_dir)), "mean")
+    return rounded(profile.resample_months(bars_daily(spark, sf_dir)), "mean", to=6).withColumn("month_end", F.col("month_end").cast("timestamp_ntz"))
 
 
 PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -233,8 +232,8 @@ def ema_multi(spark, sf_dir):
 
 @query()
 def tick_ema(spark, sf_dir):
-    """Over single ticks, by composing the steps of hourly buckets."""
-    out = features.ema_in_chunks(ticks(spark, sf_dir), 20, "value", F.date_trunc("hour", "time"), TICKS)
+    """Over single ticks, by composing the steps of daily buckets."""
+    out = features.ema_in_chunks(ticks(spark, sf_dir), 20, "value", F.date_trunc("day", "time"), TICKS)
     return rounded(out, "ema_20").select("symbol", "time", "event_id", "ema_20")
 
 
@@ -412,4 +411,74 @@ def fractional_difference(spark, sf_dir):
     return rounded(stats.fractional_difference(bars_daily(spark, sf_dir), 0.4), "fracdiff").select("symbol", "time", "fracdiff")
 
 
-__all__ = ["BARS", "ORACLE_SQL", "QUERIES", "X", "query"]
+NAIVE = f"SELECT symbol, time, close AS truth, lag(close) OVER {W} AS predicted FROM bars"
+
+
+def _scores_sql(source: str, keys: str) -> str:
+    return f"""SELECT {keys}, avg((truth - predicted) ^ 2) AS mse, sqrt(avg((truth - predicted) ^ 2)) AS rmse, avg(abs(truth - predicted)) AS mae,
+        avg(abs(truth - predicted) / greatest(abs(truth), 2.220446049250313e-16::DOUBLE)) AS mape FROM ({source}) WHERE truth IS NOT NULL AND predicted IS NOT NULL GROUP BY {keys}"""
+
+
+@query(_d(f"SELECT symbol, round(mae, 4) AS mae FROM ({_scores_sql(NAIVE, 'symbol')})"))
+def baseline_mae(spark, sf_dir):
+    """In the units of the price."""
+    rows = forecast.naive(bars_daily(spark, sf_dir)).withColumnRenamed("close", "truth")
+    return rounded(forecast.score(rows, ["symbol"]).select("symbol", "mae"), "mae")
+
+
+SMOOTHED = f"""SELECT symbol, time, 'naive' AS model, close AS truth, lag(close) OVER {W} AS predicted FROM bars
+    UNION ALL SELECT symbol, time, 'mean_10' AS model, close AS truth, avg(close) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS predicted FROM bars"""
+
+
+def _two_models(spark, sf_dir) -> DataFrame:
+    df = bars_daily(spark, sf_dir)
+    w = Window.partitionBy("symbol").orderBy("time")
+    made = df.select("symbol", "time", F.col("close").alias("truth"), F.lag("close", 1).over(w).alias("naive"), F.avg("close").over(w.rowsBetween(-10, -1)).alias("mean_10"))
+    return made.unpivot(["symbol", "time", "truth"], ["naive", "mean_10"], "model", "predicted")
+
+
+@query(_d(f"SELECT symbol, model, round(mse, 1) AS mse, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(mape, 6) AS mape FROM ({_scores_sql(SMOOTHED, 'symbol, model')})"))
+def metrics(spark, sf_dir):
+    return rounded(rounded(rounded(forecast.score(_two_models(spark, sf_dir), ["symbol", "model"]), "mse", to=1), "rmse", "mae"), "mape", to=6)
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(_d("SELECT model, " + ", ".join(f"""round(max(mae) FILTER (symbol = '{p}'), 4) AS "{p}\"""" for p in PRIORITIES) + f" FROM ({_scores_sql(SMOOTHED, 'symbol, model')}) GROUP BY model"))
+def metrics_pivot(spark, sf_dir):
+    pivoted = forecast.pivot_scores(forecast.score(_two_models(spark, sf_dir), ["symbol", "model"]), PRIORITIES)
+    return pivoted.select("model", *(F.round(f"`{p}`", 4).alias(p) for p in PRIORITIES))
+
+
+INPUTS = ["open", "high", "low", "close", "volume"]
+
+
+@query()
+def arima(spark, sf_dir):
+    return rounded(forecast.arima(features.diff(bars_daily(spark, sf_dir))), "predicted", "low", "high", "mean", "phi", "theta")
+
+
+@query()
+def linear_forecast(spark, sf_dir):
+    windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS)
+    return rounded(forecast.predict(windows, forecast.fit_linear(windows)), "truth", "predicted")
+
+
+@query()
+def lstm_forecast(spark, sf_dir):
+    windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS).persist()
+    return rounded(forecast.predict(windows, forecast.fit_lstm(windows, epochs=8)), "truth", "predicted", to=3)
+
+
+@query()
+def transfer(spark, sf_dir):
+    """The first symbol's model on the others' test windows."""
+    windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS)
+    rows = forecast.predict(windows, forecast.fit_linear(windows), source=PRIORITIES[0])
+    return rounded(forecast.score(rows, ["symbol", "model"]), "mse", "rmse", "mae", "mape", to=3)
+
+
+@query()
+def forecast_grid(spark, sf_dir):
+    return rounded(forecast.grid(bars_daily(spark, sf_dir), INPUTS, epochs=8), "mse", "rmse", "mae", "mape", to=3)
