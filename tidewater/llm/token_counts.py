@@ -16,6 +16,7 @@ white space (their last character goes with what follows), the contractions 're,
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ def byte_alphabet() -> dict[str, int]:
 class PrefixCounter:
     """Token counts at every character prefix of a text, for a byte-level BPE in a tokenizer JSON file."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of = byte_alphabet()
@@ -108,7 +109,7 @@ class PrefixCounter:
             kept = [counts[i + 1] for i in range(len(data)) if i + 1 == len(data) or data[i + 1] & 0xC0 != 0x80]
         if piece in LONG_CONTRACTIONS:
             kept[1] = 2
-        return np.array(kept, dtype=np.int32).tobytes()
+        return array("i", kept).tobytes()
 
     def _ordinary(self, text: str) -> np.ndarray:
         """Counts after each character of a text without special tokens."""
