@@ -268,8 +268,17 @@ def _residuals(y: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def fit_arima(y: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float, np.ndarray]:
-    """((mean, phi, theta), residual variance, residuals) of ARIMA(1,0,1) by conditional least squares (Gauss-Newton)."""
-    p, scale = np.array([y.mean(), 0.1, -0.1]), max(y.std(), 1e-12)
+    """((mean, phi, theta), residual variance, residuals) of ARIMA(1,0,1) by conditional least squares.
+
+    Begins at Hannan and Rissanen's estimate (a regression on the value and the residual of a
+    long autoregression before), goes on by Gauss-Newton steps.
+    """
+    z, scale = y - y.mean(), max(y.std(), 1e-12)
+    order = min(10, len(y) // 4)
+    past = np.column_stack([z[order - i : len(z) - i] for i in range(1, order + 1)])
+    shocks = z[order:] - past @ np.linalg.lstsq(past, z[order:], rcond=None)[0]
+    begin = np.linalg.lstsq(np.column_stack([z[order:-1], shocks[:-1]]), z[order + 1 :], rcond=None)[0]
+    p = np.array([y.mean(), *np.clip(begin, -0.95, 0.95)])
     step = np.array([1e-5 * scale, 1e-6, 1e-6])
     e = _residuals(y, p)
     for _ in range(rounds):
