@@ -9,7 +9,7 @@ from .common import cut
 
 
 def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component) of every node that links has; component is its smallest reachable node. links: a long, b long.
+    """(node, component) of every linked node but the smallest of each component, which is what component names. links: a long, b long.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each node tells its
     larger, then its smaller neighbours of the smallest id it knows, until every link leads to
