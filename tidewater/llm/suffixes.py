@@ -144,12 +144,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     w = min_words - k + 1
     texts = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     suffixes = written(sampled_suffixes(texts, k, w), "suffixes")
-    repeated = suffixes.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
+    # Written, so both sides of the join below are plain exchanges, which Spark splits where a passage is everywhere.
+    repeated = written(suffixes.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "heads")
     runs = suffixes.join(repeated, "head").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     windows = written(extended_windows(texts.join(runs, "doc_id"), min_words, k), "windows")
     firsts = windows.groupBy("win").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    firsts = written(firsts, "firsts")  # so both sides of the join are plain exchanges, which Spark splits where a passage is everywhere
-    return windows.join(firsts, "win").where("doc_id <> first_doc_id or inner").select("doc_id", "pos", "first_doc_id")
+    return windows.join(written(firsts, "firsts"), "win").where("doc_id <> first_doc_id or inner").select("doc_id", "pos", "first_doc_id")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
