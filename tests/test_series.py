@@ -247,3 +247,14 @@ def test_preprocess_is_independent_of_row_order(spark):
     a, b = (prepare.preprocess(series(spark, values, shuffle=s), columns=["symbol", "time", "close", "day", "month"]) for s in (True, False))
     assert a.orderBy("time").collect() == b.orderBy("time").collect()
     assert {"ROC_0", "ROC_1", "ROC_2", "Month_Category_Normal"} <= set(a.columns)
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(8)
+    columns = {"a": [rng.choice([1.0, 2.0, None, 1e9, -5.5, rng.random()]) for _ in range(500)], "b": [3.0] * 500, "c": [None] * 500, "d": [rng.random() ** 9 for _ in range(500)], "e": [1e-300 * i for i in range(500)]}
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    got = profile.quantiles(df, list(columns), [0.0, 0.1, 0.5, 0.77, 1.0], buckets=4)
+    for c, values in columns.items():
+        want = pd.Series(values, dtype="float64").quantile([0.0, 0.1, 0.5, 0.77, 1.0])
+        near(got[c], [None if pd.isna(v) else v for v in want])
+    assert profile.quantiles(df.limit(0), ["a"], [0.5]) == {"a": [None]}
