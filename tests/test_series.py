@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalar as X
-from tidewater.operators import clean, features, forecast, prepare, profile, spectral, stats
+from tidewater.operators import clean, features, forecast, networks, prepare, profile, spectral, stats
 from tidewater.series import SeriesSpec, bars, spined
 
 N = None
@@ -213,9 +213,11 @@ def test_scores_and_naive(spark):
     near([row["mse"], row["mae"], row["mape"]], [2.5, 1.5, 0.5])
 
 
-def test_lstm_gradient():
-    net, rng = forecast.LSTM(4, 3, 5), np.random.default_rng(0)
-    p, x, y = net.initial(1), rng.normal(size=(6, 12)), rng.normal(size=6)
+@pytest.mark.parametrize("name", sorted(networks.NETWORKS))
+def test_network_gradients(name):
+    net, rng = networks.Network(name, 5, 3, 4), np.random.default_rng(0)
+    p = net.initial(1) + rng.normal(0, 0.05, len(net.initial(1)))
+    x, y = rng.normal(size=(6, 15)), rng.normal(size=6)
     _, g = net.gradient(p, x, y)
     for i in rng.choice(len(p), 25, replace=False):
         e = np.zeros_like(p)
@@ -224,15 +226,26 @@ def test_lstm_gradient():
         assert abs(numeric - g[i]) < 1e-4 * max(1, abs(numeric))
 
 
+def test_parameter_count():
+    assert len(networks.Network("lstm", 5, 12).initial(0)) == 1856 + 2112 + 17
+
+
 def test_forecasters_learn(spark):
     df = series(spark, [math.sin(i / 5) * 10 + 50 for i in range(300)])
     windows = forecast.model_windows(df, ["close"]).cache()
     assert forecast.score(forecast.predict(windows, forecast.fit_linear(windows)), ["model"]).first()["mae"] < 0.02
-    fitted = forecast.fit_lstm(windows, features=3, epochs=12)
+    fitted = forecast.fit_network(windows, "lstm", features=3, epochs=12)
     assert fitted.history[-1][3] < 0.5 * fitted.history[0][3]
     assert forecast.training_history(spark, fitted).count() == len(fitted.history)
 
 
+def test_sums_do_not_hang_on_partitions(spark):
+    df = series(spark, [math.sin(i / 5) * 10 + 50 for i in range(100)])
+    windows = forecast.model_windows(df, ["close"])
+    one, many = (forecast.sums_by_symbol(windows.repartition(n), lambda s, p, x, y: np.concatenate([x.sum(axis=0), np.full(9000, y.sum())])) for n in (1, 5))
+    assert one.keys() == many.keys() and all(np.allclose(one[k], many[k]) for k in one)
+
+
 def test_arima_recovers_parameters():
     rng = np.random.default_rng(2)
     e, y = rng.normal(size=3000), [0.0]

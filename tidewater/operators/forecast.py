@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from ..series import BARS, SeriesSpec
 from . import prepare
+from .networks import Network
 
+BLOCK = 4096
 SMALLEST = 2.220446049250313e-16  # truth nearer to zero counts as this in MAPE
 
 
@@ -55,17 +57,29 @@ def model_windows(df: DataFrame, columns: list[str], label: str = "close", steps
 
 
 def sums_by_symbol(windows: DataFrame, kernel: Callable[[str, str, np.ndarray, np.ndarray], np.ndarray], spec: SeriesSpec = BARS) -> dict:
-    """kernel(symbol, split, x, y) of each task's windows, summed for each symbol and split: {(symbol, split): array}."""
+    """kernel(symbol, split, x, y) of each task's windows, summed for each symbol and split: {(symbol, split): array}.
+
+    Long arrays are summed in blocks, each in a group of one block from each task.
+    """
 
     def run(frames):
+        sums: dict = {}
         for frame in frames:
-            for (symbol, split), part in frame.groupby([spec.symbol, "split"]):
-                yield pd.DataFrame({spec.symbol: [symbol], "split": [split], "v": [kernel(symbol, split, np.stack(part["x"].to_numpy()).astype(np.float64), part["y"].to_numpy(dtype=np.float64))]})
+            for key, part in frame.groupby([spec.symbol, "split"]):
+                v = kernel(*key, np.stack(part["x"].to_numpy()).astype(np.float64), part["y"].to_numpy(dtype=np.float64))
+                sums[key] = v if key not in sums else sums[key] + v
+        for (symbol, split), v in sums.items():
+            blocks = [v[i : i + BLOCK] for i in range(0, len(v), BLOCK)]
+            yield pd.DataFrame({spec.symbol: symbol, "split": split, "block": range(len(blocks)), "v": blocks})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return group.iloc[:1].assign(v=[np.sum(np.stack(group["v"].to_numpy()), axis=0)])
 
     kind = dict(windows.dtypes)[spec.symbol]
-    parts = windows.select(spec.symbol, "split", "x", "y").mapInPandas(run, f"{spec.symbol} {kind}, split string, v array<double>")
-    rows = parts.select(spec.symbol, "split", F.posexplode("v").alias("i", "v")).groupBy(spec.symbol, "split", "i").agg(F.sum("v").alias("v")).toPandas()
-    return {key: part.sort_values("i")["v"].to_numpy() for key, part in rows.groupby([spec.symbol, "split"])}
+    schema = f"{spec.symbol} {kind}, split string, block int, v array<double>"
+    parts = windows.select(spec.symbol, "split", "x", "y").mapInPandas(run, schema)
+    rows = parts.groupBy(spec.symbol, "split", "block").applyInPandas(add, schema).toPandas()
+    return {key: np.concatenate(part.sort_values("block")["v"].to_list()) for key, part in rows.groupby([spec.symbol, "split"])}
 
 
 @dataclass
@@ -97,91 +111,13 @@ def fit_linear(windows: DataFrame, ridge: float = 1e-3, spec: SeriesSpec = BARS)
     return Fitted("linear", params, _linear)
 
 
-class LSTM:
-    """Two LSTM layers with leaky-ReLU cells and a dense output, forward and backward over a batch."""
-
-    def __init__(self, steps: int, features: int, units: int = 16, slope: float = 0.2):
-        self.steps, self.features, self.units, self.slope = steps, features, units, slope
-        self.shapes = [(features + units, 4 * units), (4 * units,), (2 * units, 4 * units), (4 * units,), (units,), (1,)]
-
-    def initial(self, seed: int) -> np.ndarray:
-        rng = np.random.default_rng(seed)
-        parts = [rng.normal(0, math.sqrt(1 / s[0]), s) if len(s) > 1 else np.zeros(s) for s in self.shapes]
-        for i in (1, 3):
-            parts[i][self.units : 2 * self.units] = 1.0  # forget gates begin open
-        parts[4] = rng.normal(0, 0.1, self.shapes[4])
-        return np.concatenate([p.ravel() for p in parts])
-
-    def split(self, params: np.ndarray) -> list[np.ndarray]:
-        ends = np.cumsum([int(np.prod(s)) for s in self.shapes])
-        return [p.reshape(s) for p, s in zip(np.split(params, ends[:-1]), self.shapes, strict=True)]
-
-    def act(self, x):
-        return np.where(x > 0, x, self.slope * x)
-
-    def slope_at(self, x):
-        return np.where(x > 0, 1.0, self.slope)
-
-    def layer(self, w, b, inputs):
-        u, n = self.units, len(inputs[0])
-        h, c, kept = np.zeros((n, u)), np.zeros((n, u)), []
-        for x in inputs:
-            z = np.concatenate([x, h], axis=1)
-            gates = z @ w + b
-            i, f, o = (1 / (1 + np.exp(-np.clip(gates[:, k * u : (k + 1) * u], -40, 40))) for k in range(3))
-            g = self.act(gates[:, 3 * u :])
-            before, c = c, f * c + i * g
-            h = o * self.act(c)
-            kept.append((z, i, f, o, g, gates[:, 3 * u :], before, c))
-        return kept
-
-    def outputs(self, kept):
-        return [o * self.act(c) for (_, _, _, o, _, _, _, c) in kept]
-
-    def backward(self, w, kept, d_out):
-        u = self.units
-        dw, db, d_in = np.zeros_like(w), np.zeros(w.shape[1]), [None] * len(kept)
-        dh, dc = np.zeros_like(kept[0][7]), np.zeros_like(kept[0][7])
-        for t in reversed(range(len(kept))):
-            z, i, f, o, g, raw, before, c = kept[t]
-            dh = dh + d_out[t]
-            dc = dc + dh * o * self.slope_at(c)
-            d = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * self.act(c) * o * (1 - o), dc * i * self.slope_at(raw)], axis=1)
-            dw, db = dw + z.T @ d, db + d.sum(axis=0)
-            dz = d @ w.T
-            d_in[t], dh, dc = dz[:, : z.shape[1] - u], dz[:, z.shape[1] - u :], dc * f
-        return dw, db, d_in
-
-    def forward(self, params, x):
-        w1, b1, w2, b2, wo, bo = self.split(params)
-        steps = list(x.reshape(len(x), self.steps, self.features).transpose(1, 0, 2))
-        first = self.layer(w1, b1, steps)
-        second = self.layer(w2, b2, self.outputs(first))
-        last = self.outputs(second)[-1]
-        return last @ wo + bo[0], first, second, last
-
-    def __call__(self, params, x):
-        return self.forward(params, x)[0]
-
-    def gradient(self, params: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-        """Sum of squared errors, and its gradient."""
-        _, _, w2, _, wo, _ = self.split(params)
-        out, first, second, last = self.forward(params, x)
-        d = 2 * (out - y)
-        d_second = [np.zeros((len(x), self.units)) for _ in second]
-        d_second[-1] = d[:, None] * wo
-        dw2, db2, d_first = self.backward(w2, second, d_second)
-        dw1, db1, _ = self.backward(self.split(params)[0], first, d_first)
-        return float(((out - y) ** 2).sum()), np.concatenate([dw1.ravel(), db1, dw2.ravel(), db2, last.T @ d, [d.sum()]])
-
-
-def fit_lstm(windows: DataFrame, steps: int = 5, features: int = 7, epochs: int = 40, rate: float = 0.02, patience: int = 10, units: int = 16, seed: int = 7, spec: SeriesSpec = BARS) -> Fitted:
-    """An LSTM for each symbol, all trained together: a job for each epoch, Adam steps on summed gradients.
+def fit_network(windows: DataFrame, name: str = "lstm", steps: int = 5, features: int = 7, epochs: int = 100, rate: float = 0.02, patience: int = 10, units: int | None = None, seed: int = 7, spec: SeriesSpec = BARS) -> Fitted:
+    """A network (of networks.NETWORKS) for each symbol, all trained together: a job for each epoch, Adam steps on summed gradients.
 
     Stops when no symbol's validation loss has fallen for patience epochs; a symbol's rate is
     halved (down to 1e-5) after half as many; the best parameters are kept.
     """
-    net = LSTM(steps, features, units)
+    net = Network(name, steps, features, units)
     symbols = [r[0] for r in windows.select(spec.symbol).distinct().collect()]
     params = {s: net.initial(seed) for s in symbols}
     moments = {s: (np.zeros_like(p), np.zeros_like(p)) for s, p in params.items()}
@@ -203,7 +139,7 @@ def fit_lstm(windows: DataFrame, steps: int = 5, features: int = 7, epochs: int
                 continue
             n, loss, gradient = sums[s, "train"][0], sums[s, "train"][1], sums[s, "train"][2:]
             val_n, val = sums.get((s, "val"), (n, loss))[:2]
-            history.append((s, "lstm", epoch, float(loss / n), float(val / val_n), rates[s]))
+            history.append((s, name, epoch, float(loss / n), float(val / val_n), rates[s]))
             if val / val_n < best[s][0]:
                 best[s] = (val / val_n, now[s], epoch)
             elif (epoch - best[s][2]) % max(1, patience // 2) == 0:
@@ -215,7 +151,7 @@ def fit_lstm(windows: DataFrame, steps: int = 5, features: int = 7, epochs: int
             params[s] = params[s] - rates[s] * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-7)
         if all(epoch - b[2] >= patience for b in best.values()):
             break
-    return Fitted("lstm", {s: b[1] for s, b in best.items()}, net, history)
+    return Fitted(name, {s: b[1] for s, b in best.items()}, net, history)
 
 
 def predict(windows: DataFrame, fitted: Fitted, source: str | None = None, spec: SeriesSpec = BARS) -> DataFrame:
@@ -241,10 +177,10 @@ def naive_scaled(df: DataFrame, column: str = "close", spec: SeriesSpec = BARS)
     return rows.select(spec.symbol, spec.time, F.lit("naive").alias("model"), F.col(f"z_{column}").alias("truth"), "predicted")
 
 
-def grid(df: DataFrame, columns: list[str], epochs: int = 15, spec: SeriesSpec = BARS) -> DataFrame:
-    """Scores of every symbol and model: naive, linear, lstm. All in scaled units."""
+def grid(df: DataFrame, columns: list[str], networks: dict[str, int | None], epochs: int = 100, spec: SeriesSpec = BARS) -> DataFrame:
+    """Scores of every symbol and model: naive, linear, and the networks by name, with their units. All in scaled units."""
     windows = model_windows(df, columns, spec=spec).persist()
-    runs = [fit_linear(windows, spec=spec), fit_lstm(windows, features=len(columns) + 2, epochs=epochs, spec=spec)]
+    runs = [fit_linear(windows, spec=spec), *(fit_network(windows, name, features=len(columns) + 2, epochs=epochs, units=units, spec=spec) for name, units in networks.items())]
     rows = naive_scaled(df, spec=spec)
     for fitted in runs:
         rows = rows.unionByName(predict(windows, fitted, spec=spec))
@@ -323,4 +259,4 @@ def arima(df: DataFrame, column: str = "close_diff", train: float = 0.8, spec: S
     return rows.groupBy(spec.symbol).applyInPandas(run, f"{spec.symbol} {kinds[spec.symbol]}, {spec.time} {kinds[spec.time]}, truth double, predicted double, low double, high double, mean double, phi double, theta double")
 
 
-__all__ = ["Fitted", "LSTM", "arima", "fit_arima", "fit_linear", "fit_lstm", "grid", "model_windows", "naive", "naive_scaled", "pivot_scores", "predict", "score", "sums_by_symbol", "training_history"]
+__all__ = ["Fitted", "Network", "arima", "fit_arima", "fit_linear", "fit_network", "grid", "model_windows", "naive", "naive_scaled", "pivot_scores", "predict", "score", "sums_by_symbol", "training_history"]

@@ -1,0 +1,253 @@
+"""Small networks over windows, as functions of a flat parameter vector, with gradients by a tape.
+
+These are the helpers that tasks call on their own windows; forecast.fit_network sums what
+they give. Dropout and batch normalisation are left out, since sums over tasks must not hang
+on how rows are dealt.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+import numpy as np
+
+
+class Node:
+    """An array and how it came about."""
+
+    __array_priority__ = 1000
+
+    def __init__(self, value, parents=()):
+        self.value, self.parents, self.grad = np.asarray(value, dtype=np.float64), parents, None
+
+    def __add__(self, other):
+        other = node(other)
+        return Node(self.value + other.value, [(self, lambda g: fit(g, self.value.shape)), (other, lambda g: fit(g, other.value.shape))])
+
+    __radd__ = __add__
+
+    def __mul__(self, other):
+        other = node(other)
+        return Node(self.value * other.value, [(self, lambda g: fit(g * other.value, self.value.shape)), (other, lambda g: fit(g * self.value, other.value.shape))])
+
+    __rmul__ = __mul__
+
+    def __sub__(self, other):
+        return self + node(other) * -1.0
+
+    def __matmul__(self, other):
+        return Node(self.value @ other.value, [(self, lambda g: fit(g @ other.value.swapaxes(-1, -2), self.value.shape)), (other, lambda g: fit(self.value.swapaxes(-1, -2) @ g, other.value.shape))])
+
+    def __getitem__(self, key):
+        def back(g):
+            out = np.zeros_like(self.value)
+            out[key] = g
+            return out
+
+        return Node(self.value[key], [(self, back)])
+
+    def apply(self, value, slope):
+        return Node(value, [(self, lambda g: g * slope)])
+
+    def leaky(self, slope=0.2):
+        return self.apply(np.where(self.value > 0, self.value, slope * self.value), np.where(self.value > 0, 1.0, slope))
+
+    def relu(self):
+        return self.leaky(0.0)
+
+    def sigmoid(self):
+        s = 1 / (1 + np.exp(-np.clip(self.value, -40, 40)))
+        return self.apply(s, s * (1 - s))
+
+    def power(self, p):
+        return self.apply(self.value**p, p * self.value ** (p - 1))
+
+    def reshape(self, *shape):
+        return Node(self.value.reshape(shape), [(self, lambda g: g.reshape(self.value.shape))])
+
+    def transpose(self, *axes):
+        return Node(self.value.transpose(axes), [(self, lambda g: g.transpose(np.argsort(axes)))])
+
+    def mean(self, axis):
+        n = self.value.shape[axis]
+        return Node(self.value.mean(axis=axis, keepdims=True), [(self, lambda g: np.broadcast_to(g / n, self.value.shape))])
+
+    def softmax(self):
+        e = np.exp(self.value - self.value.max(axis=-1, keepdims=True))
+        s = e / e.sum(axis=-1, keepdims=True)
+        return Node(s, [(self, lambda g: s * (g - (g * s).sum(axis=-1, keepdims=True)))])
+
+    def maximum(self, other):
+        left = self.value >= other.value
+        return Node(np.where(left, self.value, other.value), [(self, lambda g: g * left), (other, lambda g: g * ~left)])
+
+    def backward(self, grad) -> None:
+        order, seen = [], set()
+
+        def visit(n):
+            if id(n) not in seen:
+                seen.add(id(n))
+                for p, _ in n.parents:
+                    visit(p)
+                order.append(n)
+
+        visit(self)
+        self.grad = grad
+        for n in reversed(order):
+            for p, back in n.parents if n.grad is not None else ():
+                g = back(n.grad)
+                p.grad = g if p.grad is None else p.grad + g
+
+
+def node(x) -> Node:
+    return x if isinstance(x, Node) else Node(x)
+
+
+def fit(g: np.ndarray, shape: tuple) -> np.ndarray:
+    """A gradient summed down to the shape that was broadcast."""
+    while g.ndim > len(shape):
+        g = g.sum(axis=0)
+    for i, n in enumerate(shape):
+        if n == 1 and g.shape[i] != 1:
+            g = g.sum(axis=i, keepdims=True)
+    return g
+
+
+def concat(parts: list[Node], axis: int) -> Node:
+    ends = np.cumsum([0] + [p.value.shape[axis] for p in parts])
+
+    def back(i):
+        return lambda g: np.take(g, np.arange(ends[i], ends[i + 1]), axis=axis)
+
+    return Node(np.concatenate([p.value for p in parts], axis=axis), [(p, back(i)) for i, p in enumerate(parts)])
+
+
+class Params:
+    """Hands out slices of a flat vector in the order they are asked for; without one, draws them."""
+
+    def __init__(self, flat: np.ndarray | None = None, seed: int = 0):
+        self.flat, self.at, self.rng, self.nodes = flat, 0, np.random.default_rng(seed), []
+
+    def get(self, *shape: int, fill: float | None = None) -> Node:
+        size = math.prod(shape)
+        if self.flat is not None:
+            value = self.flat[self.at : self.at + size].reshape(shape)
+        elif fill is not None:
+            value = np.full(shape, fill)
+        else:
+            value = self.rng.normal(0, math.sqrt(1 / math.prod(shape[:-1])), shape)
+        self.at += size
+        self.nodes.append(Node(value))
+        return self.nodes[-1]
+
+
+def dense(p: Params, x: Node, units: int) -> Node:
+    return x @ p.get(x.value.shape[-1], units) + p.get(units, fill=0.0)
+
+
+def lstm(p: Params, x: Node, units: int, act: Callable = Node.leaky, backwards: bool = False) -> Node:
+    """(rows, steps, features) to (rows, steps, units)."""
+    n, steps, features = x.value.shape
+    w, b = p.get(features + units, 4 * units), concat([p.get(units, fill=0.0), p.get(units, fill=1.0), p.get(2 * units, fill=0.0)], 0)
+    h = c = Node(np.zeros((n, units)))
+    out: list = [None] * steps
+    for t in reversed(range(steps)) if backwards else range(steps):
+        gates = concat([x[:, t, :], h], 1) @ w + b
+        i, f, o = (gates[:, k * units : (k + 1) * units].sigmoid() for k in range(3))
+        c = f * c + i * act(gates[:, 3 * units :])
+        h = o * act(c)
+        out[t] = h.reshape(n, 1, units)
+    return concat(out, 1)
+
+
+def both_ways(p: Params, x: Node, units: int) -> Node:
+    return concat([lstm(p, x, units), lstm(p, x, units, backwards=True)], 2)
+
+
+def conv(p: Params, x: Node, units: int, width: int = 3, same: bool = False) -> Node:
+    n, steps, features = x.value.shape
+    if same:
+        left = (width - 1) // 2
+        x = concat([Node(np.zeros((n, left, features))), x, Node(np.zeros((n, width - 1 - left, features)))], 1)
+    length = x.value.shape[1] - width + 1
+    return dense(p, concat([x[:, k : k + length, :] for k in range(width)], 2), units)
+
+
+def pool(x: Node) -> Node:
+    half = x.value.shape[1] // 2
+    return x[:, 0 : 2 * half : 2, :].maximum(x[:, 1 : 2 * half : 2, :])
+
+
+def norm(p: Params, x: Node) -> Node:
+    centred = x - x.mean(-1)
+    scaled = centred * ((centred * centred).mean(-1) + 1e-6).power(-0.5)
+    return scaled * p.get(x.value.shape[-1], fill=1.0) + p.get(x.value.shape[-1], fill=0.0)
+
+
+def attention(p: Params, x: Node, heads: int, size: int) -> Node:
+    n, steps, features = x.value.shape
+    q, k, v = (dense(p, x, heads * size).reshape(n, steps, heads, size).transpose(0, 2, 1, 3) for _ in range(3))
+    mixed = ((q @ k.transpose(0, 1, 3, 2)) * (size**-0.5)).softmax() @ v
+    return dense(p, mixed.transpose(0, 2, 1, 3).reshape(n, steps, heads * size), features)
+
+
+def last(x: Node) -> Node:
+    return x[:, x.value.shape[1] - 1, :]
+
+
+def lstm_net(p: Params, x: Node, units: int = 16) -> Node:
+    return dense(p, last(lstm(p, lstm(p, x, units), units)), 1)
+
+
+def bi_lstm_net(p: Params, x: Node, units: int = 64) -> Node:
+    return dense(p, dense(p, last(lstm(p, lstm(p, both_ways(p, x, units), 2 * units), units)), units).relu(), 1)
+
+
+def lstm_cnn_net(p: Params, x: Node, units: int = 128) -> Node:
+    x = pool(conv(p, x, 2 * units, same=True).leaky())
+    x = pool(conv(p, x, units, same=True).leaky())
+    return dense(p, dense(p, last(lstm(p, lstm(p, x, units), units)), units // 2).leaky(), 1)
+
+
+def bi_lstm_cnn_net(p: Params, x: Node, units: int = 128) -> Node:
+    x = pool(conv(p, x, 2 * units, same=True).relu())
+    x = pool(conv(p, x, units, same=True).relu())
+    return dense(p, dense(p, last(lstm(p, both_ways(p, x, units // 2), units)), units // 2).relu(), 1)
+
+
+def transformer_net(p: Params, x: Node, units: int = 256, blocks: int = 4, heads: int = 4) -> Node:
+    n, steps, features = x.value.shape
+    for _ in range(blocks):
+        x = x + attention(p, norm(p, x), heads, units // 2)
+        x = x + dense(p, dense(p, norm(p, x), 2).relu(), features)
+    return dense(p, dense(p, x.mean(2).reshape(n, steps), units).relu(), 1)
+
+
+NETWORKS = {"lstm": lstm_net, "bi_lstm": bi_lstm_net, "lstm_cnn": lstm_cnn_net, "bi_lstm_cnn": bi_lstm_cnn_net, "transformer": transformer_net}
+
+
+class Network:
+    """One of NETWORKS for windows of steps by features; units scales its width."""
+
+    def __init__(self, name: str, steps: int, features: int, units: int | None = None):
+        self.name, self.steps, self.features, self.options = name, steps, features, {} if units is None else {"units": units}
+
+    def run(self, p: Params, x: np.ndarray) -> Node:
+        return NETWORKS[self.name](p, Node(x.reshape(len(x), self.steps, self.features)), **self.options)
+
+    def initial(self, seed: int) -> np.ndarray:
+        p = Params(seed=seed)
+        self.run(p, np.zeros((1, self.steps * self.features)))
+        return np.concatenate([n.value.ravel() for n in p.nodes])
+
+    def __call__(self, params: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return self.run(Params(params), x).value[:, 0]
+
+    def gradient(self, params: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """Sum of squared errors, and its gradient."""
+        p = Params(params)
+        out = self.run(p, x)
+        error = out.value[:, 0] - y
+        out.backward(2 * error[:, None])
+        return float(error @ error), np.concatenate([(np.zeros_like(n.value) if n.grad is None else n.grad).ravel() for n in p.nodes])

@@ -465,20 +465,46 @@ def linear_forecast(spark, sf_dir):
     return rounded(forecast.predict(windows, forecast.fit_linear(windows)), "truth", "predicted")
 
 
+def _network(spark, sf_dir, name: str, units: int | None, epochs: int = 8) -> DataFrame:
+    """A few epochs of a narrow network; the library's defaults are wider and go on for longer."""
+    windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS).persist()
+    return rounded(forecast.predict(windows, forecast.fit_network(windows, name, epochs=epochs, units=units)), "truth", "predicted", to=3)
+
+
 @query()
 def lstm_forecast(spark, sf_dir):
-    windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS).persist()
-    return rounded(forecast.predict(windows, forecast.fit_lstm(windows, epochs=8)), "truth", "predicted", to=3)
+    return _network(spark, sf_dir, "lstm", None)
+
+
+@query()
+def bi_lstm_forecast(spark, sf_dir):
+    return _network(spark, sf_dir, "bi_lstm", 8)
+
+
+@query()
+def lstm_cnn_forecast(spark, sf_dir):
+    return _network(spark, sf_dir, "lstm_cnn", 16)
+
+
+@query()
+def bi_lstm_cnn_forecast(spark, sf_dir):
+    return _network(spark, sf_dir, "bi_lstm_cnn", 16)
+
+
+@query()
+def transformer_forecast(spark, sf_dir):
+    return _network(spark, sf_dir, "transformer", 16)
 
 
 @query()
 def transfer(spark, sf_dir):
-    """The first symbol's model on the others' test windows."""
-    windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS)
-    rows = forecast.predict(windows, forecast.fit_linear(windows), source=PRIORITIES[0])
+    """The first symbol's transformer on the others' test windows."""
+    windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS).persist()
+    fitted = forecast.fit_network(windows.where(F.col("symbol") == PRIORITIES[0]), "transformer", epochs=5, units=16)
+    rows = forecast.predict(windows.where(F.col("symbol") != PRIORITIES[0]), fitted, source=PRIORITIES[0])
     return rounded(forecast.score(rows, ["symbol", "model"]), "mse", "rmse", "mae", "mape", to=3)
 
 
 @query()
 def forecast_grid(spark, sf_dir):
-    return rounded(forecast.grid(bars_daily(spark, sf_dir), INPUTS, epochs=8), "mse", "rmse", "mae", "mape", to=3)
+    return rounded(forecast.grid(bars_daily(spark, sf_dir), INPUTS, {"lstm": None, "lstm_cnn": 16, "transformer": 16}, epochs=5), "mse", "rmse", "mae", "mape", to=3)
