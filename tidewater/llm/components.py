@@ -25,7 +25,8 @@ def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Checkpointed, so the join's sides are plain exchanges: Spark splits a node with very many links.
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         told = large.join(small_least, "u")

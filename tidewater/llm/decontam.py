@@ -64,7 +64,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, start_word, n_words, similarity): each contaminated document and item once, by the best, then first window.
 
     Items of fewer than five words are one shingle of all their words; empty or null items
-    and texts match nothing. Null ids stay null; rows of one id count together. No
+    and texts match nothing. Rows with a null id are left out; rows of one id count together. No
     contamination, or an empty table, gives no rows. Other columns are left out.
     """
     items = cut(with_words(id_and_text(benchmark, item_col, text_col).withColumnRenamed("doc_id", "item_id"))).where(F.size("words") > 0)

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,6 +150,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = 400
     return OrdinalModel(by_feature, [float(x) for x in thresholds])
 
 
+def _active(weights: dict[int, float]) -> BoundedCache:
+    return BoundedCache(lambda word: tuple(f for f in features_of_word(word) if f in weights), 150_000)
+
+
+def _score(text: str, active: BoundedCache, weights: dict[int, float]) -> float:
+    found: set[int] = set()
+    found.update(*filter(None, map(active.__getitem__, set(TOKEN.findall(text.lower())))))
+    return sum(weights[f] for f in sorted(found))
+
+
 def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, expected_severity, p_toxic, grade, toxic) of every row, over whole texts.
 
@@ -161,13 +172,9 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = OrdinalModel(weights, thresholds)
-        active = BoundedCache(lambda word: tuple(f for f in features_of_word(word) if f in weights), 150_000)
+        active = _active(weights)
         for b in batches:
-            scores = np.zeros(b.num_rows)
-            for i, text in enumerate(b["text"]):
-                found: set[int] = set()
-                found.update(*filter(None, map(active.__getitem__, set(TOKEN.findall(text.as_py().lower())))))
-                scores[i] = sum(weights[f] for f in sorted(found))
+            scores = np.fromiter((_score(t.as_py(), active, weights) for t in b["text"]), dtype=np.float64, count=b.num_rows)
             above = own.exceed(scores)
             grade = (above >= 0.5).sum(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(above.sum(axis=1).round(6)), pa.array(above[:, 0].round(6)), pa.array(grade), pa.array(grade > 0)], schema=schema)
@@ -176,21 +183,16 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """docs without the rejected ones, in one pass: rows and columns that stay are as they were."""
+    """docs without the rejected ones, in one pass: rows and columns that stay are as they were. Only texts go to Python."""
     weights, thresholds = model.weights, model.thresholds
-    schema = docs.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        active = BoundedCache(lambda word: tuple(f for f in features_of_word(word) if f in weights), 150_000)
-        for b in batches:
-            keep = []
-            for text in b["text"]:
-                found: set[int] = set()
-                found.update(*filter(None, map(active.__getitem__, set(TOKEN.findall((text.as_py() or "").lower())))))
-                keep.append(sum(weights[f] for f in sorted(found)) < thresholds[0])
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(released(run), schema)
+    @F.pandas_udf("boolean")
+    def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        active = _active(weights)
+        for texts in batches:
+            yield pd.Series([_score(t or "", active, weights) < thresholds[0] for t in texts], dtype=bool)
+
+    return docs.where(accepted(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def op5_ordinal_toxicity(spark, sf_dir: str) -> DataFrame:
