@@ -114,6 +114,21 @@ def drop_columns(df: DataFrame, threshold: float = 50.0, columns: list[str] | No
     return df.select([c for c in df.columns if c in set(columns)])
 
 
+def any_missing(df: DataFrame, column: str, spec: SeriesSpec = BARS) -> DataFrame:
+    """(symbol, any_missing): whether a symbol's column has a null."""
+    return df.groupBy(spec.symbol).agg(F.bool_or(F.col(column).isNull()).alias("any_missing"))
+
+
+def head(df: DataFrame, n: int = 5, spec: SeriesSpec = BARS) -> DataFrame:
+    """Each symbol's first n rows."""
+    return df.withColumn("_at", F.row_number().over(spec.window())).where(f"_at <= {int(n)}").drop("_at")
+
+
+def tail(df: DataFrame, n: int = 5, spec: SeriesSpec = BARS) -> DataFrame:
+    """Each symbol's last n rows."""
+    return df.withColumn("_at", F.row_number().over(spec.backwards())).where(f"_at <= {int(n)}").drop("_at")
+
+
 def select_present(df: DataFrame, columns: list[str]) -> DataFrame:
     """Those of columns that exist, in df's order."""
     return df.select([c for c in df.columns if c in set(columns)])
@@ -149,9 +164,9 @@ def year_month_means(df: DataFrame, column: str = "close", spec: SeriesSpec = BA
 
 def resample_months(df: DataFrame, column: str = "close", spec: SeriesSpec = BARS) -> DataFrame:
     """Mean of each month at its last day, null for months without rows, for each symbol."""
-    ends = df.agg(F.min(F.trunc(spec.time, "month")).alias("a"), F.max(F.trunc(spec.time, "month")).alias("b")).where("a is not null")
-    months = ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m"))
-    grid = df.select(spec.symbol).distinct().join(F.broadcast(months)).select(spec.symbol, F.last_day("m").alias("month_end"))
+    month = F.trunc(spec.time, "month")
+    months = F.sequence(df.agg(F.min(month)).scalar(), df.agg(F.max(month)).scalar(), F.expr("interval 1 month"))
+    grid = df.select(spec.symbol).distinct().select(spec.symbol, F.explode(months).alias("m")).select(spec.symbol, F.last_day("m").alias("month_end"))
     means = df.groupBy(spec.symbol, F.last_day(spec.time).alias("month_end")).agg(F.avg(column).alias("mean"))
     return grid.join(means, [spec.symbol, "month_end"], "left")
 
@@ -161,4 +176,4 @@ def min_max_scaled(df: DataFrame, column: str = "close", spec: SeriesSpec = BARS
     return df.join(ends, spec.symbol).withColumn(f"norm_{column}", X.min_max(F.col(column), F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
-__all__ = ["correlations", "describe", "drop_columns", "kept_columns", "min_max_scaled", "missing_report", "month_means", "null_table", "quantiles", "resample_months", "select_present", "spined", "target_correlations", "year_month_means"]
+__all__ = ["any_missing", "correlations", "describe", "drop_columns", "head", "kept_columns", "min_max_scaled", "missing_report", "month_means", "null_table", "quantiles", "resample_months", "select_present", "spined", "tail", "target_correlations", "year_month_means"]

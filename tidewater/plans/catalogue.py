@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import clean, features, forecast, prepare, profile, spectral, stats
-from ..series import SeriesSpec
+from ..operators import clean, features, forecast, prepare, profile, relations, spectral, stats
+from ..series import SeriesSpec, align
 from ..sources.files import read_table
 from .tables import BARS_D, BARS_H, BARS_HS, bars_daily, bars_hourly, bars_hourly_spined, ticks
 
@@ -508,3 +508,37 @@ def transfer(spark, sf_dir):
 @query()
 def forecast_grid(spark, sf_dir):
     return rounded(forecast.grid(bars_daily(spark, sf_dir), INPUTS, {"lstm": None, "lstm_cnn": 16, "transformer": 16}, epochs=5), "mse", "rmse", "mae", "mape", to=3)
+
+
+@query(_d("SELECT symbol, time, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS k FROM bars) WHERE k <= 5"))
+def tail(spark, sf_dir):
+    return profile.tail(bars_daily(spark, sf_dir)).select("symbol", "time", "close")
+
+
+@query(_hs("SELECT symbol, bool_or(close IS NULL) AS any_missing FROM bars GROUP BY symbol"))
+def any_missing(spark, sf_dir):
+    return profile.any_missing(bars_hourly_spined(spark, sf_dir), "close")
+
+
+@query(f"WITH d AS ({BARS_D}), h AS (SELECT 'click' AS symbol, date_trunc('day', ts)::TIMESTAMP AS time, count(*) AS ticks FROM events GROUP BY ALL) SELECT symbol, time, coalesce(close, -1) AS close, coalesce(ticks, -1) AS ticks FROM d FULL JOIN h USING (symbol, time)")
+def aligned(spark, sf_dir):
+    """Two tables by a shared key, rows of either side kept; missing values as -1."""
+    daily = bars_daily(spark, sf_dir).select("symbol", "time", "close")
+    counts = ticks(spark, sf_dir).groupBy(F.lit("click").alias("symbol"), F.date_trunc("day", "time").cast("timestamp_ntz").alias("time")).agg(F.count("*").alias("ticks"))
+    return align(daily, counts, ["symbol", "time"]).fillna(-1)
+
+
+@query(_d(f"SELECT symbol, time, close, round(close - lag(close) OVER {W}, 4) AS close_diff, round(close - (regr_intercept(close, pos) OVER s + regr_slope(close, pos) OVER s * pos), 4) AS close_detrend, CASE WHEN close > 0 THEN round(ln(close), 6) END AS close_log FROM ({PLACED}) WINDOW s AS (PARTITION BY symbol)"))
+def transformed_close(spark, sf_dir):
+    return rounded(rounded(relations.transformed(bars_daily(spark, sf_dir)), "close_diff", "close_detrend"), "close_log", to=6)
+
+
+@query(_d(f"""SELECT pos, coalesce(max(close) FILTER (symbol = '1-URGENT'), -1) AS urgent, coalesce(max(close) FILTER (symbol = '5-LOW'), -1) AS low FROM ({PLACED}) WHERE symbol IN ('1-URGENT', '5-LOW') GROUP BY pos"""))
+def side_by_side(spark, sf_dir):
+    return relations.side_by_side(bars_daily(spark, sf_dir), ["1-URGENT", "5-LOW"]).toDF("pos", "urgent", "low").fillna(-1.0)
+
+
+@query()
+def arima_residuals(spark, sf_dir):
+    rows = forecast.arima(features.diff(bars_daily(spark, sf_dir)))
+    return rounded(relations.residuals(rows).select("symbol", "time", "residual", "standardised"), "residual", "standardised")

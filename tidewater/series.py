@@ -59,12 +59,17 @@ def bars(ticks: DataFrame, symbol: str, time: str, value: str, tiebreak: str, un
 
 def spined(df: DataFrame, step: str = "interval 1 hour", spec: SeriesSpec = BARS) -> DataFrame:
     """df with a row for every step from the first to the last time of the whole table, for each symbol; values of added rows are null."""
-    ends = df.agg(F.min(spec.time).alias("a"), F.max(spec.time).alias("b"))
-    times = ends.where("a is not null").select(F.explode(F.sequence("a", "b", F.expr(step))).alias(spec.time))
-    grid = df.select(spec.symbol).distinct().join(F.broadcast(times))  # symbols by steps, which is what is asked for
+    first, last = df.agg(F.min(spec.time)).scalar(), df.agg(F.max(spec.time)).scalar()
+    grid = df.select(spec.symbol).distinct().select(spec.symbol, F.explode(F.sequence(first, last, F.expr(step))).alias(spec.time))
     return grid.join(df, [spec.symbol, spec.time], "left")
 
 
+def align(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Columns of both, side by side, rows matched by a key; rows of either side alone are kept. Clashing names get an _r."""
+    renamed = right.select(*(F.col(c).alias(c if c in on or c not in left.columns else f"{c}_r") for c in right.columns))
+    return left.join(renamed, on, "full")
+
+
 def positioned(df: DataFrame, spec: SeriesSpec, bucket: Column) -> DataFrame:
     """df with _pos, each row's position in its symbol, without a task that holds a symbol.
 
