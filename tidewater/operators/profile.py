@@ -165,7 +165,8 @@ def year_month_means(df: DataFrame, column: str = "close", spec: SeriesSpec = BA
 def resample_months(df: DataFrame, column: str = "close", spec: SeriesSpec = BARS) -> DataFrame:
     """Mean of each month at its last day, null for months without rows, for each symbol."""
     month = F.trunc(spec.time, "month")
-    months = F.sequence(df.agg(F.min(month)).scalar(), df.agg(F.max(month)).scalar(), F.expr("interval 1 month"))
+    ends = df.agg(F.struct(F.min(month).alias("first"), F.max(month).alias("last"))).scalar()
+    months = F.sequence(ends.getField("first"), ends.getField("last"), F.expr("interval 1 month"))
     grid = df.select(spec.symbol).distinct().select(spec.symbol, F.explode(months).alias("m")).select(spec.symbol, F.last_day("m").alias("month_end"))
     means = df.groupBy(spec.symbol, F.last_day(spec.time).alias("month_end")).agg(F.avg(column).alias("mean"))
     return grid.join(means, [spec.symbol, "month_end"], "left")

@@ -59,8 +59,9 @@ def bars(ticks: DataFrame, symbol: str, time: str, value: str, tiebreak: str, un
 
 def spined(df: DataFrame, step: str = "interval 1 hour", spec: SeriesSpec = BARS) -> DataFrame:
     """df with a row for every step from the first to the last time of the whole table, for each symbol; values of added rows are null."""
-    first, last = df.agg(F.min(spec.time)).scalar(), df.agg(F.max(spec.time)).scalar()
-    grid = df.select(spec.symbol).distinct().select(spec.symbol, F.explode(F.sequence(first, last, F.expr(step))).alias(spec.time))
+    ends = df.agg(F.struct(F.min(spec.time).alias("first"), F.max(spec.time).alias("last"))).scalar()
+    times = F.sequence(ends.getField("first"), ends.getField("last"), F.expr(step))
+    grid = df.select(spec.symbol).distinct().select(spec.symbol, F.explode(times).alias(spec.time))
     return grid.join(df, [spec.symbol, spec.time], "left")
 
 
