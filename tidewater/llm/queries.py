@@ -34,4 +34,26 @@ ORACLE_SQL = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM f""",
+    "op7_sparse_suffixes": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS x FROM documents),
+        p AS (SELECT doc_id, unnest(range(0, len(x) - 49)) AS pos, x FROM w WHERE len(x) >= 50),
+        s AS (SELECT doc_id, pos, array_to_string(x[pos + 1:pos + 50], ' ') AS passage FROM p),
+        f AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY passage) AS first_doc_id, row_number() OVER (PARTITION BY passage, doc_id ORDER BY pos) AS k FROM s),
+        r AS (SELECT doc_id, pos, first_doc_id, CASE WHEN pos = lag(pos) OVER o + 1 AND first_doc_id = lag(first_doc_id) OVER o THEN 0 ELSE 1 END AS new
+              FROM f WHERE doc_id <> first_doc_id OR k > 1 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+        n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM r)
+        SELECT doc_id, min(pos)::BIGINT AS start_word, max(pos)::BIGINT + 50 AS end_word, first_doc_id FROM n GROUP BY doc_id, span, first_doc_id""",
+    "op8_benchmark_windows": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS x FROM documents),
+        ds AS (SELECT doc_id, p, len(x) AS nd, array_to_string(x[p + 1:p + 5], ' ') AS h FROM (SELECT doc_id, x, unnest(range(0, len(x) - 4)) AS p FROM d)),
+        i AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS x FROM benchmark),
+        s AS (SELECT item_id, q, len(x) AS ni, array_to_string(x[q + 1:q + 5], ' ') AS h FROM (SELECT item_id, x, unnest(range(0, len(x) - 4)) AS q FROM i)),
+        laid AS (SELECT DISTINCT doc_id, item_id, ni, greatest(0, least(p - q, nd - ni)) AS start FROM ds JOIN s USING (h)),
+        w AS (SELECT doc_id, item_id, ni, start, ds.h AS h, count(*) AS n FROM laid JOIN ds USING (doc_id) WHERE p BETWEEN start AND start + ni - 5 GROUP BY ALL),
+        t AS (SELECT doc_id, item_id, ni, start, sum(n) AS total FROM w GROUP BY ALL),
+        m AS (SELECT item_id, h, count(*) AS n FROM s GROUP BY ALL),
+        c AS (SELECT doc_id, item_id, ni, start, sum(least(w.n, m.n)) AS shared FROM w JOIN m USING (item_id, h) GROUP BY ALL),
+        r AS (SELECT doc_id, item_id, ni, start, shared / (total + ni - 4 - shared) AS sim FROM c JOIN t USING (doc_id, item_id, ni, start))
+        SELECT doc_id, item_id, start::INT AS start_word, ni::INT AS n_words, round(sim, 6) AS similarity FROM r WHERE sim >= 0.8
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, start) = 1""",
 }
