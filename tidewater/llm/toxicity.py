@@ -143,7 +143,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_per_class: int = 400
     kept = sparse.select("doc_id", "grade", F.explode_outer("feature").alias("feature")).join(wanted.withColumn("hit", F.lit(True)), "feature", "left")
     kept = kept.groupBy("doc_id", "grade").agg(F.collect_set(F.when(F.col("hit"), F.col("feature"))).alias("feature")).orderBy("doc_id")
     for r in kept.toLocalIterator():
-        rows.append(np.array([number[f] for f in r["feature"]], dtype=np.int64))
+        rows.append(np.array(sorted(number[f] for f in r["feature"]), dtype=np.int64))
         grades.append(r["grade"])
     weights, thresholds = fit_ordinal(rows, np.array(grades), 3)
     by_feature = {f: float(weights[c]) for f, c in number.items() if c < len(weights) and weights[c]}
