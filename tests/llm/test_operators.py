@@ -131,6 +131,8 @@ def test_token_tables(spark, corpus, libraries):
     for i, e in enumerate(library.encode_batch([t or "" for t in corpus], add_special_tokens=False)):
         assert np.frombuffer(tripped[i]["ids"], dtype="<u4").tolist() == e.ids and tripped[i]["n_tokens"] == len(e.ids)
         assert tripped[i]["decoded"] == library.decode(e.ids, skip_special_tokens=False)
+    apart = bpe.decode_documents(bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")), public_tokenizers.path("word_bpe_49k.json"))
+    assert {r["doc_id"]: r for r in apart.collect()} == tripped
 
 
 # Media

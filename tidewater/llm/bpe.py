@@ -143,9 +143,22 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, flush_bytes: int =
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(released(run), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Encoded and decoded texts, one row per document: doc_id, n_tokens, ids, decoded."""
-    return decode_documents(encode_documents(docs, tokenizer_path), tokenizer_path)
+def round_trip(docs: DataFrame, tokenizer_path: str, flush_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded of every row: encode_documents and decode_documents in one pass, so one Python worker a task does both."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = coder(tokenizer_path)
+
+        def rows():
+            for b in batches:
+                for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+                    ids = c.encode(text.as_py())
+                    yield doc_id.as_py(), len(ids), ids.tobytes(), c.decode(ids)
+
+        return flushed(rows(), schema, lambda r: len(r[2]) + len(r[3]), flush_bytes)
+
+    return id_and_text(docs).mapInArrow(released(run), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def op10_word_bpe(spark, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
