@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,13 +99,9 @@ def ema_in_chunks(df: DataFrame, span: int, column: str, bucket: Column, spec: S
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def local(key, group):
-        import pandas as pd
-
         values = group.sort_values(spec.order)[column].to_numpy(dtype="float64")
-        y = 0.0
-        for x in values:
-            y = (1 - a) * y + a * x
-        return pd.DataFrame({spec.symbol: [key[0]], "_bucket": [key[1]], "_a": [(1 - a) ** len(values)], "_b": [y], "_first": [values[0]]})
+        fading = (1 - a) ** np.arange(len(values) - 1, -1, -1)
+        return pd.DataFrame({spec.symbol: [key[0]], "_bucket": [key[1]], "_a": [(1 - a) ** len(values)], "_b": [a * (fading @ values)], "_first": [values[0]]})
 
     kinds = dict(keyed.select(spec.symbol, "_bucket").dtypes)
     maps = keyed.groupBy(spec.symbol, "_bucket").applyInPandas(local, f"{spec.symbol} {kinds[spec.symbol]}, _bucket {kinds['_bucket']}, _a double, _b double, _first double")
@@ -121,11 +119,8 @@ def ema_in_chunks(df: DataFrame, span: int, column: str, bucket: Column, spec: S
 
     def finish(group):
         group = group.sort_values(spec.order)
-        y, out = group["_carried"].iloc[0], []
-        for x in group[column].to_numpy(dtype="float64"):
-            y = (1 - a) * y + a * x
-            out.append(y)
-        group[f"ema_{span}"] = out
+        values = pd.concat([group["_carried"].iloc[:1], group[column].astype("float64")])
+        group[f"ema_{span}"] = values.ewm(span=span, adjust=False).mean().to_numpy()[1:]
         return group[[*names, f"ema_{span}"]]
 
     return keyed.join(carried, [spec.symbol, "_bucket"]).groupBy(spec.symbol, "_bucket").applyInPandas(finish, f"{plain}, ema_{span} double")
