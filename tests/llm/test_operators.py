@@ -395,6 +395,11 @@ def test_contamination(spark):
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(table(spark, texts), benchmark).collect()}
     want = slow_contaminated(list(enumerate(texts)), items)
     assert got == want and len(want) > 15
+    broadcast, decontam.BROADCAST_ROWS = decontam.BROADCAST_ROWS, 0
+    try:
+        assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(table(spark, texts), benchmark).collect()} == want
+    finally:
+        decontam.BROADCAST_ROWS = broadcast
     left = {r["doc_id"] for r in decontam.decontaminate(table(spark, texts), benchmark).collect()}
     assert left == set(range(len(texts))) - {d for d, _ in want}
     assert decontam.contaminated(table(spark, texts), benchmark.limit(0)).count() == 0

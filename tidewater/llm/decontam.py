@@ -25,7 +25,7 @@ from .common import cut, id_and_text, read_table
 # Arrays are exploded with the _outer forms: for the plain ones Spark infers a filter on the array, pushes it
 # below the projection that makes the array, and so makes it over and over.
 BLOCKS, BLOCK_BITS = 8, 8
-BROADCAST_SHINGLES = 500_000  # items with more shingles in all are joined without a broadcast hint
+BROADCAST_ROWS = 500_000  # a side of more rows is joined without a broadcast hint
 
 
 def with_words(df: DataFrame) -> DataFrame:
@@ -56,8 +56,9 @@ def block(column, number):
     return F.call_function("shiftright", column, number * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
 
 
-def _bounded(df: DataFrame, shingles: int) -> DataFrame:
-    return F.broadcast(df) if shingles <= BROADCAST_SHINGLES else df
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df of at most rows rows, to be broadcast if that is few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = 0.8, radius: int = 23, shingle: int = 5) -> DataFrame:
@@ -81,7 +82,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def _contaminated(texts: DataFrame, items: DataFrame, k: int, threshold: float, radius: int) -> DataFrame:
     hashed = cut(items.select("item_id", F.size("words").alias("n_words"), shingle_hashes(F.col("words"), k).alias("hashes")).withColumn("item_fp", simhash(F.col("hashes"))))
-    shingles = hashed.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    item_count, shingles = hashed.agg(F.count("*"), F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()
     filed = hashed.select("item_id", "n_words", F.posexplode_outer("hashes").alias("q", "h"))
 
     # Windows of the item's length, laid by a shared shingle.
@@ -98,12 +99,13 @@ def _contaminated(texts: DataFrame, items: DataFrame, k: int, threshold: float,
     windows = cut(windows.select("doc_id", "a.item_id", "a.n_words", "a.start_word", window.alias("hashes")).withColumn("fp", simhash(F.col("hashes"))))
 
     # Multi-index Hamming blocks.
-    flips = F.array(*(F.lit(m) for m in range(1 << BLOCK_BITS) if m.bit_count() <= radius // BLOCKS))
+    masks = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= radius // BLOCKS]
+    flips = F.array(*(F.lit(m) for m in masks))
     numbers = F.array(*(F.lit(i) for i in range(BLOCKS)))
     index = hashed.select("item_id", "item_fp", F.explode(numbers).alias("block")).select("item_id", "item_fp", "block", F.explode(flips).alias("flip"))
     index = index.select("item_id", "item_fp", "block", block(F.col("item_fp"), F.col("block")).bitwiseXOR(F.col("flip")).alias("value"))
     looked = windows.select("*", F.explode(numbers).alias("block")).withColumn("value", block(F.col("fp"), F.col("block")))
-    near = looked.join(_bounded(index, shingles), ["item_id", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    near = looked.join(_bounded(index, item_count * BLOCKS * len(masks)), ["item_id", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     near = near.dropDuplicates(["doc_id", "item_id", "start_word"]).select("doc_id", "item_id", "n_words", "start_word", "hashes")
 
     # Exact weighted similarity.
