@@ -325,7 +325,7 @@ ACF = f"""x AS (SELECT symbol, pos, close - avg(close) OVER (PARTITION BY symbol
 
 
 @query(f"""WITH bars AS ({BARS_D}), {ACF}, e AS (SELECT *, CASE WHEN lag = 0 THEN 0 ELSE 1.959963984540054 * sqrt((1 + 2 * coalesce(sum(acf * acf) FILTER (lag > 0) OVER (PARTITION BY symbol ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) END AS d FROM z)
-    SELECT symbol, lag, round(acf, 6) AS acf, round(acf - d, 6) AS low, round(acf + d, 6) AS high FROM e""")
+    SELECT symbol, lag, round(acf, 6) + 0.0 AS acf, round(acf - d, 6) + 0.0 AS low, round(acf + d, 6) + 0.0 AS high FROM e""")
 def acf(spark, sf_dir):
     return rounded(stats.acf(bars_daily(spark, sf_dir), 10), "acf", "low", "high", to=6)
 
