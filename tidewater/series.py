@@ -39,19 +39,24 @@ def position(spec: SeriesSpec) -> Column:
     return F.row_number().over(spec.window()) - 1
 
 
-def instant(time: Column, tiebreak: Column) -> Column:
-    """One number that orders by time, then tiebreak (0 <= tiebreak < 10**18): a plain hash aggregate can keep its smallest and largest."""
+def instant(time: Column, tiebreak: Column | None) -> Column:
+    """One number that orders by time, then tiebreak (0 <= tiebreak < 10**18): a plain hash aggregate can keep its smallest and largest.
+
+    Without a tiebreak it is a long, which is about three times as fast as the wide decimal.
+    """
+    if tiebreak is None:
+        return F.unix_micros(time.cast("timestamp"))
     micros = F.unix_micros(time.cast("timestamp")).cast("decimal(20,0)")
     return (micros * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)") + tiebreak.cast("decimal(20,0)")
 
 
-def bars(ticks: DataFrame, symbol: str, time: str, value: str, tiebreak: str, unit: str) -> DataFrame:
-    """open, high, low, close, volume and n of each symbol and unit of time ('hour', 'day').
+def bars(ticks: DataFrame, symbol: str, time: str, value: str, tiebreak: str | None, unit: str) -> DataFrame:
+    """open, high, low, close, volume and n of each symbol and unit of time ('hour', 'day'). tiebreak: None only if a symbol's times don't repeat.
 
     Summed before the shuffle; what leaves it is bounded by symbols and calendar, not by
     ticks, so windows over bars stay small however many ticks there are.
     """
-    at = instant(F.col(time), F.col(tiebreak))
+    at = instant(F.col(time), None if tiebreak is None else F.col(tiebreak))
     return ticks.groupBy(F.col(symbol).alias("symbol"), F.date_trunc(unit, F.col(time)).cast("timestamp_ntz").alias("time")).agg(
         F.min_by(value, at).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, at).alias("close"), F.sum(value).alias("volume"), F.count("*").alias("n")
     )
