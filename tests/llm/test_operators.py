@@ -405,6 +405,25 @@ def test_contamination(spark):
     assert decontam.contaminated(table(spark, texts), benchmark.limit(0)).count() == 0
 
 
+def test_contamination_between_offsets(spark):
+    """Words inserted in the middle and changed at both ends: the best window is at neither offset."""
+    rng = random.Random(10)
+    items, texts = [], []
+    for i, (n, changed, inserted) in enumerate([(59, 1, 2), (100, 3, 6), (100, 3, 7), (120, 4, 6), (59, 0, 2)]):
+        words = prose(rng, n, 10**6).split()
+        near = words.copy()
+        for j in range(changed):
+            near[j], near[-1 - j] = "first", "last"
+        near[n // 2 : n // 2] = [f"new{j}" for j in range(inserted)]
+        items.append((i, " ".join(words)))
+        texts += [" ".join(near), f"{prose(rng, 30)} {' '.join(near)} {prose(rng, 30)}", f"{' '.join(near)} {prose(rng, 7)} {' '.join(near)}"]
+    rows = decontam.contaminated(table(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = slow_contaminated(list(enumerate(texts)), items)
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in rows} == want
+    assert want[1, 0] == round(49 / 61, 6) and want[4, 1] == round(86 / 106, 6)
+    assert {r["start_word"] - 30 for r in rows if r["doc_id"] == 1} == {1}
+
+
 # Sharding
 
 

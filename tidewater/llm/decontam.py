@@ -6,7 +6,10 @@ as often as it occurs, shared weight over united weight.
 
 A window at 0.8 shares shingles with the item, so windows are laid where a document's shingle
 is one of the item's: word p against the item's word q puts the window at p - q, kept inside
-the document. Windows and items get 64-bit SimHashes; those within radius bits are found by
+the document. Where these starts differ, as after an insertion, the best window can lie between
+the smallest and the largest of them, at a start where a shared shingle comes in at the end:
+these are laid too. Outside of the two no window is better, as on the way to them no shared
+shingle is lost. Windows and items get 64-bit SimHashes; those within radius bits are found by
 multi-index Hamming blocks: of 8 blocks of 8 bits, one differs in at most radius // 8 bits if
 the whole differs in at most radius, so items are filed under all such variants of each block
 and windows look up their own blocks. What is found is verified by its exact similarity.
@@ -64,6 +67,8 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = 0.8, radius: int = 23, shingle: int = 5) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): each contaminated document and item once, by the best, then first window.
 
+    Of equally good windows those that bring a shingle to its place in the item go first.
+
     Items of fewer than five words are one shingle of all their words; empty or null items
     and texts match nothing. Rows with a null id are left out; rows of one id count together. No
     contamination, or an empty table, gives no rows. Other columns are left out.
@@ -92,11 +97,18 @@ def _contaminated(texts: DataFrame, items: DataFrame, k: int, threshold: float,
 
     met = with_hashes(texts).select("doc_id", "doc_words", F.posexplode_outer("doc_hashes").alias("p", "h")).join(_bounded(filed, shingles), "h")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("doc_words") - F.col("n_words")))
-    laid = met.select("doc_id", "item_id", "n_words", start.alias("start_word")).distinct()
-    asked = laid.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_words", "start_word")).alias("asked"))
+    laid = met.groupBy("doc_id", "item_id", "n_words", "doc_words").agg(F.collect_set(start).alias("placed"), F.collect_set("p").alias("places"))
+    in_window = F.least("n_words", "doc_words") - k + 1
+    enough = F.ceil(threshold / (1 + threshold) * (in_window + F.col("n_words") - k + 1) - 1e-9)  # shingles that a window at threshold shares
+    laid = laid.where(F.size("places") >= enough).withColumns({"low": F.array_min("placed"), "high": F.array_max("placed")})
+    entering = F.filter(F.transform("places", lambda p: p - F.col("n_words") + k), lambda s: (s > F.col("low")) & (s < F.col("high")))
+    laid = laid.select("doc_id", "item_id", "n_words", "placed", F.array_except(entering, F.col("placed")).alias("between"))
+    starts = F.concat(*(F.transform(c, lambda s, i=i: F.struct(F.lit(i).alias("between"), s.alias("start_word"))) for i, c in enumerate(("placed", "between"))))
+    laid = laid.select("doc_id", "item_id", "n_words", F.explode_outer(starts).alias("s")).select("doc_id", "item_id", "n_words", "s.between", "s.start_word")
+    asked = laid.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_words", "between", "start_word")).alias("asked"))
     window = F.slice("doc_hashes", F.col("a.start_word") + 1, F.col("a.n_words") - k + 1)
     windows = with_hashes(texts.join(asked, "doc_id")).select("doc_id", "doc_hashes", F.explode_outer("asked").alias("a"))
-    windows = cut(windows.select("doc_id", "a.item_id", "a.n_words", "a.start_word", window.alias("hashes")).withColumn("fp", simhash(F.col("hashes"))))
+    windows = cut(windows.select("doc_id", "a.item_id", "a.n_words", "a.between", "a.start_word", window.alias("hashes")).withColumn("fp", simhash(F.col("hashes"))))
 
     # Multi-index Hamming blocks.
     masks = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= radius // BLOCKS]
@@ -106,16 +118,16 @@ def _contaminated(texts: DataFrame, items: DataFrame, k: int, threshold: float,
     index = index.select("item_id", "item_fp", "block", block(F.col("item_fp"), F.col("block")).bitwiseXOR(F.col("flip")).alias("value"))
     looked = windows.select("*", F.explode(numbers).alias("block")).withColumn("value", block(F.col("fp"), F.col("block")))
     near = looked.join(_bounded(index, item_count * BLOCKS * len(masks)), ["item_id", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.dropDuplicates(["doc_id", "item_id", "start_word"]).select("doc_id", "item_id", "n_words", "start_word", "hashes")
+    near = near.dropDuplicates(["doc_id", "item_id", "start_word"]).select("doc_id", "item_id", "n_words", "between", "start_word", "hashes")
 
     # Exact weighted similarity.
     weights = filed.groupBy("item_id", "h").agg(F.count("*").alias("item_weight"))
-    key = ["doc_id", "item_id", "n_words", "start_word"]
+    key = ["doc_id", "item_id", "n_words", "between", "start_word"]
     own = near.select(*key, F.size("hashes").alias("n"), F.explode_outer("hashes").alias("h")).groupBy(*key, "n", "h").agg(F.count("*").alias("weight"))
     shared = own.join(_bounded(weights, shingles), ["item_id", "h"]).groupBy(*key, "n").agg(F.sum(F.least("weight", "item_weight")).alias("shared"))
     united = F.col("n") + F.col("n_words") - k + 1 - F.col("shared")
     scored = shared.withColumn("similarity", F.col("shared") / united).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("doc_id", "item_id", "n_words").agg(F.min(F.struct((-F.col("similarity")).alias("loss"), "start_word")).alias("b"))
+    best = scored.groupBy("doc_id", "item_id", "n_words").agg(F.min(F.struct((-F.col("similarity")).alias("loss"), "between", "start_word")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.start_word").alias("start_word"), "n_words", F.round(-F.col("b.loss"), 6).alias("similarity"))
 
 
