@@ -377,10 +377,16 @@ def slow_contaminated(docs, items, k=5):
             for s in range(max(1, len(words) - len(own) + 1)) if own and len(words) >= size else ():
                 a, b = grams(words[s : s + len(own)]), grams(own)
                 if sum((a & b).values()) >= 0.8 * sum((a | b).values()) > 0:
-                    found[d, i] = max(found.get((d, i), 0), round(sum((a & b).values()) / sum((a | b).values()), 6))
+                    similarity = round(sum((a & b).values()) / sum((a | b).values()), 6)
+                    if similarity > found.get((d, i), (0, 0))[0]:
+                        found[d, i] = (similarity, s)
     return found
 
 
+def found_windows(docs, benchmark):
+    return {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in decontam.contaminated(docs, benchmark).collect()}
+
+
 def test_contamination(spark):
     rng = random.Random(9)
     items = [(i, prose(rng, n)) for i, n in enumerate((20, 35, 60, 5, 4, 1, 80))] + [(90, ""), (91, None), (92, "ha " * 30)]
@@ -392,12 +398,11 @@ def test_contamination(spark):
         texts += [f"{prose(rng, 40)} {t.upper()} {prose(rng, 40)}", f"{prose(rng, 9)} {' '.join(near)} {prose(rng, 9)}", f"{prose(rng, 9)} {' '.join(far)}", t, " ".join(words[:-1])]
     texts.append("ha " * 500)
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
-    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(table(spark, texts), benchmark).collect()}
     want = slow_contaminated(list(enumerate(texts)), items)
-    assert got == want and len(want) > 15
+    assert found_windows(table(spark, texts), benchmark) == want and len(want) > 15
     broadcast, decontam.BROADCAST_ROWS = decontam.BROADCAST_ROWS, 0
     try:
-        assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(table(spark, texts), benchmark).collect()} == want
+        assert found_windows(table(spark, texts), benchmark) == want
     finally:
         decontam.BROADCAST_ROWS = broadcast
     left = {r["doc_id"] for r in decontam.decontaminate(table(spark, texts), benchmark).collect()}
@@ -417,11 +422,32 @@ def test_contamination_between_offsets(spark):
         near[n // 2 : n // 2] = [f"new{j}" for j in range(inserted)]
         items.append((i, " ".join(words)))
         texts += [" ".join(near), f"{prose(rng, 30)} {' '.join(near)} {prose(rng, 30)}", f"{' '.join(near)} {prose(rng, 7)} {' '.join(near)}"]
-    rows = decontam.contaminated(table(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    for n, edge in ((100, 3), (300, 3)):  # the first and last words go, four come in the middle
+        words = prose(rng, n, 10**6).split()
+        items.append((len(items), " ".join(words)))
+        inner = words[edge : n // 2] + ["in", "the", "very", "middle"] + words[n // 2 : n - edge]
+        texts.append(f"{prose(rng, 200)} {' '.join(inner)} {prose(rng, 200)}")
     want = slow_contaminated(list(enumerate(texts)), items)
-    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in rows} == want
-    assert want[1, 0] == round(49 / 61, 6) and want[4, 1] == round(86 / 106, 6)
-    assert {r["start_word"] - 30 for r in rows if r["doc_id"] == 1} == {1}
+    assert found_windows(table(spark, texts), spark.createDataFrame(items, "item_id long, text string")) == want
+    assert want[1, 0] == (round(49 / 61, 6), 31) and want[4, 1][0] == round(86 / 106, 6)
+    assert want[15, 5] == (round(86 / 106, 6), 198) and want[16, 6] == (0.934641, 198)
+
+
+def test_contamination_by_items_of_one_length_and_rows_of_one_id(spark):
+    """A window laid by one item's words is held against all items of its length; rows of one id are judged apart."""
+    rng = random.Random(12)
+    base = prose(rng, 50, 10**6).split()
+    other = base.copy()
+    other[0], other[49] = "swapped", "too"
+    items = [(0, " ".join(base)), (1, " ".join(other)), (2, prose(rng, 50, 10**6))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    text = f"{prose(rng, 20)} {items[0][1]} {prose(rng, 20)}"
+    assert set(found_windows(table(spark, [text]), benchmark)) == {(0, 0), (0, 1)}
+    half = " ".join(base[:25])
+    rows = [text, text, f"{half} {prose(rng, 65)}", f"{prose(rng, 65)} {half}", None]
+    assert found_windows(table(spark, rows, [7, 7, 7, 7, None]), benchmark) == {(7, i): v for (_, i), v in slow_contaminated([(0, text)], items).items()}
+    apart = table(spark, [f"{half} {prose(rng, 65)}", f"{prose(rng, 25)} {' '.join(base[25:])} {prose(rng, 40)}"], [8, 8])
+    assert found_windows(apart, benchmark) == {}
 
 
 # Sharding

@@ -4,18 +4,17 @@ A document is contaminated by a benchmark item if one of its windows of as many
 item has a weighted similarity of at least 0.8 to it: shingles of five words, each weighing
 as often as it occurs, shared weight over united weight.
 
-A window at 0.8 shares shingles with the item, so windows are laid where a document's shingle
-is one of the item's: word p against the item's word q puts the window at p - q, kept inside
-the document. Where these starts differ, as after an insertion, the best window can lie between
-the smallest and the largest of them, at a start where a shared shingle comes in at the end:
-these are laid too. Outside of the two no window is better, as on the way to them no shared
-shingle is lost. Windows and items get 64-bit SimHashes; those within radius bits are found by
-multi-index Hamming blocks: of 8 blocks of 8 bits, one differs in at most radius // 8 bits if
-the whole differs in at most radius, so items are filed under all such variants of each block
-and windows look up their own blocks. What is found is verified by its exact similarity.
-
-At a similarity of 0.8 a SimHash differs in 10 of 64 bits on average, in over 23 with a
-probability of about 1 in 100 000, hence the radius.
+Windows. A window at 0.8 shares a known number of shingles with its item, so no window is laid
+where fewer of a text's shingles are an item's of that length. Of a run of starts the first best
+one is the text's first start or one at which a shared shingle comes in at the end; all of these
+that hold enough shared shingles are laid. The result is that of trying every start.
+
+Candidates. Windows and items get 64-bit SimHashes. Items are filed by length and block: of 8
+blocks of 8 bits one differs in at most radius // 8 bits if the whole differs in at most radius,
+so each block is filed under all such variants. A window looks up its own blocks and meets every
+item within radius, whichever item's shingles laid it. What it meets is verified by its exact
+similarity. At a similarity of 0.8 a SimHash differs in 10 of 64 bits on average, in over 23
+with a probability of about 1 in 100 000, hence the radius.
 """
 
 from __future__ import annotations
@@ -67,14 +66,13 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = 0.8, radius: int = 23, shingle: int = 5) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): each contaminated document and item once, by the best, then first window.
 
-    Of equally good windows those that bring a shingle to its place in the item go first.
-
-    Items of fewer than five words are one shingle of all their words; empty or null items
-    and texts match nothing. Rows with a null id are left out; rows of one id count together. No
+    A text shorter than an item is one window. Items of fewer than five words are one shingle of
+    all their words; empty or null items and texts match nothing. Rows with a null id are left
+    out; of several rows of one id each is judged alone and the best window of all is given. No
     contamination, or an empty table, gives no rows. Other columns are left out.
     """
-    items = cut(with_words(id_and_text(benchmark, item_col, text_col).withColumnRenamed("doc_id", "item_id"))).where(F.size("words") > 0)
-    texts = id_and_text(docs, id_col, text_col)
+    items = cut(with_words(id_and_text(benchmark, item_col, text_col).withColumnRenamed("doc_id", "item_id"))).where((F.size("words") > 0) & F.col("item_id").isNotNull())
+    texts = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     found = None
     for k in [r[0] for r in items.select(F.least(F.size("words"), F.lit(shingle))).distinct().collect()]:  # at most five values
         exact = (F.size("words") >= k) if k == shingle else (F.size("words") == k)
@@ -85,54 +83,67 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found
 
 
+def _hashed(texts: DataFrame, k: int) -> DataFrame:
+    """(doc_id, row, doc_words, doc_hashes and the other columns): row tells apart texts of one id."""
+    words = with_words(texts.withColumn("row", F.xxhash64("text")))
+    return words.select(*(c for c in words.columns if c != "words"), F.size("words").alias("doc_words"), shingle_hashes(F.col("words"), k).alias("doc_hashes"))
+
+
+def _starts(places, in_window, enough):
+    """Starts of the windows of in_window shingles that end with one of places (sorted) and hold at least enough of them, in order, each once."""
+    start = lambda last: F.greatest(F.lit(0), last - in_window + 1)
+    last = F.when(F.size(places) >= enough, F.slice(places, enough, F.size(places) - enough + 1))
+    full = F.filter(last, lambda p, i: F.get(places, i) >= start(p))  # the place that is enough - 1 places before is in the window
+    return F.array_distinct(F.transform(full, start))
+
+
 def _contaminated(texts: DataFrame, items: DataFrame, k: int, threshold: float, radius: int) -> DataFrame:
     hashed = cut(items.select("item_id", F.size("words").alias("n_words"), shingle_hashes(F.col("words"), k).alias("hashes")).withColumn("item_fp", simhash(F.col("hashes"))))
     item_count, shingles = hashed.agg(F.count("*"), F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()
-    filed = hashed.select("item_id", "n_words", F.posexplode_outer("hashes").alias("q", "h"))
-
-    # Windows of the item's length, laid by a shared shingle.
-    def with_hashes(df: DataFrame) -> DataFrame:
-        words = with_words(df)
-        return words.select(*(c for c in words.columns if c != "words"), F.size("words").alias("doc_words"), shingle_hashes(F.col("words"), k).alias("doc_hashes"))
+    filed = hashed.select("item_id", "n_words", F.explode_outer("hashes").alias("h"))
 
-    met = with_hashes(texts).select("doc_id", "doc_words", F.posexplode_outer("doc_hashes").alias("p", "h")).join(_bounded(filed, shingles), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("doc_words") - F.col("n_words")))
-    laid = met.groupBy("doc_id", "item_id", "n_words", "doc_words").agg(F.collect_set(start).alias("placed"), F.collect_set("p").alias("places"))
+    # Windows that can reach the threshold.
+    met = _hashed(texts, k).select("doc_id", "row", "doc_words", F.posexplode_outer("doc_hashes").alias("p", "h")).join(_bounded(filed.select("n_words", "h").distinct(), shingles), "h")
+    places = met.groupBy("doc_id", "row", "doc_words", "n_words").agg(F.array_sort(F.collect_list("p")).alias("places"))
     in_window = F.least("n_words", "doc_words") - k + 1
-    enough = F.ceil(threshold / (1 + threshold) * (in_window + F.col("n_words") - k + 1) - 1e-9)  # shingles that a window at threshold shares
-    laid = laid.where(F.size("places") >= enough).withColumns({"low": F.array_min("placed"), "high": F.array_max("placed")})
-    entering = F.filter(F.transform("places", lambda p: p - F.col("n_words") + k), lambda s: (s > F.col("low")) & (s < F.col("high")))
-    laid = laid.select("doc_id", "item_id", "n_words", "placed", F.array_except(entering, F.col("placed")).alias("between"))
-    starts = F.concat(*(F.transform(c, lambda s, i=i: F.struct(F.lit(i).alias("between"), s.alias("start_word"))) for i, c in enumerate(("placed", "between"))))
-    laid = laid.select("doc_id", "item_id", "n_words", F.explode_outer(starts).alias("s")).select("doc_id", "item_id", "n_words", "s.between", "s.start_word")
-    asked = laid.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_words", "between", "start_word")).alias("asked"))
-    window = F.slice("doc_hashes", F.col("a.start_word") + 1, F.col("a.n_words") - k + 1)
-    windows = with_hashes(texts.join(asked, "doc_id")).select("doc_id", "doc_hashes", F.explode_outer("asked").alias("a"))
-    windows = cut(windows.select("doc_id", "a.item_id", "a.n_words", "a.between", "a.start_word", window.alias("hashes")).withColumn("fp", simhash(F.col("hashes"))))
-
-    # Multi-index Hamming blocks.
+    enough = F.greatest(F.lit(1), F.ceil(threshold / (1 + threshold) * (in_window + F.col("n_words") - k + 1) - 1e-9).cast("int"))  # shingles that a window at threshold shares
+    laid = places.select("doc_id", "row", "n_words", _starts(F.col("places"), in_window, enough).alias("starts")).where(F.size("starts") > 0)
+    asked = laid.groupBy("doc_id", "row").agg(F.collect_list(F.struct("n_words", "starts")).alias("asked"))
+    sizes = F.flatten(F.transform("asked", lambda a: F.transform(a["starts"], lambda s: F.struct(a["n_words"].alias("n_words"), s.alias("start_word")))))
+    sliced = F.transform(sizes, lambda a: F.struct(a["n_words"].alias("n_words"), a["start_word"].alias("start_word"), F.slice("doc_hashes", a["start_word"] + 1, a["n_words"] - k + 1).alias("hashes")))
+    wanted = texts.withColumn("row", F.xxhash64("text")).join(asked, ["doc_id", "row"])
+    windows = _hashed(wanted.drop("row"), k).select("doc_id", "row", F.explode_outer(sliced).alias("w")).select("doc_id", "row", "w.*")
+    windows = cut(windows.dropDuplicates(["doc_id", "row", "n_words", "start_word"]).withColumn("fp", simhash(F.col("hashes"))))
+
+    # Multi-index Hamming blocks: a window meets the items of its length within radius.
     masks = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= radius // BLOCKS]
     flips = F.array(*(F.lit(m) for m in masks))
     numbers = F.array(*(F.lit(i) for i in range(BLOCKS)))
-    index = hashed.select("item_id", "item_fp", F.explode(numbers).alias("block")).select("item_id", "item_fp", "block", F.explode(flips).alias("flip"))
-    index = index.select("item_id", "item_fp", "block", block(F.col("item_fp"), F.col("block")).bitwiseXOR(F.col("flip")).alias("value"))
+    index = hashed.select("item_id", "n_words", "item_fp", F.explode(numbers).alias("block")).select("*", F.explode(flips).alias("flip"))
+    index = index.select("item_id", "n_words", "item_fp", "block", block(F.col("item_fp"), F.col("block")).bitwiseXOR(F.col("flip")).alias("value"))
     looked = windows.select("*", F.explode(numbers).alias("block")).withColumn("value", block(F.col("fp"), F.col("block")))
-    near = looked.join(_bounded(index, item_count * BLOCKS * len(masks)), ["item_id", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.dropDuplicates(["doc_id", "item_id", "start_word"]).select("doc_id", "item_id", "n_words", "between", "start_word", "hashes")
+    near = looked.join(_bounded(index, item_count * BLOCKS * len(masks)), ["n_words", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    # Of the blocks that meet, the first one counts.
+    agreeing = lambda i: F.bit_count(block(F.col("fp").bitwiseXOR(F.col("item_fp")), i).cast("long")) <= radius // BLOCKS
+    near = near.where(F.col("block") == F.array_min(F.filter(numbers, agreeing))).select("doc_id", "row", "item_id", "n_words", "start_word", "hashes")
 
     # Exact weighted similarity.
     weights = filed.groupBy("item_id", "h").agg(F.count("*").alias("item_weight"))
-    key = ["doc_id", "item_id", "n_words", "between", "start_word"]
+    key = ["doc_id", "row", "item_id", "n_words", "start_word"]
     own = near.select(*key, F.size("hashes").alias("n"), F.explode_outer("hashes").alias("h")).groupBy(*key, "n", "h").agg(F.count("*").alias("weight"))
     shared = own.join(_bounded(weights, shingles), ["item_id", "h"]).groupBy(*key, "n").agg(F.sum(F.least("weight", "item_weight")).alias("shared"))
     united = F.col("n") + F.col("n_words") - k + 1 - F.col("shared")
     scored = shared.withColumn("similarity", F.col("shared") / united).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("doc_id", "item_id", "n_words").agg(F.min(F.struct((-F.col("similarity")).alias("loss"), "between", "start_word")).alias("b"))
+    best = scored.groupBy("doc_id", "item_id", "n_words").agg(F.min(F.struct((-F.col("similarity")).alias("loss"), "start_word")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.start_word").alias("start_word"), "n_words", F.round(-F.col("b.loss"), 6).alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs without the contaminated ones. Rows with a null id stay."""
+    """docs without the contaminated ones.
+
+    All rows of a contaminated id go; rows with a null id or text stay, as do all where a table is
+    empty. Columns are those of docs, whatever their names beside doc_id and text.
+    """
     return docs.join(contaminated(docs, benchmark, threshold=threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 

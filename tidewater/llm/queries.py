@@ -48,12 +48,11 @@ ORACLE_SQL = {
         ds AS (SELECT doc_id, p, len(x) AS nd, array_to_string(x[p + 1:p + 5], ' ') AS h FROM (SELECT doc_id, x, unnest(range(0, len(x) - 4)) AS p FROM d)),
         i AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS x FROM benchmark),
         s AS (SELECT item_id, q, len(x) AS ni, array_to_string(x[q + 1:q + 5], ' ') AS h FROM (SELECT item_id, x, unnest(range(0, len(x) - 4)) AS q FROM i)),
-        laid AS (SELECT DISTINCT doc_id, item_id, ni, greatest(0, least(p - q, nd - ni)) AS start FROM ds JOIN s USING (h)),
-        w AS (SELECT doc_id, item_id, ni, start, ds.h AS h, count(*) AS n FROM laid JOIN ds USING (doc_id) WHERE p BETWEEN start AND start + ni - 5 GROUP BY ALL),
-        t AS (SELECT doc_id, item_id, ni, start, sum(n) AS total FROM w GROUP BY ALL),
-        m AS (SELECT item_id, h, count(*) AS n FROM s GROUP BY ALL),
-        c AS (SELECT doc_id, item_id, ni, start, sum(least(w.n, m.n)) AS shared FROM w JOIN m USING (item_id, h) GROUP BY ALL),
-        r AS (SELECT doc_id, item_id, ni, start, shared / (total + ni - 4 - shared) AS sim FROM c JOIN t USING (doc_id, item_id, ni, start))
+        m AS (SELECT item_id, ni, h, count(*) AS n FROM s GROUP BY ALL),
+        hit AS (SELECT doc_id, item_id, ni, nd, p, ds.h AS h, m.n AS n FROM ds JOIN m USING (h)),
+        o AS (SELECT doc_id, item_id, ni, nd, unnest(range(0, greatest(nd - ni, 0) + 1)) AS start FROM (SELECT DISTINCT doc_id, item_id, ni, nd FROM hit)),
+        w AS (SELECT o.doc_id, o.item_id, o.ni, o.nd, o.start, h, least(count(*), any_value(n)) AS n FROM o JOIN hit ON hit.doc_id = o.doc_id AND hit.item_id = o.item_id AND p BETWEEN start AND start + o.ni - 5 GROUP BY ALL),
+        r AS (SELECT doc_id, item_id, ni, start, sum(n) / (least(nd, ni) - 4 + ni - 4 - sum(n)) AS sim FROM w GROUP BY doc_id, item_id, ni, nd, start)
         SELECT doc_id, item_id, start::INT AS start_word, ni::INT AS n_words, round(sim, 6) AS similarity FROM r WHERE sim >= 0.8
         QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, start) = 1""",
 }
