@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tidewater.llm import bpe, components, decontam, licenses, media, sharding, simhash, suffixes, token_counts, toxicity, warc  # noqa: E402
+from tidewater.llm import bpe, components, decontam, license_texts, licenses, media, sharding, simhash, suffixes, token_counts, toxicity, warc  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -161,6 +162,13 @@ def test_peaks_of_a_tone():
 # Licenses
 
 
+SCANNER = licenses.Scanner(license_texts.templates())
+
+
+def found_licenses(text):
+    return [r for block in SCANNER.blocks(text) for r in SCANNER.scan(tuple(block))]
+
+
 def test_license_scan(spark):
     lines = {
         "Released under the MIT License.": "MIT",
@@ -169,20 +177,91 @@ def test_license_scan(spark):
         "this work is licenced under the gnu general public license, version 3!": "GPL-3.0",
         "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
         "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "All rights reserved.": "All-Rights-Reserved",
         "My driving license and the warranty of my car are both over by now.": None,
     }
-    texts = [f"some text\n{line}\nmore\n" for line in lines] + [None, "", "nothing here", "\n".join([*lines] * 2)]
-    rows = licenses.scan_licenses(table(spark, texts)).collect()
+    texts = [f"some text\n{line}\nmore\n" for line in lines] + [None, "", "nothing here", "\nmy aunt came\n".join([*lines] * 2)]
+    rows = licenses.scan_licenses(table(spark, texts, [*range(len(texts) - 1), None]).withColumn("line_no", F.lit("clash"))).collect()
     assert {r["block"]: r["license"] for r in rows} == lines and len(rows) == 3 * len(lines)
-    assert {r["line_no"] for r in rows if r["doc_id"] < len(lines)} == {1}
+    assert {(r["line_no"], r["end_line"]) for r in rows if r["doc_id"] is not None} == {(1, 2)}
+    assert [r["line_no"] for r in rows if r["doc_id"] is None] == list(range(0, 4 * len(lines), 2))
     exact = next(r for r in rows if r["block"].startswith("Released"))
     changed = next(r for r in rows if "licenced" in r["block"])
     assert exact["differing_words"] == 0 and exact["reduction"] > 0.4 and sorted(changed["differences"]) == ["+licenced", "-licensed"]
+    assert licenses.scan_licenses(table(spark, [])).count() == 0
+
+
+def test_license_names_are_told_apart():
+    """Texts that a tolerance for differing words alone would give to a sister license."""
+    lgpl = license_texts.TEXTS["LGPL-2.1"]
+    gpl_line = "This program is free software: you can redistribute it and/or modify"
+    mit, bsd = license_texts.TEXTS["MIT"].split("\n"), license_texts.TEXTS["BSD-3-Clause"].split("\n")
+    want = {
+        lgpl: "LGPL-2.1",
+        "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Licensed under the Apache License, Version 1.1.": None,
+        "Licensed under the GNU General Public License, version 4.": None,
+        "This work is not licensed under the MIT License.": None,
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        gpl_line: "ambiguous",
+        mit[0]: "MIT",
+        mit[2]: "ambiguous",  # MIT and MIT-0 share it
+        bsd[2]: "ambiguous",
+        license_texts.TEXTS["BSD-2-Clause"]: "BSD-2-Clause",
+    }
+    assert {t: found_licenses(t)[0][3] for t in want} == want and all(len(found_licenses(t)) == 1 for t in want)
+    assert found_licenses(gpl_line)[0][4] == ["AGPL-3.0", "GPL-2.0", "GPL-3.0"] and found_licenses(bsd[2])[0][4] == ["BSD-2-Clause", "BSD-3-Clause"]
+
+
+@pytest.mark.parametrize("name", sorted(license_texts.TEXTS))
+def test_whole_licenses_however_they_are_laid_out(name):
+    text = license_texts.TEXTS[name]
+    paragraphs = text.split("\n")
+    boxed = "\n\n".join(textwrap.fill(p, 60, initial_indent=" * ", subsequent_indent=" * ") for p in paragraphs)
+    for laid in (text, "\n".join(textwrap.fill(p, 72) for p in paragraphs), " ".join(paragraphs), f"Copyright (c) 2020 Jo Doe\n\n{boxed}"):
+        assert re.search(licenses.CUES, laid)
+        rows = found_licenses(f"We were at sea for a week.\n{laid}\nThe end came soon.")
+        assert [r[3] for r in rows if r[3]] == [name], [(r[3], r[2]) for r in rows]
+    rows = found_licenses(f"{text}\n\n\n\nLicensed under CC BY-SA 4.0.")
+    assert [r[3] for r in rows] == [name, "CC-BY-SA-4.0"]
+
+
+def slow_differences(block, template):
+    """Edit distance of the block to the nearest stretch, by the textbook."""
+    row = [0] * (len(template) + 1)
+    for i, w in enumerate(block):
+        new = [i + 1]
+        for j, t in enumerate(template):
+            new.append(min(row[j] + (w != t), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_licenses_against_all_templates():
+    """Texts with some words changed, dropped or put in: the winner is nearest of all templates, told from the others by brute force."""
+    rng = random.Random(4)
+    for name in sorted(license_texts.TEXTS):
+        own = SCANNER.words[name]
+        for size in (12, 40):
+            at = rng.randrange(max(1, len(own) - size))
+            block = own[at : at + size]
+            assert licenses.differences(block, own)[0] == 0
+            for _ in range(size // 12):
+                block[rng.randrange(len(block))] = rng.choice(["qwe", "rty"])
+            del block[rng.randrange(len(block))]
+            slow = {n: slow_differences(block, w) for n, w in SCANNER.words.items()}
+            for n, w in SCANNER.words.items():
+                count, found = licenses.differences(block, w)
+                assert count == slow[n] and count <= len(found) <= 2 * count
+            rows = SCANNER.scan(((0, " ".join(block)),))
+            fits = {n for n, d in slow.items() if d == min(slow.values())}
+            assert all(r[3] is None or set(r[4]) <= fits for r in rows)
 
 
 def test_license_ranking_is_of_all_templates():
     scanner = licenses.Scanner({"a": "alpha beta gamma delta epsilon zeta license", "b": "alpha beta gamma delta epsilon zeta eta license"})
-    assert scanner.scan("alpha beta gamma delta epsilon zeta eta license")[0] == "b"
+    assert scanner.scan(((0, "alpha beta gamma delta epsilon zeta eta license"),))[0][3] == "b"
 
 
 # Toxicity

@@ -1,120 +1,218 @@
 """License scans by conditional compression.
 
-A document's lines that speak of licensing are candidate blocks. Each is compressed alone and
-with each template as a zstandard raw-content dictionary; the template that saves most leads
-the ranking. The leader is confirmed, or the next one is tried, by the exact differences in
-wording: a block is a template's if, next to the best-fitting stretch of it, at most a fifth
-of the words differ.
+Texts are cut into units: sentences of lines. A unit speaks of licensing if it has a cue word or
+if at least half of its words are in runs of three that stand in a template; neighbouring units that do are
+one candidate block, however its lines are wrapped. Each block is compressed alone and with each
+template as a zstandard raw-content dictionary, which ranks the templates by the bytes saved.
+
+Those that save are confirmed by the exact differences in wording. The units that a template
+covers are compared with its stretch: it fits if at most a fifth of the words differ and none of
+the differences is a word that tells licenses apart (a name, an element such as NC, a version, a
+negation). The fit of most words, a difference counting against two, is the license; if several
+licenses have it, as with a clause they share, it is "ambiguous". The block's other units are
+then a block of their own.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BoundedCache, flushed, id_and_text, read_table
+from .license_texts import ELEMENTS, templates
 
-# Words that make a line a candidate, and wordings of public licenses: fixed values.
-CUES = r"(?i)licen[sc]|copyright|warrant|redistribut|permission is|public domain|all rights reserved|creative commons|CC[ -]BY"
-TEMPLATES = {
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0. Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "BSD-3-Clause": "Released under the BSD License. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0. This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0. This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0. This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC0-1.0": "Released into the public domain. Licensed under CC0 1.0. To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2. This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MIT": "Released under the MIT License. Licensed under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The software is provided \"as is\", without warranty of any kind, express or implied.",
-    "All-Rights-Reserved": "All rights reserved. Copyright by the author. All rights reserved. No part of this work may be reproduced or distributed without prior written permission of the copyright holder.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-}
+# Words of which a text with a license has one, and words that tell licenses apart: fixed values.
+CUES = r"(?i)licen[sc]|copyright|warrant|redistribut|permission|permitted|public domain|public at large|rights reserved|creative commons|CC[ -]BY|\bCC0|merchantab|liab(?:le|ility)|as[ -]is\b|free software|restriction|hereby|source code|source form|source distribution|compiled binary|original software|and/or|relinquish|\bMPL\b|GPL\b|acknowledgment"
+TELLING = {"affero", "lesser", "library-general", "gpl", "lgpl", "agpl", "mit", "isc", "bsd", "apache", "mozilla", "mpl", "eclipse", "epl", "boost", "zlib", "unlicense", "cc", "cc0", "zero", "commercial", "non-commercial", "noderivs", "public", "not", "no", "non", "without", "never", "neither", "except", "simplified", "domain"} | {e.lower() for e in ELEMENTS.values()}
+VERSION = re.compile(r"v?\d+(?:\.\d+)*(?:-clause)?|by(?:-(?:nc|nd|sa))+|(?:attribution|noncommercial)-.*")
+CUE = re.compile(CUES)
 WORD = re.compile(r"[\w.\-+/]*\w")
+MARK = re.compile(r"^\s*(?:(?:[-*•#/;%>|]+|\(?[0-9a-z]{1,2}[.)])\s*)+(?=\s|\w|[\"'(])", re.I)
+SENTENCE = re.compile(r"(?<=\w\w[.;:!?])\s+(?=[\"'(]?[A-Z0-9])")
+COPYRIGHT = re.compile(r"(?i)^\W*(?:copyright\s*(?:\(c\)|©|\d{4}|by\b)|\(c\)\s|©)")
 DIFFERENCE = 0.2
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return WORD.findall(re.sub(r"\blibrary general\b", "library-general", MARK.sub("", text.lower())))
+
+
+def telling(word: str) -> bool:
+    return word in TELLING or VERSION.fullmatch(word) is not None
 
 
 def differences(block: list[str], template: list[str]) -> tuple[int, list[str]]:
-    """The fewest differing words between the block and a stretch of the template, and the differences, as "-word" and "+word"."""
-    whole = difflib.SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks()
-    starts = {max(0, min(m.a - m.b, len(template) - 1)) for m in whole if m.size}
-    best: tuple[int, list[str]] = (len(block) + 1, [])
-    for start in sorted(starts):
-        part = template[start : start + len(block)]
-        found = []
-        for op, i, j, k, n in difflib.SequenceMatcher(None, part, block, autojunk=False).get_opcodes():
-            if op != "equal":
-                found += [f"-{w}" for w in part[i:j]] + [f"+{w}" for w in block[k:n]]
-        count = max(sum(x[0] == "-" for x in found), sum(x[0] == "+" for x in found))
-        if count < best[0]:
-            best = (count, found)
-    return best
+    """The fewest words by which the block differs from any stretch of the template (edit distance), and the differences, as "-word" and "+word"."""
+    code = {w: n for n, w in enumerate(dict.fromkeys(template))}
+    own, other = np.array([code.get(w, -1) for w in block]), np.array([code[w] for w in template])
+    steps = np.arange(len(template) + 1)
+    rows = np.zeros((len(block) + 1, len(template) + 1), dtype=np.int16 if len(block) < 32_000 else np.int32)
+    for i, w in enumerate(own):
+        row = np.concatenate([[i + 1], np.minimum(rows[i, :-1] + (other != w), rows[i, 1:] + 1)])
+        rows[i + 1] = np.minimum.accumulate(row - steps) + steps
+    i, j, found = len(block), int(rows[-1].argmin()), []
+    count = int(rows[-1, j])
+    while i:
+        if j and rows[i, j] == rows[i - 1, j - 1] + (own[i - 1] != other[j - 1]):
+            i, j = i - 1, j - 1
+            if own[i] != other[j]:
+                found += [f"+{block[i]}", f"-{template[j]}"]
+        elif rows[i, j] == rows[i - 1, j] + 1:
+            i -= 1
+            found.append(f"+{block[i]}")
+        else:
+            j -= 1
+            found.append(f"-{template[j]}")
+    return count, found[::-1]
+
+
+def trigrams(own: list[str]) -> list[tuple[str, ...]]:
+    return list(zip(own, own[1:], own[2:], strict=False))
+
+
+def marked(own: list[list[str]], runs: set[tuple[str, ...]]) -> list[int]:
+    """How many words of each unit are in a run of three words, also across units, that is in runs."""
+    flat = [w for u in own for w in u]
+    marks = bytearray(len(flat))
+    for i, r in enumerate(trigrams(flat)):
+        if r in runs:
+            marks[i : i + 3] = b"\1\1\1"
+    at, counts = 0, []
+    for u in own:
+        counts.append(sum(marks[at : at + len(u)]))
+        at += len(u)
+    return counts
+
+
+def units(text: str) -> list[tuple[int, str]]:
+    """(line, sentence) of each sentence; a blank line is an empty one."""
+    return [(n, part) for n, line in enumerate(text.split("\n")) for part in (SENTENCE.split(line.strip()) if line.strip() else [""])]
 
 
 class Scanner:
-    """Ranks and confirms templates for blocks of text."""
+    """Finds, ranks and confirms."""
 
-    def __init__(self, templates: dict[str, str], level: int = 3):
-        self.words = {k: words(v) for k, v in templates.items()}
+    def __init__(self, texts: dict[str, str], level: int = 3):
+        self.words = {name: [w for line in text.split("\n") for w in words(line)] for name, text in texts.items()}
+        self.runs = {name: set(trigrams(own)) for name, own in self.words.items()}
+        self.any_runs = set().union(*self.runs.values())
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
         self.with_template = {}
-        for name, text in templates.items():
+        for name, text in texts.items():
             raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(level=level)
             self.with_template[name] = zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def scan(self, block: str) -> tuple:
-        """(license, plain bytes, bytes with the template, reduction, differing words, differences); license null if none is confirmed, the rest then the leader's."""
-        data = block.encode()
+    def blocks(self, text: str) -> Iterator[list[tuple[int, str]]]:
+        """The runs of units that speak of licensing; up to two blank lines may part them."""
+        parts = units(text)
+        own = [words(u) for _, u in parts]
+        held: list[tuple[int, str]] = []
+        blank = 0
+        for (line, unit), w, n in zip(parts, own, marked(own, self.any_runs), strict=True):
+            if not unit:
+                blank += 1
+            elif CUE.search(unit) or (w and 2 * n >= len(w)):
+                if blank > 2 and held:
+                    yield held
+                    held = []
+                held.append((line, unit))
+                blank = 0
+            elif held:
+                yield held
+                held, blank = [], 0
+            else:
+                blank = 0
+        if held:
+            yield held
+
+    def fit(self, own: list[list[str]], name: str) -> tuple[int, int, int, int, list[str]] | None:
+        """(differing words, words, first unit, end unit, differences) of the units that a template covers best; None if it doesn't fit."""
+        template, met = self.words[name], marked(own, self.runs[name])
+        covered = [bool(u) and 2 * n >= len(u) for n, u in zip(met, own, strict=True)]
+        spans, at = [], 0
+        while at < len(own):
+            end = at
+            while end < len(own) and (covered[end] or (end > at and end + 1 < len(own) and covered[end + 1])):
+                end += 1
+            if end > at:
+                spans.append((sum(met[at:end]), -at, end))
+            at = end + 1
+        if not spans:
+            return None
+        first, end = -max(spans)[1], max(spans)[2]
+        block = [w for u in own[first:end] for w in u]
+        if (1 - DIFFERENCE) * len(block) > len(template):
+            return None
+        count, found = differences(block, template)
+        if count > DIFFERENCE * len(block) or any(telling(d[1:]) for d in found):
+            return None
+        return count, len(block), first, end, found
+
+    def scan(self, block: tuple[tuple[int, str], ...]) -> list[tuple]:
+        """Rows (first line, end line, text, license, candidates, plain bytes, bytes with the best template, reduction, differing words, differences), in order."""
+        text = "\n".join(u for _, u in block)
+        data = text.encode()
         alone = len(self.plain.compress(data))
         ranked = sorted((len(z.compress(data)), name) for name, z in self.with_template.items())
-        own, leader = words(block), None
-        for size, name in ranked:
-            if size >= alone:
-                break
-            count, found = differences(own, self.words[name])
-            row = (alone, size, round(1 - size / alone, 6), count, found)
-            leader = leader or row
-            if own and count <= DIFFERENCE * len(own):
-                return (name, *row)
-        return (None, *(leader or (alone, alone, 0.0, len(own), [f"+{w}" for w in own])))
-
-
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", cues: str = CUES, level: int = 3) -> DataFrame:
-    """A row per candidate block: doc_id, line_no (from 0), block, license, plain_bytes, template_bytes, reduction, differing_words, differences.
-
-    license is null where no template is confirmed. Null and empty texts, and texts without a
-    cue, have no candidates; null ids stay null; repeated rows and lines have rows of their
-    own. Other columns are left out. Ties in the ranking go to the first name.
+        saving = [(size, name) for size, name in ranked if size < alone]
+        own = [[] if COPYRIGHT.match(u) and "license" not in u.lower() else words(u) for _, u in block]
+        fits = [(2 * f[0] - f[1], size, name, f[0], *f[2:]) for size, name in saving if (f := self.fit(own, name))]
+        if not fits:
+            size = ranked[0][0] if ranked else alone
+            return [(block[0][0], block[-1][0] + 1, text, None, [], alone, min(size, alone), round(max(0.0, 1 - size / alone), 6), None, [])]
+        best = min(f[0] for f in fits)
+        names = sorted(f[2] for f in fits if f[0] == best)
+        _, size, _, count, first, end, found = min(f for f in fits if f[0] == best)
+        if first == 0 and end == len(block):
+            row = (block[0][0], block[-1][0] + 1, text, names[0] if len(names) == 1 else "ambiguous", names, alone, size, round(1 - size / alone, 6), count, found)
+            return [row]
+        parts = (block[:first], block[first:end], block[end:])
+        return [row for part in parts if part for row in self.scan(part)]
+
+
+def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", cues: str = CUES, level: int = 3) -> DataFrame:
+    """A row per candidate block: doc_id, line_no (from 0), end_line, block, license, candidates, plain_bytes, template_bytes, reduction, differing_words, differences.
+
+    license is null where no template is confirmed (differing_words too), "ambiguous" where
+    several are that candidates lists. texts: name to wording, by default short licenses whole
+    and long ones by their notices and names; read_texts adds whole ones from a folder. Texts
+    without any cue have no candidates, null and empty ones neither; null ids stay null; repeated
+    rows and lines have rows of their own; an empty table gives no rows. Other columns are left out.
     """
-    chosen = dict(TEMPLATES if templates is None else templates)
-    kinds = [("doc_id", pa.int64()), ("line_no", pa.int32()), ("block", pa.string()), ("license", pa.string()), ("plain_bytes", pa.int64()), ("template_bytes", pa.int64()), ("reduction", pa.float64()), ("differing_words", pa.int64()), ("differences", pa.list_(pa.string()))]
+    chosen = dict(templates() if texts is None else texts)
+    kinds = [("doc_id", pa.int64()), ("line_no", pa.int32()), ("end_line", pa.int32()), ("block", pa.string()), ("license", pa.string()), ("candidates", pa.list_(pa.string())), ("plain_bytes", pa.int64()), ("template_bytes", pa.int64()), ("reduction", pa.float64()), ("differing_words", pa.int64()), ("differences", pa.list_(pa.string()))]
     schema = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(chosen, level)
-        known = BoundedCache(scanner.scan, 20_000, longest=4096)
+        known = BoundedCache(scanner.scan, 20_000, longest=64)
 
         def rows():
             for b in batches:
-                for doc_id, line_no, block in zip(b["doc_id"], b["line_no"], b["block"], strict=True):
-                    yield doc_id.as_py(), line_no.as_py(), block.as_py(), *known[block.as_py()]
+                for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+                    for block in scanner.blocks(text.as_py()):
+                        base = block[0][0]
+                        for first, end, *rest in known[tuple((line - base, unit) for line, unit in block)]:
+                            yield doc_id.as_py(), first + base, end + base, *rest
+
+        return flushed(rows(), schema, lambda r: 4 * len(r[3]))
+
+    speaking = id_and_text(docs, id_col, text_col).where(F.col("text").rlike(cues))
+    return speaking.mapInArrow(run, "doc_id long, line_no int, end_line int, block string, license string, candidates array<string>, plain_bytes long, template_bytes long, reduction double, differing_words long, differences array<string>")
 
-        return flushed(rows(), schema, lambda r: 4 * len(r[2]))
 
-    lines = id_and_text(docs, id_col, text_col).where(F.col("text").rlike(cues)).select("doc_id", F.posexplode(F.split("text", r"\n")).alias("line_no", "block"))
-    return lines.where(F.col("block").rlike(cues)).mapInArrow(run, "doc_id long, line_no int, block string, license string, plain_bytes long, template_bytes long, reduction double, differing_words long, differences array<string>")
+def read_texts(spark, folder: str) -> dict[str, str]:
+    """Whole license texts for scan_licenses: each file of a folder (some dozen, on any file system Spark reads) by its name."""
+    return {r["path"].rpartition("/")[2]: bytes(r["content"]).decode(errors="replace") for r in spark.read.format("binaryFile").load(folder).select("path", "content").collect()}
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     rows = scan_licenses(read_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "line_no", "license", "plain_bytes", "template_bytes", "reduction", "differing_words", F.array_join("differences", " ").alias("differences"))
+    return rows.select("doc_id", "line_no", "end_line", "license", F.array_join("candidates", " ").alias("candidates"), "plain_bytes", "template_bytes", "reduction", "differing_words", F.array_join("differences", " ").alias("differences"))
