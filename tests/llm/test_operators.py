@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tidewater.llm import bpe, components, decontam, license_texts, licenses, media, sharding, simhash, suffixes, token_counts, toxicity, warc  # noqa: E402
+from tidewater.llm import bpe, components, decontam, license_texts, licenses, media, resemblance, sharding, simhash, suffixes, token_counts, toxicity, warc  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -343,8 +343,6 @@ def test_simhash_components(spark, corpus, leaf):
     rows = {r["doc_id"]: r for r in simhash.simhash_components(table(spark, texts), leaf=leaf).collect()}
     assert [rows[i]["fp"] & (1 << 64) - 1 for i in range(len(texts))] == prints.tolist()
     assert [rows[i]["component_id"] for i in range(len(texts))] == want.tolist()
-    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(table(spark, texts)).collect()}
-    assert kept == set(want.tolist())
 
 
 @settings(max_examples=40, deadline=None)
@@ -373,7 +371,6 @@ def test_simhash_edges(spark):
     docs = table(spark, ["a b c d", "a b c d", None, "a b c d"], [None, 4, None, 4])
     rows = sorted(map(str, simhash.simhash_components(docs).collect()))
     assert len(rows) == 4 and sum("component_id=4" in r for r in rows) == 3
-    assert sorted(str(r["doc_id"]) for r in simhash.drop_near_duplicates(docs).collect()) == ["4", "None", "None"]
     assert simhash.simhash_components(table(spark, []).select("doc_id", "text")).count() == 0
 
 
@@ -573,7 +570,7 @@ OPERATORS = {
     "5": lambda d, s: toxicity.score_toxicity(d, toxicity.OrdinalModel({1: 1.0}, [1.0, 2.0])),
     "5 drop": lambda d, s: toxicity.drop_toxic(d, toxicity.OrdinalModel({1: 1.0}, [1.0, 2.0])),
     "6": lambda d, s: simhash.simhash_components(d),
-    "6 drop": lambda d, s: simhash.drop_near_duplicates(d),
+    "6 drop": lambda d, s: resemblance.drop_near_duplicates(d),
     "7": lambda d, s: suffixes.repeated_spans(d),
     "7 cut": lambda d, s: suffixes.remove_repeats(d),
     "8": lambda d, s: decontam.contaminated(d, s.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (None, "x"), (2, None)], "item_id long, text string")),

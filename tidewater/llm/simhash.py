@@ -40,6 +40,12 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
     hashes = np.array([digest(line[a:b], seed) for a, b in spans], dtype="<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of some 64-bit hashes."""
+    hashes = np.ascontiguousarray(hashes, dtype="<u8")
     bits = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         lanes = SPREAD[hashes[at : at + (1 << 16)].view(np.uint8)].reshape(-1, 8)
@@ -192,16 +198,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """docs without those of a component other than the one with its smallest doc_id; of repeated rows of that id one stays.
-
-    Rows with a null id have no place in an order and stay.
-    """
-    kept = simhash_components(docs, budget=budget).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
-
-
 def op6_simhash_trie(spark, sf_dir: str) -> DataFrame:
     rows = simhash_components(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
