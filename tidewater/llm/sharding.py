@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import cut, read_table
 
 MULTIPLIER = np.uint64(2862933555777941757)  # of the published generator
 
@@ -46,32 +46,28 @@ def jump_shard(key, shards: int):
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 20_000) -> DataFrame:
     """Place every row in a shard by its id, and number each shard's rows 0, 1, 2 ... without a gap.
 
-    Numbering is two-level, so that no task holds a shard: rows fall into hash buckets
-    inside their shard, buckets are counted from the id column alone, and a row's slot is
-    the sum of the buckets before it plus its place in its own.
+    Numbering is two-level, so that no task holds a shard: rows fall into hash buckets inside
+    their shard, and a row's slot is the number of rows in the buckets before it plus its place
+    in its own. A bucket that repeated rows have filled far beyond its share is cut into parts.
 
     Nulls: a null id is one key and goes to one shard; a null text has size 1 and the CRC
     of nothing. Repeated ids share a shard and get slots of their own. An empty table gives
     no rows. Other columns are left out.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(256, docs.count() // rows_per_bucket)
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.withColumns({"shard": jump_shard(F.col("doc_id"), shards), "bucket": F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(buckets))})
-
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed(ids.select("doc_id")).groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    measured = ids.select(
-        "doc_id",
-        (F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1)).cast("long").alias("size"),
-        F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"),
-    )
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
-    rows = placed(measured).withColumn("grown_shard", jump_shard(F.col("doc_id"), shards + 1)).withColumn("place", F.row_number().over(within) - 1)
-    return rows.join(offsets, ["shard", "bucket"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("place")).cast("long").alias("slot"), "grown_shard"
-    )
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    measured = texts.select("doc_id", (F.octet_length("text") + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode("text", "utf-8")).alias("text_crc32"))
+    # Narrow rows, checkpointed: numbers of rows are then fixed, whatever is computed again.
+    rows = cut(measured.withColumns({"shard": jump_shard(F.col("doc_id"), shards), "grown_shard": jump_shard(F.col("doc_id"), shards + 1), "number": F.monotonically_increasing_id()}))
+    buckets = max(256, rows.count() // rows_per_bucket)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)))
+    filled = cut(rows.groupBy("shard", "bucket").agg(F.ceil(F.count("*") / (8 * rows_per_bucket)).alias("parts")))
+    rows = rows.join(filled, ["shard", "bucket"]).withColumn("part", F.pmod(F.xxhash64("number"), "parts"))
+    key = ["shard", "bucket", "part"]
+    before = Window.partitionBy("shard").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*key).count().select(*key, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy(*key).orderBy("doc_id", "size", "text_crc32")
+    placed = rows.withColumn("place", F.row_number().over(within) - 1).join(offsets, key)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("place")).cast("long").alias("slot"), "grown_shard")
 
 
 def op9_jump_sharding(spark, sf_dir: str) -> DataFrame:
