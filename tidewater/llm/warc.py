@@ -68,7 +68,7 @@ def write_archives(records: DataFrame, path: str, chunk_bytes: int = 64 << 10, s
     """Write with_record_types' rows as archives under path, which all executors share. Returns the index: archive, offset, length, records.
 
     The index is written too, as Parquet under path/index. A segment is a run of whole records
-    of about segment_bytes, the unit of reading.
+    of about segment_bytes, the unit of reading. Repeated rows of a page share a record id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ class Inflated:
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode(errors="replace").strip().split("\r\n")[1:])}
 
 
 def _page(uri: str | None) -> int | None:
@@ -162,13 +162,15 @@ def chunks(raw, length: int, chunk_bytes: int) -> Iterator[tuple]:
     """Rows of read_chunks, in order, from a stretch of an archive."""
     data = Inflated(raw, length, chunk_bytes)
     while (head := data.head()) is not None:
-        if not head.startswith(VERSION):
+        if not head.lstrip().startswith(b"WARC/"):
             raise ValueError("not a WARC record")
         f = _fields(head)
-        http = data.head()
-        left = int(f["content-length"]) - len(http) - 4
-        whole, kind = int(_fields(http)["content-length"]), f["warc-type"]
-        stated = f["warc-payload-digest"].partition(":")[2]
+        left, whole, kind = int(f["content-length"]), None, f["warc-type"]
+        if f.get("content-type", "").startswith("application/http") and left:
+            http = data.head()
+            left, whole = left - len(http) - 4, _fields(http).get("content-length")
+        sort, _, stated = f.get("warc-payload-digest", "").partition(":")
+        stated = stated.lower() if sort.lower() == "sha256" else None
         digest, done, n = hashlib.sha256(), 0, 0
         while True:
             part = data.take(min(chunk_bytes, left - done))
@@ -176,9 +178,11 @@ def chunks(raw, length: int, chunk_bytes: int) -> Iterator[tuple]:
             done += len(part)
             last = done >= left
             so_far = digest.copy().hexdigest()
-            if last and kind == "response" and (so_far != stated or done != whole):
-                raise ValueError(f"{f['warc-record-id']}: the payload differs from its digest")
-            yield f["warc-record-id"], _page(f["warc-record-id"]), kind, _page(f.get("warc-refers-to")), f.get("warc-target-uri"), n, part, done, so_far, last, whole, stated
+            own = last and kind != "revisit"
+            if own and (stated not in (None, so_far) or (kind == "response" and whole not in (None, str(done)))):
+                raise ValueError(f"{f['warc-record-id']}: the payload differs from its digest or length")
+            size = done if own else None if whole is None else int(whole)
+            yield f["warc-record-id"], _page(f["warc-record-id"]), kind, _page(f.get("warc-refers-to")), f.get("warc-target-uri"), n, part, done, so_far, last, size, so_far if own else stated
             n += 1
             if last:
                 break
@@ -189,12 +193,20 @@ def chunks(raw, length: int, chunk_bytes: int) -> Iterator[tuple]:
 CHUNK_FIELDS = [("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("chunk_no", pa.int32()), ("chunk", pa.binary()), ("bytes_so_far", pa.int64()), ("digest_so_far", pa.string()), ("is_last", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
 
 
-def read_chunks(index: DataFrame, path: str, chunk_bytes: int = 256 << 10) -> DataFrame:
+def list_archives(spark, folder: str) -> DataFrame:
+    """An index for read_chunks of the archives (*.warc.gz) in a folder: one stretch each, as where their records begin isn't known."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), F.lit(0).cast("long").alias("offset"), "length")
+
+
+def read_chunks(index: DataFrame, path: str, chunk_bytes: int = 256 << 10, task_bytes: int = 256 << 20) -> DataFrame:
     """The chunk table: record_id, page_id, record_type, refers_to, url, chunk_no, chunk, bytes_so_far, digest_so_far, is_last, payload_bytes, payload_digest.
 
     Every record has at least one chunk, its last flagged is_last; a revisit's is empty, its
     payload_bytes and payload_digest those of the payload it refers to. A payload that differs
-    from its stated digest raises an error.
+    from its stated SHA-256 or length raises an error. Archives of others are read as well:
+    records without an HTTP head are payload as a whole, page ids and what isn't stated are null,
+    sizes and digests are then known on the last chunk. Tasks take about task_bytes of archives.
     """
     kinds = {pa.string(): "string", pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean"}
     ddl = ", ".join(f"{k} {kinds[v]}" for k, v in CHUNK_FIELDS)
@@ -211,7 +223,9 @@ def read_chunks(index: DataFrame, path: str, chunk_bytes: int = 256 << 10) -> Da
 
         return flushed(rows(), pa.schema(CHUNK_FIELDS), lambda r: len(r[6]))
 
-    return index.repartition(max(1, index.count())).mapInArrow(run, ddl)
+    stretches, total = index.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = min(stretches, max(2 * index.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes)))
+    return index.repartition(max(1, tasks)).mapInArrow(run, ddl)
 
 
 def op1_warc_chunks(spark, sf_dir: str) -> DataFrame:
