@@ -42,11 +42,11 @@ def write_wav(payload: bytes, rate: int = 8000) -> bytes:
     return out.getvalue()
 
 
-def peaks(samples: np.ndarray, frame: int = 512, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """(frame number, bin) of the strongest bin of each band in each frame, where it stands out from its band."""
-    if len(samples) % frame:
-        samples = np.concatenate([samples, np.full(frame - len(samples) % frame, 128, dtype=np.uint8)])
-    frames = samples.reshape(-1, frame)
+def peaks(samples: np.ndarray, frame: int = 512, hop: int = 256, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(frame number, bin) of the strongest bin of each band in each frame, where it stands out from its band. Frames overlap, so every sample counts in one."""
+    short = max(frame, -(-len(samples) // hop) * hop + frame - hop) - len(samples)
+    filled = np.concatenate([samples, np.full(short, 128, dtype=np.uint8)])
+    frames = np.lib.stride_tricks.sliding_window_view(filled, frame)[::hop]
     taper = np.hanning(frame)
     times, bins = [], []
     for at in range(0, len(frames), block):
@@ -63,13 +63,14 @@ def peaks(samples: np.ndarray, frame: int = 512, block: int = 512) -> tuple[np.n
 
 
 def landmarks(t: np.ndarray, f: np.ndarray, fan_out: int = 3, reach: int = 15) -> np.ndarray:
-    """Time-coded pairs: the anchor's frame in the high 32 bits; below, 10 bits for each frequency and 6 for the frames between."""
-    codes = [np.empty(0, dtype=np.int64)]
-    for step in range(1, fan_out + 1):
-        if len(t) > step:
-            gap = t[step:] - t[:-step]
-            near = gap <= reach
-            codes.append((t[:-step][near] << 32) | (f[:-step][near] << 16) | (f[step:][near] << 6) | gap[near])
+    """Time-coded pairs of a peak and the first fan_out peaks of later frames within reach: the anchor's frame in the high 32 bits; below, 10 bits for each frequency and 6 for the frames between."""
+    after, codes = np.searchsorted(t, t, side="right"), [np.empty(0, dtype=np.int64)]
+    for step in range(fan_out):
+        anchor = np.flatnonzero(after + step < len(t))
+        other = after[anchor] + step
+        gap = t[other] - t[anchor]
+        near = gap <= reach
+        codes.append((t[anchor][near] << 32) | (f[anchor][near] << 16) | (f[other][near] << 6) | gap[near])
     return np.sort(np.concatenate(codes))
 
 
@@ -96,7 +97,8 @@ def to_wav(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate
 def wav_features(media: DataFrame) -> DataFrame:
     """to_wav's rows read back: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, landmarks array<long>.
 
-    Media of 8-bit mono WAV only; another format raises an error.
+    Media of 8-bit mono WAV only; another format raises an error. Of null media all of these are
+    null; null ids and repeated rows are kept as they are; an empty table gives no rows.
     """
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("landmarks", pa.list_(pa.int64()))]
     schema = pa.schema(kinds)
@@ -106,6 +108,9 @@ def wav_features(media: DataFrame) -> DataFrame:
             for b in batches:
                 for doc_id, n, stored in zip(b["doc_id"], b["n_bytes"], b["media"], strict=True):
                     stored = stored.as_py()
+                    if stored is None:
+                        yield doc_id.as_py(), n.as_py(), *[None] * 6
+                        continue
                     with wave.open(io.BytesIO(stored), "rb") as w:
                         if (w.getnchannels(), w.getsampwidth()) != (1, 1):
                             raise ValueError("8-bit mono samples are asked for")
@@ -113,7 +118,7 @@ def wav_features(media: DataFrame) -> DataFrame:
                     codes = landmarks(*peaks(np.frombuffer(payload, dtype=np.uint8)))
                     yield doc_id.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), codes
 
-        return flushed(rows(), schema, lambda r: r[7].nbytes)
+        return flushed(rows(), schema, lambda r: 0 if r[7] is None else r[7].nbytes)
 
     names = {pa.int64(): "long", pa.string(): "string", pa.list_(pa.int64()): "array<long>"}
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, ", ".join(f"{k} {names[v]}" for k, v in kinds))
