@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,6 +84,27 @@ def test_warc_refuses_damage(spark, tmp_path):
         warc.read_chunks(damaged, f"file://{tmp_path}/a").collect()
 
 
+def test_warc_of_others(spark, tmp_path):
+    """An archive with other kinds of records and other digests, read without an index of our own."""
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    records = [
+        ("WARC/1.0", "warcinfo", "application/warc-fields", None, "software: x\r\n" * 3),
+        ("WARC/1.0", "request", "application/http; msgtype=request", None, "GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        ("WARC/1.0", "response", "application/http; msgtype=response", "sha1:ABCDEF", http + "<p>" * 400),
+        ("WARC/1.1", "metadata", "text/plain", None, ""),
+    ]
+    data = b""
+    for i, (version, kind, content, digest, block) in enumerate(records):
+        head = f"{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nContent-Type: {content}\r\n" + (f"WARC-Payload-Digest: {digest}\r\n" if digest else "")
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        data += z.compress(f"{head}Content-Length: {len(block)}\r\n\r\n{block}\r\n\r\n".encode()) + z.flush()
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    index = warc.list_archives(spark, f"file://{tmp_path}")
+    rows = warc.read_chunks(index, f"file://{tmp_path}", chunk_bytes=500).where("is_last").orderBy("record_id").collect()
+    assert [(r["record_type"], r["payload_bytes"], r["page_id"]) for r in rows] == [("warcinfo", 39, None), ("request", 0, None), ("response", 1200, None), ("metadata", 0, None)]
+    assert rows[2]["payload_digest"] == hashlib.sha256(b"<p>" * 400).hexdigest()
+
+
 def test_warc_of_nothing(spark, tmp_path):
     index = warc.write_archives(warc.with_record_types(pages(spark, [])), f"file://{tmp_path}/a")
     assert warc.read_chunks(index, f"file://{tmp_path}/a").count() == 0
@@ -150,13 +172,52 @@ def test_wav_is_lossless(spark, corpus):
     assert rows[8]["landmarks"] == rows[48]["landmarks"] and corpus[8] == corpus[48]
 
 
+def slow_peaks(samples, frame=512, hop=256):
+    """By the sums that define the transform, a frame at a time."""
+    found = []
+    frames = max(1, -(-len(samples) // hop))
+    filled = [float(x) - 128 for x in samples] + [0.0] * (frames * hop + frame)
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(frame // 2 + 1), np.arange(frame)) / frame)
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frame) / (frame - 1))
+    for t in range(frames):
+        power = [abs(x) for x in turn @ (np.array(filled[t * hop : t * hop + frame]) * taper)]
+        for low, high in ((1, 11), (11, 41), (41, 111), (111, 257)):
+            best = max(range(low, high), key=lambda k: power[k])
+            if power[best] > 1.5 * sum(power[low:high]) / (high - low) + 1e-9:
+                found.append((t, best))
+    return sorted(found)
+
+
+def slow_landmarks(found, fan_out=3, reach=15):
+    codes = []
+    for t, f in found:
+        later = [(u, g) for u, g in found if u > t][:fan_out]
+        codes += [(t << 32) | (f << 16) | (g << 6) | (u - t) for u, g in later if u - t <= reach]
+    return sorted(codes)
+
+
+@pytest.mark.parametrize("n", [192, 512, 768, 5000])
+def test_spectral_features_by_direct_transform(n):
+    rng = np.random.default_rng(n)
+    samples = (128 + 40 * np.sin(np.arange(n) / 3) + 20 * np.sin(np.arange(n) / 11) + rng.integers(-20, 20, n)).astype(np.uint8)
+    t, f = media.peaks(samples, block=3)
+    assert list(zip(t.tolist(), f.tolist(), strict=True)) == slow_peaks(samples)
+    assert media.landmarks(t, f).tolist() == slow_landmarks(slow_peaks(samples))
+
+
 def test_peaks_of_a_tone():
     n = np.arange(4096)
     tone = (128 + 50 * np.sin(2 * np.pi * 60 / 512 * n)).astype(np.uint8)
     t, f = media.peaks(tone)
-    assert set(np.flatnonzero(np.bincount(t[f == 60], minlength=8))) == set(range(8))
+    assert set(np.flatnonzero(np.bincount(t[f == 60], minlength=15))) >= set(range(15))
     codes = media.landmarks(np.array([0, 0, 2]), np.array([5, 60, 7]))
-    assert codes.tolist() == sorted([(0 << 32) | (5 << 16) | (60 << 6) | 0, (0 << 32) | (60 << 16) | (7 << 6) | 2, (0 << 32) | (5 << 16) | (7 << 6) | 2])
+    assert codes.tolist() == sorted([(0 << 32) | (5 << 16) | (7 << 6) | 2, (0 << 32) | (60 << 16) | (7 << 6) | 2])
+
+
+def test_null_media(spark):
+    made = media.to_wav(table(spark, ["a", "b"])).withColumn("media", F.when(F.col("doc_id") == 0, F.col("media")))
+    rows = {r["doc_id"]: r for r in media.wav_features(made).collect()}
+    assert rows[1]["payload_bytes"] is None and rows[1]["landmarks"] is None and rows[0]["payload_bytes"] == 192
 
 
 # Licenses
@@ -314,6 +375,45 @@ def test_cumulative_link_gradient_lowers_loss():
     assert weights[:5].min() > 0.8 and np.abs(weights[5:]).max() < 0.6 and thresholds[0] < thresholds[1]
 
 
+def test_ordinal_loss_by_brute_force():
+    """The likelihood of each row by its definition, the gradients by differences."""
+    rng = np.random.default_rng(5)
+    rows = [np.flatnonzero(rng.random(12) < 0.4) for _ in range(40)]
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(40), [len(r) for r in rows])
+    grades, share = rng.integers(0, 3, 40), rng.random(40)
+    weights, thresholds = rng.normal(size=12), np.array([-0.3, 0.9])
+
+    def slow(w, t):
+        above = lambda x, k: 1 / (1 + np.exp(-(sum(w[j] for j in x) - t[k])))
+        total = 0.0
+        for x, g, s in zip(rows, grades, share, strict=True):
+            p = (1 - above(x, 0), above(x, 0) - above(x, 1), above(x, 1))[g]
+            total -= s * np.log(p)
+        return total
+
+    loss, d_weights, d_thresholds = toxicity.ordinal_loss(flat, owner, grades, share, weights, thresholds)
+    assert abs(loss - slow(weights, thresholds)) < 1e-9
+    h = 1e-6
+    for i in range(12):
+        assert abs((slow(weights + h * np.eye(12)[i], thresholds) - slow(weights - h * np.eye(12)[i], thresholds)) / (2 * h) - d_weights[i]) < 1e-6
+    for i in range(2):
+        assert abs((slow(weights, thresholds + h * np.eye(2)[i]) - slow(weights, thresholds - h * np.eye(2)[i])) / (2 * h) - d_thresholds[i]) < 1e-6
+
+
+def test_scores_by_brute_force(spark, corpus):
+    """Every document's severity from its features, one by one."""
+    docs, labels = labelled(spark, 120)
+    model = toxicity.fit_toxicity(docs, labels)
+    texts = [*corpus, "Vileword vileword nastyfolkest", *(r["text"] for r in docs.collect())]
+    rows = {r["doc_id"]: r for r in toxicity.score_toxicity(table(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        words = set(re.findall(r"[^\W\d_]+", (t or "").lower()))
+        keys = {zlib.crc32(f.encode()) for w in words for f in [w] + [w[:n] + "*" for n in (4, 5) if len(w) > n]}
+        score = sum(model.weights.get(k, 0.0) for k in keys)
+        above = [1 / (1 + np.exp(-max(-60, min(60, score - k)))) for k in model.thresholds]
+        assert abs(rows[i]["expected_severity"] - sum(above)) < 2e-6 and rows[i]["grade"] == sum(p >= 0.5 for p in above)
+
+
 # SimHash
 
 
@@ -439,6 +539,44 @@ def test_span_edges(spark):
     assert suffixes.repeated_spans(table(spark, [])).count() == 0
 
 
+def test_forced_collisions(spark, corpus, monkeypatch):
+    """With window hashes of three bits all windows collide in them; the second hash keeps unlike passages apart."""
+    rows = [(i, t) for i, t in enumerate(corpus) if t is not None]
+    plain = suffixes.window_hashes
+    monkeypatch.setattr(suffixes, "window_hashes", lambda words, k, at=None, radix=suffixes.RADIX: plain(words, k, at, radix) & np.uint64(7) if at is not None and radix == suffixes.RADIX else plain(words, k, at, radix))
+    texts = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    assert plain(np.arange(9, dtype=np.uint64), 3, np.arange(3)).max() > 7 >= suffixes.window_hashes(np.arange(9, dtype=np.uint64), 3, np.arange(3)).max()
+    candidates = texts.withColumn("at", F.array(*(F.lit(i) for i in range(0, 400, 20))).cast("array<int>"))
+    batches = iter(candidates.select("doc_id", "text", "at").toArrow().to_batches())
+    made = pa.Table.from_batches(list(suffixes.windows_of(batches, 50, 25))).to_pandas()
+    by_both = made.groupby(["win", "check"]).apply(lambda g: len({tuple(WORD.findall(corpus[d])[p : p + 50]) for d, p in zip(g["doc_id"], g["pos"], strict=True)}))
+    assert made["win"].between(0, 7).all() and (by_both == 1).all() and len(by_both) > 5000
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_equal_neighbours_over_partitions(spark, partitions):
+    """Runs of equal heads that end, begin and go on at the edges of partitions, and empty partitions."""
+    rng = random.Random(partitions)
+    rows = [(rng.choice([5, 6, 7, 100 + i, 200 + i // 2]), i, i % 3) for i in range(120)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for some in (rows, rows[:1], []):
+            many = {h for h, n in Counter(h for h, *_ in some).items() if n > 1}
+            got = suffixes.with_equal_neighbour(spark.createDataFrame(some, "head long, doc_id long, pos int")).collect()
+            assert sorted(map(tuple, got)) == sorted((d, p) for h, d, p in some if h in many)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_rows_of_one_id_keep_their_repeats(spark):
+    passage, own = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    docs = table(spark, [passage, f"{own} {passage}", f"x {passage}", f"y z {passage}"], [1, 2, 3, 3]).withColumns({"__spans": F.lit("clash"), "__text": F.lit("clash"), "a.b": F.lit("clash")})
+    cleaned = suffixes.remove_repeats(docs)
+    assert cleaned.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"].strip()) for r in cleaned.collect()) == [(1, passage), (2, own), (3, f"x {passage}"), (3, f"y z {passage}")]
+
+
 # Benchmark
 
 
@@ -560,6 +698,13 @@ def test_shards(spark, corpus):
     assert sharding.shard_documents(table(spark, [])).count() == 0
 
 
+def test_shards_of_one_hot_row(spark):
+    """Rows alike in all columns fill one bucket: it is cut into parts, and slots stay gapless."""
+    docs = table(spark, ["same"] * 700 + [f"t{i}" for i in range(100)], [7] * 350 + [None] * 350 + list(range(100, 200)))
+    rows = sharding.shard_documents(docs, rows_per_bucket=10).collect()
+    assert len(rows) == 800 and all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows))) for s in range(8))
+
+
 # All operators on odd tables
 
 BYTE, WORDS_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -579,7 +724,7 @@ OPERATORS = {
     "10": lambda d, s: bpe.round_trip(d, WORDS_FILE),
 }
 ROWS = {"2": 8, "3": 8, "4": 2, "5": 8, "5 drop": 8, "6": 8, "6 drop": 5, "7": 0, "7 cut": 8, "8": 2, "8 drop": 5, "9": 8, "10": 8}
-CLASHES = "word words head pos win inner fp id node component_id shard slot bucket size media feature toxic grade ids decoded block license line_no item_id asked doc_hashes a b x y used side n first_doc_id at".split()
+CLASHES = "word words head pos win inner fp id node component_id shard slot bucket size media feature toxic grade ids decoded block license line_no item_id asked doc_hashes a b x y used side n first_doc_id at row bands set places starts candidates end_line check edge equal part parts number __spans __text".split()
 
 
 @pytest.mark.parametrize("name", OPERATORS)

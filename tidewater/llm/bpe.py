@@ -144,7 +144,11 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, flush_bytes: int =
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, flush_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded of every row: encode_documents and decode_documents in one pass, so one Python worker a task does both."""
+    """doc_id, n_tokens, ids, decoded of every row: encode_documents and decode_documents in one pass, so one Python worker a task does both.
+
+    A null or empty text has no tokens and decodes to an empty one; null ids and repeated rows are
+    kept as they are; an empty table gives no rows; other columns are left out.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

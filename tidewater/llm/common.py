@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -19,7 +20,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_base(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where none is set (tests, a laptop) a temporary folder is made and set.
+    Only where none is set and all runs on one machine (tests, a laptop) a temporary folder is
+    made and set; a cluster without a shared folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -27,16 +29,32 @@ def checkpoint_base(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
     spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+_SCRATCH: list[str] = []  # tables written on the way
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
     return f"{checkpoint_base(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession, *paths: str):
+    """Afterwards, delete paths and the tables written on the way inside: what was made of them is stored by then."""
+    begun = len(_SCRATCH)
+    yield
+    for path in [*paths, *_SCRATCH[begun:]]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _SCRATCH[begun:]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, checkpointed in the shared folder: computed once, its lineage cut."""
     checkpoint_base(df.sparkSession)
@@ -46,12 +64,13 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, written as a Parquet table in the shared folder and read again: for what is too large to checkpoint row by row."""
     path = shared_path(df.sparkSession, label)
+    _SCRATCH.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns an operator reads (others, whatever their names, are left out); a null text is empty."""
+    """The two columns an operator reads (others, whatever their names, are left out); a null text is empty. Ids are whole numbers, also as text; others raise an error."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

@@ -8,27 +8,27 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every linked node but the smallest of each component, which is what component names. links: a long, b long.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each node tells its
     larger, then its smaller neighbours of the smallest id it knows, until every link leads to
-    a component's smallest node. A step is a minimum by key, summed before the shuffle, and an
-    equi-join that Spark can split where a key is hot. Each round is checkpointed.
+    a component's smallest node, after about as many rounds as the logarithm of the nodes. A step
+    is a minimum by key, summed before the shuffle, and an equi-join of checkpointed sides, which
+    are plain exchanges, so Spark can split a node with very many links.
 
     Self links and repeated links do no harm; links with a null end are left out; no links
-    give no rows. Raises if max_rounds don't suffice.
+    give no rows.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.select("u", "v").union(edges.select("v", "u"))
-        # Checkpointed, so the join's sides are plain exchanges: Spark splits a node with very many links.
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small_least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         told = large.join(small_least, "u")
         small = told.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = cut(small)
@@ -36,4 +36,3 @@ def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         if seen == (state["n"], state["h"]):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = (state["n"], state["h"])
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")

@@ -157,41 +157,46 @@ def with_equal_neighbour(suffixes: DataFrame) -> DataFrame:
     return compared.where("equal").unionByName(across).select("doc_id", "pos")
 
 
-def extended_windows(candidates: DataFrame, min_words: int, k: int) -> DataFrame:
-    """(win, check, doc_id, pos, inner): the windows of min_words words that hold one of the runs at; inner if the text has the window before. candidates: doc_id, text, at array<int>."""
-    schema = pa.schema([("win", pa.int64()), ("check", pa.int32()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("inner", pa.bool_())])
+WINDOWS = pa.schema([("win", pa.int64()), ("check", pa.int32()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("inner", pa.bool_())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in schema]
 
-        def batch() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in held], schema=schema)
-            for c in held:
-                c.clear()
-            return made
+def windows_of(batches: Iterator[pa.RecordBatch], min_words: int, k: int) -> Iterator[pa.RecordBatch]:
+    """extended_windows of a task's batches."""
+    held: list[list[np.ndarray]] = [[] for _ in WINDOWS]
 
-        for b in batches:
-            for doc_id, text, at in zip(b["doc_id"].to_pylist(), b["text"], b["at"], strict=True):
-                own = words_of(text.as_py())
-                if len(own) < min_words:
-                    continue
-                around = np.zeros(len(own) - min_words + 2, dtype=np.int64)
-                runs = at.values.to_numpy()
-                np.add.at(around, np.clip(runs - (min_words - k), 0, len(around) - 1), 1)
-                np.add.at(around, np.clip(runs + 1, 0, len(around) - 1), -1)
-                starts = np.flatnonzero(np.cumsum(around)[:-1] > 0)
-                hashes, checks = window_hashes(hashed(own), min_words, starts), window_checks(own, min_words, starts)
-                inner = np.ones(len(starts), dtype=bool)
-                both = np.rec.fromarrays([hashes, checks])
-                inner[np.unique(both, return_index=True)[1]] = False
-                for c, x in zip(held, (hashes.view(np.int64), checks.view(np.int32), np.full(len(starts), doc_id, dtype=np.int64), starts.astype(np.int32), inner), strict=True):
-                    c.append(x)
-                if sum(map(len, held[0])) >= 1 << 18:
-                    yield batch()
-        if held[0]:
-            yield batch()
-
-    return candidates.mapInArrow(released(run), "win long, check int, doc_id long, pos int, inner boolean")
+    def batch() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in held], schema=WINDOWS)
+        for c in held:
+            c.clear()
+        return made
+
+    for b in batches:
+        for doc_id, text, at in zip(b["doc_id"].to_pylist(), b["text"], b["at"], strict=True):
+            own = words_of(text.as_py())
+            if len(own) < min_words:
+                continue
+            around = np.zeros(len(own) - min_words + 2, dtype=np.int64)
+            runs = at.values.to_numpy()
+            np.add.at(around, np.clip(runs - (min_words - k), 0, len(around) - 1), 1)
+            np.add.at(around, np.clip(runs + 1, 0, len(around) - 1), -1)
+            starts = np.flatnonzero(np.cumsum(around)[:-1] > 0)
+            hashes, checks = window_hashes(hashed(own), min_words, starts), window_checks(own, min_words, starts)
+            inner = np.ones(len(starts), dtype=bool)
+            order = np.lexsort((starts, checks, hashes))
+            first = np.concatenate([[True], (np.diff(hashes[order]) != 0) | (np.diff(checks[order]) != 0)])[: len(starts)]
+            inner[order[first]] = False
+            for c, x in zip(held, (hashes.view(np.int64), checks.view(np.int32), np.full(len(starts), doc_id, dtype=np.int64), starts.astype(np.int32), inner), strict=True):
+                c.append(x)
+            if sum(map(len, held[0])) >= 1 << 18:
+                yield batch()
+    if held[0]:
+        yield batch()
+
+
+def extended_windows(candidates: DataFrame, min_words: int, k: int) -> DataFrame:
+    """(win, check, doc_id, pos, inner): the windows of min_words words that hold one of the runs at; inner if the text has the window before. candidates: doc_id, text, at array<int>."""
+    run = released(lambda batches: windows_of(batches, min_words, k))
+    return candidates.mapInArrow(run, "win long, check int, doc_id long, pos int, inner boolean")
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:

@@ -52,6 +52,28 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(np.clip(np.asarray(self.thresholds)[None, :] - np.asarray(score)[:, None], -60, 60)))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
+
+
+def ordinal_loss(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, share: np.ndarray, weights: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss, its gradient by the weights, by the thresholds): minus the log-likelihood of the grades, each row counting by its share.
+
+    flat, owner: the active columns of all rows, and the row of each.
+    """
+    each, n = np.arange(len(grades)), len(grades)
+    score = np.bincount(owner, weights=weights[flat], minlength=n)
+    cdf = np.column_stack([np.zeros(n), _sigmoid(thresholds[None, :] - score[:, None]), np.ones(n)])
+    low, high = cdf[each, grades], cdf[each, grades + 1]
+    mass = np.maximum(high - low, 1e-12)
+    d_low, d_high = low * (1 - low), high * (1 - high)
+    d_weights = np.bincount(flat, weights=(share * (d_high - d_low) / mass)[owner], minlength=len(weights))
+    d_threshold = np.zeros(len(thresholds) + 2)
+    np.add.at(d_threshold, grades + 1, -share * d_high / mass)
+    np.add.at(d_threshold, grades, share * d_low / mass)
+    return float(-(share * np.log(mass)).sum()), d_weights, d_threshold[1:-1]
+
+
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, grade_count: int, l1: float | None = None, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of a cumulative-link model. rows: each sample's active columns, numbered from 0.
 
@@ -72,16 +94,9 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, grade_count: int, l1
     momentum, ahead, t = weights.copy(), weights.copy(), 1.0
     usual = max(1.0, float(np.bincount(owner, weights=np.ones(len(flat)), minlength=len(rows)).max(initial=1.0)))
     rate, velocity = 4.0 / np.sqrt(usual), np.full(columns, 1e-8)
-    sigmoid = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
     for _ in range(rounds):
         thresholds = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        score = np.bincount(owner, weights=ahead[flat], minlength=len(rows))
-        cdf = np.column_stack([np.zeros(len(rows)), sigmoid(thresholds[None, :] - score[:, None]), np.ones(len(rows))])
-        low, high = cdf[np.arange(len(rows)), grades], cdf[np.arange(len(rows)), grades + 1]
-        mass = np.maximum(high - low, 1e-12)
-        d_low, d_high = low * (1 - low), high * (1 - high)
-        d_score = balance * (d_high - d_low) / mass
-        gradient = np.bincount(flat, weights=d_score[owner], minlength=columns)
+        _, gradient, inner = ordinal_loss(flat, owner, grades, balance, ahead, thresholds)
         velocity = 0.9 * velocity + 0.1 * gradient**2
         step = rate * 0.05 / (np.sqrt(velocity) + 1e-4)
         moved = ahead - step * gradient
@@ -89,10 +104,6 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, grade_count: int, l1
         following = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead = weights + min(0.5, (t - 1) / following) * (weights - momentum)
         momentum, t = weights, following
-        d_threshold = np.zeros(grade_count + 1)
-        np.add.at(d_threshold, grades + 1, -balance * d_high / mass)
-        np.add.at(d_threshold, grades, balance * d_low / mass)
-        inner = d_threshold[1:grade_count]
         first -= 0.5 * inner.sum()
         for k in range(len(gaps)):
             gaps[k] = np.clip(gaps[k] - 0.5 * np.exp(gaps[k]) * inner[k + 1 :].sum(), -4, 3)
@@ -183,7 +194,11 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """docs without the rejected ones, in one pass: rows and columns that stay are as they were. Only texts go to Python."""
+    """docs without the rejected ones, in one pass: rows and columns that stay are as they were. Only texts go to Python.
+
+    A null or empty text is judged by the thresholds alone; ids aren't read, so null and repeated
+    ones stay as they are; an empty table gives no rows.
+    """
     weights, thresholds = model.weights, model.thresholds
 
     @F.pandas_udf("boolean")
