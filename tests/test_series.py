@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalar as X
-from tidewater.operators import clean, features, forecast, networks, prepare, profile, spectral, stats
+from tidewater.operators import clean, features, forecast, prepare, profile, relations, spectral, stats
 from tidewater.series import SeriesSpec, bars, spined
 
 N = None
@@ -95,7 +95,14 @@ def test_chunks_equal_one_window(spark):
     a = series(spark, [rng.uniform(1, 9) for _ in range(100)])
     df = a.unionByName(series(spark, [rng.uniform(1, 9) for _ in range(33)], "b"))
     near(column(features.sma_in_chunks(df, 5, "close", F.date_trunc("day", "time"), SeriesSpec(), chunk_rows=7), "sma_5"), column(features.sma(df, [5]), "sma_5"))
-    near(column(features.ema_in_chunks(df, 9, "close", F.date_trunc("day", "time"), SeriesSpec()), "ema_9"), column(features.ema(df, [9]), "ema_9"))
+    near(column(features.ema_in_chunks(df, 9, "close", F.date_trunc("day", "time"), SeriesSpec(), chunk_rows=7), "ema_9"), column(features.ema(df, [9]), "ema_9"))
+
+
+def test_ema_keeps_other_columns(spark):
+    df = series(spark, [1.0, 2.0, 4.0], volume=[7.0, 8.0, 9.0])
+    out = features.ema(df, [3])
+    assert out.columns == ["symbol", "time", "close", "volume", "ema_3"] and column(out, "volume") == [7.0, 8.0, 9.0]
+    near(column(out, "ema_3"), [1.0, 1.5, 2.75])
 
 
 def test_bars_and_spine(spark):
@@ -185,6 +192,44 @@ def test_stationarity(spark):
     assert flat["statistic"] is None and flat["n"] == 50
 
 
+# Yearly sunspot numbers, 1700 to 2008: a public series whose test results are widely published.
+SUNSPOTS = """5 11 16 23 36 58 29 20 10 8 3 0 0 2 11 27 47 63 60 39 28 26 22 11 21 40 78 122 103 73 47 35 11 5 16 34 70 81 111 101 73 40 20 16 5 11 22 40 60 80.9
+83.4 47.7 47.8 30.7 12.2 9.6 10.2 32.4 47.6 54 62.9 85.9 61.2 45.1 36.4 20.9 11.4 37.8 69.8 106.1 100.8 81.6 66.5 34.8 30.6 7 19.8 92.5 154.4 125.9 84.8 68.1 38.5 22.8 10.2
+24.1 82.9 132 130.9 118.1 89.9 66.6 60 46.9 41 21.3 16 6.4 4.1 6.8 14.5 34 45 43.1 47.5 42.2 28.1 10.1 8.1 2.5 0 1.4 5 12.2 13.9 35.4 45.8 41.1 30.1 23.9 15.6 6.6 4 1.8
+8.5 16.6 36.3 49.6 64.2 67 70.9 47.8 27.5 8.5 13.2 56.9 121.5 138.3 103.2 85.7 64.6 36.7 24.2 10.7 15 40.1 61.5 98.5 124.7 96.3 66.6 64.5 54.1 39 20.6 6.7 4.3 22.7 54.8
+93.8 95.8 77.2 59.1 44 47 30.5 16.3 7.3 37.6 74 139 111.2 101.6 66.2 44.7 17 11.3 12.4 3.4 6 32.3 54.3 59.7 63.7 63.5 52.2 25.4 13.1 6.8 6.3 7.1 35.6 73 85.1 78 64 41.8
+26.2 26.7 12.1 9.5 2.7 5 24.4 42 63.5 53.8 62 48.5 43.9 18.6 5.7 3.6 1.4 9.6 47.4 57.1 103.9 80.6 63.6 37.6 26.1 14.2 5.8 16.7 44.3 63.9 69 77.8 64.9 35.7 21.2 11.1 5.7
+8.7 36.1 79.7 114.4 109.6 88.8 67.8 47.5 30.6 16.3 9.6 33.2 92.6 151.6 136.3 134.7 83.9 69.4 31.5 13.9 4.4 38 141.7 190.2 184.8 159 112.3 53.9 37.6 27.9 10.2 15.1 47 93.8
+105.9 105.5 104.5 66.6 68.9 38 34.5 15.5 12.6 27.5 92.5 155.4 154.6 140.4 115.9 66.6 45.9 17.9 13.4 29.4 100.2 157.6 142.6 145.7 94.3 54.6 29.9 17.5 8.6 21.5 64.3 93.3
+119.6 111 104 63.7 40.4 29.8 15.2 7.5 2.9"""
+
+
+def test_published_statistics(spark):
+    x = [float(v) for v in SUNSPOTS.split()]
+    assert len(x) == 309
+    adf = stats.stationarity(series(spark, x), "adf").first()
+    near([adf[c] for c in ("statistic", "p_value", "crit_1", "crit_5", "crit_10")], [-2.837781, 0.053076, -3.452337, -2.871223, -2.571929])
+    assert (adf["lags"], adf["n"], adf["stationary"]) == (8, 300, False)
+    kpss = stats.stationarity(series(spark, x), "kpss").first()
+    near([kpss["statistic"], kpss["p_value"]], [0.669866, 0.016285])
+    assert (kpss["lags"], kpss["stationary"]) == (7, False)
+
+
+def test_least_order(spark):
+    rng = np.random.default_rng(9)
+    noise = rng.normal(size=300)
+    df = series(spark, noise.tolist(), "noise").unionByName(series(spark, noise.cumsum().tolist(), "walk")).unionByName(series(spark, [1.0] * 300, "flat"))
+    got = {r["symbol"]: r["d"] for r in stats.least_stationary_order(df, [0.0, 0.5, 1.0]).collect()}
+    want = {}
+    for name, x in (("noise", noise), ("walk", noise.cumsum())):
+        for d in (0.0, 0.5, 1.0):
+            w = np.array(stats.fractional_weights(d, 20))
+            y = np.array([w @ x[t - 19 : t + 1][::-1] for t in range(19, 300)])
+            if stats.adf_statistic(y)[1] <= 0.05:
+                want.setdefault(name, d)
+    assert got == {**want, "flat": None} and got["noise"] == 0.0 and got["walk"] > 0
+
+
 def test_acf_and_pacf(spark):
     rng = np.random.default_rng(5)
     x = [0.0]
@@ -213,46 +258,83 @@ def test_scores_and_naive(spark):
     near([row["mse"], row["mae"], row["mape"]], [2.5, 1.5, 0.5])
 
 
-@pytest.mark.parametrize("name", sorted(networks.NETWORKS))
-def test_network_gradients(name):
-    net, rng = networks.Network(name, 5, 3, 4), np.random.default_rng(0)
-    p = net.initial(1) + rng.normal(0, 0.05, len(net.initial(1)))
-    x, y = rng.normal(size=(6, 15)), rng.normal(size=6)
-    _, g = net.gradient(p, x, y)
-    for i in rng.choice(len(p), 25, replace=False):
-        e = np.zeros_like(p)
-        e[i] = 1e-6
-        numeric = (net.gradient(p + e, x, y)[0] - net.gradient(p - e, x, y)[0]) / 2e-6
-        assert abs(numeric - g[i]) < 1e-4 * max(1, abs(numeric))
-
+def plain_windows(windows):
+    rows = windows.orderBy("symbol", "time").collect()
+    part = lambda split: [r for r in rows if r["split"] == split]
+    return {s: (np.array([r["x"] for r in part(s)], dtype=float), np.array([r["y"] for r in part(s)])) for s in ("train", "val", "test")}
 
-def test_parameter_count():
-    assert len(networks.Network("lstm", 5, 12).initial(0)) == 1856 + 2112 + 17
 
-
-def test_forecasters_learn(spark):
-    df = series(spark, [math.sin(i / 5) * 10 + 50 for i in range(300)])
-    windows = forecast.model_windows(df, ["close"]).cache()
-    assert forecast.score(forecast.predict(windows, forecast.fit_linear(windows)), ["model"]).first()["mae"] < 0.02
-    fitted = forecast.fit_network(windows, "lstm", features=3, epochs=12)
-    assert fitted.history[-1][3] < 0.5 * fitted.history[0][3]
-    assert forecast.training_history(spark, fitted).count() == len(fitted.history)
-
-
-def test_sums_do_not_hang_on_partitions(spark):
-    df = series(spark, [math.sin(i / 5) * 10 + 50 for i in range(100)])
+def test_linear_forecast_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    df = series(spark, (50 + rng.normal(size=150).cumsum()).tolist()).unionByName(series(spark, (9 + rng.normal(size=120)).tolist(), "b"))
     windows = forecast.model_windows(df, ["close"])
-    one, many = (forecast.sums_by_symbol(windows.repartition(n), lambda s, p, x, y: np.concatenate([x.sum(axis=0), np.full(9000, y.sum())])) for n in (1, 5))
-    assert one.keys() == many.keys() and all(np.allclose(one[k], many[k]) for k in one)
+    got = forecast.predict_linear(windows.repartition(5), forecast.fit_linear(windows.repartition(3)))
+    moved = forecast.predict_linear(windows.where("symbol = 'b'"), forecast.fit_linear(windows), source="a")
+    for rows, fitted_on, shown in ((got.where("symbol = 'b'"), "b", "b"), (got.where("symbol = 'a'"), "a", "a"), (moved, "a", "b")):
+        own, other = plain_windows(windows.where(F.col("symbol") == fitted_on)), plain_windows(windows.where(F.col("symbol") == shown))
+        a = np.column_stack([own["train"][0], np.ones(len(own["train"][0]))])
+        beta = np.linalg.solve(a.T @ a + 1e-3 * np.eye(a.shape[1]), a.T @ own["train"][1])
+        near(column(rows, "predicted"), (other["test"][0] @ beta[:-1] + beta[-1]).tolist())
+
+
+def test_one_tree_by_brute_force(spark):
+    """One round of one split: the split that leaves the least squares, of all."""
+    rng = np.random.default_rng(6)
+    windows = spark.createDataFrame([("a", START + dt.timedelta(hours=i), "train" if i < 60 else "test", [float(rng.integers(0, 6)), float(rng.integers(0, 6))], float(rng.normal())) for i in range(80)], "symbol string, time timestamp_ntz, split string, x array<float>, y double")
+    data = plain_windows(windows)
+    x, y = data["train"]
+    y = y + 3.0 * (x[:, 1] > 2)
+    windows = windows.withColumn("y", F.when(F.col("split") == "train", F.col("y") + 3.0 * (F.col("x")[1] > 2).cast("double")).otherwise(F.col("y")))
+    best = min(((sum(((part - part.mean()) ** 2).sum() for part in (y[x[:, j] <= c], y[x[:, j] > c])), j, c) for j in range(2) for c in range(5) if 0 < (x[:, j] <= c).sum() < 60))
+    _, j, c = best
+    fitted = forecast.fit_trees(windows, rounds=1, depth=1)
+    want = np.where(data["test"][0][:, j] <= c, y[x[:, j] <= c].mean(), y[x[:, j] > c].mean())
+    near(column(forecast.predict_trees(windows, fitted), "predicted"), want.tolist())
+    assert fitted.seconds > 0 and abs(fitted.history[0][1] - best[0] / 60) < 1e-9 and fitted.history[0][2] is None
 
 
-def test_arima_recovers_parameters():
+def test_forecasters_learn(spark):
+    df = series(spark, [math.sin(i / 5) * 10 + 50 for i in range(300)]).unionByName(series(spark, [math.sin(i / 7) + 5 for i in range(200)], "b"))
+    scores = {(r["symbol"], r["model"]): r["mae"] for r in forecast.grid(df, ["close"]).collect()}
+    assert len(scores) == 6 and all(scores[s, "linear"] < 0.05 and scores[s, "trees"] < 0.3 for s in "ab")
+    assert {(r["symbol"], r["model"]) for r in forecast.transfer(df, ["close"], "a").collect()} == {("b", "linear"), ("b", "trees")}
+    fitted = forecast.fit_trees(forecast.model_windows(df, ["close"]), rounds=5)
+    rows = forecast.training_history(spark, fitted).orderBy("round").collect()
+    assert rows[-1]["loss"] < rows[0]["loss"] and rows[-1]["val_loss"] is not None and rows[0]["seconds"] == fitted.seconds
+
+
+def test_likelihood_by_brute_force():
+    """The log-density of the joint normal distribution with the process's covariances."""
+    y, (mu, phi, theta) = np.random.default_rng(1).normal(size=14) * 2 + 1, (0.7, 0.55, -0.3)
+    g = [(1 + 2 * phi * theta + theta**2) / (1 - phi**2), (1 + phi * theta) * (phi + theta) / (1 - phi**2)]
+    for _ in range(12):
+        g.append(phi * g[-1])
+    likelihood, variance, *_ = forecast.arma_likelihood(y, np.array([mu, phi, theta]))
+    cov = variance * np.array([[g[abs(i - j)] for j in range(14)] for i in range(14)])
+    z = y - mu
+    assert abs(likelihood + 0.5 * (14 * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1] + z @ np.linalg.solve(cov, z))) < 1e-9
+    assert abs(z @ np.linalg.solve(cov, z) - 14) < 1e-9
+
+
+def test_arima_recovers_parameters(spark):
     rng = np.random.default_rng(2)
     e, y = rng.normal(size=3000), [0.0]
     for t in range(1, 3000):
         y.append(0.6 * y[-1] + e[t] + 0.3 * e[t - 1])
-    (mean, phi, theta), variance, _ = forecast.fit_arima(np.array(y) + 5)
-    assert abs(phi - 0.6) < 0.06 and abs(theta - 0.3) < 0.08 and abs(mean - 5) < 0.3 and abs(variance - 1) < 0.1
+    y = np.array(y) + 5
+    p, errors = forecast.fit_arima(y)
+    assert all(abs(a - b) < 3.5 * s for a, b, s in zip(p, (5, 0.6, 0.3), errors)) and all(0.005 < s < 0.12 for s in errors)
+    best = forecast.arma_likelihood(y, p)[0]
+    assert all(forecast.arma_likelihood(y, p + d)[0] < best for d in (np.eye(3) * 0.01).tolist() + (np.eye(3) * -0.01).tolist() for d in [np.array(d)])
+    df = series(spark, y[:400].tolist())
+    rows = {r["term"]: r for r in forecast.arima_summary(df, "close").collect()}
+    assert rows["phi"]["n"] == 320 and abs(rows["phi"]["aic"] - (8 - 2 * rows["phi"]["log_likelihood"])) < 1e-9 and 0.4 < rows["phi"]["estimate"] < 0.8
+    ahead = forecast.arima(df, "close").orderBy("time").collect()
+    assert len(ahead) == 80 and all(r["low"] < r["predicted"] < r["high"] for r in ahead) and abs(ahead[-1]["predicted"] - rows["mean"]["estimate"]) < 0.01
+    assert ahead[0]["high"] - ahead[0]["low"] < ahead[-1]["high"] - ahead[-1]["low"]
+    banded = relations.with_band(df).collect()
+    assert len(banded) == 400 and sum(r["predicted"] is not None for r in banded) == 80 and all(r["truth"] in (None, r["close"]) for r in banded)
+    assert forecast.arima(series(spark, [1.0] * 50), "close").count() == 0
 
 
 def test_preprocess_is_independent_of_row_order(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
-from ..series import BARS, SeriesSpec, in_chunks, position
+from ..series import BARS, SeriesSpec, in_chunks, position, positioned
 
 
 def lag_features(df: DataFrame, lags: int, column: str = "close", spec: SeriesSpec = BARS) -> DataFrame:
@@ -71,11 +71,12 @@ def ema(df: DataFrame, spans: list[int], column: str = "close", spec: SeriesSpec
     """ema_n: exponential mean with weight 2 / (n + 1), from the first known value on.
 
     Over a gap the last value is carried, and the gap's length lowers its weight against the
-    next. A symbol's rows are handed, narrow, to one task; see ema_in_chunks for longer ones.
+    next. A symbol's order and values alone go to one task, and are joined back by symbol and
+    order where df has other columns; see ema_in_chunks for longer series.
     """
-    names = [f"ema_{n}" for n in spans]
-    fields = [*df.schema.fields]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{n} double" for n in names)])
+    names, keys = [f"ema_{n}" for n in spans], [spec.symbol, *spec.order]
+    narrow = df.select(*keys, column)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields), *(f"{n} double" for n in names)])
 
     def run(group):
         group = group.sort_values(spec.order)
@@ -83,39 +84,42 @@ def ema(df: DataFrame, spans: list[int], column: str = "close", spec: SeriesSpec
             group[name] = group[column].astype("float64").ewm(span=n, adjust=False).mean()
         return group
 
-    return df.groupBy(spec.symbol).applyInPandas(run, schema)
+    made = narrow.groupBy(spec.symbol).applyInPandas(run, schema)
+    return made if set(df.columns) == {*keys, column} else df.join(made.drop(column), keys, "left")
 
 
-def ema_in_chunks(df: DataFrame, span: int, column: str, bucket: Column, spec: SeriesSpec) -> DataFrame:
+def ema_in_chunks(df: DataFrame, span: int, column: str, bucket: Column, spec: SeriesSpec, chunk_rows: int = 1_000_000) -> DataFrame:
     """ema of one span for series without nulls, of any length.
 
-    A step is y -> (1-a) y + a x, so a bucket of rows is one affine map; maps of a symbol's
-    buckets are composed in order (one small row for each bucket), and each bucket starts from
-    the value carried into it. Buckets are the unit of work; no task holds a symbol.
+    A step is y -> (1-a) y + a x, so a chunk of rows is one affine map; maps of a symbol's
+    chunks are composed in order (one small row for each), and each chunk starts from the value
+    carried into it. Chunks of chunk_rows are the unit of work; no task holds a symbol. bucket
+    must not fall as time rises, see series.positioned.
     """
     a = 2.0 / (span + 1)
-    keyed = df.withColumn("_bucket", bucket)
+    placed = positioned(df, spec, bucket)
+    keyed = placed.withColumn("_chunk", F.floor(F.col("_pos") / chunk_rows)).drop("_pos")
     names = [f.name for f in df.schema.fields]
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    kind = dict(keyed.dtypes)[spec.symbol]
 
     def local(key, group):
         values = group.sort_values(spec.order)[column].to_numpy(dtype="float64")
         fading = (1 - a) ** np.arange(len(values) - 1, -1, -1)
-        return pd.DataFrame({spec.symbol: [key[0]], "_bucket": [key[1]], "_a": [(1 - a) ** len(values)], "_b": [a * (fading @ values)], "_first": [values[0]]})
+        return pd.DataFrame({spec.symbol: [key[0]], "_chunk": [key[1]], "_a": [(1 - a) ** len(values)], "_b": [a * (fading @ values)], "_first": [values[0]]})
 
-    kinds = dict(keyed.select(spec.symbol, "_bucket").dtypes)
-    maps = keyed.groupBy(spec.symbol, "_bucket").applyInPandas(local, f"{spec.symbol} {kinds[spec.symbol]}, _bucket {kinds['_bucket']}, _a double, _b double, _first double")
+    maps = keyed.select(spec.symbol, *spec.order, column, "_chunk").groupBy(spec.symbol, "_chunk").applyInPandas(local, f"{spec.symbol} {kind}, _chunk long, _a double, _b double, _first double")
 
     def carry(group):
-        group = group.sort_values("_bucket")
+        group = group.sort_values("_chunk")
         y, carried = group["_first"].iloc[0], []
         for m, b in zip(group["_a"], group["_b"], strict=True):
             carried.append(y)
             y = m * y + b
         group["_carried"] = carried
-        return group[[spec.symbol, "_bucket", "_carried"]]
+        return group[[spec.symbol, "_chunk", "_carried"]]
 
-    carried = maps.groupBy(spec.symbol).applyInPandas(carry, f"{spec.symbol} {kinds[spec.symbol]}, _bucket {kinds['_bucket']}, _carried double")
+    carried = maps.groupBy(spec.symbol).applyInPandas(carry, f"{spec.symbol} {kind}, _chunk long, _carried double")
 
     def finish(group):
         group = group.sort_values(spec.order)
@@ -123,7 +127,7 @@ def ema_in_chunks(df: DataFrame, span: int, column: str, bucket: Column, spec: S
         group[f"ema_{span}"] = values.ewm(span=span, adjust=False).mean().to_numpy()[1:]
         return group[[*names, f"ema_{span}"]]
 
-    return keyed.join(carried, [spec.symbol, "_bucket"]).groupBy(spec.symbol, "_bucket").applyInPandas(finish, f"{plain}, ema_{span} double")
+    return keyed.join(carried, [spec.symbol, "_chunk"]).groupBy(spec.symbol, "_chunk").applyInPandas(finish, f"{plain}, ema_{span} double")
 
 
 def seasonality(df: DataFrame, month: str = "month", categories: list[str] | None = None) -> DataFrame:

@@ -1,15 +1,16 @@
 """Forecasters over windows, their scores, and the grid of symbols by models.
 
-Training is data-parallel: each round is a Spark job in which tasks sum gradients of their own
-windows for each symbol, and Spark sums those. Only parameters, of a fixed size for each
-symbol, pass the driver; no series is gathered in one task.
+The linear model is fitted for each symbol from sums that tasks take over their own windows; its
+coefficients are a table and predictions a join. Boosted trees, fitted by Spark's own library over
+the windows of all symbols, stand for the models that learn bends, with early stopping on the
+validation windows. Nothing of a symbol passes the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from dataclasses import dataclass, field
+import time
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,9 +19,7 @@ from pyspark.sql import functions as F
 
 from ..series import BARS, SeriesSpec
 from . import prepare
-from .networks import Network
 
-BLOCK = 4096
 SMALLEST = 2.220446049250313e-16  # truth nearer to zero counts as this in MAPE
 
 
@@ -56,118 +55,86 @@ def model_windows(df: DataFrame, columns: list[str], label: str = "close", steps
     return rows.where(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
 
 
-def sums_by_symbol(windows: DataFrame, kernel: Callable[[str, str, np.ndarray, np.ndarray], np.ndarray], spec: SeriesSpec = BARS) -> dict:
-    """kernel(symbol, split, x, y) of each task's windows, summed for each symbol and split: {(symbol, split): array}.
+def fit_linear(windows: DataFrame, ridge: float = 1e-3, spec: SeriesSpec = BARS) -> DataFrame:
+    """(symbol, coefficients array<double>): least squares over each symbol's train windows, the intercept last.
 
-    Long arrays are summed in blocks, each in a group of one block from each task.
+    Each task adds up the normal equations of its windows; a symbol's few sums meet in one group,
+    which solves them.
     """
+    kind = dict(windows.dtypes)[spec.symbol]
 
-    def run(frames):
+    def add(frames):
         sums: dict = {}
         for frame in frames:
-            for key, part in frame.groupby([spec.symbol, "split"]):
-                v = kernel(*key, np.stack(part["x"].to_numpy()).astype(np.float64), part["y"].to_numpy(dtype=np.float64))
-                sums[key] = v if key not in sums else sums[key] + v
-        for (symbol, split), v in sums.items():
-            blocks = [v[i : i + BLOCK] for i in range(0, len(v), BLOCK)]
-            yield pd.DataFrame({spec.symbol: symbol, "split": split, "block": range(len(blocks)), "v": blocks})
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        return group.iloc[:1].assign(v=[np.sum(np.stack(group["v"].to_numpy()), axis=0)])
-
-    kind = dict(windows.dtypes)[spec.symbol]
-    schema = f"{spec.symbol} {kind}, split string, block int, v array<double>"
-    parts = windows.select(spec.symbol, "split", "x", "y").mapInPandas(run, schema)
-    rows = parts.groupBy(spec.symbol, "split", "block").applyInPandas(add, schema).toPandas()
-    return {key: np.concatenate(part.sort_values("block")["v"].to_list()) for key, part in rows.groupby([spec.symbol, "split"])}
-
+            for symbol, part in frame.groupby(spec.symbol):
+                a = np.column_stack([np.stack(part["x"].to_numpy()).astype(np.float64), np.ones(len(part)), part["y"].to_numpy(dtype=np.float64)])
+                sums[symbol] = a.T @ a + sums.get(symbol, 0.0)
+        for symbol, v in sums.items():
+            yield pd.DataFrame({spec.symbol: [symbol], "v": [v.ravel()]})
 
-@dataclass
-class Fitted:
-    """Parameters by symbol, and (symbol, model, epoch, loss, val_loss, rate) rows of the training."""
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        v = np.sum(np.stack(group["v"].to_numpy()), axis=0)
+        g = v.reshape(math.isqrt(len(v)), -1)
+        found = np.linalg.solve(g[:-1, :-1] + ridge * np.eye(len(g) - 1), g[:-1, -1])
+        return pd.DataFrame({spec.symbol: group[spec.symbol].iloc[:1], "coefficients": [found]})
 
-    model: str
-    params: dict
-    predict: Callable[[np.ndarray, np.ndarray], np.ndarray]
-    history: list[tuple] = field(default_factory=list)
+    train = windows.where("split = 'train'").select(spec.symbol, "x", "y")
+    return train.mapInPandas(add, f"{spec.symbol} {kind}, v array<double>").groupBy(spec.symbol).applyInPandas(solve, f"{spec.symbol} {kind}, coefficients array<double>")
 
 
-def _linear(params: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return x @ params[:-1] + params[-1]
+def predict_linear(windows: DataFrame, fitted: DataFrame, source: str | None = None, spec: SeriesSpec = BARS) -> DataFrame:
+    """(symbol, time, model, truth, predicted) of test windows. source: the symbol whose coefficients serve all (transfer); else each its own."""
+    test = windows.where("split = 'test'")
+    if source is None:
+        test = test.join(fitted, spec.symbol)
+    else:
+        test = test.withColumn("coefficients", fitted.where(F.col(spec.symbol) == source).select("coefficients").scalar())
+    products = F.zip_with("x", F.slice("coefficients", F.lit(1), F.size("x")), lambda a, b: a * b)
+    predicted = F.aggregate(products, F.element_at("coefficients", -1), lambda s, v: s + v)
+    return test.select(spec.symbol, spec.time, F.lit("linear").alias("model"), F.col("y").alias("truth"), predicted.alias("predicted"))
 
 
-def fit_linear(windows: DataFrame, ridge: float = 1e-3, spec: SeriesSpec = BARS) -> Fitted:
-    """Least squares on windows by summed normal equations: one job."""
+@dataclass
+class Trees:
+    """Boosted trees, (round, loss, val_loss) of their training, and its seconds."""
 
-    def kernel(symbol, split, x, y):
-        a = np.column_stack([x, np.ones(len(x)), y])
-        return (a.T @ a).ravel() if split == "train" else np.zeros(1)
+    model: object
+    history: list[tuple[int, float, float | None]]
+    seconds: float
 
-    params = {}
-    for (symbol, split), v in sums_by_symbol(windows, kernel, spec).items():
-        if split == "train":
-            g = v.reshape(int(math.isqrt(len(v))), -1)
-            params[symbol] = np.linalg.solve(g[:-1, :-1] + ridge * np.eye(len(g) - 1), g[:-1, -1])
-    return Fitted("linear", params, _linear)
 
+def fit_trees(windows: DataFrame, rounds: int = 20, depth: int = 4, rate: float = 0.2, seed: int = 7) -> Trees:
+    """Boosted trees over the train windows of all symbols; ends early where the validation windows gain no more."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor
 
-def fit_network(windows: DataFrame, name: str = "lstm", steps: int = 5, features: int = 7, epochs: int = 100, rate: float = 0.02, patience: int = 10, units: int | None = None, seed: int = 7, spec: SeriesSpec = BARS) -> Fitted:
-    """A network (of networks.NETWORKS) for each symbol, all trained together: a job for each epoch, Adam steps on summed gradients.
+    known = windows.where("split <> 'test'").select(array_to_vector(F.col("x").cast("array<double>")).alias("features"), F.col("y").alias("label"), (F.col("split") == "val").alias("held"))
+    known = known.persist()
+    try:
+        held = known.where("held")
+        some = not held.isEmpty()
+        made = GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, checkpointInterval=-1, **({"validationIndicatorCol": "held"} if some else {}))
+        began = time.perf_counter()
+        model = made.fit(known)
+        seconds = time.perf_counter() - began
+        losses = model.evaluateEachIteration(known.where("not held"), "squared")
+        held_losses = model.evaluateEachIteration(held, "squared") if some else [None] * len(losses)
+        return Trees(model, [(i + 1, a, b) for i, (a, b) in enumerate(zip(losses, held_losses, strict=True))], seconds)
+    finally:
+        known.unpersist()
 
-    Stops when no symbol's validation loss has fallen for patience epochs; a symbol's rate is
-    halved (down to 1e-5) after half as many; the best parameters are kept.
-    """
-    net = Network(name, steps, features, units)
-    symbols = [r[0] for r in windows.select(spec.symbol).distinct().collect()]
-    params = {s: net.initial(seed) for s in symbols}
-    moments = {s: (np.zeros_like(p), np.zeros_like(p)) for s, p in params.items()}
-    best, rates, history = {s: (math.inf, p, 0) for s, p in params.items()}, dict.fromkeys(symbols, rate), []
-    for epoch in range(1, epochs + 1):
-        now = dict(params)
-
-        def kernel(symbol, split, x, y, now=now):
-            if split == "test":
-                return np.zeros(1)
-            if split == "val":
-                return np.array([len(y), ((net(now[symbol], x) - y) ** 2).sum()])
-            loss, gradient = net.gradient(now[symbol], x, y)
-            return np.concatenate([[len(y), loss], gradient])
-
-        sums = sums_by_symbol(windows, kernel, spec)
-        for s in symbols:
-            if (s, "train") not in sums:
-                continue
-            n, loss, gradient = sums[s, "train"][0], sums[s, "train"][1], sums[s, "train"][2:]
-            val_n, val = sums.get((s, "val"), (n, loss))[:2]
-            history.append((s, name, epoch, float(loss / n), float(val / val_n), rates[s]))
-            if val / val_n < best[s][0]:
-                best[s] = (val / val_n, now[s], epoch)
-            elif (epoch - best[s][2]) % max(1, patience // 2) == 0:
-                rates[s] = max(1e-5, rates[s] / 2)
-            m, v = moments[s]
-            g = gradient / n
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            moments[s] = (m, v)
-            params[s] = params[s] - rates[s] * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-7)
-        if all(epoch - b[2] >= patience for b in best.values()):
-            break
-    return Fitted(name, {s: b[1] for s, b in best.items()}, net, history)
 
+def predict_trees(windows: DataFrame, fitted: Trees, spec: SeriesSpec = BARS) -> DataFrame:
+    """(symbol, time, model, truth, predicted) of test windows."""
+    from pyspark.ml.functions import array_to_vector
 
-def predict(windows: DataFrame, fitted: Fitted, source: str | None = None, spec: SeriesSpec = BARS) -> DataFrame:
-    """(symbol, time, model, truth, predicted) of test windows. source: the symbol whose parameters serve all (transfer); else each its own."""
-    params, net, name = fitted.params, fitted.predict, fitted.model
+    test = windows.where("split = 'test'").withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
+    return fitted.model.transform(test).select(spec.symbol, spec.time, F.lit("trees").alias("model"), F.col("y").alias("truth"), F.col("prediction").alias("predicted"))
 
-    def run(frames):
-        for frame in frames:
-            for symbol, part in frame.groupby(spec.symbol):
-                own = params.get(source or symbol)
-                if own is not None:
-                    out = net(own, np.stack(part["x"].to_numpy()).astype(np.float64))
-                    yield pd.DataFrame({spec.symbol: part[spec.symbol], spec.time: part[spec.time], "model": name, "truth": part["y"], "predicted": out})
 
-    kinds = dict(windows.dtypes)
-    return windows.where("split = 'test'").select(spec.symbol, spec.time, "x", "y").mapInPandas(run, f"{spec.symbol} {kinds[spec.symbol]}, {spec.time} {kinds[spec.time]}, model string, truth double, predicted double")
+def training_history(spark, fitted: Trees) -> DataFrame:
+    """(round, loss, val_loss, seconds): the loss curves, and the seconds of the whole training."""
+    return spark.createDataFrame([(*row, fitted.seconds) for row in fitted.history], "round int, loss double, val_loss double, seconds double")
 
 
 def naive_scaled(df: DataFrame, column: str = "close", spec: SeriesSpec = BARS) -> DataFrame:
@@ -177,86 +144,139 @@ def naive_scaled(df: DataFrame, column: str = "close", spec: SeriesSpec = BARS)
     return rows.select(spec.symbol, spec.time, F.lit("naive").alias("model"), F.col(f"z_{column}").alias("truth"), "predicted")
 
 
-def grid(df: DataFrame, columns: list[str], networks: dict[str, int | None], epochs: int = 100, spec: SeriesSpec = BARS) -> DataFrame:
-    """Scores of every symbol and model: naive, linear, and the networks by name, with their units. All in scaled units."""
-    windows = model_windows(df, columns, spec=spec).persist()
-    runs = [fit_linear(windows, spec=spec), *(fit_network(windows, name, features=len(columns) + 2, epochs=epochs, units=units, spec=spec) for name, units in networks.items())]
-    rows = naive_scaled(df, spec=spec)
-    for fitted in runs:
-        rows = rows.unionByName(predict(windows, fitted, spec=spec))
+def grid(df: DataFrame, columns: list[str], spec: SeriesSpec = BARS) -> DataFrame:
+    """Scores of every symbol and model: naive, linear, trees. All in scaled units."""
+    windows = model_windows(df, columns, spec=spec)
+    rows = naive_scaled(df, spec=spec).unionByName(predict_linear(windows, fit_linear(windows, spec=spec), spec=spec)).unionByName(predict_trees(windows, fit_trees(windows), spec))
     return score(rows, [spec.symbol, "model"])
 
 
-def training_history(spark, fitted: Fitted) -> DataFrame:
-    return spark.createDataFrame(fitted.history, "symbol string, model string, epoch int, loss double, val_loss double, rate double")
+def transfer(df: DataFrame, columns: list[str], source: str, spec: SeriesSpec = BARS) -> DataFrame:
+    """Scores, on the other symbols' test windows, of the models fitted on one symbol."""
+    windows = model_windows(df, columns, spec=spec)
+    own, others = windows.where(F.col(spec.symbol) == source), windows.where(F.col(spec.symbol) != source)
+    rows = predict_linear(others, fit_linear(own, spec=spec), source, spec).unionByName(predict_trees(others, fit_trees(own), spec))
+    return score(rows, [spec.symbol, "model"])
 
 
 # ARIMA
 
 
-def _residuals(y: np.ndarray, p: np.ndarray) -> np.ndarray:
-    mu, phi, theta = p
-    z, e, out = y - mu, 0.0, np.empty(len(y) - 1)
-    for t in range(1, len(y)):
-        e = z[t] - phi * z[t - 1] - theta * e
-        out[t - 1] = e
-    return out
-
-
-def fit_arima(y: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float, np.ndarray]:
-    """((mean, phi, theta), residual variance, residuals) of ARIMA(1,0,1) by conditional least squares.
+def arma_likelihood(y: np.ndarray, p: np.ndarray) -> tuple[float, float, float, float]:
+    """(log-likelihood, variance, last innovation, its weight) of ARMA(1,1) with mean: exact, by the innovations recursion.
 
-    Begins at Hannan and Rissanen's estimate (a regression on the value and the residual of a
-    long autoregression before), goes on by Gauss-Newton steps.
+    p: mean, phi, theta; the variance is the one that makes the likelihood largest.
     """
-    z, scale = y - y.mean(), max(y.std(), 1e-12)
+    mu, phi, theta = p
+    z = (y - mu).tolist()
+    r = (1 + 2 * phi * theta + theta * theta) / (1 - phi * phi)
+    ahead = squares = logs = e = 0.0
+    for x in z:
+        e = x - ahead
+        squares += e * e / r
+        logs += math.log(r)
+        weight = theta / r
+        ahead = phi * x + weight * e
+        r = 1 + theta * theta - theta * weight
+    n = len(z)
+    variance = max(squares / n, 1e-300)
+    return -0.5 * (n * (math.log(2 * math.pi * variance) + 1) + logs), variance, e, weight
+
+
+def _begin(y: np.ndarray) -> np.ndarray:
+    """Hannan and Rissanen's estimate: a regression on the value and the residual of a long autoregression before."""
+    z = y - y.mean()
     order = min(10, len(y) // 4)
     past = np.column_stack([z[order - i : len(z) - i] for i in range(1, order + 1)])
     shocks = z[order:] - past @ np.linalg.lstsq(past, z[order:], rcond=None)[0]
     begin = np.linalg.lstsq(np.column_stack([z[order:-1], shocks[:-1]]), z[order + 1 :], rcond=None)[0]
-    p = np.array([y.mean(), *np.clip(begin, -0.95, 0.95)])
-    step = np.array([1e-5 * scale, 1e-6, 1e-6])
-    e = _residuals(y, p)
+    return np.array([y.mean(), *np.clip(begin, -0.9, 0.9)])
+
+
+def fit_arima(y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """((mean, phi, theta), their standard errors) of ARIMA(1,0,1) by exact maximum likelihood: Newton steps, halved until they gain."""
+    step = np.array([1e-3 * max(float(y.std()), 1e-9), 1e-4, 1e-4])
+    value = lambda q: arma_likelihood(y, q)[0]
+    basis = np.diag(step)
+
+    def slopes(q):
+        here = value(q)
+        up, down = np.array([value(q + b) for b in basis]), np.array([value(q - b) for b in basis])
+        gradient, bend = (up - down) / 2, np.diag(up - 2 * here + down)
+        for i in range(3):
+            for j in range(i):
+                bend[i, j] = bend[j, i] = (value(q + basis[i] + basis[j]) - value(q + basis[i] - basis[j]) - value(q - basis[i] + basis[j]) + value(q - basis[i] - basis[j])) / 4
+        return here, gradient, bend  # in units of step
+
+    p = _begin(y)
     for _ in range(rounds):
-        j = np.column_stack([(_residuals(y, p + np.eye(3)[k] * step[k]) - e) / step[k] for k in range(3)])
-        move, fraction, moved = np.linalg.lstsq(j, -e, rcond=None)[0], 1.0, False
-        while fraction > 1e-4:
-            trial = p + fraction * move
-            trial[1:] = np.clip(trial[1:], -0.99, 0.99)
-            e_trial = _residuals(y, trial)
-            if e_trial @ e_trial < e @ e:
-                moved = e @ e - e_trial @ e_trial > 1e-10 * (e @ e)
-                p, e = trial, e_trial
+        here, gradient, bend = slopes(p)
+        # Where the likelihood isn't concave, directions are turned uphill.
+        sizes, directions = np.linalg.eigh(-bend)
+        move, fraction = directions @ ((directions.T @ gradient) / np.maximum(np.abs(sizes), 1e-9)), 1.0
+        while fraction > 1e-6:
+            trial = p + fraction * move * step
+            if np.abs(trial[1:]).max() < 0.995 and value(trial) > here:
                 break
             fraction /= 2
-        if not moved:
+        else:
+            break
+        gained = value(trial) - here
+        p = trial
+        if gained < 1e-10 * max(1.0, abs(here)):
             break
-    return p, float(e @ e / max(1, len(e) - 3)), e
+    covariance = np.linalg.pinv(-slopes(p)[2])
+    return p, np.sqrt(np.maximum(np.diag(covariance), 0.0)) * step
+
+
+def _train_rows(df: DataFrame, column: str, train: float, spec: SeriesSpec) -> DataFrame:
+    return prepare.split2(df.where(F.col(column).isNotNull()), train, spec).select(spec.symbol, *spec.order, "split", column)
+
+
+def _train_values(group: pd.DataFrame, column: str) -> np.ndarray | None:
+    y = group.loc[group["split"] == "train", column].to_numpy(dtype=float)
+    return y if len(y) >= 20 and y.min() < y.max() else None
 
 
 def arima(df: DataFrame, column: str = "close_diff", train: float = 0.8, spec: SeriesSpec = BARS) -> DataFrame:
     """(symbol, time, truth, predicted, low, high, mean, phi, theta) of the test rows, forecast in many steps from the end of train.
 
-    Conditional least squares, not exact likelihood. A symbol's narrow series goes to one task:
-    for bars, which the calendar bounds. Nulls are left out; under 20 train rows give none.
+    Exact maximum likelihood. A symbol's narrow series goes to one task: for bars, which the
+    calendar bounds. Nulls are left out; under 20 train rows, or constant ones, give none.
     """
-    rows = prepare.split2(df.where(F.col(column).isNotNull()), train, spec).select(spec.symbol, *spec.order, "split", column)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(spec.order)
-        y, ahead = group.loc[group["split"] == "train", column].to_numpy(dtype=float), group[group["split"] == "test"]
+        y, ahead = _train_values(group, column), group[group["split"] == "test"]
         out = pd.DataFrame({spec.symbol: ahead[spec.symbol], spec.time: ahead[spec.time], "truth": ahead[column]})
-        if len(y) < 20:
+        if y is None:
             return out.iloc[:0].assign(predicted=0.0, low=0.0, high=0.0, mean=0.0, phi=0.0, theta=0.0)
-        (mu, phi, theta), variance, e = fit_arima(y)
+        mu, phi, theta = p = fit_arima(y)[0]
+        _, variance, e, weight = arma_likelihood(y, p)
         h = np.arange(len(ahead))
-        predicted = mu + phi**h * (phi * (y[-1] - mu) + theta * e[-1])
+        predicted = mu + phi**h * (phi * (y[-1] - mu) + weight * e)
         grown = np.concatenate([[0.0], np.cumsum(phi ** (2 * h[:-1]))]) if len(h) else np.empty(0)
         spread = 1.959963984540054 * np.sqrt(variance * (1 + (phi + theta) ** 2 * grown))
         return out.assign(predicted=predicted, low=predicted - spread, high=predicted + spread, mean=mu, phi=phi, theta=theta)
 
     kinds = dict(df.dtypes)
-    return rows.groupBy(spec.symbol).applyInPandas(run, f"{spec.symbol} {kinds[spec.symbol]}, {spec.time} {kinds[spec.time]}, truth double, predicted double, low double, high double, mean double, phi double, theta double")
+    return _train_rows(df, column, train, spec).groupBy(spec.symbol).applyInPandas(run, f"{spec.symbol} {kinds[spec.symbol]}, {spec.time} {kinds[spec.time]}, truth double, predicted double, low double, high double, mean double, phi double, theta double")
+
+
+def arima_summary(df: DataFrame, column: str = "close_diff", train: float = 0.8, spec: SeriesSpec = BARS) -> DataFrame:
+    """(symbol, term, estimate, std_error, z, log_likelihood, aic, bic, n) of the fit: terms mean, phi, theta, sigma2. As arima for nulls and short series."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        y = _train_values(group.sort_values(spec.order), column)
+        if y is None:
+            return pd.DataFrame(columns=[spec.symbol, "term", "estimate", "std_error", "z", "log_likelihood", "aic", "bic", "n"])
+        p, errors = fit_arima(y)
+        likelihood, variance, *_ = arma_likelihood(y, p)
+        n, estimate, error = len(y), np.append(p, variance), np.append(errors, variance * math.sqrt(2 / len(y)))
+        return pd.DataFrame({spec.symbol: group[spec.symbol].iloc[0], "term": ["mean", "phi", "theta", "sigma2"], "estimate": estimate, "std_error": error, "z": estimate / error, "log_likelihood": likelihood, "aic": 8 - 2 * likelihood, "bic": 4 * math.log(n) - 2 * likelihood, "n": n})
+
+    kind = dict(df.dtypes)[spec.symbol]
+    return _train_rows(df, column, train, spec).groupBy(spec.symbol).applyInPandas(run, f"{spec.symbol} {kind}, term string, estimate double, std_error double, z double, log_likelihood double, aic double, bic double, n long")
 
 
-__all__ = ["Fitted", "Network", "arima", "fit_arima", "fit_linear", "fit_network", "grid", "model_windows", "naive", "naive_scaled", "pivot_scores", "predict", "score", "sums_by_symbol", "training_history"]
+__all__ = ["Trees", "arima", "arima_summary", "arma_likelihood", "fit_arima", "fit_linear", "fit_trees", "grid", "model_windows", "naive", "naive_scaled", "pivot_scores", "predict_linear", "predict_trees", "score", "training_history", "transfer"]

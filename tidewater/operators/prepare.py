@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 from ..functions import scalar as X
 from ..series import BARS, SeriesSpec, position
 from . import clean, features
-from .profile import drop_columns
+from .profile import drop_columns, select_present
 
+# The columns of the two kinds of model input.
 FINANCIAL = ["timestamp", "time", "open", "close", "high", "low", "market_cap", "day", "month", "year"]
+SENTIMENT = [*FINANCIAL, "volume_24h", "social_contributors", "social_volume", "tweets", "Month_Category_Bearish", "Month_Category_Bullish", "Month_Category_Normal", "ROC_0", "ROC_1", "ROC_2"]
 
 
 def with_date_parts(df: DataFrame, spec: SeriesSpec = BARS) -> DataFrame:
@@ -24,9 +26,9 @@ def with_cyclic_weekday(df: DataFrame, spec: SeriesSpec = BARS) -> DataFrame:
     return df.withColumns(X.cyclic_weekday(F.col(spec.time)))
 
 
-def simplify(df: DataFrame, spec: SeriesSpec = BARS) -> DataFrame:
-    """The financial columns alone; raises where one is missing."""
-    return df.select(spec.symbol, *FINANCIAL)
+def simplify(df: DataFrame, columns: list[str] = FINANCIAL, spec: SeriesSpec = BARS) -> DataFrame:
+    """The symbol and the named columns alone; raises where one is missing."""
+    return df.select(spec.symbol, *columns)
 
 
 def split3(df: DataFrame, train: float = 0.7, validation: float = 0.2, spec: SeriesSpec = BARS) -> DataFrame:
@@ -81,12 +83,17 @@ def sequences(df: DataFrame, columns: list[str], label: str = "close", steps: in
     return made.where(f"pos >= {steps} and pos <= _n - 2").drop("_n")
 
 
-def preprocess(df: DataFrame, threshold: float = 25.0, columns: list[str] | None = None, spec: SeriesSpec = BARS) -> DataFrame:
+def preprocess(df: DataFrame, threshold: float = 25.0, columns: list[str] | None = None, only: list[str] | None = None, fill: bool = True, keep: list[str] | None = None, spec: SeriesSpec = BARS) -> DataFrame:
     """Date parts, columns dropped, nulls imputed, seasons, binned and encoded rate of change, forward fill.
 
-    columns: those to keep if the data shouldn't be asked (see drop_columns).
+    columns: those to keep if the data shouldn't be asked (see drop_columns). only: the columns
+    to go on with before any are dropped (as FINANCIAL; raises where one is missing). fill: whether
+    to fill forward at the end. keep: the columns to give, as far as they are there (as SENTIMENT).
     """
-    kept = functools.partial(drop_columns, threshold=threshold, columns=columns)
-    out = df.transform(with_date_parts, spec).transform(kept).transform(clean.impute, spec=spec).transform(features.seasonality)
-    out = out.transform(features.rate_of_change, "ema", 10, 20, spec=spec).transform(features.binary_encode, spec=spec)
-    return clean.ffill(out.drop("roc", "roc_bin"), spec=spec)
+    out = df.transform(with_date_parts, spec)
+    if only is not None:
+        out = simplify(out, only, spec)
+    out = out.transform(functools.partial(drop_columns, threshold=threshold, columns=columns)).transform(clean.impute, spec=spec).transform(features.seasonality)
+    out = out.transform(features.rate_of_change, "ema", 10, 20, spec=spec).transform(features.binary_encode, spec=spec).drop("roc", "roc_bin")
+    out = clean.ffill(out, spec=spec) if fill else out
+    return out if keep is None else select_present(out, [spec.symbol, *keep])

@@ -31,8 +31,8 @@ def fft_table(df: DataFrame, column: str = "close", spec: SeriesSpec = BARS) ->
     """(symbol, k, re, im, absolute, angle) of all n bins: those above the middle are the lower ones' conjugates."""
     half = rfft(df, column, spec)
     counted = df.where(F.col(column).isNotNull()).groupBy(spec.symbol).agg(F.count("*").alias("_n"))
-    both = half.join(counted, spec.symbol).select(spec.symbol, "_n", F.explode(F.array(F.struct("k", "re", "im"), F.struct((F.col("_n") - F.col("k")).alias("k"), "re", (-F.col("im")).alias("im")))).alias("b"))
-    bins = both.select(spec.symbol, "_n", "b.*").where("k < _n").dropDuplicates([spec.symbol, "k"])
+    both = half.join(counted, spec.symbol).select(spec.symbol, "_n", F.explode(F.array_compact(F.array(F.struct("k", "re", "im"), F.when((F.col("k") > 0) & (2 * F.col("k") < F.col("_n")), F.struct((F.col("_n") - F.col("k")).alias("k"), "re", (-F.col("im")).alias("im")))))).alias("b"))
+    bins = both.select(spec.symbol, "b.*")
     return bins.select(spec.symbol, "k", "re", "im", F.hypot("re", "im").alias("absolute"), F.atan2("im", "re").alias("angle"))
 
 

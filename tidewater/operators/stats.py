@@ -103,10 +103,10 @@ def kpss_statistic(x: np.ndarray) -> tuple[float, float, int, int]:
     return stat, float(np.interp(stat, [c for c, _ in KPSS_CRITICAL], [p for _, p in KPSS_CRITICAL])), lags, n
 
 
-def stationarity(df: DataFrame, test: str, column: str = "close", least: int = 20, spec: SeriesSpec = BARS) -> DataFrame:
+def stationarity(df: DataFrame, test: str, column: str = "close", least: int = 20, max_lag: int | None = None, spec: SeriesSpec = BARS) -> DataFrame:
     """(symbol, test, series, statistic, p_value, lags, n, crit_1, crit_5, crit_10, stationary) by test 'adf' or 'kpss'.
 
-    stationary: for adf p <= 0.05, for kpss p >= 0.05. Symbols of fewer than least known
+    stationary: for adf p <= 0.05, for kpss p >= 0.05. max_lag bounds the lags of adf. Symbols of fewer than least known
     values, and constant ones, give nulls.
     """
     if test not in ("adf", "kpss"):
@@ -116,7 +116,7 @@ def stationarity(df: DataFrame, test: str, column: str = "close", least: int = 2
         x = group.sort_values(spec.order)[column].dropna().to_numpy(dtype="float64")
         row = {spec.symbol: group[spec.symbol].iloc[0], "test": test, "series": column, "statistic": None, "p_value": None, "lags": None, "n": len(x), "crit_1": None, "crit_5": None, "crit_10": None, "stationary": None}
         if len(x) >= least and x.min() < x.max():
-            stat, p, lags, n = adf_statistic(x) if test == "adf" else kpss_statistic(x)
+            stat, p, lags, n = adf_statistic(x, max_lag) if test == "adf" else kpss_statistic(x)
             critical = {k: sum(c / n**i for i, c in enumerate(v)) for k, v in ADF_CRITICAL.items()} if test == "adf" else {1: 0.739, 5: 0.463, 10: 0.347}
             row |= {"statistic": stat, "p_value": p, "lags": lags, "n": n, "stationary": p <= 0.05 if test == "adf" else p >= 0.05} | {f"crit_{k}": v for k, v in critical.items()}
         return pd.DataFrame([row])
@@ -144,11 +144,11 @@ def fractional_difference(df: DataFrame, d: float, window: int = 20, column: str
     return df.withColumn("fracdiff", total)
 
 
-def least_stationary_order(df: DataFrame, orders: list[float], window: int = 20, column: str = "close", spec: SeriesSpec = BARS) -> DataFrame:
+def least_stationary_order(df: DataFrame, orders: list[float], window: int = 20, column: str = "close", max_lag: int | None = None, spec: SeriesSpec = BARS) -> DataFrame:
     """(symbol, d): the smallest of orders at which the ADF test calls the fractional difference stationary; null if none."""
     results = None
     for d in orders:
-        part = stationarity(fractional_difference(df, d, window, column, spec), "adf", "fracdiff", spec=spec).select(spec.symbol, F.when(F.col("stationary"), F.lit(float(d))).alias("d"))
+        part = stationarity(fractional_difference(df, d, window, column, spec), "adf", "fracdiff", max_lag=max_lag, spec=spec).select(spec.symbol, F.when(F.col("stationary"), F.lit(float(d))).alias("d"))
         results = part if results is None else results.unionByName(part)
     return results.groupBy(spec.symbol).agg(F.min("d").alias("d"))
 

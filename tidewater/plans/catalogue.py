@@ -109,6 +109,12 @@ def missing_report(spark, sf_dir):
     return rounded(profile.missing_report(bars_hourly_spined(spark, sf_dir)), "percentage", to=6)
 
 
+@query(_hs("SELECT * FROM (" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) - count({c}) AS n_missing, round((count(*) - count({c})) * 100 / count(*), 6) AS percentage FROM (SELECT *, CASE WHEN n > 3 THEN n END AS many FROM bars)""" for c in [*SPINED_COLUMNS, "many"]) + ") WHERE n_missing > 0 AND percentage >= 25"))
+def mostly_missing(spark, sf_dir):
+    df = bars_hourly_spined(spark, sf_dir).withColumn("many", F.when(F.col("n") > 3, F.col("n")))
+    return rounded(profile.missing_report(df, 25), "percentage", to=6)
+
+
 @query(_hs("SELECT * FROM (" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", coalesce(min({c}) < max({c}), false) AND (count(*) - count({c})) * 100 / count(*) <= 5 AS keep FROM (SELECT *, 1 AS one, CASE WHEN n > 3 THEN n END AS many FROM bars)""" for c in [*SPINED_COLUMNS, "one", "many"]) + ")"))
 def kept_columns(spark, sf_dir):
     df = bars_hourly_spined(spark, sf_dir).withColumns({"one": F.lit(1), "many": F.when(F.col("n") > 3, F.col("n"))})
@@ -230,10 +236,12 @@ def ema_multi(spark, sf_dir):
     return rounded(features.ema(bars_daily(spark, sf_dir).select("symbol", "time", "close"), [10, 30, 50, 100]), *names).select("symbol", "time", *names)
 
 
-@query()
+@query("""SELECT symbol, unnest(t) AS time, unnest(i) AS event_id, round(unnest(e), 4) AS ema_20 FROM (
+        SELECT symbol, t, i, list_reduce(list_transform(x, lambda v: [v]), lambda s, v: list_append(s, (1 - 2.0::DOUBLE / 21) * s[-1] + 2.0::DOUBLE / 21 * v[1])) AS e
+        FROM (SELECT event_type AS symbol, list(ts ORDER BY ts, event_id) AS t, list(event_id ORDER BY ts, event_id) AS i, list(value ORDER BY ts, event_id) AS x FROM events GROUP BY event_type))""")
 def tick_ema(spark, sf_dir):
-    """Over single ticks, by composing the steps of daily buckets."""
-    out = features.ema_in_chunks(ticks(spark, sf_dir), 20, "value", F.date_trunc("day", "time"), TICKS)
+    """Over single ticks, by composing the steps of chunks."""
+    out = features.ema_in_chunks(ticks(spark, sf_dir), 20, "value", F.date_trunc("hour", "time"), TICKS)
     return rounded(out, "ema_20").select("symbol", "time", "event_id", "ema_20")
 
 
@@ -248,6 +256,14 @@ def roc_bins(spark, sf_dir):
     return rounded(features.rate_of_change(bars_daily(spark, sf_dir), "ma", 10, 20), "roc").select("symbol", "time", "roc", "roc_bin")
 
 
+ROC_EMA = "r AS (SELECT symbol, time, ema_10 AS m FROM (" + _ema_sql(10) + "))," + ROC.partition("ROWS 9 PRECEDING)),")[2]
+
+
+@query(f"WITH bars AS ({BARS_D}), {ROC_EMA} SELECT symbol, time, round(roc, 4) AS roc, roc_bin FROM b")
+def roc_ema(spark, sf_dir):
+    return rounded(features.rate_of_change(bars_daily(spark, sf_dir), "ema", 10, 20), "roc").select("symbol", "time", "roc", "roc_bin")
+
+
 @query(f"""WITH bars AS ({BARS_D}), {ROC},
     k AS (SELECT *, list_position(['Unknown', 'Very High Positive', 'High Positive', 'Low Positive', 'Neutral', 'Low Negative', 'High Negative'], roc_bin)::INT AS code FROM b)
     SELECT symbol, time, ((code >> 2) & 1)::INT AS "ROC_0", ((code >> 1) & 1)::INT AS "ROC_1", (code & 1)::INT AS "ROC_2" FROM k""")
@@ -303,10 +319,63 @@ def sequences(spark, sf_dir):
     return made.select("symbol", F.col("pos").cast("long").alias("pos"), "label", F.posexplode("window").alias("step", "w")).select("symbol", "pos", "label", F.col("step").cast("long").alias("step"), "w.open", "w.close")
 
 
-@query()
+SEASONS = '''(month(time) IN (6, 7, 9, 10))::DOUBLE AS "Month_Category_Bearish", (month(time) IN (1, 2, 3, 4))::DOUBLE AS "Month_Category_Bullish", (month(time) IN (5, 8, 11, 12))::DOUBLE AS "Month_Category_Normal"'''
+CODES = """k AS (SELECT symbol, time, list_position(['Unknown', 'Very High Positive', 'High Positive', 'Low Positive', 'Neutral', 'Low Negative', 'High Negative'], roc_bin)::INT AS code FROM b),
+    e AS (SELECT symbol, time, ((code >> 2) & 1)::INT AS "ROC_0", ((code >> 1) & 1)::INT AS "ROC_1", (code & 1)::INT AS "ROC_2" FROM k)"""
+PARTS = "day(time)::INT AS day, month(time)::INT AS month, year(time)::INT AS year"
+FINANCES = "epoch(time)::BIGINT AS timestamp, open, close, high, low, round(close * n, 2) AS market_cap"
+
+
+def _preprocessed(columns: str) -> str:
+    """The bars have no nulls and no constant columns, so nothing is dropped, imputed or filled; imputation makes doubles."""
+    parts = PARTS.replace("::INT", "::DOUBLE")
+    return f"WITH bars AS ({BARS_D}), {ROC_EMA}, {CODES} SELECT symbol, time, {columns}, {parts}, {SEASONS}, \"ROC_0\", \"ROC_1\", \"ROC_2\" FROM bars JOIN e USING (symbol, time)"
+
+
+def _financial(spark, sf_dir) -> DataFrame:
+    """Daily bars with the columns of a market's table."""
+    df = bars_daily(spark, sf_dir)
+    return df.withColumns({"timestamp": F.unix_seconds(F.col("time").cast("timestamp")), "market_cap": F.round(F.col("close") * F.col("n"), 2)})
+
+
+@query(_preprocessed("round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, round(volume, 2) AS volume"))
 def preprocess(spark, sf_dir):
     out = prepare.preprocess(bars_daily(spark, sf_dir).drop("n"))
-    return rounded(out, "open", "high", "low", "close", "volume")
+    return rounded(rounded(out, "open", "high", "low", "close"), "volume", to=2)
+
+
+@query(_preprocessed(FINANCES.replace("BIGINT", "DOUBLE")))
+def preprocess_financial(spark, sf_dir):
+    """The ten financial columns alone, a lower threshold, no forward fill."""
+    return prepare.preprocess(_financial(spark, sf_dir), 10.0, only=prepare.FINANCIAL, fill=False)
+
+
+@query(_preprocessed(FINANCES.replace("BIGINT", "DOUBLE") + ", n::DOUBLE AS tweets"))
+def preprocess_sentiment(spark, sf_dir):
+    """Of the twenty columns of the sentiment models those that are there."""
+    df = _financial(spark, sf_dir).withColumnRenamed("n", "tweets")
+    return prepare.preprocess(df, 10.0, keep=prepare.SENTIMENT)
+
+
+@query(_d(f"SELECT symbol, time, {FINANCES}, {PARTS} FROM bars"))
+def simplified(spark, sf_dir):
+    return prepare.simplify(prepare.with_date_parts(_financial(spark, sf_dir)))
+
+
+@query(_d("SELECT symbol, open, close FROM bars"))
+def present_columns(spark, sf_dir):
+    return profile.select_present(bars_daily(spark, sf_dir), ["close", "tweets", "symbol", "open"])
+
+
+@query(_d("SELECT symbol, time, close FROM bars"))
+def close_line(spark, sf_dir):
+    return relations.lines(bars_daily(spark, sf_dir), ["close"])
+
+
+@query(_h("SELECT symbol, time, close, n FROM bars"))
+def price_and_activity(spark, sf_dir):
+    """A price beside a count, as of a price and a social volume."""
+    return relations.lines(bars_hourly(spark, sf_dir), ["close", "n"])
 
 
 @query(_d("SELECT symbol, time, close - (regr_intercept(close, pos) OVER s + regr_slope(close, pos) OVER s * pos) AS r FROM (" + PLACED + ") WINDOW s AS (PARTITION BY symbol)").replace("close - (", "round(close - (", 1).replace("* pos) AS r", "* pos), 4) AS close_detrend", 1))
@@ -330,7 +399,15 @@ def acf(spark, sf_dir):
     return rounded(stats.acf(bars_daily(spark, sf_dir), 10), "acf", "low", "high", to=6)
 
 
-@query()
+PACF = f"""WITH RECURSIVE bars AS ({BARS_D}), {ACF}, l AS (SELECT symbol, any_value(n) AS n, list(acf ORDER BY lag) FILTER (lag > 0) AS r FROM z GROUP BY symbol),
+    d AS (SELECT symbol, n, r, 1 AS lag, [r[1]] AS phi FROM l UNION ALL
+        SELECT symbol, n, r, lag + 1, list_append(list_transform(range(1, lag + 1), lambda i: phi[i] - v * phi[lag + 1 - i]), v)
+        FROM (SELECT *, (r[lag + 1] - list_dot_product(phi, list_reverse(r[1:lag]))) / (1 - list_dot_product(phi, r[1:lag])) AS v FROM d WHERE lag < 10)),
+    p AS (SELECT symbol, lag::INT AS lag, phi[lag] AS pacf, 1.959963984540054 / sqrt(n) AS s FROM d UNION ALL SELECT symbol, 0, 1.0, 0 FROM l)
+    SELECT symbol, lag, round(pacf, 6) + 0.0 AS pacf, round(pacf - s, 6) + 0.0 AS low, round(pacf + s, 6) + 0.0 AS high FROM p"""
+
+
+@query(PACF)
 def pacf(spark, sf_dir):
     return rounded(stats.pacf(bars_daily(spark, sf_dir), 10), "pacf", "low", "high", to=6)
 
@@ -371,24 +448,38 @@ def band_peaks(spark, sf_dir):
     return rounded(out, "freq", "period", to=6).select("symbol", "k", "freq", "period")
 
 
-@query()
+@query(f"""WITH bars AS ({BARS_D}), p AS (SELECT symbol, close AS x, pos AS i, total AS n FROM ({PLACED})),
+    f AS (SELECT symbol, k, any_value(n) AS n, sum(x * cos(2 * pi() * ((k * i) % n) / n)) AS re, sum(x * sin(2 * pi() * ((k * i) % n) / n)) AS im FROM p, (SELECT unnest(range(0, 2000)) AS k) WHERE k <= n // 2 AND k * 12 < n GROUP BY symbol, k),
+    a AS (SELECT symbol, k, k / n AS freq, re * re + im * im AS v FROM f), q AS (SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS after FROM a WINDOW w AS (PARTITION BY symbol ORDER BY k))
+    SELECT symbol, k::BIGINT AS k, round(freq, 6) AS freq, round(1 / freq, 6) AS period FROM q WHERE v > before AND v > after AND round_even(1 / freq, 0) BETWEEN 17 AND 22""")
 def monthly_cycles(spark, sf_dir):
     out = spectral.monthly_cycles(spectral.with_period(spectral.peaks(spectral.rfft(bars_daily(spark, sf_dir)))))
     return rounded(out, "freq", "period", to=6).select("symbol", "k", "freq", "period")
 
 
-@query()
+@query(f"""WITH {MONTHS}, f AS (SELECT symbol, k, any_value(n) AS n, sum(x * cos(2 * pi() * ((k * i) % n) / n)) AS re, -sum(x * sin(2 * pi() * ((k * i) % n) / n)) AS im FROM p, (SELECT unnest(range(0, 2000)) AS k) WHERE k < n GROUP BY symbol, k),
+    g AS (SELECT symbol, k, n, re, CASE WHEN k = 0 OR 2 * k = n THEN 0.0 ELSE im END AS im FROM f)
+    SELECT symbol, k::BIGINT AS k, round(re / n, 3) + 0.0 AS re, round(im / n, 3) + 0.0 AS im, round(sqrt(re * re + im * im) / n, 3) AS absolute, round(atan2(im, re), 3) + 0.0 AS angle FROM g""")
 def fft_table(spark, sf_dir):
-    return rounded(spectral.fft_table(_monthly(spark, sf_dir)), "re", "im", "absolute", "angle", to=3)
+    """All but the angle over the number of months, so that rounding is alike for all."""
+    df = _monthly(spark, sf_dir)
+    n = df.where("close is not null").groupBy("symbol").agg(F.count("*").alias("n"))
+    out = spectral.fft_table(df).join(n, "symbol").withColumns({c: F.col(c) / F.col("n") for c in ("re", "im", "absolute")}).drop("n")
+    return rounded(out, "re", "im", "absolute", "angle", to=3).withColumns({c: F.col(c) + F.lit(0.0) for c in ("re", "im", "angle")})
 
 
-@query(f"""WITH {MONTHS}, g AS (SELECT symbol, k, any_value(n) AS n, sum(x * cos(2 * pi() * k * i / n)) AS re, -sum(x * sin(2 * pi() * k * i / n)) AS im FROM p, (SELECT unnest(range(0, 2000)) AS k) WHERE k < n AND (k < 5 OR k >= n - 5) GROUP BY symbol, k),
-    r AS (SELECT p.symbol, p.i, any_value(p.x) AS x, sum(re * cos(2 * pi() * k * p.i / p.n) - im * sin(2 * pi() * k * p.i / p.n)) / any_value(p.n) AS v FROM p JOIN g ON p.symbol = g.symbol GROUP BY p.symbol, p.i)
-    SELECT symbol, i::BIGINT AS pos, round(v, 3) AS rec_5 FROM r""")
+KEPT = [5, 10, 25, 50]
+
+
+@query(f"""WITH {MONTHS}, g AS (SELECT symbol, k, any_value(n) AS n, sum(x * cos(2 * pi() * ((k * i) % n) / n)) AS re, -sum(x * sin(2 * pi() * ((k * i) % n) / n)) AS im FROM p, (SELECT unnest(range(0, 2000)) AS k) WHERE k < n GROUP BY symbol, k),
+    v AS (SELECT p.symbol AS symbol, p.i AS i, p.n AS n, k, (re * cos(2 * pi() * ((k * p.i) % p.n) / p.n) - im * sin(2 * pi() * ((k * p.i) % p.n) / p.n)) / p.n AS part FROM p JOIN g ON p.symbol = g.symbol)
+    SELECT symbol, i::BIGINT AS pos, """ + ", ".join(f"round(sum(part) FILTER (k < {k} OR k >= n - {k}) + 0.0001234, 3) AS rec_{k}" for k in KEPT) + " FROM v GROUP BY symbol, i")
 def fft_reconstruct(spark, sf_dir):
-    out = spectral.reconstruct(_monthly(spark, sf_dir), [5])
+    """A little is added before rounding, as means of cents often lie half-way between two rounded values."""
+    out = spectral.reconstruct(_monthly(spark, sf_dir), KEPT)
+    out = out.withColumns({f"rec_{k}": F.col(f"rec_{k}") + 0.0001234 for k in KEPT})
     pos = (F.row_number().over(Window.partitionBy("symbol").orderBy("time")) - 1).cast("long")
-    return rounded(out, "rec_5", to=3).select("symbol", pos.alias("pos"), "rec_5")
+    return rounded(out, *(f"rec_{k}" for k in KEPT), to=3).select("symbol", pos.alias("pos"), *(f"rec_{k}" for k in KEPT))
 
 
 @query()
@@ -397,10 +488,40 @@ def adf(spark, sf_dir):
     return stats.stationarity(df, "adf").unionByName(stats.stationarity(df, "adf", "close_diff"))
 
 
-@query()
+def _dickey_fuller_sql(source: str, column: str) -> str:
+    """(symbol, n, statistic) of the regression of changes on the value before, by symbol."""
+    return f"""SELECT symbol, count(*) AS n, regr_slope(d, l) / sqrt((regr_syy(d, l) - regr_sxy(d, l) ^ 2 / regr_sxx(d, l)) / (count(*) - 2) / regr_sxx(d, l)) AS statistic
+        FROM (SELECT symbol, lag(x) OVER w AS l, x - lag(x) OVER w AS d FROM (SELECT symbol, time, {column} AS x FROM {source} WHERE {column} IS NOT NULL) WINDOW w AS (PARTITION BY symbol ORDER BY time)) WHERE d IS NOT NULL GROUP BY symbol"""
+
+
+# Where p is 0.05 at most: the polynomial of the p-value at the normal distribution's 5 % point.
+STATIONARY = "(statistic < -18.83 OR (statistic <= -1.61 AND 2.1659 + 1.4412 * statistic + 0.038269 * statistic ^ 2 <= -1.6448536269514722))"
+
+
+@query(_d(f"SELECT symbol, n, round(statistic, 5) AS statistic, round(-3.43035 - 6.5393 / n - 16.786 / n ^ 2 - 79.433 / n ^ 3, 5) AS crit_1, {STATIONARY} AS stationary FROM ({_dickey_fuller_sql('bars', 'close')})"))
+def dickey_fuller(spark, sf_dir):
+    """Without lags, so that SQL can say it."""
+    return rounded(stats.stationarity(bars_daily(spark, sf_dir), "adf", max_lag=0), "statistic", "crit_1", to=5).select("symbol", "n", "statistic", "crit_1", "stationary")
+
+
+def _kpss_sql(column: str) -> str:
+    most = "CAST(floor(n ** (2.0::DOUBLE / 9)) AS BIGINT)"
+    return f"""SELECT symbol, 'kpss' AS test, '{column}' AS series, statistic, greatest(0.01, least(0.10, CASE WHEN statistic < 0.463 THEN 0.10 + (statistic - 0.347) / (0.463 - 0.347) * (0.05 - 0.10)
+            WHEN statistic < 0.574 THEN 0.05 + (statistic - 0.463) / (0.574 - 0.463) * (0.025 - 0.05) ELSE 0.025 + (statistic - 0.574) / (0.739 - 0.574) * (0.01 - 0.025) END)) AS p_value, lags, n
+        FROM (WITH x AS (SELECT symbol, {column} - avg({column}) OVER (PARTITION BY symbol) AS e, row_number() OVER w AS i, count(*) OVER (PARTITION BY symbol) AS n FROM s WHERE {column} IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY time)),
+            g AS (SELECT a.symbol AS symbol, b.i - a.i AS k, sum(a.e * b.e) AS c, any_value(a.n) AS n FROM x a JOIN x b ON a.symbol = b.symbol AND b.i >= a.i GROUP BY ALL),
+            m AS (SELECT symbol, any_value(n) AS n, sum(c / n) FILTER (k = 0) + coalesce(sum(c / (n / 2)) FILTER (k BETWEEN 1 AND {most}), 0) AS s0, coalesce(sum(k * c / (n / 2)) FILTER (k BETWEEN 1 AND {most}), 0) AS s1 FROM g GROUP BY symbol),
+            h AS (SELECT symbol, n, least(CAST(floor(1.1447::DOUBLE * ((s1 / s0) ** 2) ** (1.0::DOUBLE / 3) * n ** (1.0::DOUBLE / 3)) AS BIGINT), n - 1) AS lags FROM m),
+            v AS (SELECT symbol, h.n AS n, any_value(lags) AS lags, (sum(c) FILTER (k = 0) + 2 * coalesce(sum((1 - k / (lags + 1)) * c) FILTER (k BETWEEN 1 AND lags), 0)) / h.n AS variance FROM g JOIN h USING (symbol) GROUP BY symbol, h.n),
+            u AS (SELECT symbol, sum(c ^ 2) AS q FROM (SELECT symbol, sum(e) OVER (PARTITION BY symbol ORDER BY i) AS c FROM x) GROUP BY symbol)
+            SELECT symbol, lags, n, q / n ^ 2 / variance AS statistic FROM v JOIN u USING (symbol))"""
+
+
+@query(_d(f"SELECT symbol, test, series, round(statistic, 5) AS statistic, round(p_value, 5) AS p_value, lags, n, p_value >= 0.05 AS stationary FROM (WITH s AS (SELECT *, close - lag(close) OVER {W} AS close_diff FROM bars) {_kpss_sql('close')} UNION ALL {_kpss_sql('close_diff')})"))
 def kpss(spark, sf_dir):
     df = features.diff(bars_daily(spark, sf_dir))
-    return stats.stationarity(df, "kpss").unionByName(stats.stationarity(df, "kpss", "close_diff"))
+    both = stats.stationarity(df, "kpss").unionByName(stats.stationarity(df, "kpss", "close_diff"))
+    return rounded(both, "statistic", "p_value", to=5).select("symbol", "test", "series", "statistic", "p_value", "lags", "n", "stationary")
 
 
 FRACTION = stats.fractional_weights(0.4, 20)
@@ -411,6 +532,16 @@ def fractional_difference(spark, sf_dir):
     return rounded(stats.fractional_difference(bars_daily(spark, sf_dir), 0.4), "fracdiff").select("symbol", "time", "fracdiff")
 
 
+ORDERS = [0.0, 0.4, 1.0]
+ORDERED = ", ".join("round(" + " + ".join(f"({w!r})::DOUBLE * " + (f"lag(close, {k}) OVER w" if k else "close") for k, w in enumerate(stats.fractional_weights(d, 20))) + f", 9) AS d_{i}" for i, d in enumerate(ORDERS))
+
+
+@query(_d("SELECT symbol, min(d) AS d FROM (" + " UNION ALL ".join(f"SELECT symbol, CASE WHEN {STATIONARY} THEN {d}::DOUBLE END AS d FROM ({_dickey_fuller_sql('o', f'd_{i}')})" for i, d in enumerate(ORDERS)) + ") GROUP BY symbol").replace(") SELECT symbol, min(d)", f"), o AS (SELECT symbol, time, {ORDERED} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY time)) SELECT symbol, min(d)", 1))
+def fractional_order(spark, sf_dir):
+    """The least of a few orders of differencing that the test without lags calls stationary."""
+    return stats.least_stationary_order(bars_daily(spark, sf_dir), ORDERS, max_lag=0)
+
+
 NAIVE = f"SELECT symbol, time, close AS truth, lag(close) OVER {W} AS predicted FROM bars"
 
 
@@ -456,58 +587,40 @@ INPUTS = ["open", "high", "low", "close", "volume"]
 
 @query()
 def arima(spark, sf_dir):
-    return rounded(forecast.arima(features.diff(bars_daily(spark, sf_dir))), "predicted", "low", "high", "mean", "phi", "theta")
+    return rounded(forecast.arima(features.diff(bars_daily(spark, sf_dir))), "predicted", "low", "high", "mean", "phi", "theta", to=2)
 
 
 @query()
-def linear_forecast(spark, sf_dir):
-    windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS)
-    return rounded(forecast.predict(windows, forecast.fit_linear(windows)), "truth", "predicted")
-
-
-def _network(spark, sf_dir, name: str, units: int | None, epochs: int = 8) -> DataFrame:
-    """A few epochs of a narrow network; the library's defaults are wider and go on for longer."""
-    windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS).persist()
-    return rounded(forecast.predict(windows, forecast.fit_network(windows, name, epochs=epochs, units=units)), "truth", "predicted", to=3)
-
-
-@query()
-def lstm_forecast(spark, sf_dir):
-    return _network(spark, sf_dir, "lstm", None)
-
-
-@query()
-def bi_lstm_forecast(spark, sf_dir):
-    return _network(spark, sf_dir, "bi_lstm", 8)
+def arima_summary(spark, sf_dir):
+    return rounded(forecast.arima_summary(features.diff(bars_daily(spark, sf_dir))), "estimate", "std_error", "z", "log_likelihood", "aic", "bic", to=2)
 
 
 @query()
-def lstm_cnn_forecast(spark, sf_dir):
-    return _network(spark, sf_dir, "lstm_cnn", 16)
-
-
-@query()
-def bi_lstm_cnn_forecast(spark, sf_dir):
-    return _network(spark, sf_dir, "bi_lstm_cnn", 16)
+def linear_forecast(spark, sf_dir):
+    windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS)
+    return rounded(forecast.predict_linear(windows, forecast.fit_linear(windows)), "truth", "predicted")
 
 
 @query()
-def transformer_forecast(spark, sf_dir):
-    return _network(spark, sf_dir, "transformer", 16)
+def trees_forecast(spark, sf_dir):
+    windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS)
+    return rounded(forecast.predict_trees(windows, forecast.fit_trees(windows)), "truth", "predicted")
 
 
 @query()
 def transfer(spark, sf_dir):
-    """The first symbol's transformer on the others' test windows."""
-    windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS).persist()
-    fitted = forecast.fit_network(windows.where(F.col("symbol") == PRIORITIES[0]), "transformer", epochs=5, units=16)
-    rows = forecast.predict(windows.where(F.col("symbol") != PRIORITIES[0]), fitted, source=PRIORITIES[0])
-    return rounded(forecast.score(rows, ["symbol", "model"]), "mse", "rmse", "mae", "mape", to=3)
+    """The first symbol's models on the others' test windows."""
+    return rounded(forecast.transfer(bars_daily(spark, sf_dir), INPUTS, PRIORITIES[0]), "mse", "rmse", "mae", "mape", to=3)
 
 
 @query()
 def forecast_grid(spark, sf_dir):
-    return rounded(forecast.grid(bars_daily(spark, sf_dir), INPUTS, {"lstm": None, "lstm_cnn": 16, "transformer": 16}, epochs=5), "mse", "rmse", "mae", "mape", to=3)
+    return rounded(forecast.grid(bars_daily(spark, sf_dir), INPUTS), "mse", "rmse", "mae", "mape", to=3)
+
+
+@query(_d("SELECT symbol, time, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time) AS k FROM bars) WHERE k <= 5"))
+def head(spark, sf_dir):
+    return profile.head(bars_daily(spark, sf_dir)).select("symbol", "time", "close")
 
 
 @query(_d("SELECT symbol, time, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS k FROM bars) WHERE k <= 5"))
