@@ -1,4 +1,4 @@
-"""Getting the package to Python workers."""
+"""What a cluster needs: a shared folder, and the package on Python workers."""
 
 from __future__ import annotations
 
@@ -9,6 +9,25 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which the cluster names in spark.checkpoint.dir.
+
+    Only where none is set and all runs on one machine (tests, a laptop) a temporary folder is
+    made and set; a cluster without a shared folder is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
+    spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
 def ship(spark: SparkSession) -> None:
     """Add this package to the session's Python files, once, so workers can import it wherever they run.
 

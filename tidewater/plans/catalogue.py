@@ -5,12 +5,15 @@ Values are rounded on both sides, as sums are taken in another order.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import shared_folder
 from ..operators import clean, features, forecast, prepare, profile, relations, spectral, stats
 from ..series import SeriesSpec, align
-from ..sources.files import read_table
+from ..sources.files import read_raw_csv, read_table, write_csv, write_indexed_csv
 from .tables import BARS_D, BARS_H, BARS_HS, bars_daily, bars_hourly, bars_hourly_spined, ticks
 
 QUERIES: dict = {}
@@ -65,6 +68,25 @@ def bars_by_hour_spined(spark, sf_dir):
     return rounded(bars_hourly_spined(spark, sf_dir), "volume", to=2).fillna(0, ["n"])
 
 
+BARS_SCHEMA = "symbol string, time string, open double, high double, low double, close double, volume double, n long"
+
+
+@query(_d(f"SELECT {ROUNDED_BARS} FROM bars"))
+def csv_round_trip(spark, sf_dir):
+    """Written as CSV by tasks, read again, times parsed."""
+    path = f"{shared_folder(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    write_csv(bars_by_day(spark, sf_dir), path)
+    return read_raw_csv(spark, path, BARS_SCHEMA).withColumn("time", F.to_timestamp_ntz("time"))
+
+
+@query(_d("SELECT row_number() OVER (ORDER BY symbol, time) - 1 AS index, symbol, time, close FROM bars WHERE month(time) = 1"))
+def csv_indexed(spark, sf_dir):
+    """A summary with an index column, types inferred when it is read."""
+    path = f"{shared_folder(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    write_indexed_csv(bars_daily(spark, sf_dir).where(F.month("time") == 1).select("symbol", "time", "close"), path, ["symbol", "time"])
+    return read_raw_csv(spark, path).select(F.col("index").cast("long").alias("index"), "symbol", F.col("time").cast("timestamp_ntz").alias("time"), "close")
+
+
 @query(_d("SELECT symbol, time, day(time)::INT AS day, month(time)::INT AS month, year(time)::INT AS year FROM bars"))
 def date_parts(spark, sf_dir):
     return prepare.with_date_parts(bars_daily(spark, sf_dir)).select("symbol", "time", "day", "month", "year")
