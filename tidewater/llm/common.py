@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,36 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import shared_folder
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
-def checkpoint_base(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where none is set and all runs on one machine (tests, a laptop) a temporary folder is
-    made and set; a cluster without a shared folder is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-    spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
 _SCRATCH: list[str] = []  # tables written on the way
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{checkpoint_base(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 @contextlib.contextmanager
@@ -57,7 +39,7 @@ def passing(spark: SparkSession, *paths: str):
 
 def cut(df: DataFrame) -> DataFrame:
     """df, checkpointed in the shared folder: computed once, its lineage cut."""
-    checkpoint_base(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

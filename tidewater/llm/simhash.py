@@ -122,7 +122,7 @@ def _prefix(column, depth: int):
     return F.shiftrightunsigned(column, BITS - depth)
 
 
-def near_pairs(nodes: DataFrame, budget: int = 2, leaf: int = 16_384) -> DataFrame:
+def near_pairs(nodes: DataFrame, budget: int = 2, leaf: int = 1 << 17) -> DataFrame:
     """(a, b): ids of every two of nodes' fingerprints that differ in at most budget bits. nodes: fp long, distinct, and id long.
 
     leaf: a pair of trie nodes is dealt to one task once neither has more fingerprints.
@@ -182,7 +182,7 @@ def _below(nodes: DataFrame, pairs: DataFrame, depth: int, budget: int) -> DataF
     return members.groupBy("x", "y").applyInArrow(walk, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2, leaf: int = 16_384) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2, leaf: int = 1 << 17) -> DataFrame:
     """(doc_id, fp, component_id): the component of documents linked by fingerprints within budget bits, by its smallest id.
 
     Texts without words have fingerprint 0 and are linked like any other. Rows with a null id
