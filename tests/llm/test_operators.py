@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip, or its library."""
 
 import hashlib
+import json
 import random
 import re
 import textwrap
@@ -115,6 +116,14 @@ def test_warc_of_nothing(spark, tmp_path):
 PIECES = st.lists(st.sampled_from([*"abcdefghij KLM.,'\n\t<|>0123", "<|endoftext|>", "<|startoftext|>", "'re", "'ll", "'ve", "  ", "   \n", "the", " and", "ing", "é", "漢字", "²½", "　", "\x85", "\x1c", "Σ", "İ", "é", "aaaaaaaaa"]), max_size=25).map("".join)
 
 
+def test_vocabularies_are_verified(tmp_path):
+    token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json")).verify()
+    made = {"model": {"vocab": {"a": 0, "b": 1, "c": 2, "bc": 3, "ab": 4, "abc": 5}, "merges": ["a b", "b c"]}, "added_tokens": []}
+    (tmp_path / "odd.json").write_text(json.dumps(made))
+    with pytest.raises(ValueError, match="abc"):
+        token_counts.PrefixCounter(str(tmp_path / "odd.json")).verify()
+
+
 @pytest.fixture(scope="module")
 def libraries():
     from tokenizers import Tokenizer

@@ -57,6 +57,7 @@ class PrefixCounter:
         self.pieces = regex.compile(PIECES)
         self.space_runs = regex.compile(r"\p{White_Space}{2,}")
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.verified = False
         self.cache = BoundedCache(self._piece, cache)
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -69,6 +70,15 @@ class PrefixCounter:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def verify(self) -> None:
+        """Raise where a token doesn't encode to itself, on which the table of prefixes rests."""
+        if self.verified:
+            return
+        other = next((b for b in self.ids if b and b.decode(errors="replace") not in self.special and self.merged(b) != [b]), None)
+        if other is not None:
+            raise ValueError(f"the token {other!r} doesn't encode to itself")
+        self.verified = True
+
     def goes_with(self, left: int, right: int) -> bool:
         key = (left, right)
         known = self.pairs.get(key)
@@ -159,8 +169,10 @@ def prefix_token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc
 
     A null or empty text has [0]. Null ids and repeated rows are kept as they are, an empty
     table gives none, other columns are left out. Whole texts are counted, whatever their
-    length; output is passed on in batches of about flush_bytes.
+    length; output is passed on in batches of about flush_bytes. A vocabulary with a token that
+    doesn't encode to itself is refused.
     """
+    counter(tokenizer_path).verify()
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("prefix_tokens", pa.list_(pa.int32()))])
 
     def batch(ids: list, sizes: list, tables: list) -> pa.RecordBatch:
