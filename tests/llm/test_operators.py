@@ -297,6 +297,15 @@ def test_whole_licenses_however_they_are_laid_out(name):
     assert [r[3] for r in rows] == [name, "CC-BY-SA-4.0"]
 
 
+def test_licenses_said_again_and_lines_of_marks():
+    rows = found_licenses("All rights reserved.\nAll rights reserved.\n" + "Released under the MIT License.\n" * 1500)
+    assert [r[3] for r in rows] == ["All-Rights-Reserved"] * 2 + ["MIT"] * 1500 and rows[-1][0] == 1501
+    rows = found_licenses("-" * 60 + "\n" + "*-#" * 40_000 + "\n" + "." * 100_000 + "\n# 7.5\nReleased under the MIT License.\n" + "=" * 70)
+    assert [r[3] for r in rows] == ["MIT"] and licenses.words("2.0 b") == ["2.0", "b"] and licenses.words(" * 1. Redistributions, (b) and") == ["redistributions", "b", "and"]
+    different = "\n".join(f"Released under the MIT License.\nLicensed under number {i} of the licenses." for i in range(1200))
+    assert sum(r[3] == "MIT" for r in found_licenses(different)) == 1200
+
+
 def slow_differences(block, template):
     """Edit distance of the block to the nearest stretch, by the textbook."""
     row = [0] * (len(template) + 1)

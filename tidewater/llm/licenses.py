@@ -32,8 +32,8 @@ CUES = r"(?i)licen[sc]|copyright|warrant|redistribut|permission|permitted|public
 TELLING = {"affero", "lesser", "library-general", "gpl", "lgpl", "agpl", "mit", "isc", "bsd", "apache", "mozilla", "mpl", "eclipse", "epl", "boost", "zlib", "unlicense", "cc", "cc0", "zero", "commercial", "non-commercial", "noderivs", "public", "not", "no", "non", "without", "never", "neither", "except", "simplified", "domain"} | {e.lower() for e in ELEMENTS.values()}
 VERSION = re.compile(r"v?\d+(?:\.\d+)*(?:-clause)?|by(?:-(?:nc|nd|sa))+|(?:attribution|noncommercial)-.*")
 CUE = re.compile(CUES)
-WORD = re.compile(r"[\w.\-+/]*\w")
-MARK = re.compile(r"^\s*(?:(?:[-*•#/;%>|]+|\(?[0-9a-z]{1,2}[.)])\s*)+(?=\s|\w|[\"'(])", re.I)
+WORD = re.compile(r"\w(?:[.\-+/]*+\w)*+")
+MARK = re.compile(r"^\s*+(?:(?:[-*•#/;%>|]++|\(?[0-9a-z]{1,2}[.)](?=\s))\s*+)++", re.I)  # of a list or a comment
 SENTENCE = re.compile(r"(?<=\w\w[.;:!?])\s+(?=[\"'(]?[A-Z0-9])")
 COPYRIGHT = re.compile(r"(?i)^\W*(?:copyright\s*(?:\(c\)|©|\d{4}|by\b)|\(c\)\s|©)")
 DIFFERENCE = 0.2
@@ -110,30 +110,30 @@ class Scanner:
             self.with_template[name] = zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def blocks(self, text: str) -> Iterator[list[tuple[int, str]]]:
-        """The runs of units that speak of licensing; up to two blank lines may part them."""
+        """The runs of units that speak of licensing; up to two blank lines may part them. A unit said again begins another run."""
         parts = units(text)
         own = [words(u) for _, u in parts]
         held: list[tuple[int, str]] = []
+        said: set[tuple[str, ...]] = set()
         blank = 0
         for (line, unit), w, n in zip(parts, own, marked(own, self.any_runs), strict=True):
             if not unit:
                 blank += 1
-            elif CUE.search(unit) or (w and 2 * n >= len(w)):
-                if blank > 2 and held:
-                    yield held
-                    held = []
-                held.append((line, unit))
-                blank = 0
-            elif held:
+                continue
+            speaks = CUE.search(unit) or (w and 2 * n >= len(w))
+            again = len(w) > 2 and tuple(w) in said
+            if held and (not speaks or again or blank > 2):
                 yield held
-                held, blank = [], 0
-            else:
-                blank = 0
+                held, said = [], set()
+            if speaks:
+                held.append((line, unit))
+                said.add(tuple(w))
+            blank = 0
         if held:
             yield held
 
     def fit(self, own: list[list[str]], name: str) -> tuple[int, int, int, int, list[str]] | None:
-        """(differing words, words, first unit, end unit, differences) of the units that a template covers best; None if it doesn't fit."""
+        """(differing words, words, first unit, end unit, differences) of the run of units, covered by most words of a template, that it fits; None if it fits none."""
         template, met = self.words[name], marked(own, self.runs[name])
         covered = [bool(u) and 2 * n >= len(u) for n, u in zip(met, own, strict=True)]
         spans, at = [], 0
@@ -144,37 +144,43 @@ class Scanner:
             if end > at:
                 spans.append((sum(met[at:end]), -at, end))
             at = end + 1
-        if not spans:
-            return None
-        first, end = -max(spans)[1], max(spans)[2]
-        block = [w for u in own[first:end] for w in u]
-        if (1 - DIFFERENCE) * len(block) > len(template):
-            return None
-        count, found = differences(block, template)
-        if count > DIFFERENCE * len(block) or any(telling(d[1:]) for d in found):
-            return None
-        return count, len(block), first, end, found
-
-    def scan(self, block: tuple[tuple[int, str], ...]) -> list[tuple]:
-        """Rows (first line, end line, text, license, candidates, plain bytes, bytes with the best template, reduction, differing words, differences), in order."""
+        for _, first, end in sorted(spans, reverse=True):
+            first = -first
+            block = [w for u in own[first:end] for w in u]
+            if (1 - DIFFERENCE) * len(block) > len(template):
+                continue
+            count, found = differences(block, template)
+            if count <= DIFFERENCE * len(block) and not any(telling(d[1:]) for d in found):
+                return count, len(block), first, end, found
+        return None
+
+    def best_fit(self, block: tuple[tuple[int, str], ...]) -> tuple[tuple, int, int]:
+        """(row as of scan, first unit, end unit) of the units that some license fits best; of the whole block if none does."""
         text = "\n".join(u for _, u in block)
         data = text.encode()
         alone = len(self.plain.compress(data))
         ranked = sorted((len(z.compress(data)), name) for name, z in self.with_template.items())
-        saving = [(size, name) for size, name in ranked if size < alone]
         own = [[] if COPYRIGHT.match(u) and "license" not in u.lower() else words(u) for _, u in block]
-        fits = [(2 * f[0] - f[1], size, name, f[0], *f[2:]) for size, name in saving if (f := self.fit(own, name))]
+        fits = [(2 * f[0] - f[1], size, name, f[0], *f[2:]) for size, name in ranked if size < alone and (f := self.fit(own, name))]
         if not fits:
-            size = ranked[0][0] if ranked else alone
-            return [(block[0][0], block[-1][0] + 1, text, None, [], alone, min(size, alone), round(max(0.0, 1 - size / alone), 6), None, [])]
+            size = min(ranked[0][0], alone) if ranked else alone
+            return (block[0][0], block[-1][0] + 1, text, None, [], alone, size, round(1 - size / alone, 6), None, []), 0, len(block)
         best = min(f[0] for f in fits)
         names = sorted(f[2] for f in fits if f[0] == best)
         _, size, _, count, first, end, found = min(f for f in fits if f[0] == best)
-        if first == 0 and end == len(block):
-            row = (block[0][0], block[-1][0] + 1, text, names[0] if len(names) == 1 else "ambiguous", names, alone, size, round(1 - size / alone, 6), count, found)
-            return [row]
-        parts = (block[:first], block[first:end], block[end:])
-        return [row for part in parts if part for row in self.scan(part)]
+        return (block[0][0], block[-1][0] + 1, text, names[0] if len(names) == 1 else "ambiguous", names, alone, size, round(1 - size / alone, 6), count, found), first, end
+
+    def scan(self, block: tuple[tuple[int, str], ...]) -> list[tuple]:
+        """Rows (first line, end line, text, license, candidates, plain bytes, bytes with the best template, reduction, differing words, differences), in order."""
+        rows, waiting = [], [(0, block)]
+        while waiting:
+            at, part = waiting.pop()
+            row, first, end = self.best_fit(part)
+            if (first, end) == (0, len(part)):
+                rows.append((at, row))
+            else:
+                waiting += [(at + i, part[i:j]) for i, j in ((0, first), (first, end), (end, len(part))) if i < j]
+        return [row for _, row in sorted(rows, key=lambda r: r[0])]
 
 
 def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", cues: str = CUES, level: int = 3) -> DataFrame:
