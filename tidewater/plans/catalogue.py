@@ -14,6 +14,7 @@ from ..cluster import shared_folder
 from ..operators import clean, features, forecast, prepare, profile, relations, spectral, stats
 from ..series import SeriesSpec, align
 from ..sources.files import read_raw_csv, read_table, write_csv, write_indexed_csv
+from ..streaming import live
 from .tables import BARS_D, BARS_H, BARS_HS, bars_daily, bars_hourly, bars_hourly_spined, ticks
 
 QUERIES: dict = {}
@@ -63,6 +64,17 @@ def bars_by_hour(spark, sf_dir):
     return rounded(bars_hourly(spark, sf_dir), "volume", to=2)
 
 
+@query(_h(f"SELECT {ROUNDED_BARS} FROM bars"))
+def bars_by_hour_streamed(spark, sf_dir):
+    """The same bars from a stream of ticks, kept up to date by event time; what is kept, and given here, is bounded by the calendar."""
+    schema = read_table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{str(sf_dir).rstrip('/')}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"bars_{uuid.uuid4().hex}"
+    made = live.stream_bars(stream, "event_type", "ts", "value", "event_id", "1 hour", "2 hours")
+    made.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark).rstrip('/')}/{name}").trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.table(name).withColumn("time", F.col("time").cast("timestamp_ntz")), "volume", to=2)
+
+
 @query(_hs(f"SELECT {ROUNDED_BARS.replace(', n', ', coalesce(n, 0) AS n')} FROM bars"))
 def bars_by_hour_spined(spark, sf_dir):
     return rounded(bars_hourly_spined(spark, sf_dir), "volume", to=2).fillna(0, ["n"])
