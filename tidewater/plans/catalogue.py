@@ -629,6 +629,30 @@ def arima_summary(spark, sf_dir):
     return rounded(forecast.arima_summary(features.diff(bars_daily(spark, sf_dir))), "estimate", "std_error", "z", "log_likelihood", "aic", "bic", to=2)
 
 
+ALL_SCALED = ", ".join(f"({c} - avg({c}) FILTER (split = 'train') OVER s) / nullif(stddev_samp({c}) FILTER (split = 'train') OVER s, 0) AS z_{c}" for c in INPUTS)
+SCALED_ROWS = f"SELECT symbol, time, split, {ALL_SCALED}, sin((isodow(time) - 1) * 2 * pi() / 7) AS z_sin, cos((isodow(time) - 1) * 2 * pi() / 7) AS z_cos FROM ({SPLIT3}) WINDOW s AS (PARTITION BY symbol)"
+NAIVE_SCALED = "SELECT symbol, truth, predicted FROM (SELECT symbol, split, z_close AS truth, lag(z_close) OVER (PARTITION BY symbol ORDER BY time) AS predicted FROM z) WHERE split = 'test'"
+
+
+@query(_d(f"SELECT symbol, round(mse, 4) AS mse, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(mape, 4) AS mape FROM (WITH z AS ({SCALED_ROWS}) {_scores_sql(NAIVE_SCALED, 'symbol')})"))
+def naive_scaled_scores(spark, sf_dir):
+    """The baseline in the units of the models."""
+    return rounded(forecast.score(forecast.naive_scaled(bars_daily(spark, sf_dir)), ["symbol"]), "mse", "rmse", "mae", "mape")
+
+
+@query(_d(f"""SELECT symbol, split, place, count(*) AS n, round(avg(x), 2) + 0.0 AS mean, round(avg(y), 2) + 0.0 AS label FROM (
+    WITH z AS ({SCALED_ROWS}), p AS (SELECT *, row_number() OVER (PARTITION BY symbol, split ORDER BY time) - 1 AS at, count(*) OVER (PARTITION BY symbol, split) AS rows FROM z),
+    w AS (SELECT b.symbol AS symbol, b.split AS split, b.z_close AS y, s.step AS step, [{', '.join(f'a.z_{c}' for c in [*INPUTS, 'sin', 'cos'])}] AS x FROM p b, (SELECT unnest(range(0, 5)) AS step) s
+        JOIN p a ON a.symbol = b.symbol AND a.split = b.split AND a.at = b.at - 5 + s.step WHERE b.at >= 5 AND b.at <= b.rows - 2)
+    SELECT symbol, split, y, (step * {len(INPUTS) + 2} + unnest(range(0, {len(INPUTS) + 2})))::INT AS place, unnest(x)::FLOAT AS x FROM w) GROUP BY ALL"""))
+def model_inputs(spark, sf_dir):
+    """What models are given: for each place of a window how many there are and their mean, by split."""
+    windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS)
+    cells = windows.select("symbol", "split", "y", F.posexplode("x").alias("place", "x"))
+    made = cells.groupBy("symbol", "split", "place").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.avg("y").alias("label"))
+    return rounded(made, "mean", "label", to=2).withColumns({c: F.col(c) + F.lit(0.0) for c in ("mean", "label")})
+
+
 @query()
 def linear_forecast(spark, sf_dir):
     windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS)
