@@ -127,13 +127,13 @@ def _contaminated(texts: DataFrame, items: DataFrame, k: int, threshold: float,
     agreeing = lambda i: F.bit_count(block(F.col("fp").bitwiseXOR(F.col("item_fp")), i).cast("long")) <= radius // BLOCKS
     near = near.where(F.col("block") == F.array_min(F.filter(numbers, agreeing))).select("doc_id", "row", "item_id", "n_words", "start_word", "hashes")
 
-    # Exact weighted similarity.
-    weights = filed.groupBy("item_id", "h").agg(F.count("*").alias("item_weight"))
-    key = ["doc_id", "row", "item_id", "n_words", "start_word"]
-    own = near.select(*key, F.size("hashes").alias("n"), F.explode_outer("hashes").alias("h")).groupBy(*key, "n", "h").agg(F.count("*").alias("weight"))
-    shared = own.join(_bounded(weights, shingles), ["item_id", "h"]).groupBy(*key, "n").agg(F.sum(F.least("weight", "item_weight")).alias("shared"))
-    united = F.col("n") + F.col("n_words") - k + 1 - F.col("shared")
-    scored = shared.withColumn("similarity", F.col("shared") / united).where(F.col("similarity") >= threshold)
+    # Exact weighted similarity, in the row: no window is taken apart.
+    weighed = near.join(_bounded(hashed.select("item_id", F.col("hashes").alias("item_hashes")), shingles), "item_id")
+    times = lambda hashes, h: F.size(F.filter(hashes, lambda x: x == h))
+    common = F.array_intersect("hashes", "item_hashes")
+    shared = F.aggregate(common, F.lit(0), lambda total, h: total + F.least(times("hashes", h), times("item_hashes", h)))
+    united = F.size("hashes") + F.size("item_hashes") - F.col("shared")
+    scored = weighed.withColumn("shared", shared).withColumn("similarity", F.col("shared") / united).where(F.col("similarity") >= threshold)
     best = scored.groupBy("doc_id", "item_id", "n_words").agg(F.min(F.struct((-F.col("similarity")).alias("loss"), "start_word")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.start_word").alias("start_word"), "n_words", F.round(-F.col("b.loss"), 6).alias("similarity"))
 
@@ -144,7 +144,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
     All rows of a contaminated id go; rows with a null id or text stay, as do all where a table is
     empty. Columns are those of docs, whatever their names beside doc_id and text.
     """
-    return docs.join(contaminated(docs, benchmark, threshold=threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(contaminated(docs, benchmark, threshold=threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_benchmark_windows(spark, sf_dir: str) -> DataFrame:
