@@ -21,10 +21,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     give no rows.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    seen = None
-    while True:
+    while not _settled(edges):
         both = edges.select("u", "v").union(edges.select("v", "u"))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -32,7 +29,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         told = large.join(small_least, "u")
         small = told.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = cut(small)
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == (state["n"], state["h"]):
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = (state["n"], state["h"])
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every larger end has one link, and is no smaller end: each link then leads to its component's smallest node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("larger"), F.lit(0).alias("smaller")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("larger").alias("larger"), F.max("smaller").alias("smaller")).where("larger > 1 or (larger = 1 and smaller = 1)").isEmpty()
