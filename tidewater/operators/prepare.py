@@ -58,11 +58,20 @@ def rolling_by_halves(df: DataFrame, rows: int = 12, column: str = "close", spec
     return halves(df, spec).withColumns({"rolling_mean": F.when(full, F.avg(column).over(frame)), "rolling_std": F.when(full, F.stddev_samp(column).over(frame))})
 
 
-def standardise(df: DataFrame, columns: list[str], spec: SeriesSpec = BARS) -> DataFrame:
+def scaled_columns(df: DataFrame, spec: SeriesSpec = BARS) -> list[str]:
+    """The numbers and times of df but for those that are encodings already: the weekday's sine and cosine, and seasons."""
+    kinds = (T.NumericType, T.TimestampType, T.TimestampNTZType)
+    own = {spec.symbol, "split", "sin_date", "cos_date"}
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds) and f.name not in own and not f.name.startswith("Month_Category_")]
+
+
+def standardise(df: DataFrame, columns: list[str] | None = None, spec: SeriesSpec = BARS) -> DataFrame:
     """z-scores by each symbol's train mean and standard deviation (n - 1), for all splits; null where it is zero. Needs split.
 
-    Times are scaled as numbers, in microseconds. The statistics are one small row per symbol.
+    columns: scaled_columns by default. Times are scaled as numbers, in microseconds. The
+    statistics are one small row per symbol.
     """
+    columns = scaled_columns(df, spec) if columns is None else columns
     value = {c: X.epoch_micros(F.col(c)) if isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(c).cast("double") for c in columns}
     stats = df.where("split = 'train'").groupBy(spec.symbol).agg(*(f(value[c]).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))))
     scaled = df.join(stats, spec.symbol, "left").withColumns({f"z_{c}": X.z_score(value[c], F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in columns})

@@ -346,6 +346,18 @@ def standardise(spark, sf_dir):
     return rounded(prepare.standardise(prepare.split3(bars_daily(spark, sf_dir)), SCALED), *names).select("symbol", "time", "split", *names)
 
 
+EVERY = {**{c: c for c in ["open", "high", "low", "close", "volume", "n"]}, "time": "epoch_us(time)", "day": "day(time)", "month": "month(time)", "year": "year(time)"}
+
+
+@query(_d("SELECT symbol, time, split, " + ", ".join(f"round(({e} - avg({e}) FILTER (split = 'train') OVER s) / nullif(stddev_samp({e}) FILTER (split = 'train') OVER s, 0), 3) + 0.0 AS z_{c}" for c, e in EVERY.items()) + f" FROM ({SPLIT3}) WINDOW s AS (PARTITION BY symbol)"))
+def standardise_all(spark, sf_dir):
+    """All columns but the encodings, times too."""
+    df = features.seasonality(prepare.with_cyclic_weekday(prepare.with_date_parts(bars_daily(spark, sf_dir))))
+    out = prepare.standardise(prepare.split3(df))
+    names = [c for c in out.columns if c.startswith("z_")]
+    return rounded(out, *names, to=3).select("symbol", "time", "split", *((F.col(c) + F.lit(0.0)).alias(c) for c in names))
+
+
 @query(_d(f"""SELECT b.symbol, b.pos AS pos, b.close AS label, s.step AS step, a.open AS open, a.close AS close FROM ({PLACED}) b, (SELECT unnest(range(0, 5)) AS step) s
     JOIN ({PLACED}) a ON a.symbol = b.symbol AND a.pos = b.pos - 5 + s.step WHERE b.pos >= 5 AND b.pos <= b.total - 2"""))
 def sequences(spark, sf_dir):
