@@ -26,14 +26,19 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder of the shared folder, with all that is in it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextlib.contextmanager
 def passing(spark: SparkSession, *paths: str):
     """Afterwards, delete paths and the tables written on the way inside: what was made of them is stored by then."""
     begun = len(_SCRATCH)
     yield
     for path in [*paths, *_SCRATCH[begun:]]:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        delete(spark, path)
     del _SCRATCH[begun:]
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, read_table, released, written
+from .common import delete, id_and_text, read_table, released, shared_path, written
 
 RADIX, CHECK_RADIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so they have inverses modulo 2**64
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -150,7 +150,7 @@ def with_equal_neighbour(suffixes: DataFrame) -> DataFrame:
             yield made(*(np.array([x]) for x in last[:3]), np.array([True]), np.array([last[4]]))
 
     order = ["head", "doc_id", "pos"]
-    compared = cut(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(released(run), "head long, doc_id long, pos int, edge boolean, equal boolean"))
+    compared = written(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(released(run), "head long, doc_id long, pos int, edge boolean, equal boolean"), "compared")
     edges = compared.where("edge")
     shared = edges.groupBy("head").agg(F.count("*").alias("n")).where("n > 1")
     across = edges.where("not equal").join(shared, "head", "left_semi")
@@ -209,8 +209,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     k = (min_words + 1) // 2
     w = min_words - k + 1
     texts = id_and_text(docs, id_col, text_col).where("doc_id is not null")
-    suffixes = written(sampled_suffixes(texts, k, w), "suffixes")
-    runs = with_equal_neighbour(suffixes).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    path = shared_path(docs.sparkSession, "suffixes")
+    sampled_suffixes(texts, k, w).write.parquet(path)
+    candidates = with_equal_neighbour(docs.sparkSession.read.schema("head long, doc_id long, pos int").parquet(path))
+    delete(docs.sparkSession, path)  # what is kept of it is written
+    runs = candidates.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     windows = written(extended_windows(texts.join(runs, "doc_id"), min_words, k), "windows")
     # Written, so both sides of the join are plain exchanges, which Spark splits where a passage is everywhere.
     firsts = windows.groupBy("win", "check").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).where("n > 1").drop("n")
