@@ -51,3 +51,54 @@ def test_stream_ema_equals_batch(spark, tmp_path):
     got = {(r["symbol"], r["tick"]): round(r["ema_5"], 9) for r in spark.table("live_ema").collect()}
     want = {(r["symbol"], r["tick"]): round(r["ema_5"], 9) for r in features.ema(ticks, [5], "value", SeriesSpec(tiebreak=("tick",))).collect()}
     assert got == want
+
+
+def folder_of(tmp_path, **files):
+    for name, text in files.items():
+        (tmp_path / f"{name}_hourly.csv").write_text(text)
+    return f"{tmp_path}/*_hourly.csv"
+
+
+HEADERS = {
+    "ada": "time,open,close\n2024-01-01 00:00:00,1.0,2.0\n",
+    "btc": "time,close,open\n2024-01-01 00:00:00,20.0,10.0\n",  # swapped
+    "eth": "time,close\n2024-01-01 00:00:00,7\n",  # one missing
+    "xrp": "tweets,time,open,close\n3,2024-01-01 00:00:00,,4.5\n5,2024-01-01 01:00:00,nan,\n",  # one more, and gaps
+    "doge": "",
+    "xmr": "time,open,close\n",
+}
+
+
+@pytest.mark.parametrize("schema", [None, "time string, open double, close double, tweets long"])
+def test_files_are_read_by_their_own_headers(spark, tmp_path, schema):
+    df = files.read_series_csv(spark, folder_of(tmp_path, **HEADERS), schema)
+    assert dict(df.dtypes) == {"symbol": "string", "time": "timestamp_ntz", "open": "double", "close": "double", "tweets": "bigint"}
+    rows = sorted((r["symbol"], r["time"].hour, r["open"], r["close"], r["tweets"]) for r in df.collect())
+    assert rows == [("ada", 0, 1.0, 2.0, None), ("btc", 0, 10.0, 20.0, None), ("eth", 0, None, 7.0, None), ("xrp", 0, None, 4.5, 3), ("xrp", 1, None, None, 5)]
+
+
+def test_types_of_all_files_agree(spark, tmp_path):
+    """Whole numbers in one file and fractions in another are doubles; a word anywhere makes a text; a column of gaps is text."""
+    paths = folder_of(tmp_path, a="time,x,y,z,up\n2024-01-01,1,1,,true\n", b="up,y,x,time\nfalse,one,2.5,2024-01-02\n", c='time,"q,r"\n2024-01-03,9\n')
+    df = files.read_series_csv(spark, paths)
+    assert dict(df.dtypes) == {"symbol": "string", "time": "timestamp_ntz", "x": "double", "y": "string", "z": "string", "up": "boolean", "q,r": "bigint"}
+    assert sorted((r["symbol"], r["x"], r["y"], r["q,r"]) for r in df.collect()) == [("a", 1.0, "1", None), ("b", 2.5, "one", None), ("c", None, None, 9)]
+
+
+def test_packed_files_folders_and_odd_headers(spark, tmp_path):
+    import gzip
+
+    with gzip.open(tmp_path / "zip_1.csv.gz", "wt") as f:
+        f.write("close,time\n3,2024-01-01\n")
+    (tmp_path / "dir_1").mkdir()
+    (tmp_path / "dir_1" / "part-0.csv").write_text("\ufefftime,close\n2024-01-01,4\n")
+    (tmp_path / "dir_1" / "_SUCCESS").write_text("")
+    df = files.read_series_csv(spark, [f"{tmp_path}/zip_1.csv.gz", f"{tmp_path}/dir_1", f"{tmp_path}/absent_1.csv"], "time string, close double")
+    assert sorted((r["symbol"], r["close"]) for r in df.collect()) == [("dir", 4.0), ("zip", 3.0)]
+    (tmp_path / "twice_1.csv").write_text("time,close,close\n2024-01-01,1,2\n")
+    with pytest.raises(ValueError, match="twice"):
+        files.read_series_csv(spark, f"{tmp_path}/twice_1.csv")
+    (tmp_path / "empty_1.csv").write_text("")
+    assert files.read_series_csv(spark, f"{tmp_path}/empty_1.csv", "time string, close double").count() == 0
+    with pytest.raises(ValueError, match="header"):
+        files.read_series_csv(spark, f"{tmp_path}/empty_1.csv")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..cluster import shared_folder
 from ..operators import clean, features, forecast, prepare, profile, relations, spectral, stats
 from ..series import SeriesSpec, align
-from ..sources.files import read_raw_csv, read_table, write_csv, write_indexed_csv
+from ..sources.files import read_raw_csv, read_series_csv, read_table, write_csv, write_indexed_csv
 from ..streaming import live
 from .tables import BARS_D, BARS_H, BARS_HS, bars_daily, bars_hourly, bars_hourly_spined, ticks
 
@@ -91,6 +91,20 @@ def csv_round_trip(spark, sf_dir):
     return read_raw_csv(spark, path, BARS_SCHEMA).withColumn("time", F.to_timestamp_ntz("time"))
 
 
+#: What the file of each symbol holds, in this order.
+FILES = {"1": ["time", "open", "close"], "2": ["close", "time", "open"], "3": ["time", "close"], "4": ["volume", "open", "time", "close"], "5": ["close", "open", "time", "n"]}
+
+
+@query(_d(" UNION ALL ".join(f"SELECT '{s}' AS symbol, time, " + ", ".join((f"round({c}, 2)" if c == "volume" else c) + f" AS {c}" if c in held else f"NULL AS {c}" for c in ("open", "close", "volume", "n")) + f" FROM bars WHERE symbol[1] = '{s}'" for s, held in FILES.items())))
+def csv_by_header(spark, sf_dir):
+    """A file for each symbol, whose columns differ in order and number; each is read by its own header, a file that isn't there is skipped."""
+    path = f"{shared_folder(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    df = bars_by_day(spark, sf_dir)
+    for symbol, held in FILES.items():
+        write_csv(df.where(F.col("symbol").startswith(symbol)).select(*held), f"{path}/{symbol}_bars")
+    return read_series_csv(spark, [f"{path}/{s}_bars" for s in (*FILES, "6")])
+
+
 @query(_d("SELECT row_number() OVER (ORDER BY symbol, time) - 1 AS index, symbol, time, close FROM bars WHERE month(time) = 1"))
 def csv_indexed(spark, sf_dir):
     """A summary with an index column, types inferred when it is read."""
