@@ -70,6 +70,7 @@ def _ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
 
 def adf_statistic(x: np.ndarray, max_lag: int | None = None) -> tuple[float, float, int, int]:
     """(statistic, p, lags, observations) of the augmented Dickey-Fuller test with a constant; lags by AIC on a common sample."""
+    x = x - x.mean()  # with a constant the test is the same, and far levels lose no digits
     d = np.diff(x)
     most = min(math.ceil(12 * (len(x) / 100) ** 0.25) if max_lag is None else max_lag, len(x) // 2 - 2)
 
@@ -85,9 +86,30 @@ def adf_statistic(x: np.ndarray, max_lag: int | None = None) -> tuple[float, flo
     a, b = design(lags, lags)
     beta, inverse, loss = _ols(a, b)
     t = float(beta[0] / math.sqrt(max(loss, 1e-300) / (len(b) - a.shape[1]) * inverse[0, 0]))
+    return t, adf_p_value(t), lags, len(b)
+
+
+def adf_p_value(t: float) -> float:
     z = sum(c * t**i for i, c in enumerate(ADF_LOW if t <= -1.61 else ADF_HIGH))
-    p = 0.0 if t < -18.83 else 1.0 if t > 2.74 else 0.5 * math.erfc(-z / math.sqrt(2))
-    return t, p, lags, len(b)
+    return 0.0 if t < -18.83 else 1.0 if t > 2.74 else 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+#: The numbers of a test's result.
+result_columns = {"statistic": "double", "p_value": "double", "lags": "long", "n": "long", "crit_1": "double", "crit_5": "double", "crit_10": "double", "stationary": "boolean"}
+
+
+def adf_columns(t: float, lags: int, n: int) -> dict:
+    p = adf_p_value(t)
+    return {"statistic": t, "p_value": p, "lags": lags, "n": n, "stationary": p <= 0.05} | {f"crit_{k}": sum(c / n**i for i, c in enumerate(v)) for k, v in ADF_CRITICAL.items()}
+
+
+def kpss_lags(products: DataFrame, symbol: str) -> DataFrame:
+    """(symbol, lags): the automatic number of lags, from (symbol, n, k, xx) of the products at lags up to n^(2/9)."""
+    few = products.where(F.col("k") <= F.floor(F.col("n").cast("double") ** (2 / 9)))
+    part = F.when(F.col("k") == 0, F.col("xx") / F.col("n")).otherwise(F.col("xx") / (F.col("n") / 2))
+    sums = few.groupBy(symbol, "n").agg(F.sum(part).alias("s0"), F.sum(F.col("k") * part).alias("s1"))
+    wanted = F.floor(1.1447 * ((F.col("s1") / F.nullif("s0", F.lit(0.0))) ** 2) ** (1 / 3) * F.col("n").cast("double") ** (1 / 3))
+    return sums.select(symbol, F.least(F.coalesce(wanted, F.lit(0)), F.col("n") - 1).cast("int").alias("lags"))
 
 
 def kpss_statistic(x: np.ndarray) -> tuple[float, float, int, int]:
@@ -116,9 +138,12 @@ def stationarity(df: DataFrame, test: str, column: str = "close", least: int = 2
         x = group.sort_values(spec.order)[column].dropna().to_numpy(dtype="float64")
         row = {spec.symbol: group[spec.symbol].iloc[0], "test": test, "series": column, "statistic": None, "p_value": None, "lags": None, "n": len(x), "crit_1": None, "crit_5": None, "crit_10": None, "stationary": None}
         if len(x) >= least and x.min() < x.max():
-            stat, p, lags, n = adf_statistic(x, max_lag) if test == "adf" else kpss_statistic(x)
-            critical = {k: sum(c / n**i for i, c in enumerate(v)) for k, v in ADF_CRITICAL.items()} if test == "adf" else {1: 0.739, 5: 0.463, 10: 0.347}
-            row |= {"statistic": stat, "p_value": p, "lags": lags, "n": n, "stationary": p <= 0.05 if test == "adf" else p >= 0.05} | {f"crit_{k}": v for k, v in critical.items()}
+            if test == "adf":
+                t, _, lags, n = adf_statistic(x, max_lag)
+                row |= adf_columns(t, lags, n)
+            else:
+                stat, p, lags, n = kpss_statistic(x)
+                row |= {"statistic": stat, "p_value": p, "lags": lags, "n": n, "stationary": p >= 0.05, "crit_1": 0.739, "crit_5": 0.463, "crit_10": 0.347}
         return pd.DataFrame([row])
 
     kind = dict(df.dtypes)[spec.symbol]

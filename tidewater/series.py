@@ -91,16 +91,22 @@ def positioned(df: DataFrame, spec: SeriesSpec, bucket: Column) -> DataFrame:
     return numbered.join(offsets, [spec.symbol, "_bucket"]).withColumn("_pos", F.col("_offset") + F.col("_row")).drop("_bucket", "_row", "_offset")
 
 
+def chunked(df: DataFrame, spec: SeriesSpec, bucket: Column, chunk_rows: int, before: int = 0, after: int = 0) -> DataFrame:
+    """df with _pos, _chunk (chunk_rows rows each) and _at, the chunk a row serves: its own, and as one of the before rows ahead of a chunk or the after rows behind it, a neighbour's too."""
+    if max(before, after) > chunk_rows:
+        raise ValueError("rows of neighbours must not exceed chunk_rows")
+    placed = positioned(df, spec, bucket).withColumn("_chunk", F.floor(F.col("_pos") / chunk_rows))
+    within = F.col("_pos") % chunk_rows
+    serves = F.array_compact(F.array("_chunk", F.when(within >= chunk_rows - before, F.col("_chunk") + 1), F.when((within < after) & (F.col("_chunk") > 0), F.col("_chunk") - 1)))
+    return placed.withColumn("_at", F.explode(serves))
+
+
 def in_chunks(df: DataFrame, spec: SeriesSpec, bucket: Column, before: int, frame: Callable[[WindowSpec], dict[str, Column]], chunk_rows: int = 1_000_000) -> DataFrame:
     """frame's columns for series too long for one task: each reads at most before rows back.
 
     A series is cut into chunks of chunk_rows; the last rows of a chunk also go to the next,
     where they only serve its first frames. The result is that of one window over the symbol.
     """
-    if before > chunk_rows:
-        raise ValueError("before must not exceed chunk_rows")
-    placed = positioned(df, spec, bucket).withColumn("_chunk", F.floor(F.col("_pos") / chunk_rows))
-    tail = (F.col("_pos") % chunk_rows) >= chunk_rows - before
-    copied = placed.withColumn("_at", F.explode(F.when(tail, F.array("_chunk", F.col("_chunk") + 1)).otherwise(F.array("_chunk"))))
+    copied = chunked(df, spec, bucket, chunk_rows, before)
     window = Window.partitionBy(spec.symbol, "_at").orderBy("_pos")
     return copied.withColumns(frame(window)).where("_at = _chunk").drop("_pos", "_chunk", "_at")
