@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import shared_folder
 from ..operators import clean, features, forecast, prepare, profile, relations, spectral, stats
+from ..operators import ticks as long
 from ..series import SeriesSpec, align
 from ..sources.files import read_raw_csv, read_series_csv, read_table, write_csv, write_indexed_csv
 from ..streaming import live
@@ -293,6 +294,39 @@ def tick_ema(spark, sf_dir):
     return rounded(out, "ema_20").select("symbol", "time", "event_id", "ema_20")
 
 
+#: Ticks with gaps: every seventh value, stretches, and all of a month's last days.
+GAPPED = "SELECT event_type AS symbol, ts AS time, event_id, CASE WHEN event_id % 7 <> 0 AND event_id % 1000 < 900 AND day(ts) < 28 THEN value END AS value FROM events"
+ALONG, BACK = "(PARTITION BY symbol ORDER BY time, event_id ROWS UNBOUNDED PRECEDING)", "(PARTITION BY symbol ORDER BY time DESC, event_id DESC ROWS UNBOUNDED PRECEDING)"
+TICK_MEDIAN = "median(value) OVER (PARTITION BY symbol ORDER BY time, event_id ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)"
+
+
+def _gapped(spark, sf_dir) -> DataFrame:
+    known = (F.col("event_id") % 7 != 0) & (F.col("event_id") % 1000 < 900) & (F.dayofmonth("time") < 28)
+    return ticks(spark, sf_dir).withColumn("value", F.when(known, F.col("value")))
+
+
+@query(f"SELECT symbol, time, event_id, last_value(value IGNORE NULLS) OVER {ALONG} AS value FROM ({GAPPED})")
+def tick_ffill(spark, sf_dir):
+    """Over single ticks: the last known value is carried from chunk to chunk."""
+    return long.ffill(_gapped(spark, sf_dir), ["value"], F.date_trunc("hour", "time"), TICKS)
+
+
+@query(f"SELECT symbol, time, event_id, last_value(value IGNORE NULLS) OVER {BACK} AS value FROM ({GAPPED})")
+def tick_bfill(spark, sf_dir):
+    return long.bfill(_gapped(spark, sf_dir), ["value"], F.date_trunc("hour", "time"), TICKS)
+
+
+@query(f"SELECT symbol, time, event_id, round({TICK_MEDIAN}, 4) AS rolling_median FROM ({GAPPED})")
+def tick_median(spark, sf_dir):
+    """Over single ticks: a ranked list slides along each chunk."""
+    return rounded(long.rolling_median(_gapped(spark, sf_dir), 21, "value", F.date_trunc("hour", "time"), TICKS), "rolling_median").drop("value")
+
+
+@query(f"SELECT symbol, time, event_id, round(coalesce(value, last_value(value IGNORE NULLS) OVER {BACK}, {TICK_MEDIAN}), 4) AS value FROM ({GAPPED})")
+def tick_impute(spark, sf_dir):
+    return rounded(long.impute(_gapped(spark, sf_dir), ["value"], F.date_trunc("hour", "time"), 21, TICKS), "value")
+
+
 ROC = f"""r AS (SELECT symbol, time, CASE WHEN count(close) OVER f = 10 THEN avg(close) OVER f END AS m FROM bars WINDOW f AS (PARTITION BY symbol ORDER BY time ROWS 9 PRECEDING)),
     c AS (SELECT symbol, time, (m - lag(m, 20) OVER {W}) / lag(m, 20) OVER {W} * 100 AS roc FROM r),
     b AS (SELECT symbol, time, roc, CASE WHEN roc IS NULL OR isnan(roc) THEN 'Unknown' WHEN roc > 10 THEN 'Very High Positive' WHEN roc > 5 THEN 'High Positive' WHEN roc > 1 THEN 'Low Positive'
@@ -542,12 +576,6 @@ def fft_reconstruct(spark, sf_dir):
     return rounded(out, *(f"rec_{k}" for k in KEPT), to=3).select("symbol", pos.alias("pos"), *(f"rec_{k}" for k in KEPT))
 
 
-@query()
-def adf(spark, sf_dir):
-    df = features.diff(bars_daily(spark, sf_dir))
-    return stats.stationarity(df, "adf").unionByName(stats.stationarity(df, "adf", "close_diff"))
-
-
 def _dickey_fuller_sql(source: str, column: str) -> str:
     """(symbol, n, statistic) of the regression of changes on the value before, by symbol."""
     return f"""SELECT symbol, count(*) AS n, regr_slope(d, l) / sqrt((regr_syy(d, l) - regr_sxy(d, l) ^ 2 / regr_sxx(d, l)) / (count(*) - 2) / regr_sxx(d, l)) AS statistic
@@ -584,6 +612,57 @@ def kpss(spark, sf_dir):
     return rounded(both, "statistic", "p_value", to=5).select("symbol", "test", "series", "statistic", "p_value", "lags", "n", "stationary")
 
 
+def _eliminated(name: str, vectors: str) -> str:
+    """Steps of Gauss's elimination, one a row (symbol, k, m, w), on the moments of each symbol's vectors (symbol, t, v)."""
+    return f"""{name}_e AS (SELECT symbol, t, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM ({vectors})),
+        {name}_g AS (SELECT a.symbol AS symbol, a.i AS i, b.i AS j, sum(a.x * b.x) AS s FROM {name}_e a JOIN {name}_e b ON a.symbol = b.symbol AND a.t = b.t GROUP BY ALL),
+        {name}_m AS (SELECT symbol, list(r ORDER BY i) AS m FROM (SELECT symbol, i, list(s ORDER BY j) AS r FROM {name}_g GROUP BY ALL) GROUP BY symbol),
+        {name} AS (SELECT symbol, 0 AS k, m, len(m) AS w FROM {name}_m UNION ALL
+            SELECT symbol, k + 1, list_transform(m, lambda r, i: CASE WHEN i <= k + 1 THEN r ELSE list_transform(r, lambda q, j: q - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END), w FROM {name} WHERE k < w - 1)"""
+
+
+def _adf_sql(source: str, column: str) -> str:
+    """The test with lags by AIC: of all orders at once by elimination on one sample, then of the best on its own. source: (symbol, time, column)."""
+    lagged = "list_reverse(d[t - {p} + 1:t])"
+    one = f"SELECT symbol, t, list_concat([1.0::DOUBLE, y[t + 1]], {lagged.format(p='most')}, [d[t + 1]]) AS v FROM (SELECT *, unnest(range(most, n - 1)) AS t FROM b)"
+    two = f"SELECT symbol, t, list_concat([1.0::DOUBLE], {lagged.format(p='lags')}, [y[t + 1], d[t + 1]]) AS v FROM (SELECT *, unnest(range(lags, n - 1)) AS t FROM b JOIN best USING (symbol))"
+    return f"""SELECT symbol, '{column}' AS series, round(statistic, 5) AS statistic, lags, n, round(-3.43035 - 6.5393 / n - 16.786 / n ^ 2 - 79.433 / n ^ 3, 5) AS crit_1, round(-2.86154 - 2.8903 / n - 4.234 / n ^ 2 - 40.04 / n ^ 3, 5) AS crit_5,
+        round(-2.56677 - 1.5384 / n - 2.809 / n ^ 2, 5) AS crit_10, {STATIONARY} AS stationary FROM (
+        WITH RECURSIVE x AS (SELECT symbol, time, {column} - avg({column}) OVER (PARTITION BY symbol) AS x FROM ({source}) WHERE {column} IS NOT NULL),
+        b AS (SELECT *, list_transform(range(1, n), lambda j: y[j + 1] - y[j]) AS d, least(ceil(12 * (n / 100) ** 0.25::DOUBLE)::BIGINT, n // 2 - 2) AS most FROM (SELECT symbol, list(x ORDER BY time) AS y, count(*) AS n FROM x GROUP BY symbol)),
+        {_eliminated("z", one)},
+        best AS (SELECT symbol, arg_min(k - 2, (n - 1 - most) * ln(m[w][w] / (n - 1 - most)) + 2 * k) AS lags FROM z JOIN b USING (symbol) WHERE k >= 2 GROUP BY symbol),
+        {_eliminated("u", two)}
+        SELECT symbol, lags, n - 1 - lags AS n, m[w - 1][w] / m[w - 1][w - 1] / sqrt((m[w][w] - m[w - 1][w] ^ 2 / m[w - 1][w - 1]) / (n - 2 * lags - 3) / m[w - 1][w - 1]) AS statistic FROM u JOIN b USING (symbol) JOIN best USING (symbol) WHERE k = lags + 1)"""
+
+
+def _tested(df: DataFrame) -> DataFrame:
+    return rounded(df, "statistic", "crit_1", "crit_5", "crit_10", to=5).select("symbol", "series", "statistic", "lags", "n", "crit_1", "crit_5", "crit_10", "stationary")
+
+
+@query(f"{_adf_sql(BARS_D, 'close')} UNION ALL {_adf_sql(f'SELECT symbol, time, close - lag(close) OVER {W} AS close_diff FROM ({BARS_D})', 'close_diff')}")
+def adf(spark, sf_dir):
+    """Lags by AIC. The p-value has no SQL, what follows from it has."""
+    df = features.diff(bars_daily(spark, sf_dir))
+    return _tested(stats.stationarity(df, "adf").unionByName(stats.stationarity(df, "adf", "close_diff")))
+
+
+ORDERED_TICKS = "SELECT event_type AS symbol, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS time, value FROM events"
+
+
+@query(_adf_sql(ORDERED_TICKS, "value"))
+def tick_adf(spark, sf_dir):
+    """Over single ticks, from lagged sums of chunks."""
+    return _tested(long.adf(ticks(spark, sf_dir), "value", F.date_trunc("hour", "time"), spec=TICKS))
+
+
+@query(f"SELECT symbol, test, series, round(statistic, 5) AS statistic, round(p_value, 5) AS p_value, lags, n, p_value >= 0.05 AS stationary FROM (WITH s AS ({ORDERED_TICKS}) {_kpss_sql('value')})")
+def tick_kpss(spark, sf_dir):
+    """Over single ticks, from lagged sums and squares of partial sums of chunks."""
+    df = long.kpss(ticks(spark, sf_dir), "value", F.date_trunc("hour", "time"), spec=TICKS)
+    return rounded(df, "statistic", "p_value", to=5).select("symbol", "test", "series", "statistic", "p_value", "lags", "n", "stationary")
+
+
 FRACTION = stats.fractional_weights(0.4, 20)
 
 
