@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import shared_folder
-from ..operators import clean, features, forecast, prepare, profile, relations, spectral, stats
+from ..operators import clean, features, forecast, fourier, prepare, profile, relations, spectral, stats
 from ..operators import ticks as long
-from ..series import SeriesSpec, align
+from ..series import SeriesSpec, align, positioned
 from ..sources.files import read_raw_csv, read_series_csv, read_table, write_csv, write_indexed_csv
 from ..streaming import live
 from .tables import BARS_D, BARS_H, BARS_HS, bars_daily, bars_hourly, bars_hourly_spined, ticks
@@ -671,6 +671,28 @@ def fractional_difference(spark, sf_dir):
     return rounded(stats.fractional_difference(bars_daily(spark, sf_dir), 0.4), "fracdiff").select("symbol", "time", "fracdiff")
 
 
+P_TICKS = f"p AS (SELECT symbol, value AS x, time - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ({ORDERED_TICKS}))"
+
+
+@query(f"""WITH {P_TICKS}, f AS (SELECT symbol, k, any_value(n) AS n, sum(x * cos(2 * pi() * ((k * i) % n) / n)) AS re, sum(x * sin(2 * pi() * ((k * i) % n) / n)) AS im FROM p JOIN (SELECT DISTINCT n AS m, unnest(range(0, n // 2 + 1)) AS k FROM p) ON m = n GROUP BY symbol, k)
+    SELECT symbol, k::BIGINT AS k, round(k / n, 6) AS freq, round(sqrt(re * re + im * im) / n, 4) AS amplitude FROM f""")
+def tick_spectrum(spark, sf_dir):
+    """Over single ticks, by the four-step method; amplitudes over the number of ticks."""
+    df = ticks(spark, sf_dir)
+    n = df.groupBy("symbol").agg(F.count("value").alias("n"))
+    out = fourier.rfft(df, "value", F.date_trunc("hour", "time"), TICKS).join(n, "symbol").withColumn("amplitude", F.col("amplitude") / F.col("n"))
+    return rounded(rounded(out, "freq", to=6), "amplitude").select("symbol", "k", "freq", "amplitude")
+
+
+@query(f"""WITH {P_TICKS}, w AS (SELECT k, CASE WHEN k = 0 THEN 1 ELSE -exp(sum(ln(abs((k - 1.4::DOUBLE) / greatest(k, 1)))) FILTER (k > 0) OVER (ORDER BY k)) END AS w FROM (SELECT unnest(range(0, max(n))) AS k FROM p))
+    SELECT a.symbol AS symbol, a.i + 1 AS pos, round(sum(w * b.x), 4) + 0.0 AS fracdiff FROM p a JOIN p b ON a.symbol = b.symbol AND b.i <= a.i JOIN w ON k = a.i - b.i GROUP BY ALL""")
+def tick_fractional_difference(spark, sf_dir):
+    """Over single ticks, with the weights of all lags, by one convolution."""
+    made = fourier.fractional_difference(ticks(spark, sf_dir), 0.4, "value", F.date_trunc("hour", "time"), TICKS)
+    placed = positioned(made, TICKS, F.date_trunc("hour", "time"))
+    return placed.select("symbol", (F.col("_pos") + 1).cast("long").alias("pos"), (F.round("fracdiff", 4) + F.lit(0.0)).alias("fracdiff"))
+
+
 ORDERS = [0.0, 0.4, 1.0]
 ORDERED = ", ".join("round(" + " + ".join(f"({w!r})::DOUBLE * " + (f"lag(close, {k}) OVER w" if k else "close") for k, w in enumerate(stats.fractional_weights(d, 20))) + f", 9) AS d_{i}" for i, d in enumerate(ORDERS))
 
