@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import shared_folder
-from ..operators import clean, features, forecast, fourier, prepare, profile, relations, spectral, stats
+from ..operators import arima as long_arima
+from ..operators import clean, diagnostics, features, forecast, fourier, prepare, profile, relations, spectral, stats
 from ..operators import ticks as long
 from ..series import SeriesSpec, align, positioned
 from ..sources.files import read_raw_csv, read_series_csv, read_table, write_csv, write_indexed_csv
@@ -756,6 +757,74 @@ def arima_summary(spark, sf_dir):
     return rounded(forecast.arima_summary(features.diff(bars_daily(spark, sf_dir))), "estimate", "std_error", "z", "log_likelihood", "aic", "bic", to=2)
 
 
+#: Mean, phi and theta of the first four fifths of each symbol's ticks by their autocorrelations, and the exact likelihood there.
+LIKELIHOOD = f"""WITH t AS (SELECT symbol, time, value FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM ({ORDERED_TICKS})) WHERE time - 1 < floor(n * 0.8::DOUBLE)),
+    e AS (SELECT symbol, time, avg(value) OVER (PARTITION BY symbol) AS mean, value - avg(value) OVER (PARTITION BY symbol) AS x FROM t),
+    l AS (SELECT symbol, time, mean, x, lag(x, 1) OVER {W} AS x1, lag(x, 2) OVER {W} AS x2 FROM e),
+    m AS (SELECT symbol, count(*) AS n, any_value(mean) AS mean, sum(x * x1) / sum(x * x) AS r1, sum(x * x2) / sum(x * x) AS r2, list(x ORDER BY time) AS xs FROM l GROUP BY symbol),
+    p AS (SELECT *, phi - r1 AS a, 1 + phi ^ 2 - 2 * phi * r1 AS b FROM (SELECT *, greatest(-0.9, least(0.9, r2 / r1)) AS phi FROM m)),
+    q AS (SELECT *, greatest(-0.9, least(0.9, -2 * a / (b + sign(b) * sqrt(greatest(0, b ^ 2 - 4 * a ^ 2))))) AS theta FROM p),
+    z AS (SELECT *, list_reduce(list_prepend([0, 0, 0, (1 + 2 * phi * theta + theta ^ 2) / (1 - phi ^ 2)], list_transform(xs, lambda v: [v])),
+        lambda s, v: [phi * v[1] + theta / s[4] * (v[1] - s[1]), s[2] + (v[1] - s[1]) ^ 2 / s[4], s[3] + ln(s[4]), 1 + theta ^ 2 - theta ^ 2 / s[4]]) AS s FROM q)"""
+
+
+@query(f"{LIKELIHOOD} SELECT symbol, n, round(mean, 4) AS mean, round(phi, 5) AS phi, round(theta, 5) AS theta, round(s[2] / n, 2) AS variance, round(-0.5 * (n * (ln(2 * pi() * s[2] / n) + 1) + s[3]), 2) AS likelihood, round(s[1], 4) + 0.0 AS ahead FROM z")
+def tick_likelihood(spark, sf_dir):
+    """Where the fit over single ticks begins: the moments' estimate, its exact likelihood and the next forecast, from composed chunks."""
+    hour = F.date_trunc("hour", "time")
+    placed, chunks = long_arima.in_stretches(ticks(spark, sf_dir), "value", hour, 0.8, TICKS, long.CHUNK)
+    start = long_arima.moment_estimate(long_arima.moments(placed, 0.8, TICKS, hour, long.CHUNK), TICKS)
+    told = long_arima.likelihoods(chunks, start.select("symbol", F.array(F.array("mean", "phi", "theta")).alias("params")), TICKS).join(start, "symbol")
+    return rounded(rounded(rounded(told, "phi", "theta", to=5), "variance", "likelihood", to=2), "mean", "ahead").select("symbol", "n", "mean", "phi", "theta", "variance", "likelihood", (F.col("ahead") + F.lit(0.0)).alias("ahead"))
+
+
+@query()
+def tick_arima(spark, sf_dir):
+    """The most likely fit over single ticks, and its forecast with band."""
+    made = long_arima.arima(ticks(spark, sf_dir), "value", F.date_trunc("hour", "time"), spec=TICKS)
+    return rounded(made, "predicted", "low", "high", "mean", "phi", "theta", to=2)
+
+
+RESIDUALS = f"SELECT symbol, time, value - lag(value) OVER {W} AS r FROM ({ORDERED_TICKS})"
+MOMENTS = "SELECT symbol, n, s2, s3 / n / (s2 / n) ^ 1.5 AS skew, s4 / n / (s2 / n) ^ 2 AS kurtosis FROM (SELECT symbol, count(*) AS n, sum(x ^ 2) AS s2, sum(x ^ 3) AS s3, sum(x ^ 4) AS s4 FROM x GROUP BY symbol)"
+
+
+@query(f"""WITH x AS (SELECT symbol, r, r - avg(r) OVER (PARTITION BY symbol) AS x, row_number() OVER {W} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ({RESIDUALS}) WHERE r IS NOT NULL),
+    m AS ({MOMENTS}), g AS (SELECT a.symbol AS symbol, b.i - a.i AS k, sum(a.x * b.x) AS c FROM x a JOIN x b ON a.symbol = b.symbol AND b.i - a.i BETWEEN 1 AND 10 GROUP BY ALL),
+    q AS (SELECT symbol, any_value(n) * (any_value(n) + 2) * sum((c / s2) ^ 2 / (n - k)) AS q FROM g JOIN m USING (symbol) GROUP BY symbol),
+    h AS (SELECT symbol, sum(r ^ 2) FILTER (i > n - round(n / 3)) / sum(r ^ 2) FILTER (i <= round(n / 3)) AS h FROM x GROUP BY symbol)
+    SELECT symbol, n, round(q, 3) AS ljung_box, round(exp(-q / 2) * (1 + q / 2 + (q / 2) ^ 2 / 2 + (q / 2) ^ 3 / 6 + (q / 2) ^ 4 / 24), 6) AS ljung_box_p, round(skew, 6) + 0.0 AS skew, round(kurtosis, 6) AS kurtosis,
+        round(n / 6 * (skew ^ 2 + (kurtosis - 3) ^ 2 / 4), 4) AS jarque_bera, round(exp(-(n / 6 * (skew ^ 2 + (kurtosis - 3) ^ 2 / 4)) / 2), 6) AS jarque_bera_p, round(h, 6) AS heteroskedasticity FROM m JOIN q USING (symbol) JOIN h USING (symbol)""")
+def residual_diagnostics(spark, sf_dir):
+    """What the naive forecast leaves over single ticks: autocorrelation, skew, kurtosis, normality, changing spread."""
+    hour = F.date_trunc("hour", "time")
+    rest = diagnostics.lagged_residuals(ticks(spark, sf_dir), "value", hour, TICKS)
+    made = diagnostics.residual_tests(rest, "residual", hour, 10, TICKS)
+    made = rounded(rounded(rounded(made, "ljung_box_p", "skew", "kurtosis", "jarque_bera_p", "heteroskedasticity", to=6), "jarque_bera"), "ljung_box", to=3)
+    return made.withColumn("skew", F.col("skew") + F.lit(0.0))
+
+
+def _polynomial_sql(x: str, coefficients: tuple[float, ...]) -> str:
+    value = repr(coefficients[0]) + "::DOUBLE"
+    for c in coefficients[1:]:
+        value = f"({value} * {x} + {c!r}::DOUBLE)"
+    return value
+
+
+TAIL_SQL = f"{_polynomial_sql('u', diagnostics.TAIL_ABOVE)} / {_polynomial_sql('u', diagnostics.TAIL_BELOW)}"
+
+
+@query(f"""SELECT symbol, rank, round(CASE WHEN p < {diagnostics.TAIL} THEN {TAIL_SQL} WHEN p > 1 - {diagnostics.TAIL} THEN -({TAIL_SQL})
+        ELSE {_polynomial_sql('((p - 0.5) ^ 2)', diagnostics.CENTRE_ABOVE)} * (p - 0.5) / {_polynomial_sql('((p - 0.5) ^ 2)', diagnostics.CENTRE_BELOW)} END, 6) + 0.0 AS theoretical, round(z, 6) + 0.0 AS sample
+    FROM (SELECT *, sqrt(-2 * ln(least(p, 1 - p))) AS u FROM (SELECT symbol, rank, z, rank / (n + 1) AS p FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY r) AS rank, count(*) OVER (PARTITION BY symbol) AS n,
+        (r - avg(r) OVER (PARTITION BY symbol)) / stddev_samp(r) OVER (PARTITION BY symbol) AS z FROM ({RESIDUALS}) WHERE r IS NOT NULL)))""")
+def residual_quantiles(spark, sf_dir):
+    """The same residuals' quantiles against the normal distribution's, by exact ranks."""
+    rest = diagnostics.lagged_residuals(ticks(spark, sf_dir), "value", F.date_trunc("hour", "time"), TICKS)
+    made = rounded(diagnostics.quantile_pairs(rest, "residual", TICKS), "theoretical", "sample", to=6)
+    return made.withColumns({c: F.col(c) + F.lit(0.0) for c in ("theoretical", "sample")})
+
+
 ALL_SCALED = ", ".join(f"({c} - avg({c}) FILTER (split = 'train') OVER s) / nullif(stddev_samp({c}) FILTER (split = 'train') OVER s, 0) AS z_{c}" for c in INPUTS)
 SCALED_ROWS = f"SELECT symbol, time, split, {ALL_SCALED}, sin((isodow(time) - 1) * 2 * pi() / 7) AS z_sin, cos((isodow(time) - 1) * 2 * pi() / 7) AS z_cos FROM ({SPLIT3}) WINDOW s AS (PARTITION BY symbol)"
 NAIVE_SCALED = "SELECT symbol, truth, predicted FROM (SELECT symbol, split, z_close AS truth, lag(z_close) OVER (PARTITION BY symbol ORDER BY time) AS predicted FROM z) WHERE split = 'test'"
@@ -792,6 +861,18 @@ def trees_forecast(spark, sf_dir):
     return rounded(forecast.predict_trees(windows, forecast.fit_trees(windows)), "truth", "predicted")
 
 
+@query()
+def training_history(spark, sf_dir):
+    """The loss of each round on train and validation windows, and the seconds of the training."""
+    return forecast.training_history(spark, forecast.fit_trees(forecast.model_windows(bars_daily(spark, sf_dir), INPUTS)))
+
+
+@query()
+def forecast_band(spark, sf_dir):
+    """The changes of the price beside their forecast and its band, which begin where the fit ends."""
+    return rounded(relations.with_band(features.diff(bars_daily(spark, sf_dir)), "close_diff"), "close_diff", "truth", "predicted", "low", "high", "mean", "phi", "theta", to=2)
+
+
 @query()
 def transfer(spark, sf_dir):
     """The first symbol's models on the others' test windows."""
