@@ -102,3 +102,36 @@ def test_packed_files_folders_and_odd_headers(spark, tmp_path):
     assert files.read_series_csv(spark, f"{tmp_path}/empty_1.csv", "time string, close double").count() == 0
     with pytest.raises(ValueError, match="header"):
         files.read_series_csv(spark, f"{tmp_path}/empty_1.csv")
+
+
+def test_stream_ema_by_event_time(spark, tmp_path):
+    """Ticks out of order between batches, gaps, a tick later than the watermark allows, and one without a time: as the batch form over the rest."""
+    import random
+
+    from tidewater.operators import features
+    from tidewater.series import SeriesSpec
+
+    start, rng = dt.datetime(2024, 1, 1), random.Random(4)
+    rows = [("xyz"[i % 3], start + dt.timedelta(seconds=20 * (i // 2)), i, None if i % 3 == 0 and (i < 9 or i % 5 == 0) else float((i * 7) % 11)) for i in range(300)]
+    schema = "symbol string, time timestamp, tick long, value double"
+    order = sorted(range(300), key=lambda i: i + rng.randrange(40))  # each tick within some minutes of its place
+    for k in range(5):
+        part = [rows[i] for i in order[60 * k : 60 * k + 60]]
+        if k == 4:
+            part += [("x", start, 900, 1e9), ("x", None, 901, 1e9)]  # too late, and without a time
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for p in sorted((tmp_path / "in").glob("part-*")):
+            p.rename(tmp_path / "in" / f"batch{k}-{p.name.replace('part-', 'p')}")
+    spark.createDataFrame([(s, start + dt.timedelta(days=1), 1000, 0.0) for s in "xyz"], schema).coalesce(1).write.parquet(str(tmp_path / "end"))  # moves the watermark on
+    for p in (tmp_path / "end").glob("part-*"):
+        p.rename(tmp_path / "in" / f"batch9-{p.name.replace('part-', 'p')}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    made = live.stream_ema_by_event_time(stream, 5, "symbol", "time", "tick", "value", "20 minutes", "1 minute")
+    run = made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+    assert run.awaitTermination(240)
+    got = {r["tiebreak"]: r["ema"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    ticks = spark.createDataFrame(rows, schema)
+    want = {r["tick"]: r["ema_5"] for r in features.ema(ticks, [5], "value", SeriesSpec(tiebreak=("tick",))).collect()}
+    assert set(got) == set(want)
+    for k, w in want.items():
+        assert (got[k] is None) == (w is None or w != w) and (got[k] is None or abs(got[k] - w) < 1e-9), (k, got[k], w)

@@ -77,6 +77,26 @@ def bars_by_hour_streamed(spark, sf_dir):
     return rounded(spark.table(name).withColumn("time", F.col("time").cast("timestamp_ntz")), "volume", to=2)
 
 
+def _appended(made: DataFrame, name: str) -> DataFrame:
+    """What a stream appends to files in the shared folder until all there is has been read."""
+    spark = made.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def _tick_stream(spark, sf_dir) -> DataFrame:
+    schema = read_table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{str(sf_dir).rstrip('/')}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(_h(f"SELECT {ROUNDED_BARS} FROM bars WHERE time + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"))
+def bars_by_hour_appended(spark, sf_dir):
+    """Bars of closed hours, appended to files as the watermark passes them; the hours that late ticks may still change wait in the state."""
+    made = live.stream_bars(_tick_stream(spark, sf_dir), "event_type", "ts", "value", "event_id", "1 hour", "2 hours")
+    return rounded(_appended(made, "bars").withColumn("time", F.col("time").cast("timestamp_ntz")), "volume", to=2)
+
+
 @query(_hs(f"SELECT {ROUNDED_BARS.replace(', n', ', coalesce(n, 0) AS n')} FROM bars"))
 def bars_by_hour_spined(spark, sf_dir):
     return rounded(bars_hourly_spined(spark, sf_dir), "volume", to=2).fillna(0, ["n"])
@@ -295,6 +315,17 @@ def tick_ema(spark, sf_dir):
     return rounded(out, "ema_20").select("symbol", "time", "event_id", "ema_20")
 
 
+STREAMED = ORACLE_SQL["tick_ema"]
+
+
+@query(f"SELECT symbol, time, event_id AS tiebreak, ema_20 AS ema FROM ({STREAMED}) WHERE date_trunc('minute', time) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def tick_ema_streamed(spark, sf_dir):
+    """The exponential mean of a stream of ticks in their order of time, whatever order they come in; the last hour's wait for late ones."""
+    made = live.stream_ema_by_event_time(_tick_stream(spark, sf_dir), 20, "event_type", "ts", "event_id", "value", "1 hour", "1 minute")
+    out = _appended(made, "ema").withColumn("time", F.col("time").cast("timestamp_ntz"))
+    return rounded(out, "ema").select("symbol", "time", "tiebreak", "ema")
+
+
 #: Ticks with gaps: every seventh value, stretches, and all of a month's last days.
 GAPPED = "SELECT event_type AS symbol, ts AS time, event_id, CASE WHEN event_id % 7 <> 0 AND event_id % 1000 < 900 AND day(ts) < 28 THEN value END AS value FROM events"
 ALONG, BACK = "(PARTITION BY symbol ORDER BY time, event_id ROWS UNBOUNDED PRECEDING)", "(PARTITION BY symbol ORDER BY time DESC, event_id DESC ROWS UNBOUNDED PRECEDING)"

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..series import instant
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_bars(ticks: DataFrame, symbol: str, time: str, value: str, tiebreak: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Bars of windows of event time; ticks later than late are left out, so state stays bounded. Works on a table too."""
@@ -34,3 +36,89 @@ def stream_ema(ticks: DataFrame, span: int, symbol: str, order: list[str], value
         yield group.assign(**{f"ema_{span}": out})
 
     return ticks.groupBy(symbol).applyInPandasWithState(run, schema, "y double", "append", "NoTimeout")
+
+
+def smoother(span: int):
+    """step(state, x) -> state of the exponential mean: state is (mean, weight), None before the first known value.
+
+    A gap (None) carries the mean and lowers its weight against the next known value, as in features.ema.
+    """
+    a = 2.0 / (span + 1)
+
+    def step(state: tuple[float, float] | None, x: float | None) -> tuple[float, float] | None:
+        if state is None:
+            return None if x is None else (x, 1.0)
+        mean, weight = state[0], state[1] * (1 - a)
+        return (mean, weight) if x is None else ((weight * mean + a * x) / (weight + a), 1.0)
+
+    return step
+
+
+def _ema_processor(span: int, time: str, tiebreak: str, value: str, slot_ms: int):
+    """What keeps a symbol's mean and its ticks that may still be overtaken."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Smoothed(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.step = smoother(span)
+            self.mean = handle.getValueState("mean", "mean double, weight double")
+            self.waiting = handle.getListState("waiting", "at timestamp, tie long, x double")
+
+        def handleInputRows(self, key, rows, timerValues):
+            slots = set()
+            slot = lambda t: int(t.timestamp() * 1000) // slot_ms
+            for frame in rows:
+                known = frame[frame[time].notna()]
+                held = [(t.to_pydatetime(), int(i), None if pd.isna(x) else float(x)) for t, i, x in zip(known[time], known[tiebreak], known[value], strict=True)]
+                if held:
+                    self.waiting.appendList(held)
+                    slots.add(min(slot(t) for t, _, _ in held))
+            if slots:  # when the watermark has passed a slot, no tick of it can come any more
+                self.handle.registerTimer((min(slots) + 1) * slot_ms)
+            return iter([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            # All slots that the watermark has passed, so one reading of the waiting ticks serves them.
+            until = timerValues.getCurrentWatermarkInMs() // slot_ms * slot_ms
+            due, later = [], []
+            for at, tie, x in self.waiting.get():
+                (due if at.timestamp() * 1000 < until else later).append((at, tie, x))
+            if later:
+                self.waiting.put(later)
+                self.handle.registerTimer((min(int(at.timestamp() * 1000) for at, _, _ in later) // slot_ms + 1) * slot_ms)
+            else:
+                self.waiting.clear()
+            state = tuple(self.mean.get()) if self.mean.exists() else None
+            out = []
+            for at, tie, x in sorted(due, key=lambda r: r[:2]):
+                state = self.step(state, x)
+                out.append((key[0], at, tie, x, None if state is None else state[0]))
+            if state is not None:
+                self.mean.update(state)
+            if out:
+                yield pd.DataFrame(out, columns=["symbol", "time", "tiebreak", "value", "ema"])
+
+        def close(self) -> None:
+            pass
+
+    return Smoothed()
+
+
+def stream_ema_by_event_time(ticks: DataFrame, span: int, symbol: str, time: str, tiebreak: str, value: str, late: str = "1 hour", slot: str = "1 minute") -> DataFrame:
+    """(symbol, time, tiebreak, value, ema): the exponential mean of a stream whose ticks may come in any order within late.
+
+    A tick waits in its symbol's state until the watermark has passed its slot of time; then
+    the slot's ticks go through the mean in order of time and tiebreak. So results are those of
+    features.ema over all ticks in order: late ones count at their place, ticks later than late are left
+    out by Spark, a null value is a gap, and a tick without a time is left out. State is the mean and the
+    ticks of about late. Needs the RocksDB state store, which is set here if none is.
+    """
+    spark = ticks.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    slot_ms = int(pd.Timedelta(slot) / pd.Timedelta("1ms"))
+    rows = ticks.select(F.col(symbol).alias("symbol"), F.col(time).cast("timestamp").alias("time"), F.col(tiebreak).cast("long").alias("tiebreak"), F.col(value).cast("double").alias("value")).withWatermark("time", late)
+    kind = dict(rows.dtypes)["symbol"]
+    made = _ema_processor(span, "time", "tiebreak", "value", slot_ms)
+    return rows.groupBy("symbol").transformWithStateInPandas(made, f"symbol {kind}, time timestamp, tiebreak long, value double, ema double", "Append", "EventTime")
