@@ -121,3 +121,53 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "other text"), (2, "a  b c d e f g"), (3, "x"), (None, "a b c d e f g"), (None, None)], "doc_id long, text string").withColumns({k: F.lit(v) for k, v in clash.items()})
     assert sorted(str(r["doc_id"]) for r in resemblance.drop_near_duplicates(docs).collect()) == ["1", "1", "3", "None", "None"]
     assert resemblance.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def templated(rng, groups, pairs, core, shared, own):
+    """Texts of groups that share a template's core; two of a pair share some more, and each has words of its own."""
+    texts, prose = [], lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    for _ in range(groups):
+        template = prose(core)
+        for _ in range(pairs):
+            more = prose(shared)
+            texts += [" ".join(template + more + prose(own)) for _ in range(2)]
+    return texts
+
+
+def similarity(a, b):
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("core, shared, own, within, across", [(355, 7, 38, 0.81, 0.79), (332, 28, 40, 0.80, 0.72), (340, 40, 20, 0.9, 0.75)])
+@pytest.mark.parametrize("groups, pairs", [(1, 60), (5, 12)])
+def test_pairs_of_a_template(spark, core, shared, own, within, across, groups, pairs):
+    """Pairs at the threshold, or over it, among many texts that share most of their words and are just below it: each pair is found."""
+    rng = random.Random(core + groups)
+    texts = templated(rng, groups, pairs, core, shared, own)
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["component_id"] for r in resemblance.similar_components(docs).orderBy("doc_id").collect()]
+    want = slow_components(texts)
+    alike = [(i, j) for j in range(len(texts)) for i in range(j) if similarity(texts[i], texts[j]) >= 0.8]
+    found = sum(got[i] == got[j] for i, j in alike)
+    assert found >= 0.99 * len(alike) and len(alike) >= groups * pairs
+    assert all(got[i] == want[i] or want[i] != i for i in range(len(texts)))  # nothing goes that brute force keeps
+
+
+def test_prefix_pairs_are_all_pairs(spark, monkeypatch):
+    """Every pair at the threshold of sets of different components, whatever shares a counter, and none of one component."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(resemblance, "COUNTERS", 64)
+    rng = random.Random(12)
+    texts = templated(rng, 2, 12, 70, 5, 4) + templated(rng, 1, 6, 9, 2, 1) + planted()[:60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = resemblance.id_and_text(docs)
+    sets = resemblance.cut(resemblance.sketched(rows, 5))
+    nodes = resemblance.cut(sets.select("set", "doc_id", "n", "fp").dropDuplicates(["set"]))
+    apart = resemblance.cut(nodes.select("set", (F.col("doc_id") % 7).alias("c"), "n", "fp"))
+    got = {tuple(sorted(r)) for r in resemblance.verified(resemblance.prefix_pairs(apart, nodes, rows, 0.8, 5), nodes, rows, 0.8, 5).collect()}
+    of = {r["doc_id"]: r["set"] for r in nodes.collect()}
+    want = {tuple(sorted((of[i], of[j]))) for i in of for j in of if i < j and i % 7 != j % 7 and similarity(texts[i], texts[j]) >= 0.8}
+    assert got == want and len(want) > 20

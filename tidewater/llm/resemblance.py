@@ -10,10 +10,12 @@ at least 0.8. Equal sets are one node. Links come from two searches:
   a probability of 0.998, at 0.85 of 0.99999. SimHashes over 23 bits apart rule a pair out.
 
 A band that many sets share is not expanded into pairs. Its sets are held against its centre, the
-set that meets most others in all bands: of an original and its copies that is the original. Then
-sets not linked to the same one are held against each other in bands of at most SMALL sets, and in
-larger ones against the centre of those not linked yet. So the pairs grow with the sets, not with
-the square of a band.
+set that meets most others in all bands: of an original and its copies that is the original. What
+isn't linked to the same one after that is tried whole: in bands of at most SMALL sets each pair, and
+for the sets of larger ones, which texts of one template fill, the pairs of different components that
+share one of their rarest shingles (prefix_pairs): no two sets as alike as asked for share none, and
+what a template says is frequent, so it isn't among them. So no link of a band is lost, and pairs don't
+grow with the square of a band.
 
 Each pair is verified by its exact similarity, a pair's smaller side going to the other's group in
 blocks of members.
@@ -21,6 +23,7 @@ blocks of members.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -42,6 +45,7 @@ FARTHEST = 23  # differing bits of SimHashes at a similarity of 0.8: 10 on avera
 SMALL = 8  # sets of a band of which all pairs are tried
 MEMBERS = 64  # of a block of a centre's members
 SLOTS = 1 << 26  # bits of the map of wanted texts
+COUNTERS = 1 << 20  # of shingles among sets still apart
 
 MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -86,14 +90,8 @@ def sketched(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.withColumn("row", F.xxhash64("text")).select("doc_id", "row", "text").mapInArrow(released(run), "doc_id long, row long, set long, n int, fp long, bands array<long>")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity is at least threshold. Only their texts' sets are made again.
-
-    Pairs are dealt by a and a block of its members, so a task holds a's set and streams the
-    members'; a with very many members has many blocks.
-    """
-    pairs = cut(pairs.where("a <> b").distinct())
-    asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+def hashed_sets(asked: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(set, hashes): the shingles of the sets asked for, made again from their texts, and some others; a task gives a set once, so may several."""
     # Which texts: a bitmap of fixed size over hashes of their ids, so no text is shuffled. Sets that it adds meet no pair.
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
@@ -103,13 +101,88 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: fl
     schema = pa.schema([("set", pa.int64()), ("hashes", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             at = b["slot"].to_numpy()
-            wanted = np.flatnonzero(bitmap[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1))
-            sets = [shingle_set(b["text"][int(i)].as_py(), shingle) for i in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+            names, sets = [], []
+            for i in np.flatnonzero(bitmap[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)):
+                made = shingle_set(b["text"][int(i)].as_py(), shingle)
+                name = _name(made)
+                if name not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    sets.append(made.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
+
+    return texts.select(slot.alias("slot"), "text").mapInArrow(released(make), "set long, hashes binary")
+
+
+def prefix_pairs(apart: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """(a, b): the pairs of sets of different components c that may be at threshold: all of apart (set, c, n, fp) that are.
+
+    Shingles are ordered, the rarest among these sets first (by counters that several may share: any order does, this one gives few
+    pairs). Two sets at the threshold have their first common shingle within the first n - ceil(2 t / (1 + t) n) + 1 of the
+    smaller and the first n - ceil(t n) + 1 of the larger (Xiao et al., 2008), so those alone are dealt out. Of a
+    shingle's sets, those outside its largest component meet the others; a component's sets never meet each other.
+    """
+    held = cut(hashed_sets(apart.select("set"), nodes, texts, shingle).join(apart, "set"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for b in batches:
+            for h in b["hashes"]:
+                total += np.bincount((np.frombuffer(h.as_buffer(), dtype=np.uint64) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+    counted = held.select("hashes").mapInArrow(released(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, dtype=np.int64)
+    often[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    schema = pa.schema([("h", pa.int64()), ("at", pa.int32()), ("set", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("fp", pa.int64())])
 
-    made = texts.select(slot.alias("slot"), "text").mapInArrow(released(make), "set long, hashes binary")
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, h in enumerate(b["hashes"]):
+                tokens = np.frombuffer(h.as_buffer(), dtype=np.uint64)
+                counts = often[(tokens % np.uint64(COUNTERS)).astype(np.int64)]
+                first = np.lexsort((tokens, counts))[: len(tokens) - math.ceil(threshold * len(tokens) - 1e-9) + 1]
+                at = np.flatnonzero(counts[first] > 1)  # others have it too
+                out.append((tokens[first[at]].view(np.int64), at, np.full(len(at), k)))
+            h, at, k = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(at.astype(np.int32)), *(b[c].take(pa.array(k)) for c in ("set", "c", "n", "fp"))], schema=schema)
+
+    rows = cut(held.mapInArrow(released(prefixes), "h long, at int, set long, c long, n int, fp long"))
+    parts = rows.groupBy("h", "c").agg(F.count("*").alias("k"))
+    shared = cut(parts.groupBy("h").agg(F.count("*").alias("parts"), F.max_by("c", "k").alias("most")).where("parts > 1").select("h", "most"))
+    met = cut(rows.join(shared, "h"))
+    side = lambda df, s: df.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("at", "set", "c", "n", "fp")))
+    x_first = F.struct("n_x", "set_x") < F.struct("n_y", "set_y")
+    inside = lambda s: F.col(f"at_{s}") <= F.col(f"n_{s}") - F.ceil(2 * threshold / (1 + threshold) * F.col(f"n_{s}") - 1e-9)
+    left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))  # shingles that can be shared from here on
+    pairs = side(met, "x").join(side(met.where("c <> most"), "y"), "h").where(
+        (F.col("c_x") != F.col("c_y")) & F.when(x_first, inside("x")).otherwise(inside("y")) & (left >= F.ceil(threshold / (1 + threshold) * (F.col("n_x") + F.col("n_y")) - 1e-9)) & _alike(_of("x"), _of("y"), threshold)
+    )
+    return pairs.select(F.least("set_x", "set_y").alias("a"), F.greatest("set_x", "set_y").alias("b")).distinct()
+
+
+def _of(s: str) -> dict:
+    return {c: F.col(f"{c}_{s}") for c in ("n", "fp")}
+
+
+def _alike(x: dict, y: dict, threshold: float):
+    """Column: whether sizes and SimHashes allow the threshold."""
+    return (F.least(x["n"], y["n"]) >= F.ceil(threshold * F.greatest(x["n"], y["n"]) - 1e-9)) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= FARTHEST)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity is at least threshold. Only their texts' sets are made again.
+
+    Pairs are dealt by a and a block of its members, so a task holds a's set and streams the
+    members'; a with very many members has many blocks. No pairs give no rows.
+    """
+    pairs = cut(pairs.where("a <> b").distinct())
+    made = hashed_sets(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), nodes, texts, shingle)
     members = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks")))
     blocks = cut(pairs.join(members, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), "b"))
     # Each set goes to where it is a member, and once to each block where it is the centre.
@@ -140,9 +213,7 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, threshold: float,
     texts = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     sets = cut(sketched(texts, shingle))
     nodes = cut(sets.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    alike = lambda x, y: (F.least(x["n"], y["n"]) >= F.ceil(threshold * F.greatest(x["n"], y["n"]) - 1e-9)) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= FARTHEST)
     side = lambda df, s: df.select("h", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "h"))
-    of = lambda s: {c: F.col(f"{c}_{s}") for c in ("n", "fp")}
 
     # Within two bits: sets of one fingerprint by the smallest, fingerprints by their smallest neighbour.
     prints = cut(nodes.groupBy("fp").agg(F.min("set").alias("id"), F.count("*").alias("sets")))
@@ -156,7 +227,7 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, threshold: float,
     degree = cut(met.groupBy("set").agg(F.sum("sets").alias("degree")))
     met = cut(met.join(degree, "set"))
     centre = lambda df: cut(df.groupBy("h").agg(F.max(F.struct("degree", "set", "n", "fp")).alias("m")).select("h", *(F.col(f"m.{c}").alias(f"{c}_x") for c in ("set", "n", "fp"))))
-    to_centre = side(met, "y").join(centre(met), "h").where((F.col("set_x") != F.col("set_y")) & alike(of("x"), of("y")))
+    to_centre = side(met, "y").join(centre(met), "h").where((F.col("set_x") != F.col("set_y")) & _alike(_of("x"), _of("y"), threshold))
     pairs = to_centre.select(F.col("set_x").alias("a"), F.col("set_y").alias("b")).unionByName(near.select("a", "b")).unionByName(same)
     links = verified(pairs, nodes, texts, threshold, shingle)
 
@@ -172,13 +243,11 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, threshold: float,
     apart = cut(told.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h"))
     told = cut(told.join(apart, "h"))
     few = told.where(F.col("sets") <= SMALL)
-    across = side(few, "x").join(side(few, "y"), "h").where((F.col("set_x") < F.col("set_y")) & (F.col("c_x") != F.col("c_y")) & alike(of("x"), of("y"))).select("set_x", "set_y")
-    many = told.where(F.col("sets") > SMALL)
-    first = cut(many.groupBy("h").agg(F.max(F.struct("degree", "set", "c")).alias("m")).select("h", F.col("m.c").alias("first")))
-    rest = cut(many.join(first, "h").where("c <> first"))
-    second = cut(rest.groupBy("h").agg(F.max(F.struct("degree", "set", "n", "fp", "c")).alias("m")).select("h", *(F.col(f"m.{c}").alias(f"{c}_x") for c in ("set", "n", "fp", "c"))))
-    more = side(rest, "y").join(second, "h").where((F.col("c_x") != F.col("c_y")) & alike(of("x"), of("y"))).select("set_x", "set_y")
-    pairs = across.union(more).select(F.col("set_x").alias("a"), F.col("set_y").alias("b"))
+    across = side(few, "x").join(side(few, "y"), "h").where((F.col("set_x") < F.col("set_y")) & (F.col("c_x") != F.col("c_y")) & _alike(_of("x"), _of("y"), threshold)).select("set_x", "set_y")
+    many = cut(told.where(F.col("sets") > SMALL).groupBy("set").agg(*(F.first(c).alias(c) for c in ("c", "n", "fp"))))
+    pairs = across.select(F.col("set_x").alias("a"), F.col("set_y").alias("b"))
+    if not many.isEmpty():
+        pairs = pairs.union(prefix_pairs(many, nodes, texts, threshold, shingle))
     joined = connected_components(links.union(verified(pairs, nodes, texts, threshold, shingle)))
     return sets.select("doc_id", "row", "set").join(joined, F.col("set") == F.col("node"), "left").select("doc_id", "row", F.coalesce("component", "set").alias("c"))
 
