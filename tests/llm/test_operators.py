@@ -297,6 +297,56 @@ def test_whole_licenses_however_they_are_laid_out(name):
     assert [r[3] for r in rows] == [name, "CC-BY-SA-4.0"]
 
 
+NAMED_SHORTLY = {
+    "SPDX-License-Identifier: MIT": "MIT",
+    "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+    "# SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+    "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1",
+    "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+    "SPDX-License-Identifier: CC-BY-SA-4.0": "CC-BY-SA-4.0",
+    "MIT License": "MIT",
+    "ISC License": "ISC",
+    "Licensed under MIT.": "MIT",
+    "Licensed under the GPL v2.": "GPL-2.0",
+    "This program is licensed under GPLv3 or later.": "GPL-3.0",
+    "Licensed under the GNU GPL, version 2 or any later version.": "GPL-2.0",
+    "Licensed under the Mozilla Public License 2.0.": "MPL-2.0",
+    "Licensed under the Apache License 2.0": "Apache-2.0",
+    "GNU Lesser General Public License v3.0": "LGPL-3.0",
+    "Released under the GNU Affero General Public License, v. 3.": "AGPL-3.0",
+    "Licensed under the BSD 2-Clause License.": "BSD-2-Clause",
+    # and what is none, or not that one
+    "SPDX-License-Identifier: GPL-4.0": None,
+    "Licensed under the Apache License 1.1": None,
+    "Licensed under the GPL v1.": None,
+    "This is not licensed under MIT.": None,
+    "Driving License": None,
+    "Your licence plate, version 2.0": None,
+}
+
+
+@pytest.mark.parametrize("text", NAMED_SHORTLY)
+def test_licenses_named_in_a_line(text):
+    assert re.search(licenses.CUES, text)
+    for around in ("{}", "We were at sea for a week.\n\n{}\n\nThe end came soon."):
+        rows = found_licenses(around.format(text))
+        assert {r[3] for r in rows} == {NAMED_SHORTLY[text]}, rows
+
+
+def test_passing_over_changes_no_winner(monkeypatch):
+    """Blocks of all templates' sentences, some changed: the rows are those of confirming every template that saves bytes."""
+    rng = random.Random(15)
+    blocks = []
+    for text in license_texts.templates().values():
+        lines = [u for _, u in licenses.units(text) if u]
+        for _ in range(3):
+            some = rng.sample(lines, min(len(lines), rng.randrange(1, 4)))
+            blocks.append(tuple((i, " ".join(w if rng.random() > 0.04 else "other" for w in u.split())) for i, u in enumerate(some)))
+    quick = [SCANNER.scan(b) for b in blocks]
+    monkeypatch.setattr(licenses.Scanner, "least", lambda *_: -(10**9))
+    assert quick == [SCANNER.scan(b) for b in blocks] and sum(r[0][3] not in (None, "ambiguous") for r in quick) > 30
+
+
 def test_licenses_said_again_and_lines_of_marks():
     rows = found_licenses("All rights reserved.\nAll rights reserved.\n" + "Released under the MIT License.\n" * 1500)
     assert [r[3] for r in rows] == ["All-Rights-Reserved"] * 2 + ["MIT"] * 1500 and rows[-1][0] == 1501
@@ -754,6 +804,55 @@ def test_odd_tables(spark, name):
     assert OPERATORS[name](docs.withColumn("text", F.lit(None).cast("string")), spark).count() >= 0
 
 
+def test_contamination_of_a_long_text(spark):
+    """Two hundred thousand words made of twenty items: a row for each window, none for all of them."""
+    rng = random.Random(17)
+    items = [(i, prose(rng, 90, 100_000)) for i in range(20)]
+    own = [t.split() for _, t in items]
+    words: list[str] = []
+    while len(words) < 200_000:
+        words += own[rng.randrange(20)] if rng.random() < 0.8 else prose(rng, 30, 100_000).split()
+    docs = table(spark, [" ".join(words), "short"]).unionByName(table(spark, ["short"] * 3, [1, 1, 1]))
+    got = found_windows(docs, spark.createDataFrame(items, "item_id long, text string"))
+    first = {}
+    for i, w in items:
+        size = 90
+        first[0, i] = next((1.0, s) for s in range(len(words) - size + 1) if words[s] == own[i][0] and words[s : s + size] == own[i])
+    assert got == first
+
+
+def test_tables_on_the_way_are_deleted(spark, tmp_path):
+    """Inside passing only, also where it fails, and of each thread its own."""
+    import os
+    import threading
+
+    from tidewater.llm import common
+
+    made = {}
+
+    def work(name, fails):
+        try:
+            with common.passing(spark, f"{tmp_path}/{name}"):
+                made[name] = common.written(spark.range(3), name).inputFiles()[0].replace("file://", "")
+                both.wait(60)
+                if fails:
+                    raise ValueError
+        except ValueError:
+            pass
+
+    for name in ("a", "b"):
+        os.makedirs(tmp_path / name)
+    both = threading.Barrier(2)
+    threads = [threading.Thread(target=work, args=(n, n == "b")) for n in ("a", "b")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    kept = common.written(spark.range(3), "kept")
+    assert not any(os.path.exists(p) for p in made.values()) and len(made) == 2 and kept.count() == 3
+    assert not (tmp_path / "a").exists() and (tmp_path / "b").exists()
+
+
 def test_very_long_text(spark):
     text = "lorem ipsum dolor sit amet, " * 40_000 + "a" * 50_000
     docs = table(spark, [text, "short"])

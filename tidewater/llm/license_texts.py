@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-# Names in the sentences "Licensed under the ...", "Released under the ...", "This work is licensed under the ...".
+# Names by which texts call a license, after "Licensed under the", "Released under", and alone.
 NAMES = {
-    "0BSD": ["BSD Zero Clause License"],
-    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU AGPL v3.0"],
-    "Apache-2.0": ["Apache License, Version 2.0", "Apache 2.0 License"],
-    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"],
-    "BSD-3-Clause": ["BSD License", "BSD 3-Clause License"],
-    "BSL-1.0": ["Boost Software License, Version 1.0"],
-    "GPL-2.0": ["GNU General Public License, version 2", "GNU GPL v2.0"],
-    "GPL-3.0": ["GNU General Public License, version 3", "GNU GPL v3.0"],
+    "0BSD": ["BSD Zero Clause License", "0BSD License"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU AGPL v3.0", "AGPL v3.0", "AGPL, version 3.0"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache 2.0 License", "Apache 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License", "2-Clause BSD License"],
+    "BSD-3-Clause": ["BSD License", "BSD 3-Clause License", "3-Clause BSD License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU GPL v2.0", "GPL v2.0"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU GPL v3.0", "GPL v3.0"],
     "ISC": ["ISC License"],
-    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1"],
-    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU LGPL v3.0"],
-    "MIT": ["MIT License"],
-    "MPL-2.0": ["Mozilla Public License, version 2.0"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1", "LGPL v2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU LGPL v3.0", "LGPL v3.0"],
+    "MIT": ["MIT License", "MIT"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "MPL v2.0"],
     "Zlib": ["zlib License"],
 }
-SENTENCES = ["Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}."]
+SENTENCES = ["Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "Licensed under {}.", "Released under {}.", "This program is licensed under {}.", "This program is licensed under the {}.", "{}."]
+LATER = ["Licensed under the {} or later.", "Licensed under the {} or any later version.", "This program is licensed under {} or later.", "This program is licensed under the {} or any later version."]
+TAG = "SPDX-License-Identifier: {}."
 
 # Creative Commons licenses are named by their elements.
 ELEMENTS = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
@@ -73,9 +75,10 @@ def templates() -> dict[str, str]:
     """The wording of each license, with the sentences that name it."""
     found = {}
     for name, text in TEXTS.items():
-        found[name] = "\n".join([*(s.format(n) for n in NAMES.get(name, []) for s in SENTENCES), text])
+        forms = SENTENCES + (LATER if "GPL" in name else [])
+        found[name] = "\n".join([*(s.format(n) for n in NAMES.get(name, []) for s in forms), TAG.format(name), *([TAG.format(f"{name}-or-later")] if "GPL" in name else []), text])
     for code in CREATIVE_COMMONS:
         full = "-".join(ELEMENTS[e] for e in code.split("-"))
         for version, form in CC_VERSIONS.items():
-            found[f"CC-{code}-{version}"] = f"Licensed under CC {code} {version}.\nThis work is licensed under a Creative Commons {full} {version} {form} License.\nThis work is licensed under the Creative Commons {full} {version} License."
+            found[f"CC-{code}-{version}"] = f"{TAG.format(f'CC-{code}-{version}')}\nLicensed under CC {code} {version}.\nThis work is licensed under a Creative Commons {full} {version} {form} License.\nThis work is licensed under the Creative Commons {full} {version} License."
     return found

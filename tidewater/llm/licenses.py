@@ -5,7 +5,7 @@ if at least half of its words are in runs of three that stand in a template; nei
 one candidate block, however its lines are wrapped. Each block is compressed alone and with each
 template as a zstandard raw-content dictionary, which ranks the templates by the bytes saved.
 
-Those that save are confirmed by the exact differences in wording. The units that a template
+Those that save are confirmed by the exact differences in wording, smallest first, until what is left can't do as well. The units that a template
 covers are compared with its stretch: it fits if at most a fifth of the words differ and none of
 the differences is a word that tells licenses apart (a name, an element such as NC, a version, a
 negation). The fit of most words, a difference counting against two, is the license; if several
@@ -28,19 +28,31 @@ from .common import BoundedCache, flushed, id_and_text, read_table
 from .license_texts import ELEMENTS, templates
 
 # Words of which a text with a license has one, and words that tell licenses apart: fixed values.
-CUES = r"(?i)licen[sc]|copyright|warrant|redistribut|permission|permitted|public domain|public at large|rights reserved|creative commons|CC[ -]BY|\bCC0|merchantab|liab(?:le|ility)|as[ -]is\b|free software|restriction|hereby|source code|source form|source distribution|compiled binary|original software|and/or|relinquish|\bMPL\b|GPL\b|acknowledgment"
+CUES = r"(?i)licen[sc]|copyright|warrant|redistribut|permission|permitted|public domain|public at large|rights reserved|creative commons|CC[ -]BY|\bCC0|merchantab|liab(?:le|ility)|as[ -]is\b|free software|restriction|hereby|source code|source form|source distribution|compiled binary|original software|and/or|relinquish|\bMPL\b|GPL(?:\b|v?\d)|acknowledgment"
 TELLING = {"affero", "lesser", "library-general", "gpl", "lgpl", "agpl", "mit", "isc", "bsd", "apache", "mozilla", "mpl", "eclipse", "epl", "boost", "zlib", "unlicense", "cc", "cc0", "zero", "commercial", "non-commercial", "noderivs", "public", "not", "no", "non", "without", "never", "neither", "except", "simplified", "domain"} | {e.lower() for e in ELEMENTS.values()}
 VERSION = re.compile(r"v?\d+(?:\.\d+)*(?:-clause)?|by(?:-(?:nc|nd|sa))+|(?:attribution|noncommercial)-.*")
 CUE = re.compile(CUES)
 WORD = re.compile(r"\w(?:[.\-+/]*+\w)*+")
 MARK = re.compile(r"^\s*+(?:(?:[-*•#/;%>|]++|\(?[0-9a-z]{1,2}[.)](?=\s))\s*+)++", re.I)  # of a list or a comment
-SENTENCE = re.compile(r"(?<=\w\w[.;:!?])\s+(?=[\"'(]?[A-Z0-9])")
+SENTENCE = re.compile(r"(?<=\w\w[.;:!?])(?<!dentifier:)\s+(?=[\"'(]?[A-Z0-9])")
 COPYRIGHT = re.compile(r"(?i)^\W*(?:copyright\s*(?:\(c\)|©|\d{4}|by\b)|\(c\)\s|©)")
 DIFFERENCE = 0.2
 
 
+# Versions are said in many ways: "version 2", "v2", "v. 2.0", "GPLv2", "GPL-2.0" are all the word 2.0 after the name.
+SAID = re.compile(r"\bv(?:ersion\b|\.)?\s*(\d+(?:\.\d+)*)(?![\w.]*-clause)\b")
+NAMED = re.compile(r"\b([al]?gpl|mpl|bsl|epl|apache)[\s-]*v?(\d+(?:\.\d+)*)(?:-(or-later|only))?(?![\w-])")
+SUFFIX = {None: "", "only": "", "or-later": " or later"}
+
+
 def words(text: str) -> list[str]:
-    return WORD.findall(re.sub(r"\blibrary general\b", "library-general", MARK.sub("", text.lower())))
+    """The words that are compared: lower-cased, without list marks, versions said one way."""
+    plain = re.sub(r"\blibrary general\b", "library-general", MARK.sub("", text.lower()))
+    if any(c.isdigit() for c in plain):
+        dotted = lambda n: n if "." in n else f"{n}.0"
+        plain = SAID.sub(lambda m: f" {dotted(m[1])}", plain)
+        plain = NAMED.sub(lambda m: f"{m[1]} {dotted(m[2])}{SUFFIX[m[3]]}", plain)
+    return WORD.findall(plain)
 
 
 def telling(word: str) -> bool:
@@ -77,7 +89,7 @@ def trigrams(own: list[str]) -> list[tuple[str, ...]]:
 
 
 def marked(own: list[list[str]], runs: set[tuple[str, ...]]) -> list[int]:
-    """How many words of each unit are in a run of three words, also across units, that is in runs."""
+    """How many words of each unit are in a run of three words, also across units, that is in runs; of a unit of two words both, if it is in runs itself."""
     flat = [w for u in own for w in u]
     marks = bytearray(len(flat))
     for i, r in enumerate(trigrams(flat)):
@@ -85,7 +97,7 @@ def marked(own: list[list[str]], runs: set[tuple[str, ...]]) -> list[int]:
             marks[i : i + 3] = b"\1\1\1"
     at, counts = 0, []
     for u in own:
-        counts.append(sum(marks[at : at + len(u)]))
+        counts.append(2 if len(u) == 2 and tuple(u) in runs else sum(marks[at : at + len(u)]))
         at += len(u)
     return counts
 
@@ -100,7 +112,9 @@ class Scanner:
 
     def __init__(self, texts: dict[str, str], level: int = 3):
         self.words = {name: [w for line in text.split("\n") for w in words(line)] for name, text in texts.items()}
-        self.runs = {name: set(trigrams(own)) for name, own in self.words.items()}
+        pairs = {name: {tuple(w) for _, u in units(text) if len(w := words(u)) == 2} for name, text in texts.items()}  # names such as "MIT License"
+        self.runs = {name: set(trigrams(own)) | pairs[name] for name, own in self.words.items()}
+        self.vocabulary = {name: set(own) for name, own in self.words.items()}
         self.any_runs = set().union(*self.runs.values())
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
         self.with_template = {}
@@ -121,7 +135,7 @@ class Scanner:
                 blank += 1
                 continue
             speaks = CUE.search(unit) or (w and 2 * n >= len(w))
-            again = len(w) > 2 and tuple(w) in said
+            again = (len(w) > 2 or tuple(w) in self.any_runs) and tuple(w) in said
             if held and (not speaks or again or blank > 2):
                 yield held
                 held, said = [], set()
@@ -132,9 +146,9 @@ class Scanner:
         if held:
             yield held
 
-    def fit(self, own: list[list[str]], name: str) -> tuple[int, int, int, int, list[str]] | None:
-        """(differing words, words, first unit, end unit, differences) of the run of units, covered by most words of a template, that it fits; None if it fits none."""
-        template, met = self.words[name], marked(own, self.runs[name])
+    def spans(self, own: list[list[str]], name: str) -> list[tuple[int, int]]:
+        """The runs (first unit, end unit) of units that the template covers, those of most covered words first."""
+        met = marked(own, self.runs[name])
         covered = [bool(u) and 2 * n >= len(u) for n, u in zip(met, own, strict=True)]
         spans, at = [], 0
         while at < len(own):
@@ -144,8 +158,17 @@ class Scanner:
             if end > at:
                 spans.append((sum(met[at:end]), -at, end))
             at = end + 1
-        for _, first, end in sorted(spans, reverse=True):
-            first = -first
+        return [(-first, end) for _, first, end in sorted(spans, reverse=True)]
+
+    def least(self, own: list[list[str]], name: str, spans: list[tuple[int, int]]) -> int:
+        """What fit can give at best over spans: each word that the template lacks is a difference."""
+        known = self.vocabulary[name]
+        return min(sum(1 if w not in known else -1 for u in own[first:end] for w in u) for first, end in spans)
+
+    def fit(self, own: list[list[str]], name: str, spans: list[tuple[int, int]]) -> tuple[int, int, int, int, list[str]] | None:
+        """(differing words, words, first unit, end unit, differences) of the first of spans that the template fits; None if it fits none."""
+        template = self.words[name]
+        for first, end in spans:
             block = [w for u in own[first:end] for w in u]
             if (1 - DIFFERENCE) * len(block) > len(template):
                 continue
@@ -155,17 +178,30 @@ class Scanner:
         return None
 
     def best_fit(self, block: tuple[tuple[int, str], ...]) -> tuple[tuple, int, int]:
-        """(row as of scan, first unit, end unit) of the units that some license fits best; of the whole block if none does."""
+        """(row as of scan, first unit, end unit) of the units that some license fits best; of the whole block if none does.
+
+        Templates are confirmed in the order of their compressed sizes. One that can't do as well as the
+        best so far, whatever its exact differences, is passed over: it could be neither the winner nor its equal.
+        """
         text = "\n".join(u for _, u in block)
         data = text.encode()
         alone = len(self.plain.compress(data))
         ranked = sorted((len(z.compress(data)), name) for name, z in self.with_template.items())
         own = [[] if COPYRIGHT.match(u) and "license" not in u.lower() else words(u) for _, u in block]
-        fits = [(2 * f[0] - f[1], size, name, f[0], *f[2:]) for size, name in ranked if size < alone and (f := self.fit(own, name))]
+        fits, best = [], None
+        for size, name in ranked:
+            if size >= alone:
+                break
+            spans = self.spans(own, name)
+            if not spans or (best is not None and self.least(own, name, spans) > best):
+                continue
+            f = self.fit(own, name, spans)
+            if f:
+                fits.append((2 * f[0] - f[1], size, name, f[0], *f[2:]))
+                best = min(fits)[0]
         if not fits:
             size = min(ranked[0][0], alone) if ranked else alone
             return (block[0][0], block[-1][0] + 1, text, None, [], alone, size, round(1 - size / alone, 6), None, []), 0, len(block)
-        best = min(f[0] for f in fits)
         names = sorted(f[2] for f in fits if f[0] == best)
         _, size, _, count, first, end, found = min(f for f in fits if f[0] == best)
         return (block[0][0], block[-1][0] + 1, text, names[0] if len(names) == 1 else "ambiguous", names, alone, size, round(1 - size / alone, 6), count, found), first, end
