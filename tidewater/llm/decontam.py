@@ -104,15 +104,16 @@ def _contaminated(texts: DataFrame, items: DataFrame, k: int, threshold: float,
 
     # Windows that can reach the threshold.
     met = _hashed(texts, k).select("doc_id", "row", "doc_words", F.posexplode_outer("doc_hashes").alias("p", "h")).join(_bounded(filed.select("n_words", "h").distinct(), shingles), "h")
-    places = met.groupBy("doc_id", "row", "doc_words", "n_words").agg(F.array_sort(F.collect_list("p")).alias("places"))
+    places = met.groupBy("doc_id", "row", "doc_words", "n_words").agg(F.array_sort(F.collect_set("p")).alias("places"))
     in_window = F.least("n_words", "doc_words") - k + 1
     enough = F.greatest(F.lit(1), F.ceil(threshold / (1 + threshold) * (in_window + F.col("n_words") - k + 1) - 1e-9).cast("int"))  # shingles that a window at threshold shares
     laid = places.select("doc_id", "row", "n_words", _starts(F.col("places"), in_window, enough).alias("starts")).where(F.size("starts") > 0)
     asked = laid.groupBy("doc_id", "row").agg(F.collect_list(F.struct("n_words", "starts")).alias("asked"))
     sizes = F.flatten(F.transform("asked", lambda a: F.transform(a["starts"], lambda s: F.struct(a["n_words"].alias("n_words"), s.alias("start_word")))))
-    sliced = F.transform(sizes, lambda a: F.struct(a["n_words"].alias("n_words"), a["start_word"].alias("start_word"), F.slice("doc_hashes", a["start_word"] + 1, a["n_words"] - k + 1).alias("hashes")))
     wanted = texts.withColumn("row", F.xxhash64("text")).join(asked, ["doc_id", "row"])
-    windows = _hashed(wanted.drop("row"), k).select("doc_id", "row", F.explode_outer(sliced).alias("w")).select("doc_id", "row", "w.*")
+    # A row for each start first, then its slice: no row holds the windows of a whole text.
+    started = _hashed(wanted.drop("row"), k).select("doc_id", "row", "doc_hashes", F.explode_outer(sizes).alias("w"))
+    windows = started.select("doc_id", "row", "w.*", F.slice("doc_hashes", F.col("w.start_word") + 1, F.col("w.n_words") - k + 1).alias("hashes"))
     windows = cut(windows.dropDuplicates(["doc_id", "row", "n_words", "start_word"]).withColumn("fp", simhash(F.col("hashes"))))
 
     # Multi-index Hamming blocks: a window meets the items of its length within radius.
