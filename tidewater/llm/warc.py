@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flushed, open_store, read_table, shared_path
+from .common import cut, flushed, open_store, read_table, shared_path
 
 VERSION = b"WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,7 +40,8 @@ def with_record_types(pages: DataFrame, id_col: str = "page_id", url_col: str =
     base = base.withColumn("digest", F.sha2(F.encode("payload", "utf-8"), 256))
     narrow = base.where(F.octet_length("payload") >= LEAST_REVISIT_BYTES).select("page_id", "digest")
     firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    revisits = narrow.join(firsts, "digest").where("page_id is null or page_id <> refers_to").distinct()
+    # Checkpointed, so the join's sides are plain exchanges, and Spark can split a digest that very many pages share.
+    revisits = narrow.join(cut(firsts), "digest").where("page_id is null or page_id <> refers_to").distinct()
     revisits = revisits.select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "refers_to")
     joined = base.join(revisits, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
     return joined.select("page_id", "url", "payload", "digest", "refers_to")
