@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,7 +19,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
-_SCRATCH: list[str] = []  # tables written on the way
+#: The tables written on the way inside passing, of each thread its own.
+_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -34,12 +36,17 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def passing(spark: SparkSession, *paths: str):
-    """Afterwards, delete paths and the tables written on the way inside: what was made of them is stored by then."""
-    begun = len(_SCRATCH)
-    yield
-    for path in [*paths, *_SCRATCH[begun:]]:
-        delete(spark, path)
-    del _SCRATCH[begun:]
+    """Afterwards, delete the tables written on the way inside, also where it fails, and, where it doesn't, paths: what was made of them is stored by then."""
+    made: list[str] = []
+    before = _scratch.set(made)
+    done = False
+    try:
+        yield
+        done = True
+    finally:
+        _scratch.reset(before)
+        for path in [*(paths if done else ()), *made]:
+            delete(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,9 +56,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written as a Parquet table in the shared folder and read again: for what is too large to checkpoint row by row."""
+    """df, written as a Parquet table in the shared folder and read again: for what is too large to checkpoint row by row. Inside passing it is deleted at its end, elsewhere it stays."""
     path = shared_path(df.sparkSession, label)
-    _SCRATCH.append(path)
+    if (held := _scratch.get()) is not None:
+        held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

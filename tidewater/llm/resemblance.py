@@ -259,7 +259,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id has a row for each of its components. An empty table gives no rows.
     """
     rows = cut(similar_sets(docs, id_col, text_col, threshold, shingle))
-    smallest = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    smallest = cut(rows.groupBy("c").agg(F.min("doc_id").alias("component_id")))
     return rows.join(smallest, "c").select("doc_id", "component_id").distinct()
 
 
