@@ -353,3 +353,19 @@ def test_exact_quantiles(spark):
         want = pd.Series(values, dtype="float64").quantile([0.0, 0.1, 0.5, 0.77, 1.0])
         near(got[c], [None if pd.isna(v) else v for v in want])
     assert profile.quantiles(df.limit(0), ["a"], [0.5]) == {"a": [None]}
+
+
+def test_loss_curves_are_those_of_the_predictions(spark):
+    """The last loss of training_history is the mean square of what the model leaves of its windows, and curves begin at round 1."""
+    rng = np.random.default_rng(5)
+    values = [float(v) for v in 100 + np.cumsum(rng.normal(size=160)) + 5 * np.sin(np.arange(160) / 4)]
+    windows = forecast.model_windows(series(spark, values, volume=[float(v) for v in rng.uniform(1, 9, 160)]), ["close", "volume"])
+    fitted = forecast.fit_trees(windows, rounds=6)
+    rows = forecast.training_history(spark, fitted).orderBy("round").collect()
+    assert [r["round"] for r in rows] == list(range(1, len(rows) + 1)) and all(r["seconds"] > 0 for r in rows)
+    from pyspark.ml.functions import array_to_vector
+
+    predicted = fitted.model.transform(windows.withColumn("features", array_to_vector(F.col("x").cast("array<double>"))))
+    got = {r["split"]: r["mse"] for r in predicted.groupBy("split").agg(F.avg((F.col("prediction") - F.col("y")) ** 2).alias("mse")).collect()}
+    assert abs(rows[-1]["loss"] - got["train"]) < 1e-9 and abs(rows[-1]["val_loss"] - got["val"]) < 1e-9
+    assert all(a["loss"] >= b["loss"] - 1e-9 for a, b in zip(rows, rows[1:]))

@@ -89,14 +89,17 @@ def ema(df: DataFrame, spans: list[int], column: str = "close", spec: SeriesSpec
 
 
 def ema_in_chunks(df: DataFrame, span: int, column: str, bucket: Column, spec: SeriesSpec, chunk_rows: int = 1_000_000) -> DataFrame:
-    """ema of one span for series without nulls, of any length.
+    """ema of one span for series of any length, gaps included.
 
-    A step is y -> (1-a) y + a x, so a chunk of rows is one affine map; maps of a symbol's
+    From a chunk's first known value on a step is y -> c y + b, so its known values are one affine map,
+    and what a gap takes from the weight is known from its length. Maps of a symbol's
     chunks are composed in order (one small row for each), and each chunk starts from the value
-    carried into it. Chunks of chunk_rows are the unit of work; no task holds a symbol. bucket
-    must not fall as time rises, see series.positioned.
+    carried into it, and from how many rows ago it was known. Chunks of chunk_rows are the unit of work; no task
+    holds a symbol. bucket must not fall as time rises, see series.positioned.
     """
     a = 2.0 / (span + 1)
+    fade = 1 - a
+    forgotten = 1 if fade <= 0 else int(-745 / np.log(fade)) + 1  # rows after which a weight is zero
     placed = positioned(df, spec, bucket)
     keyed = placed.withColumn("_chunk", F.floor(F.col("_pos") / chunk_rows)).drop("_pos")
     names = [f.name for f in df.schema.fields]
@@ -105,26 +108,38 @@ def ema_in_chunks(df: DataFrame, span: int, column: str, bucket: Column, spec: S
 
     def local(key, group):
         values = group.sort_values(spec.order)[column].to_numpy(dtype="float64")
-        fading = (1 - a) ** np.arange(len(values) - 1, -1, -1)
-        return pd.DataFrame({spec.symbol: [key[0]], "_chunk": [key[1]], "_a": [(1 - a) ** len(values)], "_b": [a * (fading @ values)], "_first": [values[0]]})
+        known = np.flatnonzero(~np.isnan(values))
+        row = {spec.symbol: key[0], "_chunk": key[1], "_rows": len(values), "_lead": 0, "_tail": 0, "_first": np.nan, "_a": 1.0, "_b": 0.0}
+        if len(known):
+            weight = fade ** np.diff(known).astype(float)
+            c, b = weight / (weight + a), a * values[known[1:]] / (weight + a)
+            later = np.append(np.cumprod(c[::-1])[::-1], 1.0)
+            row |= {"_lead": known[0], "_tail": len(values) - 1 - known[-1], "_first": values[known[0]], "_a": later[0], "_b": b @ later[1:]}
+        return pd.DataFrame([row])
 
-    maps = keyed.select(spec.symbol, *spec.order, column, "_chunk").groupBy(spec.symbol, "_chunk").applyInPandas(local, f"{spec.symbol} {kind}, _chunk long, _a double, _b double, _first double")
+    maps = keyed.select(spec.symbol, *spec.order, column, "_chunk").groupBy(spec.symbol, "_chunk").applyInPandas(local, f"{spec.symbol} {kind}, _chunk long, _rows long, _lead long, _tail long, _first double, _a double, _b double")
 
     def carry(group):
         group = group.sort_values("_chunk")
-        y, carried = group["_first"].iloc[0], []
-        for m, b in zip(group["_a"], group["_b"], strict=True):
-            carried.append(y)
-            y = m * y + b
-        group["_carried"] = carried
-        return group[[spec.symbol, "_chunk", "_carried"]]
-
-    carried = maps.groupBy(spec.symbol).applyInPandas(carry, f"{spec.symbol} {kind}, _chunk long, _carried double")
+        y, gap, carried = None, 0, []
+        for rows, lead, tail, first, m, b in group[["_rows", "_lead", "_tail", "_first", "_a", "_b"]].itertuples(index=False):
+            carried.append((y, gap))
+            if first != first:
+                gap += rows
+                continue
+            weight = fade ** float(gap + lead + 1)
+            y = m * (first if y is None else (weight * y + a * first) / (weight + a)) + b
+            gap = tail
+        group["_carried"], group["_gap"] = zip(*carried, strict=True)
+        return group[[spec.symbol, "_chunk", "_carried", "_gap"]]
+
+    carried = maps.groupBy(spec.symbol).applyInPandas(carry, f"{spec.symbol} {kind}, _chunk long, _carried double, _gap long")
 
     def finish(group):
         group = group.sort_values(spec.order)
-        values = pd.concat([group["_carried"].iloc[:1], group[column].astype("float64")])
-        group[f"ema_{span}"] = values.ewm(span=span, adjust=False).mean().to_numpy()[1:]
+        before = [] if pd.isna(group["_carried"].iloc[0]) else [group["_carried"].iloc[0], *[np.nan] * min(forgotten, int(group["_gap"].iloc[0]))]
+        values = np.concatenate([before, group[column].astype("float64")])
+        group[f"ema_{span}"] = pd.Series(values).ewm(span=span, adjust=False).mean().to_numpy()[len(before) :]
         return group[[*names, f"ema_{span}"]]
 
     return keyed.join(carried, [spec.symbol, "_chunk"]).groupBy(spec.symbol, "_chunk").applyInPandas(finish, f"{plain}, ema_{span} double")

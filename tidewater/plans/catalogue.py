@@ -644,13 +644,13 @@ def kpss(spark, sf_dir):
     return rounded(both, "statistic", "p_value", to=5).select("symbol", "test", "series", "statistic", "p_value", "lags", "n", "stationary")
 
 
-def _eliminated(name: str, vectors: str) -> str:
-    """Steps of Gauss's elimination, one a row (symbol, k, m, w), on the moments of each symbol's vectors (symbol, t, v)."""
+def _eliminated(name: str, vectors: str, ridge: float = 0.0, other: str = "i <= k + 1") -> str:
+    """Steps of Gauss's elimination, one a row (symbol, k, m, w), on the moments of each symbol's vectors (symbol, t, v). other: the rows that stay."""
     return f"""{name}_e AS (SELECT symbol, t, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM ({vectors})),
-        {name}_g AS (SELECT a.symbol AS symbol, a.i AS i, b.i AS j, sum(a.x * b.x) AS s FROM {name}_e a JOIN {name}_e b ON a.symbol = b.symbol AND a.t = b.t GROUP BY ALL),
+        {name}_g AS (SELECT a.symbol AS symbol, a.i AS i, b.i AS j, sum(a.x * b.x) + max(CASE WHEN a.i = b.i THEN {ridge} ELSE 0 END) AS s FROM {name}_e a JOIN {name}_e b ON a.symbol = b.symbol AND a.t = b.t GROUP BY ALL),
         {name}_m AS (SELECT symbol, list(r ORDER BY i) AS m FROM (SELECT symbol, i, list(s ORDER BY j) AS r FROM {name}_g GROUP BY ALL) GROUP BY symbol),
         {name} AS (SELECT symbol, 0 AS k, m, len(m) AS w FROM {name}_m UNION ALL
-            SELECT symbol, k + 1, list_transform(m, lambda r, i: CASE WHEN i <= k + 1 THEN r ELSE list_transform(r, lambda q, j: q - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END), w FROM {name} WHERE k < w - 1)"""
+            SELECT symbol, k + 1, list_transform(m, lambda r, i: CASE WHEN {other} THEN r ELSE list_transform(r, lambda q, j: q - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END), w FROM {name} WHERE k < w - 1)"""
 
 
 def _adf_sql(source: str, column: str) -> str:
@@ -880,7 +880,16 @@ def model_inputs(spark, sf_dir):
     return rounded(made, "mean", "label", to=2).withColumns({c: F.col(c) + F.lit(0.0) for c in ("mean", "label")})
 
 
-@query()
+LINEAR = f"""WITH RECURSIVE bars AS ({BARS_D}), z AS ({SCALED_ROWS}), p AS (SELECT *, row_number() OVER (PARTITION BY symbol, split ORDER BY time) - 1 AS at, count(*) OVER (PARTITION BY symbol, split) AS rows FROM z),
+    s AS (SELECT b.symbol AS symbol, b.split AS split, b.time AS time, b.at AS t, b.z_close AS y, s.step AS step, [{', '.join(f'a.z_{c}' for c in [*INPUTS, 'sin', 'cos'])}]::FLOAT[] AS x FROM p b, (SELECT unnest(range(0, 5)) AS step) s
+        JOIN p a ON a.symbol = b.symbol AND a.split = b.split AND a.at = b.at - 5 + s.step WHERE b.at >= 5 AND b.at <= b.rows - 2),
+    v AS (SELECT symbol, split, time, t, y, flatten(list(x ORDER BY step))::DOUBLE[] AS x FROM s GROUP BY ALL),
+    {_eliminated("g", "SELECT symbol, t, list_concat(x, [1.0::DOUBLE, y]) AS v FROM v WHERE split = 'train'", 1e-3, "i = k + 1")},
+    c AS (SELECT symbol, list_transform(range(1, w), lambda i: m[i][w] / m[i][i]) AS c FROM g WHERE k = w - 1)
+    SELECT symbol, time, 'linear' AS model, round(y, 4) AS truth, round(list_dot_product(x, c[1:len(x)]) + c[len(x) + 1], 4) AS predicted FROM v JOIN c USING (symbol) WHERE split = 'test'"""
+
+
+@query(LINEAR)
 def linear_forecast(spark, sf_dir):
     windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS)
     return rounded(forecast.predict_linear(windows, forecast.fit_linear(windows)), "truth", "predicted")
