@@ -333,6 +333,15 @@ def test_licenses_named_in_a_line(text):
         assert {r[3] for r in rows} == {NAMED_SHORTLY[text]}, rows
 
 
+def test_parts_are_in_all_that_the_cues_match():
+    """Each cue, however it is written, holds one of the parts."""
+    cues = ["license", "Licence", "COPYRIGHT", "warranty", "redistribution", "permission", "permitted", "public domain", "Public at large", "Rights Reserved", "Creative Commons", "CC BY", "cc-by", "CC0", "merchantability", "liable", "Liability", "as is", "AS-IS", "free software", "restriction", "hereby", "source code", "source form", "source distribution", "compiled binary", "original software", "and/or", "relinquish", "MPL", "GPL", "LGPLv2", "GPL3", "acknowledgment"]
+    assert all(re.search(licenses.CUES, c) and any(p in c.lower() for p in licenses.PARTS) for c in cues)
+    body = licenses.CUES.removeprefix("(?i)")
+    alternatives = re.split(r"\|(?![^(]*\))", body)
+    assert len(alternatives) == 28 and all(any(re.search(a, c, re.I) for c in cues) for a in alternatives)
+
+
 def test_passing_over_changes_no_winner(monkeypatch):
     """Blocks of all templates' sentences, some changed: the rows are those of confirming every template that saves bytes."""
     rng = random.Random(15)
@@ -862,3 +871,12 @@ def test_very_long_text(spark):
     spans = suffixes.repeated_spans(docs).collect()
     assert all(r["doc_id"] == r["first_doc_id"] == 0 for r in spans) and sum(r["end_word"] - r["start_word"] for r in spans) > 199_000
     assert simhash.simhash_components(docs).count() == 2
+    rng = random.Random(20)
+    words = prose(rng, 200_000, 50_000)
+    docs = table(spark, [words, f"new {words} end", "short", words])
+    assert [r["component_id"] for r in resemblance.similar_components(docs).orderBy("doc_id").collect()] == [0, 0, 2, 0]
+    assert {r["doc_id"]: r["size"] for r in sharding.shard_documents(docs).collect()} == {i: len(t) + 1 for i, t in enumerate([words, f"new {words} end", "short", words])}
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    few = table(spark, [f"{prose(rng, 20)} {'vileword' if i % 2 else ''}" for i in range(40)] + [words, f"{words} {'vileword ' * 60_000}"])
+    model = toxicity.fit_toxicity(few, labels)
+    assert {40, 41} <= {r["doc_id"] for r in toxicity.score_toxicity(few, model).collect()}
