@@ -145,7 +145,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
     All rows of a contaminated id go; rows with a null id or text stay, as do all where a table is
     empty. Columns are those of docs, whatever their names beside doc_id and text.
     """
-    return docs.join(contaminated(docs, benchmark, threshold=threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = cut(contaminated(docs, benchmark, threshold=threshold).select("doc_id").distinct())
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op8_benchmark_windows(spark, sf_dir: str) -> DataFrame:

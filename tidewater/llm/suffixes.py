@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import delete, id_and_text, read_table, released, shared_path, written
+from .common import cut, delete, id_and_text, read_table, released, shared_path, written
 
 RADIX, CHECK_RADIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so they have inverses modulo 2**64
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -258,13 +258,14 @@ def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     spans_col, text_col = (f"{c}_{uuid.uuid4().hex}" for c in ("spans", "text"))
     merged = repeated_spans(docs, min_words=min_words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(spans_col))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").select("doc_id")
-    merged = merged.join(ids, "doc_id", "left_semi")
+    merged = cut(merged.join(ids, "doc_id", "left_semi"))  # so Spark can split an id that very many rows have
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else cut_spans(t, [(x["start_word"], x["end_word"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    joined = docs.join(merged, "doc_id", "left")
+    # Rows without an id meet nothing, so they don't go to one task.
+    joined = docs.where("doc_id is not null").join(merged, "doc_id", "left").unionByName(docs.where("doc_id is null").withColumn(spans_col, F.lit(None).cast(merged.schema[spans_col].dataType)))
     touched = F.col(spans_col).isNotNull() & F.col("text").isNotNull()
     cleaned = joined.withColumn(text_col, F.when(touched, without("text", spans_col)).otherwise(F.col("text")))
     values = {"text": F.col(text_col)}
