@@ -2,9 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; the runner writes it as Parquet in
 the shared folder and the next stage reads that. All stages but the last return the columns of
-documents. Rows with a null id or text pass every stage, but for null texts among near-duplicates,
-which are alike; rows of one id are judged apart, but go together where one is contaminated; an
-empty table gives none; further columns pass, whatever their names.
+documents, further ones too, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,27 +18,44 @@ from tidewater.llm.toxicity import drop_toxic, fit_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model rejects go."""
+    """Documents that the ordinal model rejects go.
+
+    Null and empty texts and rows with a null id are scored like others and stay, as nothing in them
+    is toxic; rows of one id are scored apart. Without labels of two grades nothing is rejected.
+    """
     return drop_toxic(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts at a similarity of 0.8 and more stays, that with the smallest id."""
+    """One document of each component of texts at a similarity of 0.8 and more stays, that with the smallest id.
+
+    Null texts, empty ones and those of white space are alike. Rows with a null id stay; rows of one id
+    are judged apart; of rows equal in id and text one stays, of very short texts equal ones are alike.
+    """
     return drop_near_duplicates(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more stay at their first place only. No document goes."""
+    """Passages of 50 words and more stay at their first place only. No document goes.
+
+    Null, empty and shorter texts pass as they are, as do rows with a null id and rows whose id others have.
+    """
     return remove_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window like a benchmark item go."""
+    """Documents with a window like a benchmark item go.
+
+    Null and empty texts and rows with a null id stay; all rows of a contaminated id go; null and empty items match nothing.
+    """
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the decoded text of every document left."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the decoded text of every document left.
+
+    A null text is an empty one, without tokens; null and repeated ids are rows like others; other columns are left out.
+    """
     if tokenizer_path is None:
         import public_tokenizers
 
