@@ -9,7 +9,7 @@ from tidewater.plans.catalogue import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-LAZY = "sma_multi impute ffill bfill lag_features standardise sequences roc_binary rolling_std_halves minmax_close acf tick_sma tick_ema resample_month detrend split3 corr_long missing_report spectrum_peaks aligned metrics_pivot bars_by_hour_spined".split()
+LAZY = "sma_multi impute ffill bfill lag_features standardise sequences roc_binary rolling_std_halves minmax_close acf tick_sma tick_ema resample_month detrend split3 corr_long missing_report spectrum_peaks aligned metrics_pivot bars_by_hour_spined tick_ffill tick_bfill tick_median tick_impute".split()
 
 
 def plan(spark, name):
