@@ -98,3 +98,14 @@ def test_means_with_gaps(spark, day, chunk, span):
     df = series(spark, gappy(3, 90)).unionByName(series(spark, gappy(4, 41, 0.1), "b")).unionByName(series(spark, [N] * 8, "none"))
     clear = lambda v: [None if x is None or math.isnan(x) else x for x in v]
     near(clear(column(features.ema_in_chunks(df, span, "close", day, SeriesSpec(), chunk), f"ema_{span}")), clear(column(features.ema(df, [span]), f"ema_{span}")))
+
+
+@pytest.mark.parametrize("chunk", [5, 1000])
+def test_correlations_and_trends(spark, day, chunk):
+    df = series(spark, gappy(5, 90, 0.2)).unionByName(series(spark, gappy(6, 61, 0.0), "b")).unionByName(series(spark, [2.0] * 9, "flat"))
+    rows = lambda made, *names: sorted(tuple(r[c] if c == "symbol" else float(r[c]) for c in ("symbol", "lag", *names)) for r in made.collect())
+    for got, want, name in ((ticks.acf(df, 6, "close", day, chunk_rows=chunk), stats.acf(df, 6), "acf"), (ticks.pacf(df, 6, "close", day, chunk_rows=chunk), stats.pacf(df, 6), "pacf")):
+        a, b = rows(got, name, "low", "high"), rows(want, name, "low", "high")
+        assert got.columns == want.columns and [r[:2] for r in a] == [r[:2] for r in b] and len(a) == 14
+        assert np.allclose([r[2:] for r in a], [r[2:] for r in b], atol=1e-9)
+    near(column(ticks.detrend(df, "close", day), "close_detrend"), column(features.detrend(df), "close_detrend"))

@@ -30,7 +30,11 @@ def acf(df: DataFrame, lags: int, column: str = "close", spec: SeriesSpec = BARS
     ahead = centred.select(spec.symbol, "_x", *(F.lag("_x", k).over(w).alias(f"_{k}") for k in range(1, lags + 1)))
     sums = ahead.groupBy(spec.symbol).agg(F.count("*").alias("n"), F.sum(F.col("_x") ** 2).alias("_0"), *(F.sum(F.col("_x") * F.col(f"_{k}")).alias(f"_{k}") for k in range(1, lags + 1)))
     scale = F.nullif("_0", F.lit(0.0))
-    rows = sums.select(spec.symbol, "n", F.posexplode(F.array(*(F.col(f"_{k}") / scale for k in range(lags + 1)))).alias("lag", "acf"))
+    return banded(sums.select(spec.symbol, "n", F.posexplode(F.array(*(F.col(f"_{k}") / scale for k in range(lags + 1)))).alias("lag", "acf")), spec)
+
+
+def banded(rows: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """(symbol, lag, acf, low, high) of (symbol, n, lag, acf): with Bartlett's 95 % band; rows without a value go."""
     before = Window.partitionBy(spec.symbol).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("acf") ** 2)).over(before), F.lit(0.0))
     spread = F.when(F.col("lag") == 0, 0.0).otherwise(1.959963984540054 * F.sqrt((1 + 2 * earlier) / F.col("n")))
@@ -50,7 +54,12 @@ def durbin_levinson(r: np.ndarray) -> np.ndarray:
 def pacf(df: DataFrame, lags: int, column: str = "close", spec: SeriesSpec = BARS) -> DataFrame:
     """(symbol, lag, pacf, low, high): Yule-Walker on acf's few rows; band of 1.96 / sqrt(n)."""
     counted = df.where(F.col(column).isNotNull()).groupBy(spec.symbol).agg(F.count("*").alias("n"))
-    rows = acf(df, lags, column, spec).join(counted, spec.symbol)
+    return partial(acf(df, lags, column, spec).join(counted, spec.symbol), spec)
+
+
+def partial(rows: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """(symbol, lag, pacf, low, high) of (symbol, n, lag, acf)."""
+    kind = dict(rows.dtypes)[spec.symbol]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("lag")
@@ -58,7 +67,6 @@ def pacf(df: DataFrame, lags: int, column: str = "close", spec: SeriesSpec = BAR
         spread = np.where(group["lag"] == 0, 0.0, 1.959963984540054 / math.sqrt(group["n"].iloc[0]))
         return pd.DataFrame({spec.symbol: group[spec.symbol], "lag": group["lag"], "pacf": value, "low": value - spread, "high": value + spread})
 
-    kind = dict(df.dtypes)[spec.symbol]
     return rows.groupBy(spec.symbol).applyInPandas(run, f"{spec.symbol} {kind}, lag int, pacf double, low double, high double")
 
 

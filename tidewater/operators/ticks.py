@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..series import BARS, SeriesSpec, chunked, positioned
 from ..sources.files import nan_to_null
-from .stats import KPSS_CRITICAL, adf_columns, kpss_lags, result_columns
+from .stats import KPSS_CRITICAL, adf_columns, banded, kpss_lags, partial, result_columns
 
 CHUNK = 1_000_000
 
@@ -117,6 +117,32 @@ def lagged_sums(known: DataFrame, most: int, bucket: Column, spec: SeriesSpec, c
     return sums.groupBy(spec.symbol, "k").agg(*(F.sum(c).alias(c) for c in ("xx", "dd", "xd")))
 
 
+def _autocorrelations(df: DataFrame, lags: int, column: str, bucket: Column, spec: SeriesSpec, chunk_rows: int) -> DataFrame:
+    known = _known(df, column, spec)
+    counted = known.groupBy(spec.symbol).agg(F.count("*").alias("n"))
+    sums = lagged_sums(known, lags, bucket, spec, chunk_rows)
+    whole = sums.where("k = 0").select(spec.symbol, F.nullif("xx", F.lit(0.0)).alias("_0"))
+    return sums.join(whole, spec.symbol).join(counted, spec.symbol).select(spec.symbol, "n", F.col("k").alias("lag"), (F.col("xx") / F.col("_0")).alias("acf"))
+
+
+def acf(df: DataFrame, lags: int, column: str, bucket: Column, spec: SeriesSpec = BARS, chunk_rows: int = CHUNK) -> DataFrame:
+    """(symbol, lag, acf, low, high) as stats.acf, from lagged sums of chunks."""
+    return banded(_autocorrelations(df, lags, column, bucket, spec, chunk_rows), spec)
+
+
+def pacf(df: DataFrame, lags: int, column: str, bucket: Column, spec: SeriesSpec = BARS, chunk_rows: int = CHUNK) -> DataFrame:
+    """(symbol, lag, pacf, low, high) as stats.pacf, from lagged sums of chunks."""
+    return partial(_autocorrelations(df, lags, column, bucket, spec, chunk_rows).where("acf is not null"), spec)
+
+
+def detrend(df: DataFrame, column: str, bucket: Column, spec: SeriesSpec = BARS) -> DataFrame:
+    """df with the residual of a least-squares line over row positions, as features.detrend: the line is a sum over all rows, joined back by symbol."""
+    placed = positioned(df, spec, bucket).withColumn("_pos", F.col("_pos").cast("double"))
+    line = placed.groupBy(spec.symbol).agg(F.regr_intercept(column, "_pos").alias("_intercept"), F.regr_slope(column, "_pos").alias("_slope"))
+    rest = F.col(column) - (F.col("_intercept") + F.col("_slope") * F.col("_pos"))
+    return placed.join(line, spec.symbol).withColumn(f"{column}_detrend", rest).drop("_pos", "_intercept", "_slope")
+
+
 def most_lags(n: Column, max_lag: int | None) -> Column:
     """How many lags the ADF test tries of a series of n values."""
     wanted = F.ceil(12 * (n / 100) ** 0.25) if max_lag is None else F.lit(max_lag)

@@ -703,6 +703,28 @@ def fractional_difference(spark, sf_dir):
     return rounded(stats.fractional_difference(bars_daily(spark, sf_dir), 0.4), "fracdiff").select("symbol", "time", "fracdiff")
 
 
+TICK_PLACED = f"SELECT symbol, time - 1 AS pos, value AS close FROM ({ORDERED_TICKS})"
+
+
+@query(f"""WITH {ACF.replace(PLACED, TICK_PLACED)}, e AS (SELECT *, CASE WHEN lag = 0 THEN 0 ELSE 1.959963984540054 * sqrt((1 + 2 * coalesce(sum(acf * acf) FILTER (lag > 0) OVER (PARTITION BY symbol ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) END AS d FROM z)
+    SELECT symbol, lag, round(acf, 6) + 0.0 AS acf, round(acf - d, 6) + 0.0 AS low, round(acf + d, 6) + 0.0 AS high FROM e""")
+def tick_acf(spark, sf_dir):
+    """Over single ticks, from lagged sums of chunks."""
+    return rounded(long.acf(ticks(spark, sf_dir), 10, "value", F.date_trunc("hour", "time"), TICKS), "acf", "low", "high", to=6)
+
+
+@query(PACF.replace(PLACED, TICK_PLACED))
+def tick_pacf(spark, sf_dir):
+    return rounded(long.pacf(ticks(spark, sf_dir), 10, "value", F.date_trunc("hour", "time"), TICKS), "pacf", "low", "high", to=6)
+
+
+@query(f"SELECT symbol, pos + 1 AS pos, round(close - (regr_intercept(close, pos) OVER s + regr_slope(close, pos) OVER s * pos), 4) AS detrended FROM ({TICK_PLACED}) WINDOW s AS (PARTITION BY symbol)")
+def tick_detrend(spark, sf_dir):
+    """Over single ticks: the line is one aggregate, joined back."""
+    made = positioned(long.detrend(ticks(spark, sf_dir), "value", F.date_trunc("hour", "time"), TICKS), TICKS, F.date_trunc("hour", "time"))
+    return made.select("symbol", (F.col("_pos") + 1).cast("long").alias("pos"), F.round("value_detrend", 4).alias("detrended"))
+
+
 P_TICKS = f"p AS (SELECT symbol, value AS x, time - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ({ORDERED_TICKS}))"
 
 
