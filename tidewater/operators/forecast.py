@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import time
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -144,19 +145,31 @@ def naive_scaled(df: DataFrame, column: str = "close", spec: SeriesSpec = BARS)
     return rows.select(spec.symbol, spec.time, F.lit("naive").alias("model"), F.col(f"z_{column}").alias("truth"), "predicted")
 
 
-def grid(df: DataFrame, columns: list[str], spec: SeriesSpec = BARS) -> DataFrame:
-    """Scores of every symbol and model: naive, linear, trees. All in scaled units."""
+MODELS = ("linear", "trees")
+
+
+def _predictions(windows: DataFrame, fit_on: DataFrame, models: tuple[str, ...], source: str | None, spec: SeriesSpec) -> DataFrame:
+    """Predictions of test windows by each of models fitted on fit_on."""
+    parts = []
+    for model in models:
+        if model not in MODELS:
+            raise ValueError(f"no model {model!r}")
+        parts.append(predict_linear(windows, fit_linear(fit_on, spec=spec), source, spec) if model == "linear" else predict_trees(windows, fit_trees(fit_on), spec))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def grid(df: DataFrame, columns: list[str], models: tuple[str, ...] = MODELS, spec: SeriesSpec = BARS) -> DataFrame:
+    """Scores of every symbol and model, naive and those of models. All in scaled units."""
     windows = model_windows(df, columns, spec=spec)
-    rows = naive_scaled(df, spec=spec).unionByName(predict_linear(windows, fit_linear(windows, spec=spec), spec=spec)).unionByName(predict_trees(windows, fit_trees(windows), spec))
+    rows = naive_scaled(df, spec=spec).unionByName(_predictions(windows, windows, models, None, spec))
     return score(rows, [spec.symbol, "model"])
 
 
-def transfer(df: DataFrame, columns: list[str], source: str, spec: SeriesSpec = BARS) -> DataFrame:
+def transfer(df: DataFrame, columns: list[str], source: str, models: tuple[str, ...] = MODELS, spec: SeriesSpec = BARS) -> DataFrame:
     """Scores, on the other symbols' test windows, of the models fitted on one symbol."""
     windows = model_windows(df, columns, spec=spec)
     own, others = windows.where(F.col(spec.symbol) == source), windows.where(F.col(spec.symbol) != source)
-    rows = predict_linear(others, fit_linear(own, spec=spec), source, spec).unionByName(predict_trees(others, fit_trees(own), spec))
-    return score(rows, [spec.symbol, "model"])
+    return score(_predictions(others, own, models, source, spec), [spec.symbol, "model"])
 
 
 # ARIMA

@@ -908,10 +908,11 @@ LINEAR = f"""WITH RECURSIVE bars AS ({BARS_D}), z AS ({SCALED_ROWS}), p AS (SELE
     v AS (SELECT symbol, split, time, t, y, flatten(list(x ORDER BY step))::DOUBLE[] AS x FROM s GROUP BY ALL),
     {_eliminated("g", "SELECT symbol, t, list_concat(x, [1.0::DOUBLE, y]) AS v FROM v WHERE split = 'train'", 1e-3, "i = k + 1")},
     c AS (SELECT symbol, list_transform(range(1, w), lambda i: m[i][w] / m[i][i]) AS c FROM g WHERE k = w - 1)
-    SELECT symbol, time, 'linear' AS model, round(y, 4) AS truth, round(list_dot_product(x, c[1:len(x)]) + c[len(x) + 1], 4) AS predicted FROM v JOIN c USING (symbol) WHERE split = 'test'"""
+    """
+DOT = "list_dot_product(x, c[1:len(x)]) + c[len(x) + 1]"
 
 
-@query(LINEAR)
+@query(f"{LINEAR} SELECT symbol, time, 'linear' AS model, round(y, 4) AS truth, round({DOT}, 4) AS predicted FROM v JOIN c USING (symbol) WHERE split = 'test'")
 def linear_forecast(spark, sf_dir):
     windows = forecast.model_windows(bars_daily(spark, sf_dir), INPUTS)
     return rounded(forecast.predict_linear(windows, forecast.fit_linear(windows)), "truth", "predicted")
@@ -941,6 +942,21 @@ def transfer(spark, sf_dir):
     return rounded(forecast.transfer(bars_daily(spark, sf_dir), INPUTS, PRIORITIES[0]), "mse", "rmse", "mae", "mape", to=3)
 
 
+ROUNDED_SCORES = "symbol, model, round(mse, 4) AS mse, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(mape, 3) AS mape"
+
+
+@query(f"""{LINEAR} SELECT {ROUNDED_SCORES} FROM ({_scores_sql(f"SELECT symbol, 'linear' AS model, y AS truth, {DOT} AS predicted FROM v, (SELECT c FROM c WHERE symbol = '1-URGENT') WHERE split = 'test' AND symbol <> '1-URGENT'", 'symbol, model')})""")
+def transfer_linear(spark, sf_dir):
+    """The first symbol's coefficients on the others' test windows."""
+    return rounded(rounded(forecast.transfer(bars_daily(spark, sf_dir), INPUTS, PRIORITIES[0], ("linear",)), "mse", "rmse", "mae"), "mape", to=3)
+
+
+@query(f"""{LINEAR} SELECT {ROUNDED_SCORES} FROM ({_scores_sql(f"SELECT symbol, 'linear' AS model, y AS truth, {DOT} AS predicted FROM v JOIN c USING (symbol) WHERE split = 'test' UNION ALL SELECT symbol, 'naive' AS model, truth, predicted FROM ({NAIVE_SCALED})", 'symbol, model')})""")
+def forecast_grid_linear(spark, sf_dir):
+    """Symbols by models, the baseline among them."""
+    return rounded(rounded(forecast.grid(bars_daily(spark, sf_dir), INPUTS, ("linear",)), "mse", "rmse", "mae"), "mape", to=3)
+
+
 @query()
 def forecast_grid(spark, sf_dir):
     return rounded(forecast.grid(bars_daily(spark, sf_dir), INPUTS), "mse", "rmse", "mae", "mape", to=3)
