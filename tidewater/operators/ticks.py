@@ -75,12 +75,27 @@ def bfill(df: DataFrame, columns: list[str], bucket: Column, spec: SeriesSpec =
 
 
 def impute(df: DataFrame, columns: list[str], bucket: Column, window: int = 5, spec: SeriesSpec = BARS, chunk_rows: int = CHUNK) -> DataFrame:
-    """The next known value, and for trailing nulls the median of the known values within the centred window of the column as it was."""
-    out = df
-    for c in columns:
-        out = rolling_median(out, window, c, bucket, spec, chunk_rows, f"_median_{c}")
-    filled = _fill(_placed(out, bucket, spec, chunk_rows), columns, spec, False, columns)
-    return filled.withColumns({c: F.coalesce(c, f"_median_{c}") for c in columns}).select(*df.columns)
+    """The next known value, and for trailing nulls the median of the known values within the centred window of the column as it was.
+
+    One pass over the chunks, with a halo for the medians, for all columns; what is known beyond a chunk is joined to it.
+    """
+    copied = chunked(df, spec, bucket, chunk_rows, window // 2, (window - 1) // 2)
+    near, median = [f"_near_{c}" for c in columns], [f"_median_{c}" for c in columns]
+    names = [*df.columns, "_chunk", *near, *median]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_pos")
+        for c, m in zip(columns, median, strict=True):
+            group[m] = group[c].astype("float64").rolling(window, center=True, min_periods=1).median()
+        own = group[group["_at"] == group["_chunk"]].copy()
+        for c, n in zip(columns, near, strict=True):
+            own[n] = own[c].astype("float64").bfill()
+        return own[names]
+
+    made = copied.groupBy(spec.symbol, "_at").applyInPandas(run, f"{_fields(df)}, _chunk long, {', '.join(f'`{c}` double' for c in near + median)}")
+    carried = _carried(_placed(df.select(spec.symbol, *spec.order, *columns), bucket, spec, chunk_rows), columns, spec, False)
+    joined = made.join(carried, [spec.symbol, "_chunk"], "left")
+    return nan_to_null(joined.withColumns({c: F.coalesce(*(F.nanvl(F.col(x), F.lit(None).cast("double")) for x in (f"_near_{c}", f"_{c}", f"_median_{c}"))) for c in columns}).select(*df.columns))
 
 
 # Stationarity tests from sums
