@@ -830,6 +830,16 @@ def test_contamination_of_a_long_text(spark):
     assert got == first
 
 
+def test_components_of_a_long_chain(spark):
+    """Many rounds, whose estimates of size must not grow with each."""
+    rng = random.Random(22)
+    names = rng.sample(range(10**6), 6000)
+    links = [(a, b) for a, b in zip(names, names[1:])]
+    rng.shuffle(links)
+    got = components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == 5999 and {r["component"] for r in got} == {min(names)}
+
+
 def test_tables_on_the_way_are_deleted(spark, tmp_path):
     """Inside passing only, also where it fails, and of each thread its own."""
     import os

@@ -101,3 +101,12 @@ def test_query(spark):
         pytest.skip("no test tables")
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert sorted(map(tuple, tries.op12_conversation_trie(spark, folder).collect()), key=str) == slow(rebuilt(rows))
+
+
+def test_many_rounds(spark, monkeypatch):
+    """Two conversations alike for fifty turns, two turns a round."""
+    monkeypatch.setattr(tries, "BLOCK", 2)
+    rows = [(c, t, "u", f"{t}" if t < 50 else f"{c} {t}") for c in (100, 101, 102) for t in range(50 + c % 4)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns, ids = tries.with_base_prompts(tries.turns_in_order(table))
+    assert sorted(map(tuple, tries.prefix_trie(turns, ids, 2).collect()), key=str) == slow(rebuilt(rows))

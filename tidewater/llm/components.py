@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -21,14 +21,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     give no rows.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    rounds = 0
     while not _settled(edges):
+        rounds += 1
         both = edges.select("u", "v").union(edges.select("v", "u"))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small_least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         told = large.join(small_least, "u")
         small = told.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = cut(small)
+        # Of a table Spark knows the size; its estimate for a checkpoint grows with the joins of all rounds before.
+        edges = cut(small) if rounds % 4 else written(small, "links")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 

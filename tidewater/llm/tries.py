@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, released
+from .common import cut, read_table, released, written
 
 BLOCK = 4096  # turns of a round at most
 PART = 65_536  # turns of a chain summed in one go
@@ -115,7 +115,7 @@ def sequences(turns: DataFrame, ids: DataFrame) -> DataFrame:
 
 def refine(turns: DataFrame, seqs: DataFrame, first: int = 8) -> DataFrame:
     """(seq, w, n, depth, c1, c2, chars, owner, members): the turns whose class has several sequences, in rounds over the classes still active."""
-    shared, start, size = [], 0, first
+    shared, start, size, rounds = [], 0, first, 0
     active = seqs.where("n > 0").select("seq", F.lit(0).cast("long").alias("c1"), F.lit(0).cast("long").alias("c2"))
     along = Window.partitionBy("seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     while True:
@@ -128,7 +128,10 @@ def refine(turns: DataFrame, seqs: DataFrame, first: int = 8) -> DataFrame:
         kept = cut(block.join(several, ["depth", "c1", "c2"]))
         shared.append(kept)
         start += size
-        active = cut(kept.where((F.col("depth") == start) & (F.col("n") > start)).select("seq", "c1", "c2"))
+        active = kept.where((F.col("depth") == start) & (F.col("n") > start)).select("seq", "c1", "c2")
+        # Of a table Spark knows the size; its estimate for a checkpoint grows with the joins of all rounds before.
+        rounds += 1
+        active = cut(active) if rounds % 3 else written(active, "active")
         size = min(2 * size, BLOCK)
         if active.isEmpty():
             return reduce(DataFrame.unionByName, shared)
