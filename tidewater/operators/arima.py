@@ -10,13 +10,14 @@ tried in one pass over the data, its line search in another.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import shared_folder
+from ..cluster import delete, shared_folder
 from ..series import BARS, SeriesSpec, positioned
 from ..sources.files import nan_to_null
 from .ticks import CHUNK, lagged_sums
@@ -32,6 +33,21 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables of a loop's rounds, written and read again: unlike a checkpoint's, a table's size is known anew, where Spark's estimate would grow with every join of a round before."""
+
+    def __init__(self, spark):
+        self.spark, self.path, self.count = spark, f"{shared_folder(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        df.write.parquet(f"{self.path}/{self.count}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.count}")
+
+    def done(self) -> None:
+        delete(self.spark, self.path)
+
+
 def weights(phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
     """The innovations' relative variances at places 0 to SETTLED - 1, a column for each parameter vector; later ones are the last."""
     r = np.empty((SETTLED, len(phi)))
@@ -156,7 +172,7 @@ def _slopes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 STATE = "params array<array<double>>, center array<double>, step array<double>, done boolean, errors array<double>"
 
 
-def fit(chunks: DataFrame, start: DataFrame, rounds: int = 30, spec: SeriesSpec = BARS) -> DataFrame:
+def fit(chunks: DataFrame, start: DataFrame, rounds: int = 20, spec: SeriesSpec = BARS) -> DataFrame:
     """(symbol, params, center, errors ...): the most likely (mean, phi, theta) of each symbol, as center, and its standard errors.
 
     start: moment_estimate's rows. A round is two passes over the chunks for all symbols together;
@@ -173,7 +189,8 @@ def fit(chunks: DataFrame, start: DataFrame, rounds: int = 30, spec: SeriesSpec
             yield pd.DataFrame(rows, columns=[spec.symbol, "params", "center", "step", "done", "errors"])
 
     schema = f"{spec.symbol} {kind}, {STATE}"
-    state = _cut(start.mapInPandas(begin, schema))
+    kept = Rounds(chunks.sparkSession)
+    state = kept(start.mapInPandas(begin, schema))
 
     def change(make):
         def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -204,7 +221,7 @@ def fit(chunks: DataFrame, start: DataFrame, rounds: int = 30, spec: SeriesSpec
 
     def tried(now: DataFrame, make) -> DataFrame:
         values = likelihoods(chunks, now.select(spec.symbol, "params"), spec).join(now, spec.symbol)
-        return _cut(values.groupBy(spec.symbol).applyInPandas(change(make), schema))
+        return kept(values.groupBy(spec.symbol).applyInPandas(change(make), schema))
 
     finished = []
     for _ in range(rounds):
@@ -218,7 +235,9 @@ def fit(chunks: DataFrame, start: DataFrame, rounds: int = 30, spec: SeriesSpec
     settled = finished[0]
     for part in finished[1:]:
         settled = settled.unionByName(part)
-    return tried(settled, ahead).select(spec.symbol, "center", "errors")
+    found = _cut(tried(settled, ahead).select(spec.symbol, "center", "errors"))
+    kept.done()
+    return found
 
 
 def fitted(df: DataFrame, column: str, bucket: Column, train: float = 0.8, spec: SeriesSpec = BARS, chunk_rows: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
