@@ -1,5 +1,6 @@
 """Operators over chunks against their one-task forms, for several sizes of chunk."""
 
+import inspect
 import math
 import random
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from test_series import N, column, near, series
 
 from tidewater.operators import clean, features, stats, ticks
-from tidewater.series import SeriesSpec
+from tidewater.series import SeriesSpec, chunked
 
 
 
@@ -109,3 +110,21 @@ def test_correlations_and_trends(spark, day, chunk):
         assert got.columns == want.columns and [r[:2] for r in a] == [r[:2] for r in b] and len(a) == 14
         assert np.allclose([r[2:] for r in a], [r[2:] for r in b], atol=1e-9)
     near(column(ticks.detrend(df, "close", day), "close_detrend"), column(features.detrend(df), "close_detrend"))
+
+
+def long_series(spark, n=450_000):
+    """One symbol, more ticks than a worker should hold, every seventh unknown."""
+    known = F.when(F.col("id") % 7 != 0, ((F.col("id") * 7919) % 1009).cast("double"))
+    return spark.range(n).select(F.lit("a").alias("symbol"), F.timestamp_seconds(F.col("id") * 5 + 1_700_000_000).alias("time"), known.alias("close"))
+
+
+def test_a_worker_holds_a_bounded_chunk(spark):
+    """By default no group of a long series is larger than 250 000 rows and its halo, and the ADF test is as over one chunk."""
+    hour = F.date_trunc("hour", "time")
+    chunks = {inspect.signature(f).parameters["chunk_rows"].default for f in (ticks.adf, ticks.kpss, ticks.rolling_median, ticks.impute, ticks.lagged_sums, features.ema_in_chunks)}
+    df = long_series(spark)
+    for rows in chunks:
+        sizes = [r["count"] for r in chunked(df, SeriesSpec(), hour, rows, 10, 10).groupBy("_at").count().collect()]
+        assert max(sizes) <= 250_020 and 450_000 <= sum(sizes) <= 450_000 + 20 * (len(sizes) - 1)
+    got, want = ticks.adf(df, "close", hour).first(), ticks.adf(df, "close", hour, chunk_rows=1_000_000).first()
+    assert (got["lags"], got["n"]) == (want["lags"], want["n"]) and abs(got["statistic"] - want["statistic"]) < 1e-6 * abs(want["statistic"])

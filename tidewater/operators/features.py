@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
-from ..series import BARS, SeriesSpec, in_chunks, position, positioned
+from ..series import BARS, CHUNK, SeriesSpec, in_chunks, position, positioned
 
 
 def lag_features(df: DataFrame, lags: int, column: str = "close", spec: SeriesSpec = BARS) -> DataFrame:
@@ -31,7 +31,7 @@ def rolling_std(df: DataFrame, rows: int, column: str = "close", spec: SeriesSpe
     return df.withColumn(f"std_{rows}", _whole_frame(F.stddev_samp(column), column, rows, spec.window()))
 
 
-def sma_in_chunks(df: DataFrame, rows: int, column: str, bucket: Column, spec: SeriesSpec, chunk_rows: int = 1_000_000) -> DataFrame:
+def sma_in_chunks(df: DataFrame, rows: int, column: str, bucket: Column, spec: SeriesSpec, chunk_rows: int = CHUNK) -> DataFrame:
     """sma of one window for series too long for one task."""
     return in_chunks(df, spec, bucket, rows - 1, lambda w: {f"sma_{rows}": _whole_frame(F.avg(column), column, rows, w)}, chunk_rows)
 
@@ -88,7 +88,7 @@ def ema(df: DataFrame, spans: list[int], column: str = "close", spec: SeriesSpec
     return made if set(df.columns) == {*keys, column} else df.join(made.drop(column), keys, "left")
 
 
-def ema_in_chunks(df: DataFrame, span: int, column: str, bucket: Column, spec: SeriesSpec, chunk_rows: int = 1_000_000) -> DataFrame:
+def ema_in_chunks(df: DataFrame, span: int, column: str, bucket: Column, spec: SeriesSpec, chunk_rows: int = CHUNK) -> DataFrame:
     """ema of one span for series of any length, gaps included.
 
     From a chunk's first known value on a step is y -> c y + b, so its known values are one affine map,

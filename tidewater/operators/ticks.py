@@ -15,12 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..series import BARS, SeriesSpec, chunked, positioned
+from ..series import BARS, CHUNK, SeriesSpec, chunked, positioned
 from ..sources.files import nan_to_null
 from .stats import KPSS_CRITICAL, adf_columns, banded, kpss_lags, partial, result_columns
 
-CHUNK = 1_000_000
-
 
 def _fields(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

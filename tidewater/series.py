@@ -33,6 +33,9 @@ class SeriesSpec:
 
 BARS = SeriesSpec()
 
+#: Rows of a chunk: a Python worker holds one chunk and some copies of it, so this bounds its memory, however long a series is.
+CHUNK = 200_000
+
 
 def position(spec: SeriesSpec) -> Column:
     """0, 1, 2 ... in a symbol."""
@@ -101,7 +104,7 @@ def chunked(df: DataFrame, spec: SeriesSpec, bucket: Column, chunk_rows: int, be
     return placed.withColumn("_at", F.explode(serves))
 
 
-def in_chunks(df: DataFrame, spec: SeriesSpec, bucket: Column, before: int, frame: Callable[[WindowSpec], dict[str, Column]], chunk_rows: int = 1_000_000) -> DataFrame:
+def in_chunks(df: DataFrame, spec: SeriesSpec, bucket: Column, before: int, frame: Callable[[WindowSpec], dict[str, Column]], chunk_rows: int = CHUNK) -> DataFrame:
     """frame's columns for series too long for one task: each reads at most before rows back.
 
     A series is cut into chunks of chunk_rows; the last rows of a chunk also go to the next,
