@@ -128,3 +128,13 @@ def test_a_worker_holds_a_bounded_chunk(spark):
         assert max(sizes) <= 250_020 and 450_000 <= sum(sizes) <= 450_000 + 20 * (len(sizes) - 1)
     got, want = ticks.adf(df, "close", hour).first(), ticks.adf(df, "close", hour, chunk_rows=1_000_000).first()
     assert (got["lags"], got["n"]) == (want["lags"], want["n"]) and abs(got["statistic"] - want["statistic"]) < 1e-6 * abs(want["statistic"])
+
+
+def test_medians_across_bounded_chunks(spark):
+    """With default chunks, of which a long series has several: no group is larger than 250 000 rows and its halo, and the medians are those of one chunk."""
+    hour, df = F.date_trunc("hour", "time"), long_series(spark)
+    got = ticks.rolling_median(df, 21, "close", hour)
+    want = ticks.rolling_median(df, 21, "close", hour, chunk_rows=1_000_000)
+    assert got.count() == 450_000 and got.exceptAll(want).count() == 0
+    rows = inspect.signature(ticks.rolling_median).parameters["chunk_rows"].default
+    assert chunked(df, SeriesSpec(), hour, rows, 10, 10).groupBy("_at").count().agg(F.max("count")).first()[0] <= 250_020
