@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,50 +55,101 @@ def smoother(span: int):
     return step
 
 
-def _ema_processor(span: int, time: str, tiebreak: str, value: str, slot_ms: int):
-    """What keeps a symbol's mean and its ticks that may still be overtaken."""
+#: A tick that waits, the block of time that waiting ticks are kept in, and how many are gathered before they are put away.
+TICK = np.dtype([("at", "<i8"), ("tie", "<i8"), ("x", "<f8")])
+BLOCK_US = 3_600_000_000
+GATHERED = 500_000
+
+
+def _in_order(ticks: list[np.ndarray]) -> np.ndarray:
+    joined = np.concatenate(ticks)
+    return joined[np.lexsort((joined["tie"], joined["at"]))]
+
+
+def _ema_processor(span: int, slot_ms: int, out_rows: int = 100_000):
+    """What keeps a symbol's mean and its ticks that may still be overtaken.
+
+    Ticks wait as bytes, those of an hour together, so the state is read and written by blocks and
+    not by ticks, and an hour at a time is in memory.
+    """
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+    slot_us = slot_ms * 1000
+
     class Smoothed(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
             self.step = smoother(span)
             self.mean = handle.getValueState("mean", "mean double, weight double")
-            self.waiting = handle.getListState("waiting", "at timestamp, tie long, x double")
+            self.parts = handle.getValueState("parts", "n long")
+            self.waiting = handle.getMapState("waiting", "block long, part long", "ticks binary")
+
+        def wait(self, held: list[np.ndarray]) -> None:
+            """A new part, for each block of time that the ticks held fall into. Part 0 is what a timer left."""
+            part = self.parts.get()[0] + 1 if self.parts.exists() else 1
+            self.parts.update((part,))
+            ticks = _in_order(held)
+            blocks = ticks["at"] // BLOCK_US
+            for run in np.split(ticks, np.flatnonzero(np.diff(blocks)) + 1):
+                self.waiting.updateValue((int(run["at"][0] // BLOCK_US), part), (run.tobytes(),))
+
+        def wake(self, at: int) -> None:
+            """When the watermark has passed a slot, no tick of it can come any more."""
+            self.handle.registerTimer((at // slot_us + 1) * slot_ms)
 
         def handleInputRows(self, key, rows, timerValues):
-            slots = set()
-            slot = lambda t: int(t.timestamp() * 1000) // slot_ms
+            held, n, least = [], 0, None
             for frame in rows:
-                known = frame[frame[time].notna()]
-                held = [(t.to_pydatetime(), int(i), None if pd.isna(x) else float(x)) for t, i, x in zip(known[time], known[tiebreak], known[value], strict=True)]
-                if held:
-                    self.waiting.appendList(held)
-                    slots.add(min(slot(t) for t, _, _ in held))
-            if slots:  # when the watermark has passed a slot, no tick of it can come any more
-                self.handle.registerTimer((min(slots) + 1) * slot_ms)
+                if frame.empty:
+                    continue
+                ticks = np.empty(len(frame), TICK)
+                ticks["at"], ticks["tie"], ticks["x"] = frame["at"].astype("int64"), frame["tiebreak"].astype("int64"), frame["value"].astype("float64")
+                first = int(ticks["at"].min())
+                least = first if least is None else min(least, first)
+                held.append(ticks)
+                n += len(ticks)
+                if n >= GATHERED:
+                    self.wait(held)
+                    held, n = [], 0
+            if held:
+                self.wait(held)
+            if least is not None:
+                self.wake(least)
             return iter([])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             # All slots that the watermark has passed, so one reading of the waiting ticks serves them.
-            until = timerValues.getCurrentWatermarkInMs() // slot_ms * slot_ms
-            due, later = [], []
-            for at, tie, x in self.waiting.get():
-                (due if at.timestamp() * 1000 < until else later).append((at, tie, x))
-            if later:
-                self.waiting.put(later)
-                self.handle.registerTimer((min(int(at.timestamp() * 1000) for at, _, _ in later) // slot_ms + 1) * slot_ms)
-            else:
-                self.waiting.clear()
+            until = timerValues.getCurrentWatermarkInMs() // slot_ms * slot_us
+            parts: dict[int, list[int]] = {}
+            for block, part in sorted(tuple(k) for k in self.waiting.keys()):
+                parts.setdefault(block, []).append(part)
             state = tuple(self.mean.get()) if self.mean.exists() else None
-            out = []
-            for at, tie, x in sorted(due, key=lambda r: r[:2]):
-                state = self.step(state, x)
-                out.append((key[0], at, tie, x, None if state is None else state[0]))
+            made, n = [], 0
+            for block, own in parts.items():
+                ticks = _in_order([np.frombuffer(self.waiting.getValue((block, part))[0], TICK) for part in own])
+                due, later = np.split(ticks, [np.searchsorted(ticks["at"], until)])
+                if len(due):
+                    for part in own:
+                        self.waiting.removeKey((block, part))
+                    if len(later):
+                        self.waiting.updateValue((block, 0), (later.tobytes(),))
+                    ema = np.full(len(due), np.nan)
+                    for i, x in enumerate(due["x"].tolist()):
+                        state = self.step(state, None if x != x else x)
+                        if state is not None:
+                            ema[i] = state[0]
+                    made.append(pd.DataFrame({"symbol": key[0], "at": due["at"], "tiebreak": due["tie"], "value": due["x"], "ema": ema}))
+                    n += len(due)
+                if n >= out_rows:
+                    yield pd.concat(made)
+                    made, n = [], 0
+                if len(later):  # what follows is later still
+                    self.wake(int(later["at"][0]))
+                    break
             if state is not None:
                 self.mean.update(state)
-            if out:
-                yield pd.DataFrame(out, columns=["symbol", "time", "tiebreak", "value", "ema"])
+            if made:
+                yield pd.concat(made)
 
         def close(self) -> None:
             pass
@@ -118,7 +170,8 @@ def stream_ema_by_event_time(ticks: DataFrame, span: int, symbol: str, time: str
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     slot_ms = int(pd.Timedelta(slot) / pd.Timedelta("1ms"))
-    rows = ticks.select(F.col(symbol).alias("symbol"), F.col(time).cast("timestamp").alias("time"), F.col(tiebreak).cast("long").alias("tiebreak"), F.col(value).cast("double").alias("value")).withWatermark("time", late)
+    rows = ticks.select(F.col(symbol).alias("symbol"), F.col(time).cast("timestamp").alias("time"), F.col(tiebreak).cast("long").alias("tiebreak"), F.col(value).cast("double").alias("value"))
+    rows = rows.withWatermark("time", late).where("time is not null").withColumn("at", F.unix_micros("time"))
     kind = dict(rows.dtypes)["symbol"]
-    made = _ema_processor(span, "time", "tiebreak", "value", slot_ms)
-    return rows.groupBy("symbol").transformWithStateInPandas(made, f"symbol {kind}, time timestamp, tiebreak long, value double, ema double", "Append", "EventTime")
+    made = rows.groupBy("symbol").transformWithStateInPandas(_ema_processor(span, slot_ms), f"symbol {kind}, at long, tiebreak long, value double, ema double", "Append", "EventTime")
+    return made.select("symbol", F.timestamp_micros("at").alias("time"), "tiebreak", "value", "ema")
