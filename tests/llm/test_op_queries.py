@@ -125,3 +125,19 @@ def test_op10(spark, folder, texts):
 
 def test_words_are_those_of_the_contracts():
     assert WORD.pattern == r"[^\x20\x09-\x0D]+"
+
+
+def test_op10_keeps_the_words_it_has_met():
+    """300 000 different words, read twice: each is encoded once, and as the library does."""
+    from tidewater.llm import bpe
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, rng = bpe.WordBPE(path), random.Random(3)
+    words = list({"".join(rng.choices("etaoinshrdlu", k=rng.randrange(5, 11))) for _ in range(330_000)})[:300_000]
+    made, make = [], coder.cache.make
+    coder.cache.make = lambda word: made.append(word) or make(word)
+    first, again = coder.encode(" ".join(words)), coder.encode(" ".join(words))
+    assert len(words) == len(made) == 300_000 and (first == again).all()
+    for text in (" ".join(words[:3000]), "aaaaaaaa" * 40 + " abababab" * 3, "x" * 5000):
+        assert coder.encode(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+
 class WordBPE:
     """Encoder and decoder for a BPE with word ends in a tokenizer JSON file."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -39,43 +40,47 @@ class WordBPE:
         self.inner, self.final = [0] * 256, [0] * 256
         for c, b in byte_alphabet().items():
             self.inner[b], self.final[b] = vocab[c], vocab[c + end]
-        self.merges = {}
+        self.ranks, self.merged = {}, []
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a], vocab[b]] = rank
+            self.merged.append(vocab[a + b])
         self.words = regex.compile(WORDS)
-        self.cache = BoundedCache(lambda word: np.array(self.encode_word(word.encode()), dtype="<u4").tobytes(), cache)
+        self.cache = BoundedCache(self.packed_word, cache)
 
     def encode_word(self, data: bytes) -> list[int]:
-        inner, merges = self.inner, self.merges
+        merged, rank_of, push, pop = self.merged, self.ranks.get, heapq.heappush, heapq.heappop
         n = len(data)
-        symbols = [inner[b] for b in data]
+        symbols = [self.inner[b] for b in data]
         symbols[-1] = self.final[data[-1]]
-        queue = []
-        for i in range(n - 1):
-            found = merges.get((symbols[i], symbols[i + 1]))
-            if found:
-                queue.append((found[0], i, found[1], symbols[i], symbols[i + 1]))
+        # An entry is a whole number: the rank, of one pair only, above the place.
+        queue = [rank << 32 | i for i, rank in enumerate(map(rank_of, zip(symbols, symbols[1:], strict=False))) if rank is not None]
         if not queue:
             return symbols
         heapq.heapify(queue)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            _, i, new, left, right = heapq.heappop(queue)
+            entry = pop(queue)
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
             j = after[i]
-            if symbols[i] != left or j >= n or symbols[j] != right:
+            if j >= n or rank_of((symbols[i], symbols[j])) != rank:
                 continue  # stale
-            symbols[i], symbols[j] = new, -1
+            symbols[i] = new = merged[rank]
+            symbols[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if found := merges.get((new, symbols[k])):
-                    heapq.heappush(queue, (found[0], i, found[1], new, symbols[k]))
+                if (found := rank_of((new, symbols[k]))) is not None:
+                    push(queue, found << 32 | i)
             h = before[i]
-            if h >= 0 and (found := merges.get((symbols[h], new))):
-                heapq.heappush(queue, (found[0], h, found[1], symbols[h], new))
+            if h >= 0 and (found := rank_of((symbols[h], new))) is not None:
+                push(queue, found << 32 | h)
         return [s for s in symbols if s >= 0]
 
+    def packed_word(self, word: str) -> bytes:
+        ids = self.encode_word(word.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _plain(self, text: str) -> bytes:
         """White space only parts words here, so it isn't normalised first; each character is lower-cased by itself."""
         if not text.isascii():
