@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.bpe import round_trip
-from tidewater.llm.common import passing, read_table, shared_path
+from tidewater.llm.common import passing, read_table, shared_path, tidied
 from tidewater.llm.decontam import decontaminate
 from tidewater.llm.resemblance import drop_near_duplicates
 from tidewater.llm.suffixes import remove_repeats
@@ -81,6 +81,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = shared_path(spark, f"corpus-{name}")
         with passing(spark, *before):
-            stage(spark, docs, sf_dir).write.parquet(path)
+            made = stage(spark, docs, sf_dir)
+            with tidied(spark):
+                made.select("*").write.parquet(path)
         docs, before = spark.read.parquet(path), [path]
     return docs

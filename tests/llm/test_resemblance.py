@@ -3,13 +3,16 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from tidewater.llm import resemblance  # noqa: E402
+from tidewater.llm import common, resemblance  # noqa: E402
+from tidewater.llm.components import _settled  # noqa: E402
 
 
 def grams(text, k=5):
@@ -171,3 +174,32 @@ def test_prefix_pairs_are_all_pairs(spark, monkeypatch):
     of = {r["doc_id"]: r["set"] for r in nodes.collect()}
     want = {tuple(sorted((of[i], of[j]))) for i in of for j in of if i < j and i % 7 != j % 7 and similarity(texts[i], texts[j]) >= 0.8}
     assert got == want and len(want) > 20
+
+
+def test_shuffle_files_go_with_their_frame(spark):
+    """What a checkpoint, a table or a round of components shuffles is deleted then, without the driver's garbage collection; frames made before still give their rows."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+    def settled(before):
+        until = time.monotonic() + 10
+        while files() - before and time.monotonic() < until:
+            time.sleep(0.1)
+        return files() - before
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    as_before, before = spark.conf.get(key), files()
+    tally = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    kept = common.cut(tally.join(tally.select("k", F.col("n").alias("m")), "k"))
+    assert settled(before) == set()
+    with common.passing(spark):
+        assert common.written(tally, "tally").count() == 7
+        before = files()  # the count has a shuffle of its own
+        assert common.written(tally, "tally").schema.names == ["k", "n"]
+        assert settled(before) == set()
+    assert not _settled(spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "u long, v long"))
+    assert settled(before) == set()
+    assert kept.count() == tally.count() == 7 and spark.conf.get(key) == as_before

@@ -49,10 +49,23 @@ def passing(spark: SparkSession, *paths: str):
             delete(spark, path)
 
 
+@contextlib.contextmanager
+def tidied(spark: SparkSession):
+    """Of the frames made and executed inside, the shuffle files are deleted as soon as they aren't needed, not when the driver next collects its garbage. Spark reads the setting as a frame is made."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the shared folder: computed once, its lineage cut."""
+    """df, checkpointed in the shared folder: computed once, its lineage cut, its shuffle files deleted."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidied(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -60,7 +73,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     if (held := _scratch.get()) is not None:
         held.append(path)
-    df.write.parquet(path)
+    with tidied(df.sparkSession):
+        df.select("*").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, tidied, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -38,4 +38,5 @@ def connected_components(links: DataFrame) -> DataFrame:
 def _settled(edges: DataFrame) -> bool:
     """Whether every larger end has one link, and is no smaller end: each link then leads to its component's smallest node."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("larger"), F.lit(0).alias("smaller")).union(edges.select("v", F.lit(0), F.lit(1)))
-    return ends.groupBy("node").agg(F.sum("larger").alias("larger"), F.max("smaller").alias("smaller")).where("larger > 1 or (larger = 1 and smaller = 1)").isEmpty()
+    with tidied(edges.sparkSession):
+        return ends.groupBy("node").agg(F.sum("larger").alias("larger"), F.max("smaller").alias("smaller")).where("larger > 1 or (larger = 1 and smaller = 1)").isEmpty()
